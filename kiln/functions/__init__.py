@@ -1,0 +1 @@
+"""Column-level helpers shared by the operators."""

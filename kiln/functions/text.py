@@ -1,5 +1,4 @@
-"""Column helpers for text: Unicode-aware strip/split, code-point lengths,
-token encoding for token-level edit distance."""
+"""Column helpers for text: Unicode-aware strip/split and blank tests."""
 
 from __future__ import annotations
 
@@ -45,27 +44,5 @@ def is_blank(c) -> Column:
     return F.coalesce(ustrip(c) == F.lit(""), F.lit(True))
 
 
-def codepoint_char(code: Column) -> Column:
-    """One-character string holding code point ``code`` (any plane)."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-
-
-def encode_tokens(xs: Column, ys: Column) -> tuple[Column, Column]:
-    """Map the tokens of a pair onto private code points so that a character
-    Levenshtein of the results is the token Levenshtein of the inputs.
-
-    The vocabulary is local to the pair: distinct tokens of both sides, each
-    numbered from U+10000 upward (plane 1 and beyond, no surrogates).
-    """
-    vocab = F.array_distinct(F.concat(xs, ys))
-    idx = F.map_from_arrays(vocab, F.sequence(F.lit(0x10000), F.size(vocab) + F.lit(0x10000 - 1)))
-
-    def enc(arr: Column) -> Column:
-        return F.array_join(F.transform(arr, lambda t: codepoint_char(F.element_at(idx, t))), "")
-
-    return (F.when(F.size(xs) == 0, F.lit("")).otherwise(enc(xs)),
-            F.when(F.size(ys) == 0, F.lit("")).otherwise(enc(ys)))
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
