@@ -27,7 +27,7 @@ for name in sorted(qs):
             r = {"rows_spark": df.count(), "oracle": None}
             ok = True
     except Exception as e:  # noqa: BLE001
-        r, ok = {"error": repr(e)[:600]}, False
+        r, ok = {"error": (type(e).__name__ + ": " + str(e))[:700]}, False
     bad += not ok
     print(("OK  " if ok else "FAIL"), name, f"{time.time() - t:.1f}s", r, flush=True)
 print("failures:", bad)
