@@ -1 +1,161 @@
-"""Queries (registered on import)."""
+"""Telemetry and health queries over ``v_gpu`` (events as GPU samples)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kiln.operators import logs as L
+from kiln.operators import telemetry as H
+from kiln.plans.catalog import query
+from kiln.plans.logs import _PARSE
+from kiln.plans.views import DUCK, table, v_gpu, v_log
+
+
+def v_snapshots(spark, sf):
+    """Health polls: GPUs grouped into 10 nodes, one poll per node per 5
+    minutes; per-GPU arrays in GPU order; process, log age and disk fields
+    derived from the poll number."""
+    g = v_gpu(spark, sf)
+    poll = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 300).cast("bigint")
+    x = g.select(F.concat(F.lit("node-"), (F.col("gpu") % 10).cast("string")).alias("run_id"), poll.alias("poll"),
+                 "gpu", "util", (F.col("mem_used_mb") / F.col("mem_total_mb") * 100).alias("mem"), "temp")
+    a = x.groupBy("run_id", "poll").agg(F.array_sort(F.collect_list(F.struct("gpu", "util", "mem", "temp"))).alias("_g"))
+    return a.select(
+        "run_id", "poll", F.timestamp_seconds(F.col("poll") * 300).alias("ts"),
+        (F.col("poll") % 97 != 0).alias("process_alive"),
+        ((F.col("poll") % 53) * 10).cast("double").alias("last_log_age_seconds"),
+        (50 + F.col("poll") % 47).cast("double").alias("disk_used_pct"),
+        (100 - F.col("poll") % 101).cast("double").alias("disk_free_gb"),
+        F.transform("_g", lambda e: e["util"]).alias("gpu_util"),
+        F.transform("_g", lambda e: e["mem"]).alias("gpu_mem_used_pct"),
+        F.transform("_g", lambda e: e["temp"]).alias("gpu_temp"))
+
+
+DUCK["v_snapshots"] = """select run_id, poll, to_timestamp(poll * 300)::timestamp as ts, poll % 97 <> 0 as process_alive,
+  ((poll % 53) * 10)::double as last_log_age_seconds, (50 + poll % 47)::double as disk_used_pct,
+  (100 - poll % 101)::double as disk_free_gb, list(util order by gpu) as gpu_util, list(mem order by gpu) as gpu_mem_used_pct,
+  list(temp order by gpu) as gpu_temp
+from (select concat('node-', cast(gpu % 10 as varchar)) as run_id, floor(epoch_us(ts) / 1e6 / 300)::bigint as poll, gpu, util,
+             mem_used_mb / mem_total_mb * 100 as mem, temp from v_gpu) t group by run_id, poll"""
+
+_VERDICT = """x as (select *, case when epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) over (partition by run_id) < 30 then 'grace'
+    when not process_alive then 'process_dead' when last_log_age_seconds > 300 then 'hang_detected'
+    when disk_used_pct > 95 then 'disk_full' when disk_free_gb < 10 and disk_free_gb > 0 then 'disk_low'
+    when list_position(list_transform(gpu_mem_used_pct, lambda v: v > 95), true) is not null
+      then 'oom_risk_gpu' || cast(list_position(list_transform(gpu_mem_used_pct, lambda v: v > 95), true) - 1 as varchar)
+    when list_position(list_transform(gpu_temp, lambda v: v > 90), true) is not null
+      then 'thermal_risk_gpu' || cast(list_position(list_transform(gpu_temp, lambda v: v > 90), true) - 1 as varchar) end as early
+  from v_snapshots),
+y as (select *, early is null as reach, early is null and len(gpu_util) > 0 and list_bool_and(list_transform(gpu_util, lambda u: u < 5.0)) as low from x),
+z as (select *, sum(low::int) over (partition by run_id order by ts rows between unbounded preceding and current row) as cum_low from y),
+v as (select *, coalesce(max(case when reach and not low then cum_low end) over (partition by run_id order by ts rows between unbounded preceding and current row), 0) as base from z),
+verdict as (select *, case when reach then cum_low - base end as low_util_count,
+  case when early = 'grace' then null when early is not null then early when low and cum_low - base > 12 then 'low_gpu_utilization' end as anomaly from v)"""
+
+
+@query("H01_parse_gpu_rows", """with l as (select event_id, case when event_id % 13 = 0 then concat(cast(user_id as varchar), ', x')
+  else concat_ws(', ', cast(user_id as varchar), 'GPU', '350', case when event_id % 7 = 0 then '[N/A]' else cast(value as varchar) end,
+                 cast(value / 4 as varchar), '0', '40', '100', '300') end as line from events),
+p as (select event_id, list_transform(string_split(line, ','), lambda s: trim(s)) as p from l)
+select event_id, try_cast(p[1] as int) as "index", p[2] as name,
+  case when p[3] = '[N/A]' then 0.0 else try_cast(p[3] as double) end as memory_total_mb,
+  case when p[4] = '[N/A]' then 0.0 else try_cast(p[4] as double) end as memory_used_mb,
+  case when p[5] = '[N/A]' then 0.0 else try_cast(p[5] as double) end as utilization_gpu
+from p where len(p) >= 9 and try_cast(p[1] as int) is not null""")
+def h01(spark, sf):
+    e = table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 13 == 0, F.concat(F.col("user_id").cast("string"), F.lit(", x"))).otherwise(
+        F.concat_ws(", ", F.col("user_id").cast("string"), F.lit("GPU"), F.lit("350"),
+                    F.when(F.col("event_id") % 7 == 0, F.lit("[N/A]")).otherwise(F.col("value").cast("string")),
+                    (F.col("value") / 4).cast("string"), F.lit("0"), F.lit("40"), F.lit("100"), F.lit("300")))
+    p = H.parse_gpu_rows(e.select("event_id", line.alias("line")))
+    return p.select("event_id", "index", "name", "memory_total_mb", "memory_used_mb", "utilization_gpu")
+
+
+@query("H02_mem_pct", """select ts, gpu, case when mem_total_mb > 0 then mem_used_mb / mem_total_mb * 100 else 0.0 end as mem_pct
+from v_gpu""", views=("v_gpu",))
+def h02(spark, sf):
+    g = v_gpu(spark, sf)
+    return g.select("ts", "gpu", H.mem_pct(F.col("mem_total_mb"), F.col("mem_used_mb")).alias("mem_pct"))
+
+
+@query("H03_fleet_summary", """select date_trunc('hour', ts) as ts, count(*)::bigint as gpu_count,
+  sum(mem_total_mb) / 1024 as total_memory_gb, sum(mem_used_mb) / 1024 as used_memory_gb, avg(util) as avg_utilization,
+  max(temp) as max_temperature from v_gpu group by 1""", views=("v_gpu",))
+def h03(spark, sf):
+    g = v_gpu(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    return H.fleet_summary(g)
+
+
+@query("H04_oom_risk", """select ts, gpu from v_gpu where mem_used_mb / mem_total_mb * 100 > 95""", views=("v_gpu",))
+def h04(spark, sf):
+    return H.oom_risk(v_gpu(spark, sf)).select("ts", "gpu")
+
+
+@query("H05_thermal_risk", """select ts, gpu from v_gpu where temp > 85""", views=("v_gpu",))
+def h05(spark, sf):
+    return H.thermal_risk(v_gpu(spark, sf)).select("ts", "gpu")
+
+
+@query("H06_classify_health", f"""with {_VERDICT}
+select run_id, poll, anomaly, low_util_count from verdict""", views=("v_gpu", "v_snapshots"))
+def h06(spark, sf):
+    return H.classify_health(v_snapshots(spark, sf)).select("run_id", "poll", "anomaly", "low_util_count")
+
+
+@query("H07_hang", """select * from (select concat('run-', cast(user_id as varchar)) as log_id, event_id,
+  epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts) as gap_s from events) t
+where gap_s > 300""")
+def h07(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("log_id"),
+                                          "event_id", "ts")
+    return H.hang_from_logs(e).select("log_id", "event_id", "gap_s")
+
+
+@query("H08_low_util", f"""with {_VERDICT}
+select run_id, poll, low_util_count from verdict where low_util_count > 0""", views=("v_gpu", "v_snapshots"))
+def h08(spark, sf):
+    v = H.classify_health(v_snapshots(spark, sf))
+    return v.where(F.col("low_util_count") > 0).select("run_id", "poll", "low_util_count")
+
+
+@query("H09_actions")
+def h09(spark, sf):
+    return H.actions(H.classify_health(v_snapshots(spark, sf)))
+
+
+@query("H10_log_errors", """select log_id, line_no, error_type from (select *, case
+  when regexp_matches(line, '(?i)(?:CUDA|GPU)\\s*(?:out\\s*of\\s*memory|OOM)') or regexp_matches(line, '(?i)ResourceExhaustedError') then 'OOM'
+  when regexp_matches(line, '(?i)(?:FATAL|Fatal error|CRITICAL)') then 'FATAL' when regexp_matches(line, '(?i)loss.*(?:NaN|nan|inf)') then 'NaN'
+  when regexp_matches(line, '(?i)NCCL.*(?:error|timeout|abort)') then 'NCCL' when regexp_matches(line, '(?:^|\\s)ERROR') then 'ERROR'
+  when regexp_matches(line, '(?i)(?:^|\\s)WARNING') and not regexp_matches(line, 'NCCL|LAUNCH|RAS') then 'WARNING' end as error_type
+  from v_log) t where error_type is not null""", views=("v_log",))
+def h10(spark, sf):
+    """Batch run of the transformation the live stream applies."""
+    from kiln.streaming.live import stream_errors_transform
+    return stream_errors_transform(v_log(spark, sf)).select("log_id", "line_no", "error_type")
+
+
+@query("H11_latest_metrics", f"""with {_PARSE},
+l as (select log_id, arg_max({{'step': step, 'loss': loss}}, line_no) as l from parsed group by log_id)
+select log_id, l.step as step, l.loss as loss from l""", views=("v_log",))
+def h11(spark, sf):
+    """Batch run of the live latest-metrics aggregation."""
+    from kiln.streaming.live import latest_metrics_transform
+    return latest_metrics_transform(L.parse_metrics(v_log(spark, sf))).select("log_id", "step", "loss")
+
+
+@query("H12_notifications", f"""with {_VERDICT}
+select run_id, poll, anomaly, 'WARN' as level, case
+  when contains(anomaly, 'process_dead') then 'Training process died unexpectedly!'
+  when contains(anomaly, 'hang_detected') then 'Training hung >' || printf('%.0f', last_log_age_seconds) || 's — watchdog will kill'
+  when contains(anomaly, 'low_gpu_utilization') then 'GPU utilization sustained <5%.'
+  when contains(anomaly, 'disk_full') then 'Disk usage >95%!' || case when disk_free_gb > 0 then printf(' disk_free=%.1fGB', disk_free_gb) else '' end
+  when contains(anomaly, 'disk_low') then printf('Disk low: %.1fGB free', disk_free_gb) || case when disk_free_gb > 0 then printf(' disk_free=%.1fGB', disk_free_gb) else '' end
+  end as message
+from verdict where anomaly is not null and (contains(anomaly, 'process_dead') or contains(anomaly, 'hang_detected')
+  or contains(anomaly, 'low_gpu_utilization') or contains(anomaly, 'disk_full') or contains(anomaly, 'disk_low'))""",
+       views=("v_gpu", "v_snapshots"))
+def h12(spark, sf):
+    v = H.classify_health(v_snapshots(spark, sf))
+    return H.notifications(v).select("run_id", "poll", "anomaly", "level", "message")
