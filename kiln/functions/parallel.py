@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when it has fewer partitions.
+def spread(df: DataFrame, min_partitions: int | None = None, factor: int = 4) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks (default:
+    ``factor`` x the cluster's default parallelism, so uneven row costs
+    balance across cores) when it has fewer partitions.
 
     A small file read as one split would otherwise run an O(n*m) per-row
     metric in one task; on large inputs the scan already yields many splits
     and nothing is added."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    target = min_partitions or factor * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df

@@ -1,10 +1,9 @@
 """Live training-log streams.
 
 A directory of log files is read with ``readStream.text``; each new file is
-one log (``log_id`` = file name). Line numbers inside a file come from the
-file's own order: the file source reads a small file in one split, so a
-per-file ``monotonically_increasing_id`` offset from the file's first row is
-its line number (files larger than a split get the split's start offset).
+one log (``log_id`` = file name). Arrival order is ``(ingest_ts, split
+start, position in the task)``; the position is numbered in file order by a
+``mapInPandas`` counter because streams reject ``monotonically_increasing_id``.
 
 The transformations are plain DataFrame functions, so the batch queries run
 the very same code on static tables.
@@ -24,14 +23,29 @@ from kiln.operators import logs as L
 from kiln.operators.telemetry import gate_actions
 
 
+def _number(batches):
+    """Row position inside the task: the text reader emits a split's lines
+    in file order, so a running counter over the task's batches orders them."""
+    n = 0
+    for pdf in batches:
+        pdf["pos"] = range(n, n + len(pdf))
+        n += len(pdf)
+        yield pdf
+
+
 def stream_logs(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Lines as they arrive: ``log_id, line, ingest_ts``."""
+    """Lines as they arrive: ``log_id, line, ingest_ts`` and an arrival
+    order key ``(ingest_ts, block, pos)`` (``pos``: file order inside the
+    split, numbered per task with ``mapInPandas``; streams forbid
+    ``monotonically_increasing_id``)."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = r.load(path)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"),
-                     F.col("value").alias("line"), F.current_timestamp().alias("ingest_ts"))
+    x = df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"),
+                  F.col("_metadata.file_block_start").alias("block"),
+                  F.col("value").alias("line"), F.current_timestamp().alias("ingest_ts"))
+    return x.mapInPandas(_number, "log_id string, block long, line string, ingest_ts timestamp, pos long")
 
 
 def stream_errors_transform(lines: DataFrame) -> DataFrame:
@@ -54,8 +68,8 @@ def latest_metrics_transform(metrics: DataFrame, order: str = "line_no") -> Data
 def latest_metrics_stream(lines: DataFrame) -> DataFrame:
     """H11 on a stream: the latest metrics per log by arrival (update mode).
     Arrival order inside a micro-batch is the ingest time then the row id."""
-    m = L.parse_metrics(lines.withColumn("line_no", F.monotonically_increasing_id()))
-    last = F.max_by(F.struct("step", "loss", "eval_loss", "lr", "throughput"), F.struct("ingest_ts", "line_no"))
+    m = L.parse_metrics(lines)
+    last = F.max_by(F.struct("step", "loss", "eval_loss", "lr", "throughput"), F.struct("ingest_ts", "block", "pos"))
     return m.groupBy("log_id").agg(last.alias("_l")).select(
         "log_id", "_l.step", "_l.loss", "_l.eval_loss", "_l.lr", "_l.throughput")
 
