@@ -263,3 +263,255 @@ select f.key, case json_type(o.line, '$.' || f.key) when 'VARCHAR' then 'str' wh
 from f join o on o.line_no = f.first_pos""", views=("v_jsonl_chat",))
 def c17(spark, sf):
     return clean.infer_schema(v_jsonl_chat(spark, sf), pos="line_no", n=None).select("key", "type", "first_pos")
+
+
+# ------------------------------------------------------------ more cleaning / validation
+
+@query("C04_normalize_text", f"""
+select conv_id, turn, {duck_strip('text')} as text from conversations""")
+def c04(spark, sf):
+    e = clean.normalize_text(_messages(spark, sf))
+    return (e.select("conv_id", F.posexplode("messages").alias("turn", "m"))
+             .select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("m.content").alias("text")))
+
+
+def v_jsonl_ek(spark, sf):
+    """erniekit-style lines with the usual defects: every 17th has no
+    image_info, every 19th a string text_info, every 23rd an empty
+    text_info, every 29th is not JSON; image urls are relative."""
+    d = table(spark, sf, "documents")
+    url = F.concat(F.lit('"./img/'), F.col("doc_id").cast("string"), F.lit('.png"'))
+    good = F.concat(F.lit('{"image_info":[{"image_url":'), url, F.lit(',"matched_text_index":0}],"text_info":[{"text":"'),
+                    F.col("lang"), F.lit('","tag":"mask"}]}'))
+    line = (F.when(F.col("doc_id") % 29 == 0, F.lit("{broken"))
+             .when(F.col("doc_id") % 23 == 0, F.lit('{"image_info":[],"text_info":[]}'))
+             .when(F.col("doc_id") % 19 == 0, F.lit('{"image_info":[],"text_info":"x"}'))
+             .when(F.col("doc_id") % 17 == 0, F.lit('{"text_info":[]}'))
+             .otherwise(good))
+    return d.select(F.col("doc_id").alias("line_no"), line.alias("line"))
+
+
+_DUCK_EK = """select doc_id as line_no, case when doc_id % 29 = 0 then '{broken'
+  when doc_id % 23 = 0 then '{"image_info":[],"text_info":[]}'
+  when doc_id % 19 = 0 then '{"image_info":[],"text_info":"x"}'
+  when doc_id % 17 == 0 then '{"text_info":[]}'
+  else concat('{"image_info":[{"image_url":"./img/', cast(doc_id as varchar), '.png","matched_text_index":0}],"text_info":[{"text":"', lang, '","tag":"mask"}]}') end as line
+from documents"""
+_views.DUCK["v_jsonl_ek"] = _DUCK_EK
+
+_EK_ERRS = """e as (select line_no, list_filter([
+    case when not json_valid(line) then 'Invalid JSON' end,
+    case when json_valid(line) and not json_exists(line, '$.image_info') then 'Missing required field ''image_info'''
+         when json_valid(line) and not json_exists(line, '$.text_info') then 'Missing required field ''text_info''' end,
+    case when json_valid(line) and json_exists(line, '$.image_info') and json_type(line, '$.image_info') <> 'ARRAY' then '''image_info'' must be a list' end,
+    case when json_valid(line) and json_exists(line, '$.text_info') and json_type(line, '$.text_info') <> 'ARRAY' then '''text_info'' must be a list' end],
+  lambda x: x is not null) as errs from v_jsonl_ek),
+top as (select * from e where len(errs) > 0 order by line_no limit 10),
+c as (select *, coalesce(sum(len(errs)) over (order by line_no rows between unbounded preceding and 1 preceding), 0) as before from top)"""
+
+
+@query("C07_validate_erniekit", f"""with {_EK_ERRS}
+select line_no, unnest(range(len(errs))) as k, 'Line ' || line_no || ': ' || unnest(errs) as error from c where before < 10""",
+       views=("v_jsonl_ek",))
+def c07(spark, sf):
+    return clean.validation_errors(v_jsonl_ek(spark, sf), "erniekit", pos="line_no")
+
+
+@query("C08_validate_messages")
+def c08(spark, sf):
+    return clean.validation_errors(v_jsonl_chat(spark, sf), "messages", pos="line_no", max_errors=1 << 30)
+
+
+@query("C09_validation_summary", f"""with {_EK_ERRS},
+s as (select count(*) as n_errors, max(line_no) as last_err from (select line_no, unnest(errs) from c where before < 10))
+select 'erniekit' as format, n_errors = 0 as valid, n_errors::bigint as n_errors,
+  least((select count(*) from v_jsonl_ek where trim(line) <> '' and (n_errors < 10 or line_no <= last_err)), 10000)::bigint as samples_checked
+from s""", views=("v_jsonl_ek",))
+def c09(spark, sf):
+    return clean.validation_summary(v_jsonl_ek(spark, sf), "erniekit", pos="line_no")
+
+
+@query("C10_missing_images", """with u as (select line_no, unnest(json_extract_string(line, '$.image_info[*].image_url')) as url
+  from v_jsonl_ek where json_valid(line) and json_type(line, '$.image_info') = 'ARRAY'),
+m as (select line_no, url, '/data/set/' || substr(url, 3) as path from u where starts_with(url, './') and line_no <= 10000)
+select line_no, url, 'Line ' || line_no || ': ' || url as missing from m
+where path not in (select '/data/set/img/' || cast(doc_id as varchar) || '.png' from labels where quality = 1)
+order by line_no, url limit 20""", views=("v_jsonl_ek",))
+def c10(spark, sf):
+    have = table(spark, sf, "labels").where("quality = 1").select(
+        F.concat(F.lit("/data/set/img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    return clean.missing_images(v_jsonl_ek(spark, sf).withColumnRenamed("line_no", "pos"), have, "/data/set")
+
+
+@query("C11_image_drop", """with h as (select line from v_jsonl_ek where json_valid(line) order by line_no limit 50)
+select count(*)::bigint as rows_checked,
+  count(*) filter (where json_type(line, '$.image_info') = 'ARRAY' and json_array_length(line, '$.image_info') > 0)::bigint as rows_with_images,
+  count(*) > 0 and (count(*) filter (where json_type(line, '$.image_info') = 'ARRAY' and json_array_length(line, '$.image_info') > 0)) / count(*) < 0.1 as dropped
+from h""", views=("v_jsonl_ek",))
+def c11(spark, sf):
+    r = clean.image_drop(v_jsonl_ek(spark, sf).withColumnRenamed("line_no", "pos"), True)
+    return r.select(F.col("rows_checked").cast("bigint").alias("rows_checked"),
+                    F.col("rows_with_images").cast("bigint").alias("rows_with_images"), "dropped")
+
+
+@query("C12_image_columns")
+def c12(spark, sf):
+    cols = [(t, c) for t in ("embeddings", "pages", "documents") for c in clean.image_columns(table(spark, sf, t))]
+    names = [(t, c) for t in ("embeddings", "pages", "documents") for c in table(spark, sf, t).columns]
+    return spark.createDataFrame(names, "tbl string, col string").withColumn(
+        "is_image", F.struct("tbl", "col").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in cols]) if cols else F.lit(False))
+
+
+@query("C13_csv_has_images", """with l as (select * from (values (0, 'question,answer,image_path')) t(line_no, line)
+  union all select doc_id + 1, concat(source, ',', lang, ',', case when doc_id % 3 = 0 then 'img/' || doc_id || '.png' else '' end) from documents),
+h as (select * from l order by line_no limit 6)
+select coalesce(bool_or(case when line_no = 0 then contains(lower(line), 'image') or contains(lower(line), 'path')
+  else regexp_matches(lower(line), '\\.(jpg|jpeg|png|bmp|webp|tif|tiff|gif)') end), false) as has_images from h""")
+def c13(spark, sf):
+    d = table(spark, sf, "documents")
+    body = d.select((F.col("doc_id") + 1).alias("line_no"),
+                    F.concat_ws(",", "source", "lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png"))).otherwise(F.lit(""))).alias("line"))
+    lines = spark.createDataFrame([(0, "question,answer,image_path")], "line_no long, line string").unionByName(body)
+    return clean.csv_has_images(lines, pos="line_no")
+
+
+@query("C14_jsonl_has_images", """with h as (select line from v_jsonl_ek order by line_no limit 5)
+select coalesce(bool_or(case when json_valid(line) then json_type(line) = 'OBJECT' and len(list_intersect(json_keys(line), ['image', 'img', 'image_bytes', 'image_url'])) > 0 else false end), false) as has_images from h""",
+       views=("v_jsonl_ek",))
+def c14(spark, sf):
+    return clean.jsonl_has_images(v_jsonl_ek(spark, sf), pos="line_no")
+
+
+@query("C15_source_has_images", """select coalesce(bool_or(regexp_matches(lower(url), '\\.(jpg|jpeg|png|bmp|webp|tif|tiff|gif)$')), false) as has_images
+from (select url as url from pages)""")
+def c15(spark, sf):
+    inv = table(spark, sf, "pages").select(F.col("url").alias("path"))
+    return clean.source_has_images(inv)
+
+
+@query("C16_nan_to_null", """select event_id, case when value > 400 then null else value end as value from events""")
+def c16(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("value") > 400, F.lit(float("nan")))
+                                          .otherwise(F.col("value")).alias("value"))
+    return clean.nan_to_null(e)
+
+
+@query("C18_head", """select doc_id, source from documents order by doc_id limit 10""")
+def c18(spark, sf):
+    return clean.head(table(spark, sf, "documents").select("doc_id", "source"), 10, pos="doc_id")
+
+
+@query("C19_sample_rows", """select doc_id, source from documents order by md5('42|' || cast(doc_id as varchar)), doc_id limit 10""")
+def c19(spark, sf):
+    return clean.sample_rows(table(spark, sf, "documents").select("doc_id", "source"), 10, "doc_id", seed=42)
+
+
+@query("C20_clean_annotation", f"""with t as (select item_id, case when item_id % 3 = 0 then '```html' || chr(10) || text || '```'
+  when item_id % 3 = 1 then '```' || text || '```' else text end as x from benchmark),
+a as (select item_id, case when starts_with(x, '```html') then {duck_strip("replace(replace(x, '```html' || chr(10), ''), '```', '')")} else x end as x from t),
+b as (select item_id, case when starts_with(x, '```') then {duck_strip("replace(x, '```', '')")} else x end as x from a)
+select item_id, case when length(x) > 300 then substring(x, 1, 300) || '...' else x end as text from b""")
+def c20(spark, sf):
+    b = table(spark, sf, "benchmark")
+    x = (F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("```html\n"), F.col("text"), F.lit("```")))
+          .when(F.col("item_id") % 3 == 1, F.concat(F.lit("```"), F.col("text"), F.lit("```"))).otherwise(F.col("text")))
+    return b.select("item_id", clean.clean_annotation(x).alias("text"))
+
+
+# ------------------------------------------------------------ more conversion / profiling
+
+@query("F05_convert_registry", """
+select conv_id, string_agg(case when role = 'user' then 'user' else 'assistant' end, ',' order by turn) as roles
+from conversations group by conv_id""")
+def f05(spark, sf):
+    e = convert.convert(_messages(spark, sf), "messages", "erniekit")
+    m = convert.convert(e, "erniekit", "messages")
+    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("F07_ocr_to_erniekit", """select doc_id, coalesce(nullif(text, ''), '') as answer, './img/' || doc_id || '.png' as image from documents""")
+def f07(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text",
+                                             F.concat(F.lit("./img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"))
+    e = convert.ocr_to_erniekit(d)
+    return e.select("doc_id", F.col("text_info")[1]["text"].alias("answer"), F.col("image_info")[0]["image_url"].alias("image"))
+
+
+@query("F08_vqa_to_erniekit", """select conv_id, turn, case when turn % 4 = 0 then 'Describe this image.' else text end as question
+from conversations where role = 'user'""")
+def f08(spark, sf):
+    c = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        "conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("question"),
+        F.lit("a").alias("answer"), F.lit("./i.png").alias("image"))
+    e = convert.vqa_to_erniekit(c)
+    return e.select("conv_id", "turn", F.col("text_info")[0]["text"].alias("question"))
+
+
+@query("F09_bboxes_to_erniekit", """select doc_id, (n_chars % 7) || ' regions' as answer from documents""")
+def f09(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.array_repeat(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)), (F.col("n_chars") % 7).cast("int")).alias("bboxes"),
+        F.lit("./i.png").alias("image_path"))
+    return convert.bboxes_to_erniekit(d).select("doc_id", F.col("text_info")[1]["text"].alias("answer"))
+
+
+@query("F10_absolutize_images", """select line_no, '/data/set/img/' || line_no || '.png' as url from v_jsonl_ek
+where json_valid(line) and json_type(line, '$.image_info') = 'ARRAY' and json_array_length(line, '$.image_info') > 0""",
+       views=("v_jsonl_ek",))
+def f10(spark, sf):
+    v = v_jsonl_ek(spark, sf)
+    e = v.select("line_no", F.from_json("line", "image_info array<struct<image_url:string,matched_text_index:int>>").alias("r")) \
+         .select("line_no", "r.image_info").where(F.size("image_info") > 0)
+    a = convert.absolutize_images(e, "/data/set")
+    return a.select("line_no", F.col("image_info")[0]["image_url"].alias("url"))
+
+
+@query("P03_text_length", """select doc_id, length(text)::bigint as tlen from documents where doc_id % 23 <> 0""")
+def p03(spark, sf):
+    p = clean.parse_lines(v_jsonl_chat(spark, sf)).where("is_object")
+    return p.select(F.col("line_no").alias("doc_id"), profile.text_length_variant(F.col("v")).alias("tlen")).where(
+        F.col("tlen").isNotNull())
+
+
+@query("P05_image_count", """select source, count(*) filter (where n > 0)::bigint as n_with_images, coalesce(sum(n), 0)::bigint as image_count
+from (select d.source, case when json_valid(v.line) then (case when json_type(v.line, '$.image_info') = 'ARRAY'
+  then json_array_length(v.line, '$.image_info') else 0 end) end as n
+  from v_jsonl_ek v join documents d on v.line_no = d.doc_id) t where n is not null group by source""", views=("v_jsonl_ek",))
+def p05(spark, sf):
+    v = v_jsonl_ek(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), "source"), "line_no")
+    p = clean.parse_lines(v).where("is_object").select("source", profile.image_count_variant(F.col("v")).alias("n"))
+    return p.groupBy("source").agg(F.count_if(F.col("n") > 0).cast("bigint").alias("n_with_images"),
+                                   F.sum("n").cast("bigint").alias("image_count"))
+
+
+@query("P07_recommendations")
+def p07(spark, sf):
+    p = profile.profile(v_jsonl_chat(spark, sf), by=["source"])
+    return profile.recommendations(p, F.col("json_errors") == 0).select(
+        "source", F.array_join("recommendations", " | ").alias("recommendations"), "quality_score")
+
+
+@query("P08_size_mb")
+def p08(spark, sf):
+    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select(F.col("_metadata.file_size").alias("b")).distinct()
+    return d.select(F.bround(F.col("b") / 1024 / 1024, 2).alias("size_mb"))
+
+
+@query("P10_processing_summary", """with p as (select source, case when min(doc_id) % 3 = 0 then 'failed' when min(doc_id) % 5 = 0 then 'skipped'
+  else 'completed' end as status, count(*) as num_samples, sum(n_chars % 3) as image_count from documents group by source)
+select count(*)::bigint as total, count(*) filter (where status = 'completed')::bigint as completed,
+  count(*) filter (where status = 'failed')::bigint as failed, count(*) filter (where status = 'skipped')::bigint as skipped,
+  coalesce(sum(num_samples) filter (where status = 'completed'), 0)::bigint as total_samples,
+  coalesce(sum(image_count) filter (where status = 'completed'), 0)::bigint as total_images from p""")
+def p10(spark, sf):
+    d = table(spark, sf, "documents")
+    idx = d.groupBy("source").agg(
+        F.when(F.min("doc_id") % 3 == 0, "failed").when(F.min("doc_id") % 5 == 0, "skipped").otherwise("completed").alias("status"),
+        F.count(F.lit(1)).alias("num_samples"), F.sum(F.col("n_chars") % 3).alias("image_count"))
+    return profile.processing_summary(idx).select(*[F.col(c).cast("bigint").alias(c) for c in
+                                                    ["total", "completed", "failed", "skipped", "total_samples", "total_images"]])
+
+
+@query("P11_text_len", """select item_id, length(text)::bigint as text_len from benchmark""")
+def p11(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.char_length("text").cast("bigint").alias("text_len"))
