@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def _load() -> None:
     # importing the modules registers their queries
-    from kiln.plans import corpus, logs, metrics, runs, telemetry, experiments, sampling  # noqa: F401
+    from kiln.plans import corpus, logs, metrics, runs, telemetry, experiments, sampling, sources  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -58,3 +58,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     ensure_conf(spark)
     checkpoint_dir(spark)
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files under the shared checkpoint
+    folder (never a machine-local temp folder on a cluster)."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/kiln-scratch/{name}-{uuid.uuid4().hex[:12]}"

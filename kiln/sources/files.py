@@ -40,11 +40,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark.read.format("text").load(path))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Training logs as ``(log_id, line_no, line)``; log_id = file name
-    without extension."""
+def read_logs(spark: SparkSession, path: str, id_pattern: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
+    """Training logs as ``(log_id, line_no, line)``; log_id = group 1 of
+    ``id_pattern`` on the file path (default: file name without extension)."""
     x = read_lines(spark, path)
-    return x.select(F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"), "line_no", "line")
+    return x.select(F.regexp_extract("file", id_pattern, 1).alias("log_id"), "line_no", "line")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
