@@ -259,7 +259,7 @@ def log_trend(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line:
 
 
 TB_ERROR_RE = r"(?U)^(\w+(?:Error|Exception)):\s*(.+)$"
-TB_FRAME_RE = r'File "([^"]+)", line (\d+), in (\S+)'
+TB_FRAME_RE = r'^File "([^"]+)", line (\d+), in (\S+)'
 
 
 def traceback_summary(lines: DataFrame, tb: str = "log_id", pos: str = "line_no", line: str = "line",
@@ -296,6 +296,42 @@ def traceback_summary(lines: DataFrame, tb: str = "log_id", pos: str = "line_no"
                       F.coalesce(F.transform("_fr", lambda e: e["f"]), F.array().cast("array<string>")).alias("key_frames"))
 
 
+def summarize_log(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
+                  max_chars: int = 500_000, edge_chars: int = 50_000, max_lines: int = 200) -> DataFrame:
+    """A log under ``max_chars`` is used whole; a longer one keeps its
+    first and last ``edge_chars`` characters (cut mid-line, as a byte read
+    does) around a "...[file truncated]..." line; the result goes through
+    the skeleton (L11). Character offsets are exact running sums per log
+    (``prefix_sum``: bucketed, never one task per log)."""
+    from kiln.functions.ranking import prefix_sum
+    from kiln.session import checkpoint_dir
+    checkpoint_dir(lines.sparkSession)
+    x = prefix_sum(lines.withColumn("_len", F.char_length(line) + 1), "_len", pos, by=[log], out="_end")
+    # the offsets feed four branches below: materialise them once (reliable
+    # checkpoint in the shared checkpoint folder) instead of recomputing
+    x = x.checkpoint(eager=True)
+    x = x.withColumn("_start", F.col("_end") - F.col("_len"))
+    tot = x.groupBy(log).agg(F.max("_end").alias("_tot"), F.max(pos).alias("_last"))
+    x = x.join(tot, log)
+    big = F.col("_tot") >= max_chars
+    tail_from = F.col("_tot") - edge_chars
+    in_head = F.col("_start") < edge_chars
+    in_tail = F.col("_end") > tail_from
+    head_txt = F.when(F.col("_end") > edge_chars, F.substring(line, 1, F.lit(edge_chars) - F.col("_start"))).otherwise(F.col(line))
+    tail_txt = F.when(F.col("_start") < tail_from, F.expr(f"substring({line}, cast(_tot - {edge_chars} - _start + 1 as int))")
+                      ).otherwise(F.col(line))
+    small = x.where(~big).select(log, F.col(pos).alias(pos), F.col(line))
+    h = x.where(big & in_head)
+    nh = h.groupBy(log).agg(F.count(F.lit(1)).alias("_nh"))
+    first_tail = x.where(big & in_tail).groupBy(log).agg(F.min(pos).alias("_ft"))
+    head = h.select(log, F.col(pos), head_txt.alias(line))
+    marker = nh.select(log, (F.col("_nh") + 1).alias(pos), F.lit("...[file truncated]...").alias(line))
+    tail = (x.where(big & in_tail).join(nh, log).join(first_tail, log)
+             .select(log, (F.col("_nh") + 2 + F.col(pos) - F.col("_ft")).alias(pos), tail_txt.alias(line)))
+    cut = small.unionByName(head).unionByName(marker).unionByName(tail)
+    return skeleton(cut, max_lines, log, pos, line)
+
+
 def stderr_tail(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
                 tb_lines: int = 15, plain_lines: int = 10) -> DataFrame:
     """From the last line containing "Traceback", its last ``tb_lines``

@@ -304,3 +304,79 @@ def e30(spark, sf):
                                F.struct(F.col("value").alias("value"), F.col("factor").alias("name")).alias("factor"))
                       .alias("metrics"))
     return E.flatten_metrics(nested, "metrics")
+
+
+# ------------------------------------------------------------ single-metric views of E06 and trend parts
+
+def _eff(spark, sf):
+    hist, ev, times = _histories(spark, sf)
+    return E.efficiency(hist, ev, times)
+
+
+def _one(col):
+    def run(spark, sf):
+        return _eff(spark, sf).select("experiment_id", col)
+    return run
+
+
+for _id, _col in [("E01_best_step", "best_step"), ("E02_loss_reduction_rate", "loss_reduction_rate"),
+                  ("E03_overfitting_gap", "overfitting_gap"), ("E04_time_per_step", "training_time_per_step"),
+                  ("E05_convergence_speed", "convergence_speed")]:
+    from kiln.plans.catalog import _ORACLE as _O
+    query(_id, f"select experiment_id, {_col} from (\n{_O['E06_efficiency']}\n) t")(_one(_col))
+
+
+@query("E15_convergence_check", f"""with {_VALID},
+r as (select *, row_number() over (partition by factor order by seq) as rk, count(*) over (partition by factor) as nn from valid),
+a as (select factor, count(*) as n, min(final_loss) filter (where rk <= nn // 2) as fh,
+             min(final_loss) filter (where rk > nn // 2) as sh from r group by factor)
+select factor, n >= 4 and fh > 0 and (fh - sh) / fh < 0.05 as converged from a""", views=("v_experiments",))
+def e15(spark, sf):
+    x = _exps(spark, sf)
+    v = x.where((F.col("status") == "completed") & F.col("final_loss").isNotNull() & ~F.isnan("final_loss"))
+    from kiln.functions.ranking import ordered_rank
+    r = ordered_rank(v, "seq", by=["factor"], count_col="_n")
+    a = r.groupBy("factor").agg(F.count(F.lit(1)).alias("n"),
+                                F.min(F.when(F.col("rank") <= F.floor(F.col("_n") / 2), F.col("final_loss"))).alias("fh"),
+                                F.min(F.when(F.col("rank") > F.floor(F.col("_n") / 2), F.col("final_loss"))).alias("sh"))
+    return a.select("factor", ((F.col("n") >= 4) & (F.col("fh") > 0) & ((F.col("fh") - F.col("sh")) / F.col("fh") < 0.05))
+                    .alias("converged"))
+
+
+@query("E16_narrow_values")
+def e16(spark, sf):
+    x = _exps(spark, sf).where("status = 'completed'")
+    agg = x.groupBy("factor").agg(F.min_by("value", F.struct("final_loss", "seq")).alias("best"))
+    nb = x.join(agg, "factor").groupBy("factor", "best").agg(
+        F.max(F.when(F.col("value") < F.col("best"), F.col("value"))).alias("left"),
+        F.min(F.when(F.col("value") > F.col("best"), F.col("value"))).alias("right"))
+    f = _factors(spark)
+    j = nb.join(f, "factor")
+    return j.select("factor", E.narrow_values(F.col("best"), F.coalesce("left", "min_value"), F.coalesce("right", "max_value"),
+                                             F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
+                    .alias("next_values"))
+
+
+@query("E17_expand_values")
+def e17(spark, sf):
+    x = _exps(spark, sf).groupBy("factor").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    j = x.join(_factors(spark).withColumn("max_value", F.lit(30.0)), "factor")
+    args = (F.col("vmin"), F.col("vmax"), F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
+    return j.select("factor", E.expand_values(*args, "up").alias("up"), E.expand_values(*args, "down").alias("down"))
+
+
+@query("E23_loss_trend_label", """with x as (select log_id, line_no,
+  try_cast(nullif(regexp_extract(line, '(?i)loss[:\\s]+(\\d+\\.?\\d*)', 1), '') as double) as loss from v_log)
+select log_id, case when arg_max(loss, line_no) filter (where loss is not null) < arg_min(loss, line_no) filter (where loss is not null)
+  then 'decreasing' else 'increasing' end as loss_trend from x group by log_id having count(loss) > 0""", views=("v_log",))
+def e23(spark, sf):
+    return L.log_trend(v_log(spark, sf)).where(F.col("loss_trend").isNotNull()).select("log_id", "loss_trend")
+
+
+@query("E26_heatmap_outliers", f"""with {_ML},
+g as (select experiment_id, key, coalesce(value, 0.0) as value from ml where key in ('text_recognition.ned', 'training.final_loss')),
+st as (select avg(value) as mu, stddev_pop(value) as sd from g)
+select experiment_id, key from g, st where abs(value - mu) > sd""", views=("v_experiments",))
+def e26(spark, sf):
+    h = E.heatmap(_metrics_long(spark, sf), ["text_recognition.ned", "training.final_loss"])
+    return h.where("outlier").select("experiment_id", "key")

@@ -209,3 +209,73 @@ def l18(spark, sf):
     exits = (v.select("log_id").distinct()
               .select("log_id", F.when(F.substring("log_id", 5, 20).cast("bigint") % 3 == 0, 0).otherwise(1).alias("exit_code")))
     return L.run_status(fm, exits).select("log_id", "status")
+
+
+@query("L02_eval_kv", f"""with {_PARSE},
+e as (select p.log_id, p.line_no, unnest(list_transform(range(1, len(m2.kv) + 1), lambda i: {{'k': m2.kv[i].k, 'v': m2.kv[i].v, 'i': i}})) as e
+      from parsed p join m2 on p.log_id = m2.log_id and p.line_no = m2.line_no)
+select log_id, line_no, 'eval_' || e.k as key, arg_max(e.v, e.i) as value from e where e.k not in ('loss', 'ppl')
+group by log_id, line_no, e.k""", views=("v_log",))
+def l02(spark, sf):
+    return _parsed(spark, sf).select("log_id", "line_no", F.explode("extra").alias("key", "value"))
+
+
+@query("L03_nan_loss", f"""with {_PARSE}
+select log_id, line_no from parsed where has_nan""", views=("v_log",))
+def l03(spark, sf):
+    return _parsed(spark, sf).where("has_nan").select("log_id", "line_no")
+
+
+@query("L12_summarize_log")
+def l12(spark, sf):
+    from kiln.plans.views import table
+    d = table(spark, sf, "documents")
+    # each source's documents as one long log, one line per document paragraph
+    lines = d.select(F.col("source").alias("log_id"), "doc_id",
+                     F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    from pyspark.sql import Window
+    lines = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("log_id").orderBy("doc_id", "k")))
+    return L.summarize_log(lines.select("log_id", "line_no", "line"), max_chars=50_000, edge_chars=5_000, max_lines=40)
+
+
+def v_tracebacks(spark, sf):
+    from kiln.plans.views import table
+    e = table(spark, sf, "events")
+    eid = F.col("event_id").cast("string")
+    line = (F.when(F.col("event_type") == "error", F.lit("Traceback (most recent call last):"))
+             .when(F.col("event_type") == "click", F.concat(F.lit('  File "/app/train.py", line '),
+                                                             (F.col("event_id") % 500).cast("string"), F.lit(", in step_"),
+                                                             (F.col("user_id") % 7).cast("string")))
+             .when(F.col("event_type") == "view", F.concat(F.lit("ValueError: bad value "), eid))
+             .when(F.col("event_type") == "purchase", F.concat(F.lit("RuntimeError: retry "), eid))
+             .otherwise(F.concat(F.lit("output "), eid)))
+    from pyspark.sql import Window
+    return e.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("log_id"),
+                    F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("line_no"), line.alias("line"))
+
+
+@query("L14_traceback_summary", f"""with t as (select concat('run-', cast(user_id as varchar)) as log_id,
+  row_number() over (partition by user_id order by event_id) as line_no,
+  case event_type when 'error' then 'Traceback (most recent call last):'
+    when 'click' then '  File "/app/train.py", line ' || (event_id % 500) || ', in step_' || (user_id % 7)
+    when 'view' then 'ValueError: bad value ' || event_id when 'purchase' then 'RuntimeError: retry ' || event_id
+    else 'output ' || event_id end as line from events),
+s as (select log_id, line_no, {duck_strip('line')} as s from t),
+x as (select *, regexp_matches(s, '^(\\w+(?:Error|Exception)):\\s*(.+)$') as is_err from s
+      where not (starts_with(s, 'Traceback') or starts_with(s, '...'))),
+f as (select *, row_number() over (partition by log_id order by line_no desc) as r from x
+      where not is_err and regexp_matches(s, '^File "([^"]+)", line (\\d+), in (\\S+)')),
+st as (select log_id, max(case when r = 3 then line_no end) as stop,
+  string_agg(regexp_extract(s, '^File "([^"]+)", line (\\d+), in (\\S+)', 3) || ' (' || regexp_extract(s, '^File "([^"]+)", line (\\d+), in (\\S+)', 1)
+             || ':' || regexp_extract(s, '^File "([^"]+)", line (\\d+), in (\\S+)', 2) || ')', ' -> ' order by r) as frames,
+  arg_max(regexp_extract(s, '^File "([^"]+)", line (\\d+), in (\\S+)', 2), r) as ln from f where r <= 3 group by log_id),
+er as (select x.log_id, arg_min(regexp_extract(x.s, '^(\\w+(?:Error|Exception)):\\s*(.+)$', 1), x.line_no) as et,
+  arg_min(regexp_extract(x.s, '^(\\w+(?:Error|Exception)):\\s*(.+)$', 2), x.line_no) as em
+  from x left join st on x.log_id = st.log_id where x.is_err and (st.stop is null or x.line_no > st.stop) group by x.log_id),
+ids as (select distinct log_id from t)
+select ids.log_id, coalesce(et, 'UnknownError') as error_type, coalesce(em, '') as message, coalesce(ln, '') as line,
+  coalesce(frames, '') as key_frames
+from ids left join st on ids.log_id = st.log_id left join er on ids.log_id = er.log_id""")
+def l14(spark, sf):
+    t = L.traceback_summary(v_tracebacks(spark, sf))
+    return t.select("log_id", "error_type", "message", "line", F.array_join("key_frames", " -> ").alias("key_frames"))

@@ -153,3 +153,20 @@ def t17(spark, sf):
                      F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("line_no"),
                      F.col("props").alias("line"))
     return T.fit_lines(lines, 40, ["log_id"]).select("log_id", "line_no", "tokens")
+
+
+@query("T02_token_edit_distance")
+def t02(spark, sf):
+    from kiln.functions.editdistance import word_edit_distance
+    return spread(v_pairs(spark, sf)).select("doc_id", word_edit_distance("pred", "ref").alias("word_dist"))
+
+
+@query("T11_metrics_bundle")
+def t11(spark, sf):
+    """Per source: text metrics (T07), mean TEDS of its pages (page_id mod
+    20 picks the source), layout mAP passed through (null), rounded as the
+    reference bundle does."""
+    text = T.ocr_metrics(v_pairs(spark, sf).select("source", "pred", "ref"), by=["source"])
+    pages = v_html_pairs(spark, sf).withColumn("source", F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")))
+    tab = T.teds_mean(pages, by=["source"]).select("source", F.bround("teds", 6).alias("teds"))
+    return text.join(tab, "source", "left").withColumn("layout_map", F.lit(None).cast("double"))

@@ -135,3 +135,8 @@ where line_no <= 100 and {duck_strip('line')} <> ''""")
 def m13(spark, sf):
     lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
     return S.head_subset(lines, 100)
+
+
+@query("M09_ratio_sweep")
+def m09(spark, sf):
+    return S.ratio_experiments(_datasets(spark, sf)).where(F.col("kind").startswith("sweep"))

@@ -49,6 +49,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         b = b.master(master)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # local mode runs every task in the driver JVM; cluster mode ignores this
+    b = b.config("spark.driver.memory", os.environ.get("KILN_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in SQL_CONF.items():
