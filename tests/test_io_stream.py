@@ -129,3 +129,16 @@ def test_stream_action_gate_matches_batch(spark, tmpdir_fresh):
     live.run_available(live.actions_stream(stream), "kiln_actions", checkpoint=f"{tmpdir_fresh}/ck3")
     s = sorted((r.ts, r.anomaly) for r in spark.table("kiln_actions").collect())
     assert s == b and len(s) >= 2
+
+
+def test_foreach_batch_notifications(spark, tmpdir_fresh):
+    src = f"{tmpdir_fresh}/logs2"
+    _write(f"{src}/run-c.log", "CUDA out of memory\nall good\nNCCL timeout\n")
+    errs = live.stream_errors_transform(live.stream_logs(spark, src)).select(
+        F.col("error_type").alias("level"), "message")
+    out = f"{tmpdir_fresh}/notify"
+    q = (errs.writeStream.foreachBatch(live.notify_sink(out)).option("checkpointLocation", f"{tmpdir_fresh}/ck4")
+             .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted(r.level for r in spark.read.json(out).collect())
+    assert got == ["NCCL", "OOM"]
