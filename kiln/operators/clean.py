@@ -248,15 +248,13 @@ def validation_summary(lines: DataFrame, fmt: str, line: str = "line", pos: str
     before the stop, ``max_checked``)."""
     errs = validation_errors(lines, fmt, line, pos, max_errors)
     e = errs.agg(F.count(F.lit(1)).alias("n_errors"), F.max("line_no").alias("last_err"))
+    n_errors = e.select("n_errors").scalar()
+    stop = e.select(F.when(F.col("n_errors") >= max_errors, F.col("last_err"))).scalar()
     nb = parse_lines(lines, line).where(~F.col("is_blank")).select(F.col(pos).alias("p"))
-    stop = e.select(F.when(F.col("n_errors") >= max_errors, F.col("last_err")).alias("stop"), "n_errors")
-    counted = nb.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("p") <= F.col("stop")))
-    n = counted.agg(F.count(F.lit(1)).alias("n_lines"))
-    return (F.broadcast(stop).crossJoin(n).select(
-        F.lit(fmt).alias("format"),
-        (F.col("n_errors") == 0).alias("valid"),
-        F.col("n_errors").cast("bigint").alias("n_errors"),
-        F.least(F.col("n_lines"), F.lit(max_checked)).cast("bigint").alias("samples_checked")))
+    n = nb.where(stop.isNull() | (F.col("p") <= stop)).agg(F.count(F.lit(1)).alias("n_lines"))
+    return n.select(F.lit(fmt).alias("format"), (n_errors == 0).alias("valid"),
+                    n_errors.cast("bigint").alias("n_errors"),
+                    F.least(F.col("n_lines"), F.lit(max_checked)).cast("bigint").alias("samples_checked"))
 
 
 # ------------------------------------------------------------- C10 - C15

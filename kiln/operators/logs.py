@@ -212,13 +212,18 @@ def skeleton(lines: DataFrame, max_lines: int = 100, log: str = "log_id", pos: s
     cnt = first.groupBy(log).agg(F.count(F.lit(1)).alias("_m"))
     asc = Window.partitionBy(log).orderBy("_k")
     desc = Window.partitionBy(log).orderBy(F.col("_k").desc())
-    ranked = (first.withColumn("_ra", F.row_number().over(asc)).withColumn("_rd", F.row_number().over(desc))
-                   .join(cnt, log))
-    keep = ranked.where((F.col("_m") <= max_lines) | (F.col("_ra") <= half) | (F.col("_rd") <= half))
-    body = keep.select(log, F.when((F.col("_m") > max_lines) & (F.col("_rd") <= half),
-                                   F.col("_ra") + 1).otherwise(F.col("_ra")).cast("double").alias("seq"), line)
-    marker = cnt.where(F.col("_m") > max_lines).select(log, F.lit(float(half) + 1).alias("seq"),
-                                                       F.lit("...[truncated]...").alias(line))
+    # de-duplicated lists of at most max_lines: all of them, in order
+    fits = (first.join(cnt.where(F.col("_m") <= max_lines), log)
+                 .select(log, F.row_number().over(asc).cast("double").alias("seq"), line))
+    # longer lists: per-log top-k from each end (WindowGroupLimit: each map
+    # task forwards at most ``half`` rows per log)
+    big = cnt.where(F.col("_m") > max_lines)
+    head = (first.withColumn("_r", F.row_number().over(asc)).where(F.col("_r") <= half)
+                 .join(big, log).select(log, F.col("_r").cast("double").alias("seq"), line))
+    tail = (first.withColumn("_r", F.row_number().over(desc)).where(F.col("_r") <= half)
+                 .join(big, log).select(log, (F.col("_m") - F.col("_r") + 2).cast("double").alias("seq"), line))
+    body = fits.unionByName(head).unionByName(tail)
+    marker = big.select(log, F.lit(float(half) + 1).alias("seq"), F.lit("...[truncated]...").alias(line))
     return short.unionByName(body).unionByName(marker)
 
 

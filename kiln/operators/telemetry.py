@@ -70,10 +70,13 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
     check; any other poll reaching it resets the count).
 
     The low-utilisation count is gaps-and-islands over each run's polls:
-    count = low polls so far - low polls at the last reset."""
+    count = low polls so far - low polls at the last reset, both exact
+    running aggregates over time buckets (``prefix_sum``); polls of a run
+    are assumed to have distinct timestamps."""
+    from kiln.functions.ranking import prefix_sum
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    start = F.min(t).over(Window.partitionBy(run))
-    grace = t - start < grace_s
+    starts = snaps.groupBy(run).agg(F.min(t).alias("_start"))
+    grace = t - F.col("_start") < grace_s
     mem_i = _first_index(F.coalesce(F.col("gpu_mem_used_pct"), F.array().cast("array<double>")), lambda v: v > 95)
     tmp_i = _first_index(F.coalesce(F.col("gpu_temp"), F.array().cast("array<double>")), lambda v: v > 90)
     early = (F.when(grace, F.lit("grace"))
@@ -85,18 +88,18 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
               .when(tmp_i.isNotNull(), F.concat(F.lit("thermal_risk_gpu"), tmp_i.cast("string"))))
     util = F.coalesce(F.col("gpu_util"), F.array().cast("array<double>"))
     low = (F.size(util) > 0) & F.forall(util, lambda u: u < 5.0)
-    x = snaps.withColumn("_early", early).withColumn("_reach", F.col("_early").isNull()) \
-             .withColumn("_low", F.col("_reach") & low)
-    w = Window.partitionBy(run).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_cum_low", F.sum(F.col("_low").cast("int")).over(w))
-    x = x.withColumn("_base", F.coalesce(F.max(F.when(F.col("_reach") & ~F.col("_low"), F.col("_cum_low"))).over(w),
-                                         F.lit(0)))
+    x = snaps.join(starts, run).withColumn("_early", early).withColumn("_reach", F.col("_early").isNull()) \
+             .withColumn("_low", F.col("_reach") & low).withColumn("_t", t).drop("_start")
+    # running counts per run, bucketed (a run's polls are never sorted in one task)
+    x = prefix_sum(x.withColumn("_li", F.col("_low").cast("int")), "_li", "_t", by=[run], out="_cum_low")
+    x = x.withColumn("_rv", F.when(F.col("_reach") & ~F.col("_low"), F.col("_cum_low")))
+    x = prefix_sum(x, "_rv", "_t", by=[run], out="_base", op="max").withColumn("_base", F.coalesce("_base", F.lit(0)))
     counter = F.col("_cum_low") - F.col("_base")
     anomaly = (F.when(F.col("_early") == "grace", F.lit(None).cast("string"))
                 .when(F.col("_early").isNotNull(), F.col("_early"))
                 .when(F.col("_low") & (counter > low_util_polls), "low_gpu_utilization"))
     return x.withColumn("low_util_count", F.when(F.col("_reach"), counter)).withColumn("anomaly", anomaly) \
-            .drop("_early", "_reach", "_low", "_cum_low", "_base")
+            .drop("_early", "_reach", "_low", "_cum_low", "_base", "_li", "_rv", "_t")
 
 
 def hang_from_logs(lines: DataFrame, log: str = "log_id", ts: str = "ts", hang_s: float = 300.0) -> DataFrame:
