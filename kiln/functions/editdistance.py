@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 # pairs with len(a) * len(b) above this go to the bit-parallel path
 LONG_PAIR_CELLS = 250_000
@@ -120,3 +120,35 @@ def token_edit_distance(xs, ys) -> Column:
     xs = F.col(xs) if isinstance(xs, str) else xs
     ys = F.col(ys) if isinstance(ys, str) else ys
     return _tok_udf(xs, ys)
+
+
+@F.pandas_udf(StructType([StructField("dist", LongType()), StructField("wdist", LongType())]))
+def _pair_udf(a: pd.Series, b: pd.Series, long_pair: pd.Series) -> pd.DataFrame:
+    """Character distance (long pairs only; short ones are left null for the
+    JVM built-in) and word distance of each pair, one Python pass per batch."""
+    d = np.zeros(len(a), dtype=np.int64)
+    w = np.zeros(len(a), dtype=np.int64)
+    dn = np.ones(len(a), dtype=bool)
+    wn = np.zeros(len(a), dtype=bool)
+    for i, (x, y, lp) in enumerate(zip(a, b, long_pair)):
+        if x is None or y is None:
+            wn[i] = True
+            continue
+        if lp:
+            d[i] = levenshtein_bits(x, y)
+            dn[i] = False
+        w[i] = token_levenshtein(x.split(), y.split())
+    return pd.DataFrame({"dist": pd.Series(d).astype("Int64").mask(dn),
+                         "wdist": pd.Series(w).astype("Int64").mask(wn)})
+
+
+def pair_edit_distances(a, b) -> Column:
+    """``struct<dist, wdist>``: exact character and word Levenshtein of a pair
+    in one Arrow pass (character distance via the JVM built-in for short
+    pairs, the bit-parallel kernel for long ones)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    long_pair = F.char_length(a).cast("bigint") * F.char_length(b).cast("bigint") > LONG_PAIR_CELLS
+    r = _pair_udf(a, b, long_pair)
+    return F.struct(F.coalesce(F.when(~long_pair, F.levenshtein(a, b)), r["dist"]).alias("dist"),
+                    r["wdist"].alias("wdist"))

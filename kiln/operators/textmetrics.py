@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.functions.editdistance import edit_distance, token_edit_distance, word_edit_distance
+from kiln.functions.editdistance import edit_distance, pair_edit_distances, token_edit_distance, word_edit_distance
 from kiln.functions.parallel import spread
 from kiln.functions.text import usplit
 
@@ -19,10 +19,14 @@ def pair_distances(pairs: DataFrame, pred: str = "pred", ref: str = "ref", metho
     """Per pair: ``dist`` (characters), ``max_len``, ``ref_len``, word
     distance ``wdist`` (0 when both sides have no words), ``ref_words``, ``exact``."""
     x = spread(pairs)
-    return (x.withColumn("dist", edit_distance(pred, ref, method))
-             .withColumn("max_len", F.greatest(F.char_length(pred), F.char_length(ref)))
+    if method == "auto":
+        x = x.withColumn("_d", pair_edit_distances(pred, ref))
+        x = x.withColumn("dist", F.col("_d.dist")).withColumn("wdist", F.col("_d.wdist").cast("bigint")).drop("_d")
+    else:
+        x = (x.withColumn("dist", edit_distance(pred, ref, method))
+              .withColumn("wdist", word_edit_distance(pred, ref).cast("bigint")))
+    return (x.withColumn("max_len", F.greatest(F.char_length(pred), F.char_length(ref)))
              .withColumn("ref_len", F.char_length(ref))
-             .withColumn("wdist", word_edit_distance(pred, ref).cast("bigint"))
              .withColumn("ref_words", F.size(usplit(F.col(ref))))
              .withColumn("exact", F.col(pred) == F.col(ref)))
 
