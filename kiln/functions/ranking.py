@@ -50,25 +50,35 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
+def order_buckets(df: DataFrame, order: str, by: list[str] | None = None, buckets: int = 64,
+                  out: str = "_b") -> DataFrame:
+    """Adds ``out``: the approximate-quantile bucket of ``order`` within
+    ``by`` (monotone in ``order``), reusable by several ``prefix_sum`` calls."""
+    by = by or []
+    x = df.withColumn("_ok", F.col(order).cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, 1000).alias("_bounds"))
+    x = x.join(bounds, by) if by else x.withColumn("_bounds", bounds.select("_bounds").scalar())
+    return x.withColumn(out, F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds", "_ok")
+
+
 def prefix_sum(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "prefix",
-               buckets: int = 64, op: str = "sum") -> DataFrame:
+               buckets: int = 64, op: str = "sum", bucket: str | None = None) -> DataFrame:
     """Inclusive running sum (``op="max"``: running maximum) of ``value`` in
     ``order`` within ``by`` groups, exact, with the same bucketing as
     ``ordered_rank``: bucket totals give offsets over a small table, the
-    running aggregate runs inside each bucket."""
+    running aggregate runs inside each bucket. ``bucket`` names a column
+    from ``order_buckets`` to reuse instead of computing new buckets."""
+    by = by or []
     agg = F.sum if op == "sum" else F.max
     combine = (lambda a, b: a + b) if op == "sum" else (lambda a, b: F.greatest(a, b))
-    by = by or []
-    x = df.withColumn("_ok", F.col(order).cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, 1000).alias("_bounds"))
-    x = x.join(bounds, by) if by else x.withColumn("_bounds", bounds.select("_bounds").scalar())
-    x = x.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
-    tot = x.groupBy(*by, "_b").agg(agg(value).alias("_t"))
+    x = df if bucket else order_buckets(df, order, by, buckets)
+    b = bucket or "_b"
+    tot = x.groupBy(*by, b).agg(agg(value).alias("_t"))
     off = tot.withColumn("_off", agg("_t").over(
-        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
-    run = agg(value).over(Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    run = agg(value).over(Window.partitionBy(*by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     res = F.when(F.col("_off").isNull(), F.col("_run")).when(F.col("_run").isNull(), F.col("_off")) \
            .otherwise(combine(F.col("_off"), F.col("_run")))
-    return (x.withColumn("_run", run).join(off, [*by, "_b"])
-             .withColumn(out, res).drop("_ok", "_b", "_run", "_off"))
+    x = x.withColumn("_run", run).join(off, [*by, b]).withColumn(out, res).drop("_run", "_off")
+    return x if bucket else x.drop(b)

@@ -73,7 +73,7 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
     count = low polls so far - low polls at the last reset, both exact
     running aggregates over time buckets (``prefix_sum``); polls of a run
     are assumed to have distinct timestamps."""
-    from kiln.functions.ranking import prefix_sum
+    from kiln.functions.ranking import order_buckets, prefix_sum
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     starts = snaps.groupBy(run).agg(F.min(t).alias("_start"))
     grace = t - F.col("_start") < grace_s
@@ -91,9 +91,11 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
     x = snaps.join(starts, run).withColumn("_early", early).withColumn("_reach", F.col("_early").isNull()) \
              .withColumn("_low", F.col("_reach") & low).withColumn("_t", t).drop("_start")
     # running counts per run, bucketed (a run's polls are never sorted in one task)
-    x = prefix_sum(x.withColumn("_li", F.col("_low").cast("int")), "_li", "_t", by=[run], out="_cum_low")
+    x = order_buckets(x.withColumn("_li", F.col("_low").cast("int")), "_t", [run], out="_tb")
+    x = prefix_sum(x, "_li", "_t", by=[run], out="_cum_low", bucket="_tb")
     x = x.withColumn("_rv", F.when(F.col("_reach") & ~F.col("_low"), F.col("_cum_low")))
-    x = prefix_sum(x, "_rv", "_t", by=[run], out="_base", op="max").withColumn("_base", F.coalesce("_base", F.lit(0)))
+    x = prefix_sum(x, "_rv", "_t", by=[run], out="_base", op="max", bucket="_tb") \
+        .withColumn("_base", F.coalesce("_base", F.lit(0))).drop("_tb")
     counter = F.col("_cum_low") - F.col("_base")
     anomaly = (F.when(F.col("_early") == "grace", F.lit(None).cast("string"))
                 .when(F.col("_early").isNotNull(), F.col("_early"))
