@@ -82,3 +82,19 @@ def prefix_sum(df: DataFrame, value: str, order: str, by: list[str] | None = Non
            .otherwise(combine(F.col("_off"), F.col("_run")))
     x = x.withColumn("_run", run).join(off, [*by, b]).withColumn(out, res).drop("_run", "_off")
     return x if bucket else x.drop(b)
+
+
+def bucketed_lag(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "prev",
+                 buckets: int = 64) -> DataFrame:
+    """``lag(value)`` in ``order`` within ``by`` for a non-decreasing
+    ``value`` (e.g. the order column itself): the previous row inside the
+    bucket, or for a bucket's first row the largest value of the buckets
+    before it (a running max over the small bucket table)."""
+    by = by or []
+    x = order_buckets(df, order, by, buckets, out="_lb")
+    mx = x.groupBy(*by, "_lb").agg(F.max(value).alias("_m"))
+    prev_b = mx.withColumn("_pb", F.max("_m").over(
+        Window.partitionBy(*by).orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    lag = F.lag(value).over(Window.partitionBy(*by, "_lb").orderBy(order))
+    return (x.withColumn("_l", lag).join(prev_b, [*by, "_lb"])
+             .withColumn(out, F.coalesce(F.col("_l"), F.col("_pb"))).drop("_l", "_pb", "_lb"))

@@ -105,12 +105,13 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
 
 
 def hang_from_logs(lines: DataFrame, log: str = "log_id", ts: str = "ts", hang_s: float = 300.0) -> DataFrame:
-    """H07 (batch): gaps in a log's output longer than ``hang_s`` seconds
-    (``lag`` over each log's line timestamps)."""
-    w = Window.partitionBy(log).orderBy(ts)
-    t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    x = lines.withColumn("gap_s", t - F.lag(t).over(w))
-    return x.where(F.col("gap_s") > hang_s)
+    """H07 (batch): gaps in a log's output longer than ``hang_s`` seconds:
+    each line's time minus the previous line's (a bucketed ``lag``, so one
+    huge log is not sorted in one task)."""
+    from kiln.functions.ranking import bucketed_lag
+    x = lines.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    x = bucketed_lag(x, "_t", "_t", [log], out="_prev")
+    return x.withColumn("gap_s", F.col("_t") - F.col("_prev")).where(F.col("gap_s") > hang_s).drop("_t", "_prev")
 
 
 ACTION_SCHEMA = "run_id string, ts timestamp, anomaly string, count long"

@@ -18,13 +18,13 @@ def _histories(spark, sf):
     """Per log: train history (step rows, missing loss 0.0) and eval points
     (rows with an eval loss), each numbered from 0 in line order; run time
     = span of the user's event timestamps."""
+    from kiln.functions.ranking import ordered_rank
     m = L.parse_metrics(v_log(spark, sf))
-    w = Window.partitionBy("log_id").orderBy("line_no")  # one training run's history
-    hist = (m.where(F.col("step").isNotNull())
-             .select(F.col("log_id").alias("experiment_id"), (F.row_number().over(w) - 1).alias("idx"), "step",
-                     F.coalesce("loss", F.lit(0.0)).alias("train_loss")))
-    ev = (m.where(F.col("eval_loss").isNotNull())
-           .select(F.col("log_id").alias("experiment_id"), (F.row_number().over(w) - 1).alias("eidx"), "eval_loss"))
+    hist = (ordered_rank(m.where(F.col("step").isNotNull()), "line_no", by=["log_id"], rank_col="_r")
+            .select(F.col("log_id").alias("experiment_id"), (F.col("_r") - 1).alias("idx"), "step",
+                    F.coalesce("loss", F.lit(0.0)).alias("train_loss")))
+    ev = (ordered_rank(m.where(F.col("eval_loss").isNotNull()), "line_no", by=["log_id"], rank_col="_r")
+          .select(F.col("log_id").alias("experiment_id"), (F.col("_r") - 1).alias("eidx"), "eval_loss"))
     e = table(spark, sf, "events")
     times = e.groupBy(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("experiment_id")).agg(
         (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).cast("double")
