@@ -317,7 +317,12 @@ def c07(spark, sf):
     return clean.validation_errors(v_jsonl_ek(spark, sf), "erniekit", pos="line_no")
 
 
-@query("C08_validate_messages")
+@query("C08_validate_messages", """
+select line_no, 0 as k, 'Line ' || line_no || ': ' || case when not json_valid(line) then 'Invalid JSON'
+  when not json_exists(line, '$.messages') then 'Missing ''messages'' field' else '''messages'' must be a list' end as error
+from v_jsonl_chat
+where case when json_valid(line) then not json_exists(line, '$.messages') or json_type(line, '$.messages') <> 'ARRAY' else true end""",
+       views=("v_jsonl_chat",))
 def c08(spark, sf):
     return clean.validation_errors(v_jsonl_chat(spark, sf), "messages", pos="line_no", max_errors=1 << 30)
 

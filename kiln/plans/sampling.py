@@ -87,7 +87,35 @@ def m07(spark, sf):
     return v.select(F.explode(z).alias("z")).select("z.dataset", "z.ratio")
 
 
-@query("M08_leave_one_out")
+_EQ = """d as (select source as dataset from documents group by source),
+v as (select list(dataset order by dataset) as names, count(*)::int as k from d),
+e as (select names, k, list_transform(range(k), lambda j: case when j < k - 1 then 1.0 / k
+        else 1.0 - coalesce(list_reduce(list_transform(range(k - 1), lambda q: 1.0 / k), lambda a, b: a + b), 0.0) end) as eq from v)"""
+
+
+def _sweep_sql():
+    rows = []
+    for top, grid in ((2, S.SWEEP_TOP2), (3, S.SWEEP_TOP3)):
+        for g in grid:
+            rows.append(f"({top}, [{', '.join(repr(float(x)) for x in g)}]::double[])")
+    return f"""with d as (select source as dataset from documents group by source),
+v as (select list(dataset order by dataset) as names, count(*) as k from d),
+g as (select * from (values {', '.join(rows)}) t(top, c)),
+f as (select top, list_concat(c[1:len(c) - 1], [1.0 - list_reduce(c[1:len(c) - 1], lambda a, b: a + b)]) as c from g),
+x as (select 'ratio-b3-top' || top || '-' || array_to_string(list_transform(c, lambda r: cast(floor(r * 100) as bigint)), '-') as id,
+             'sweep_top' || top as kind, names[1:top] as nm, c from f, v where k >= top)
+select id, kind, unnest(range(len(c))) as pos, unnest(nm) as dataset, unnest(c) as ratio from x"""
+
+
+@query("M08_leave_one_out", f"""with {_EQ},
+x as (select names, k, eq, unnest(range(k)) as i from e),
+r as (select names, k, i, list_filter(eq, lambda val, idx: idx - 1 <> i) as rem from x),
+t as (select *, list_reduce(rem, lambda a, b: a + b) as tot from r),
+n as (select *, list_transform(rem, lambda val: val / tot) as ren0 from t),
+f as (select *, list_concat(ren0[1:len(ren0) - 1],
+        [1.0 - coalesce(case when len(ren0) > 1 then list_reduce(ren0[1:len(ren0) - 1], lambda a, b: a + b) end, 0.0)]) as ren from n),
+fl as (select names, i, list_concat(ren[1:i], [0.0], ren[i + 1:]) as ratios from f)
+select names[i + 1] as excluded, unnest(names) as dataset, unnest(ratios) as ratio from fl""")
 def m08(spark, sf):
     v = S.dataset_vector(_datasets(spark, sf))
     loo = v.select("names", F.explode(S.leave_one_out_col(S.equal_ratios_col(F.size("names")))).alias("l"))
@@ -125,7 +153,25 @@ def m11(spark, sf):
     return S.mix_by_ratio(docs, "doc_id", "source", ratios, total, seed=42).select("doc_id", "source", "copy")
 
 
-@query("M12_ratio_experiments")
+def _experiments_sql():
+    sweep = (_sweep_sql().split("\nselect id, kind,")[0].replace("with d as", "d2 as", 1).replace("from d)", "from d2)")
+             .replace("\nx as (select 'ratio-b3", "\nsx as (select 'ratio-b3"))
+    return f"""with {_EQ},
+x as (select names, k, eq, unnest(range(k)) as i from e),
+r as (select names, k, i, list_filter(eq, lambda val, idx: idx - 1 <> i) as rem from x),
+t as (select *, list_reduce(rem, lambda a, b: a + b) as tot from r),
+n as (select *, list_transform(rem, lambda val: val / tot) as ren0 from t),
+f0 as (select *, list_concat(ren0[1:len(ren0) - 1],
+        [1.0 - coalesce(case when len(ren0) > 1 then list_reduce(ren0[1:len(ren0) - 1], lambda a, b: a + b) end, 0.0)]) as ren from n),
+fl as (select names, i, list_concat(ren[1:i], [0.0], ren[i + 1:]) as ratios from f0),
+loo as (select 'ratio-b2-no-' || names[i + 1] as id, list_filter(list_zip(names, ratios), lambda z: z[2] > 0) as z from fl),
+{sweep.replace("v as (", "v2 as (").replace("from f, v where", "from f, v2 where").replace("from d2)", "from d2)")}
+select 'ratio-b1-baseline' as id, 'baseline' as kind, unnest(range(k)) as pos, unnest(names) as dataset, unnest(eq) as ratio from e
+union all select id, 'leave_one_out', unnest(range(len(z))), unnest(list_transform(z, lambda q: q[1])), unnest(list_transform(z, lambda q: q[2])) from loo
+union all select id, kind, unnest(range(len(c))), unnest(nm), unnest(c) from sx"""
+
+
+@query("M12_ratio_experiments", _experiments_sql())
 def m12(spark, sf):
     return S.ratio_experiments(_datasets(spark, sf))
 
@@ -137,6 +183,6 @@ def m13(spark, sf):
     return S.head_subset(lines, 100)
 
 
-@query("M09_ratio_sweep")
+@query("M09_ratio_sweep", _sweep_sql())
 def m09(spark, sf):
     return S.ratio_experiments(_datasets(spark, sf)).where(F.col("kind").startswith("sweep"))
