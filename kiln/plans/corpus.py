@@ -489,7 +489,14 @@ def p05(spark, sf):
                                    F.sum("n").cast("bigint").alias("image_count"))
 
 
-@query("P07_recommendations")
+@query("P07_recommendations",
+       "select source, array_to_string(list_filter(["
+       f"case when json_errors > 0 then '{profile.REC_INVALID}' end, "
+       f"case when num_samples < {profile.SMALL_DATASET} then '{profile.REC_SMALL}' end, "
+       f"case when coalesce(len_avg, 0) > {profile.LONG_AVG_TEXT} then '{profile.REC_LONG}' end], "
+       "lambda r: r is not null), ' | ') as recommendations, "
+       "case when json_errors = 0 then 1.0 else 0.5 end as quality_score from (\n"
+       + _catalog._ORACLE["P09_profile_by_source"] + "\n) p")
 def p07(spark, sf):
     p = profile.profile(v_jsonl_chat(spark, sf), by=["source"])
     return profile.recommendations(p, F.col("json_errors") == 0).select(

@@ -196,7 +196,17 @@ def r18(spark, sf):
     return R.phases_by_status(R.phase_state(v_phase_events(spark, sf), v_runs(spark, sf)))
 
 
-@query("R19_results")
+def _r19_sql():
+    from kiln.plans.catalog import _ORACLE as O
+    return f"""select f.*, case when coalesce(f.final_step, 0) > 0 and (coalesce(f.max_steps, 0) <= 0
+    or f.final_step >= f.max_steps * 0.9) then 'completed' else 'failed' end as status,
+  coalesce(e.n, 0)::bigint as n_errors, coalesce(h.n, 0)::bigint as history_len
+from ({O['L06_final_metrics']}) f
+left join (select log_id, count(*) as n from ({O['L07_error_summary']}) x group by log_id) e on f.log_id = e.log_id
+left join (select log_id, count(*) as n from ({O['L08_history']}) y group by log_id) h on f.log_id = h.log_id"""
+
+
+@query("R19_results", _r19_sql())
 def r19(spark, sf):
     v = v_log(spark, sf)
     fm = L.final_metrics(v)
