@@ -186,12 +186,21 @@ def e18(spark, sf):
     return E.ablation_plan(f)
 
 
-@query("E19_factor_grid")
+@query("E19_factor_grid", """with f as (select factor, list(distinct factor_value order by factor_value) as vals
+  from v_experiments group by factor),
+u as (select factor, unnest(vals) as v from f),
+g as (select * from (select v as click from u where factor = 'click'), (select v as error from u where factor = 'error'),
+  (select v as purchase from u where factor = 'purchase'), (select v as signup from u where factor = 'signup'),
+  (select v as view from u where factor = 'view'))
+select 'click=' || click || ',error=' || error || ',purchase=' || purchase || ',signup=' || signup || ',view=' || view as config
+from g""", views=("v_experiments",))
 def e19(spark, sf):
     f = (_exps(spark, sf).groupBy("factor")
          .agg(F.min("seq").alias("factor_order"), F.array_sort(F.collect_set("value")).alias("values")))
-    f = f.withColumn("values", F.slice("values", 1, 3))
-    return E.factor_grid(f)
+    g = E.factor_grid(f)
+    kv = F.array_sort(F.map_entries("config"))
+    return g.select(F.array_join(F.transform(kv, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+                    .alias("config"))
 
 
 @query("E20_untested_factors", """with a as (select unnest(['learning_rate', 'lora_rank', 'per_device_train_batch_size',
@@ -295,7 +304,10 @@ def e29(spark, sf):
                                ["text_recognition.ned", "text_recognition.cer", "table_recognition.teds"])
 
 
-@query("E30_flatten_metrics")
+@query("E30_flatten_metrics", """select * from (select id as experiment_id,
+  unnest(['training.final_loss', 'training.eval_loss', 'factor.value']) as key,
+  unnest([final_loss, eval_loss, factor_value]) as value from v_experiments) t where value is not null""",
+       views=("v_experiments",))
 def e30(spark, sf):
     x = _exps(spark, sf)
     nested = x.select(F.col("id").alias("experiment_id"),
