@@ -64,60 +64,73 @@ def text_length_typed(df: DataFrame) -> Column:
     return F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
-def length_stats(df: DataFrame, length: str, by: list[str] | None = None) -> DataFrame:
-    """Min, max, avg (half-even to an integer), p50 = sorted[n div 2],
-    p95 = sorted[int(n * 0.95)] when n > 20 else max; rows with a null length
-    are ignored. Exact, via a histogram of lengths (see module doc)."""
-    by = by or []
-    hist = (df.where(F.col(length).isNotNull())
-              .groupBy(*by, F.col(length).alias("len")).agg(F.count(F.lit(1)).alias("cnt")))
+def _stats_from_hist(hist: DataFrame, by: list[str], cnt: str = "cnt", extra: list[Column] | None = None) -> DataFrame:
+    """Nearest-rank stats from a (by, len, cnt) histogram (see
+    ``length_stats``) plus ``extra`` aggregates over the same rows, in one
+    aggregation (so the histogram is computed once)."""
+    valid = F.col("len").isNotNull() & (F.col(cnt) > 0)
+    c = F.when(valid, F.col(cnt)).otherwise(F.lit(0))
     w = Window.partitionBy(*by).orderBy("len")
-    hist = (hist.withColumn("cum", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("n", F.sum("cnt").over(Window.partitionBy(*by))))
+    h = (hist.withColumn("_c", c)
+             .withColumn("cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("n", F.sum("_c").over(Window.partitionBy(*by))))
     i50 = F.floor(F.col("n") / 2)
     i95 = F.when(F.col("n") > 20, F.floor(F.col("n").cast("double") * F.lit(0.95).cast("double"))) \
            .otherwise(F.col("n") - 1)
-    at = lambda i: F.min(F.when((F.col("cum") - F.col("cnt") <= i) & (i < F.col("cum")), F.col("len")))
-    return hist.groupBy(*by).agg(
+    at = lambda i: F.min(F.when(valid & (F.col("cum") - F.col("_c") <= i) & (i < F.col("cum")), F.col("len")))
+    return h.groupBy(*by).agg(
+        *(extra or []),
         F.max("n").cast("bigint").alias("n_lengths"),
-        F.min("len").cast("bigint").alias("len_min"),
-        F.max("len").cast("bigint").alias("len_max"),
-        F.bround(F.sum(F.col("len") * F.col("cnt")) / F.max("n"), 0).cast("bigint").alias("len_avg"),
+        F.min(F.when(valid, F.col("len"))).cast("bigint").alias("len_min"),
+        F.max(F.when(valid, F.col("len"))).cast("bigint").alias("len_max"),
+        F.bround(F.sum(F.when(valid, F.col("len") * F.col("_c"))) / F.max("n"), 0).cast("bigint").alias("len_avg"),
         at(i50).cast("bigint").alias("len_p50"),
         at(i95).cast("bigint").alias("len_p95"))
 
 
+def length_stats(df: DataFrame, length: str, by: list[str] | None = None) -> DataFrame:
+    """Min, max, avg (half-even to an integer), p50 = sorted[n div 2],
+    p95 = sorted[int(n * 0.95)] when n > 20 else max; rows with a null length
+    are ignored. Exact, via a histogram of lengths (see module doc)."""
+    by = by or []
+    hist = df.groupBy(*by, F.col(length).alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
+    return _stats_from_hist(hist, by)
+
+
 def profile(lines: DataFrame, line: str = "line", by: list[str] | None = None,
             size_bytes: Column | None = None) -> DataFrame:
     """One row per dataset: num_samples (object lines),
     json_errors (non-blank lines that do not parse), image_count, has_images,
-    text-length stats."""
+    text-length stats.
+
+    One parse, one aggregation: rows are counted per (dataset, text length)
+    with the object, error and image tallies alongside, so the totals and the
+    exact percentiles both come from that small histogram."""
     by = by or []
     p = parse_lines(lines, line)
-    obj = p.where("is_object").select(*by, text_length_variant(F.col("v")).alias("tlen"),
-                                      image_count_variant(F.col("v")).alias("imgs"))
-    counts = p.groupBy(*by).agg(
-        F.count_if(F.col("is_object")).cast("bigint").alias("num_samples"),
-        F.count_if(~F.col("is_blank") & F.col("v").isNull()).cast("bigint").alias("json_errors"))
-    imgs = obj.groupBy(*by).agg(F.coalesce(F.sum("imgs"), F.lit(0)).cast("bigint").alias("image_count"))
-    stats = length_stats(obj, "tlen", by)
-    out = counts.join(imgs, by, "left") if by else counts.crossJoin(imgs)
-    out = out.join(stats, by, "left") if by else out.crossJoin(stats)
-    return out.select(*by, "num_samples", "json_errors",
-                      F.coalesce("image_count", F.lit(0)).cast("bigint").alias("image_count"),
-                      (F.coalesce("image_count", F.lit(0)) > 0).alias("has_images"),
+    obj = F.col("is_object")
+    x = p.select(*by, obj.alias("_obj"), (~F.col("is_blank") & F.col("v").isNull()).alias("_err"),
+                 F.when(obj, text_length_variant(F.col("v"))).alias("len"),
+                 F.when(obj, image_count_variant(F.col("v"))).alias("_imgs"))
+    hist = x.groupBy(*by, "len").agg(F.count_if("_obj").alias("cnt"), F.count_if("_err").alias("_errs"),
+                                     F.sum("_imgs").alias("_imgs"))
+    out = _stats_from_hist(hist, by, extra=[
+        F.sum("cnt").cast("bigint").alias("num_samples"), F.sum("_errs").cast("bigint").alias("json_errors"),
+        F.coalesce(F.sum("_imgs"), F.lit(0)).cast("bigint").alias("image_count")])
+    return out.select(*by, "num_samples", "json_errors", "image_count", (F.col("image_count") > 0).alias("has_images"),
                       "len_min", "len_max", "len_avg", "len_p50", "len_p95")
 
 
 def profile_typed(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """P01-P05 on typed records (one row per record, already parsed)."""
+    """P01-P05 on typed records (one row per record, already parsed), from
+    one (dataset, length) histogram as in ``profile``."""
     by = by or []
-    x = df.select(*by, text_length_typed(df).alias("tlen"),
-                  F.size(F.col("image_info") if "image_info" in df.columns else F.col("images")).alias("imgs"))
-    a = x.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("num_samples"),
-                           F.coalesce(F.sum(F.greatest("imgs", F.lit(0))), F.lit(0)).cast("bigint").alias("image_count"))
-    s = length_stats(x, "tlen", by)
-    out = a.join(s, by, "left") if by else a.crossJoin(s)
+    imgs = F.size(F.col("image_info") if "image_info" in df.columns else F.col("images"))
+    hist = df.groupBy(*by, text_length_typed(df).alias("len")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(F.greatest(imgs, F.lit(0))).alias("_imgs"))
+    out = _stats_from_hist(hist, by, extra=[
+        F.sum("cnt").cast("bigint").alias("num_samples"),
+        F.coalesce(F.sum("_imgs"), F.lit(0)).cast("bigint").alias("image_count")])
     return out.select(*by, "num_samples", "image_count", (F.col("image_count") > 0).alias("has_images"),
                       "len_min", "len_max", "len_avg", "len_p50", "len_p95")
 
