@@ -25,9 +25,45 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kiln`` importable in the Python workers (its Arrow UDFs and
+    pandas functions are pickled by reference): zip the package once per
+    SparkContext into the checkpoint folder and ``addPyFile`` it, as
+    ``--py-files`` would on a cluster."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    from pyarrow import fs
+    base = checkpoint_dir(spark).rstrip("/")
+    uri = base if "://" in base else "file://" + base.replace("file:", "", 1)
+    filesystem, root = fs.FileSystem.from_uri(uri)
+    filesystem.create_dir(f"{root}/kiln-code", recursive=True)
+    target = f"{root}/kiln-code/kiln-{key}.zip"
+    with filesystem.open_output_stream(target) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target if "://" not in base else f"{base}/kiln-code/kiln-{key}.zip")
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
@@ -57,8 +93,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_conf(spark)
     checkpoint_dir(spark)
+    ensure_conf(spark)
     return spark
 
 
