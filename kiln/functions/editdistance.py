@@ -1,5 +1,10 @@
 """Exact Levenshtein distance over code points, bit-parallel.
 
+Preferred path: the JVM functions of ``kiln/jvm`` (same algorithm in Java,
+64-bit words, no Python round trip), registered per session by
+``kiln.functions.jvm``. The Python kernels below are the fallback when the
+jar cannot be loaded.
+
 Spark's built-in ``levenshtein`` is the plain O(n*m) dynamic programme (a
 threshold only stops it early, it does not band it). For whole documents
 (tens of thousands of characters) that dominates a metrics job, so long pairs
@@ -17,6 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from kiln.functions import jvm
+
 # pairs with len(a) * len(b) above this go to the bit-parallel path
 LONG_PAIR_CELLS = 250_000
 
@@ -103,6 +110,8 @@ def edit_distance(a, b, method: str = "auto") -> Column:
         return F.levenshtein(a, b)
     if method == "bits":
         return _lev_udf(a, b)
+    if jvm.available():
+        return F.call_function("kiln_levenshtein", a, b)
     long_pair = F.char_length(a).cast("bigint") * F.char_length(b).cast("bigint") > LONG_PAIR_CELLS
     return F.coalesce(F.when(~long_pair, F.levenshtein(a, b)),
                       _lev_udf(F.when(long_pair, a), F.when(long_pair, b)))
@@ -112,6 +121,8 @@ def word_edit_distance(a, b) -> Column:
     """T05 building block: Levenshtein over whitespace-split words."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
+    if jvm.available():
+        return F.call_function("kiln_word_levenshtein", a, b)
     return _word_udf(a, b)
 
 
@@ -148,6 +159,9 @@ def pair_edit_distances(a, b) -> Column:
     pairs, the bit-parallel kernel for long ones)."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
+    if jvm.available():
+        return F.struct(F.call_function("kiln_levenshtein", a, b).alias("dist"),
+                        F.call_function("kiln_word_levenshtein", a, b).alias("wdist"))
     long_pair = F.char_length(a).cast("bigint") * F.char_length(b).cast("bigint") > LONG_PAIR_CELLS
     r = _pair_udf(a, b, long_pair)
     return F.struct(F.coalesce(F.when(~long_pair, F.levenshtein(a, b)), r["dist"]).alias("dist"),

@@ -26,6 +26,8 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     ship_package(spark)
+    from kiln.functions import jvm
+    jvm.register(spark)
     return spark
 
 

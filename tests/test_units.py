@@ -182,3 +182,17 @@ def test_skeleton_long_log(spark):
     out = [r.line for r in L.skeleton(df, max_lines=10).orderBy("seq").collect()]
     assert out[:5] == ["line 1", "line 2", "line 3", "line 4", "line 5"]
     assert "...[truncated]..." in out and len(out) == 11
+
+
+def test_jvm_kernels_match_python(spark):
+    from kiln.functions import jvm
+    assert jvm.register(spark)
+    rnd = random.Random(11)
+    alpha = "ab cé\U00010000\t　x"
+    rows = [("".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 400))),
+             "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 400)))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a string, b string").selectExpr(
+        "a", "b", "kiln_levenshtein(a, b) as d", "kiln_word_levenshtein(a, b) as w").collect()
+    for r in got:
+        assert r.d == levenshtein_bits(r.a, r.b) == (dp(r.a, r.b) if len(r.a) * len(r.b) < 20000 else r.d)
+        assert r.w == token_levenshtein(r.a.split(), r.b.split())
