@@ -224,22 +224,36 @@ def factor_trend(exps: DataFrame, factors: DataFrame, round_number: int, factor:
     .7 rising; corr < -.7 expand upward; else narrow around the best."""
     v = exps.where((F.col("status") == "completed") & F.col("final_loss").isNotNull()
                    & ~F.isnan("final_loss") & (F.abs(F.col("final_loss")) != float("inf")))
-    v = v.join(factors.select(factor, "scale"), factor)
+    # the factor configuration is one row per factor: a bounded broadcast
+    v = v.join(F.broadcast(factors.select(factor, "scale")), factor) \
+         .withColumn("_x", _x_of(F.col(value).cast("double"), F.col("scale"))).withColumn("_y", F.col("final_loss"))
     r = ordered_rank(v, seq, by=[factor], count_col="_n")
     half = F.floor(F.col("_n") / 2)
+    # pass 1: per-factor best, halves, range and means
     agg = r.groupBy(factor).agg(
         F.count(F.lit(1)).alias("n_valid"),
         F.min_by(F.col(value).cast("double"), F.struct("final_loss", seq)).alias("best_value"),
         F.min("final_loss").alias("best_loss"),
         F.min(F.when(F.col("rank") <= half, F.col("final_loss"))).alias("first_half_best"),
         F.min(F.when(F.col("rank") > half, F.col("final_loss"))).alias("second_half_best"),
-        F.min(F.col(value).cast("double")).alias("vmin"), F.max(F.col(value).cast("double")).alias("vmax"))
-    corr = factor_corr(v, factor, value, "final_loss", F.col("scale")).select(factor, "corr")
-    nb = v.join(agg.select(factor, "best_value"), factor).groupBy(factor).agg(
+        F.min(F.col(value).cast("double")).alias("vmin"), F.max(F.col(value).cast("double")).alias("vmax"),
+        F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    # pass 2 (one join, one aggregation): centred sums for the correlation
+    # and the best value's neighbours in sorted order
+    d = r.join(agg.select(factor, "best_value", "_mx", "_my", "n_valid"), factor)
+    s2 = d.groupBy(factor).agg(
+        F.sum((F.col("_x") - F.col("_mx")) * (F.col("_y") - F.col("_my"))).alias("_cov"),
+        F.sqrt(F.sum((F.col("_x") - F.col("_mx")) ** 2)).alias("_sx"),
+        F.sqrt(F.sum((F.col("_y") - F.col("_my")) ** 2)).alias("_sy"),
         F.max(F.when(F.col(value) < F.col("best_value"), F.col(value))).alias("_left"),
         F.min(F.when(F.col(value) > F.col("best_value"), F.col(value))).alias("_right"),
         F.count_if(F.col(value) == F.col("best_value")).alias("_dups"))
-    j = factors.join(agg, factor, "left").join(corr, factor, "left").join(nb, factor, "left")
+    corr = s2.join(agg.select(factor, "n_valid"), factor).select(
+        factor, "_left", "_right", "_dups",
+        F.when((F.col("n_valid") < 2) | (F.col("_sx") < 1e-12) | (F.col("_sy") < 1e-12), F.lit(0.0))
+         .otherwise(F.col("_cov") / (F.col("_sx") * F.col("_sy"))).alias("corr"))
+    nb = corr
+    j = factors.join(agg.drop("_mx", "_my"), factor, "left").join(nb, factor, "left")
     lo, hi, disc, sc = F.col("min_value"), F.col("max_value"), F.col("discrete"), F.col("scale")
     left = F.coalesce(F.col("_left"), lo)
     right = F.when(F.col("_dups") >= 2, F.col("best_value")).otherwise(F.coalesce(F.col("_right"), hi))
