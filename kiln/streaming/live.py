@@ -128,5 +128,38 @@ def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoin
         raise q.exception()
 
 
-__all__ = ["stream_logs", "stream_errors_transform", "stream_metrics_transform", "latest_metrics_transform",
-           "latest_metrics_stream", "notify_sink", "actions_stream", "run_available", "pd"]
+
+
+# ---------------------------------------------------------------- H07 live
+
+HANG_SCHEMA = "log_id string, last_seen timestamp, silent_s double, anomaly string"
+_HANG_STATE = "last_seen double"
+
+
+def _hang_fn(hang_s: float):
+    def fn(key, pdfs, state: GroupState):
+        (log_id,) = key
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            now = time.time()
+            yield pd.DataFrame({"log_id": [log_id], "last_seen": [pd.Timestamp(round(last * 1e6), unit="us")],
+                                "silent_s": [now - last], "anomaly": ["hang_detected"]})
+            return
+        last = None
+        for pdf in pdfs:
+            if len(pdf):
+                m = pd.to_datetime(pdf["ingest_ts"]).max().timestamp()
+                last = m if last is None else max(last, m)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutDuration(int(hang_s * 1000))
+    return fn
+
+
+def hang_stream(lines: DataFrame, hang_s: float = 300.0) -> DataFrame:
+    """H07 live: one row per log that has produced no line for ``hang_s``
+    seconds (a processing-time timeout per log in ``applyInPandasWithState``;
+    the state is one timestamp per active log and is dropped when it fires)."""
+    return lines.select("log_id", "ingest_ts").groupBy("log_id").applyInPandasWithState(
+        _hang_fn(hang_s), HANG_SCHEMA, _HANG_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -142,3 +142,21 @@ def test_foreach_batch_notifications(spark, tmpdir_fresh):
     q.awaitTermination(120)
     got = sorted(r.level for r in spark.read.json(out).collect())
     assert got == ["NCCL", "OOM"]
+
+
+def test_stream_hang_timeout(spark, tmpdir_fresh):
+    import time as _t
+    src = f"{tmpdir_fresh}/logs3"
+    _write(f"{src}/run-h.log", "global_step: 1, loss: 1.00\n")
+    lines = live.stream_logs(spark, src)
+    q = (live.hang_stream(lines, hang_s=2.0).writeStream.format("memory").queryName("kiln_hang")
+             .outputMode("append").option("checkpointLocation", f"{tmpdir_fresh}/ck5")
+             .trigger(processingTime="1 second").start())
+    try:
+        deadline = _t.time() + 60
+        while _t.time() < deadline and spark.table("kiln_hang").count() == 0:
+            _t.sleep(1)
+    finally:
+        q.stop()
+    rows = spark.table("kiln_hang").collect()
+    assert [(r.log_id, r.anomaly) for r in rows] == [("run-h", "hang_detected")] and rows[0].silent_s >= 2.0
