@@ -92,10 +92,10 @@ def csv_qa_to_erniekit(df: DataFrame, keep: list[str] | None = None) -> DataFram
 
 def conversion_stats(src: DataFrame, converted: DataFrame) -> DataFrame:
     """one row ``converted, skipped`` from input and output row counts
-    (two counts, no join)."""
-    a = src.agg(F.count(F.lit(1)).alias("n_in"))
-    b = converted.agg(F.count(F.lit(1)).alias("converted"))
-    return a.crossJoin(b).select("converted", (F.col("n_in") - F.col("converted")).alias("skipped"))
+    (two counts; the output count attaches as a scalar subquery)."""
+    n_out = converted.agg(F.count(F.lit(1))).scalar()
+    return src.agg(F.count(F.lit(1)).alias("n_in")).select(
+        n_out.alias("converted"), (F.col("n_in") - n_out).alias("skipped"))
 
 
 def _qa(question: Column, answer: Column, image: Column) -> Column:

@@ -381,6 +381,13 @@ def bars(metrics_long: DataFrame, exp: str = "experiment_id", best: str = "max")
     return metrics_long.join(e, "key").withColumn("is_best", F.col("value") == F.col("_best")).drop("_best")
 
 
+def loss_bars(exps: DataFrame, loss: str = "final_loss") -> DataFrame:
+    """One bar per experiment, the lowest loss flagged (the minimum is a
+    scalar subquery)."""
+    best = exps.select(F.min(loss)).scalar()
+    return exps.withColumn("is_best", F.col(loss) == best)
+
+
 def available_metrics(metrics_long: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that at least one experiment has (non-null)."""
     return (metrics_long.where(F.col("key").isin(*keys) & F.col("value").isNotNull())

@@ -145,7 +145,7 @@ def field_coverage(lines: DataFrame, line: str = "line", by: list[str] | None =
     n = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     k = (p.select(*by, F.explode(F.array_distinct(F.json_object_keys(F.col("s")))).alias("key"))
           .groupBy(*by, "key").agg(F.count(F.lit(1)).alias("rows_with_key")))
-    j = k.join(n, by) if by else k.crossJoin(n)
+    j = k.join(n, by) if by else k.withColumn("n", n.select("n").scalar())
     return j.select(*by, "key", F.col("rows_with_key").cast("bigint").alias("rows_with_key"),
                     F.bround(F.col("rows_with_key") / F.col("n"), 2).alias("coverage"))
 

@@ -291,9 +291,8 @@ def e27(spark, sf):
 select id, final_loss, final_loss = min(final_loss) over () as is_best from v_experiments where status = 'completed'""",
        views=("v_experiments",))
 def e28(spark, sf):
-    x = _exps(spark, sf).where(F.col("status") == "completed").select("id", F.lit("loss").alias("key"),
-                                                                     F.col("final_loss").alias("value"))
-    return E.bars(x, best="min").select("id", F.col("value").alias("final_loss"), "is_best")
+    x = _exps(spark, sf).where(F.col("status") == "completed")
+    return E.loss_bars(x).select("id", "final_loss", "is_best")
 
 
 @query("E29_available_metrics", f"""with {_ML}
