@@ -163,3 +163,43 @@ def hang_stream(lines: DataFrame, hang_s: float = 300.0) -> DataFrame:
     the state is one timestamp per active log and is dropped when it fires)."""
     return lines.select("log_id", "ingest_ts").groupBy("log_id").applyInPandasWithState(
         _hang_fn(hang_s), HANG_SCHEMA, _HANG_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+# ---------------------------------------------------------------- H11 with retirement
+
+LATEST_SCHEMA = "log_id string, step long, loss double, eval_loss double, lr double, throughput double"
+_LATEST_STATE = ("step long, loss double, eval_loss double, lr double, throughput double, "
+                 "ts double, block long, pos long")
+_FIELDS = ["step", "loss", "eval_loss", "lr", "throughput"]
+
+
+def _latest_fn(retire_s: float):
+    def fn(key, pdfs, state: GroupState):
+        (log_id,) = key
+        if state.hasTimedOut:
+            state.remove()  # the log went quiet: retire its state, emit nothing
+            return
+        best = state.get if state.exists else None
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            pdf = pdf.assign(_t=pd.to_datetime(pdf["ingest_ts"]).map(lambda x: x.timestamp()))
+            last = pdf.sort_values(["_t", "block", "pos"]).iloc[-1]
+            cand = tuple(None if pd.isna(last[f]) else last[f] for f in _FIELDS) + (
+                float(last["_t"]), int(last["block"]), int(last["pos"]))
+            if best is None or cand[5:] >= tuple(best[5:]):
+                best = cand
+        if best is not None:
+            state.update(best)
+            state.setTimeoutDuration(int(retire_s * 1000))
+            yield pd.DataFrame([[log_id, *best[:5]]], columns=["log_id", *_FIELDS])
+    return fn
+
+
+def latest_metrics_stream_retiring(lines: DataFrame, retire_after_s: float = 3600.0) -> DataFrame:
+    """H11 live with bounded state: the latest metric line per log as an
+    update stream; a log silent for ``retire_after_s`` seconds (processing
+    time) has its state removed, so state holds active logs only."""
+    m = L.parse_metrics(lines).select("log_id", *_FIELDS, "ingest_ts", "block", "pos")
+    return m.groupBy("log_id").applyInPandasWithState(
+        _latest_fn(retire_after_s), LATEST_SCHEMA, _LATEST_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

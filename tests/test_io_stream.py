@@ -160,3 +160,26 @@ def test_stream_hang_timeout(spark, tmpdir_fresh):
         q.stop()
     rows = spark.table("kiln_hang").collect()
     assert [(r.log_id, r.anomaly) for r in rows] == [("run-h", "hang_detected")] and rows[0].silent_s >= 2.0
+
+
+def test_stream_latest_metrics_retiring(spark, tmpdir_fresh):
+    src = f"{tmpdir_fresh}/logs4"
+    _write(f"{src}/run-a.log", "global_step: 1, loss: 2.00\nglobal_step: 2, loss: 1.50\n")
+    _write(f"{src}/run-b.log", "global_step: 5, loss: 0.50\nx ERROR y\n")
+    import time as _t
+    lines = live.stream_logs(spark, src)
+    # processing-time timeouts keep an availableNow query alive: drive it with a
+    # processing-time trigger and stop once both logs have reported
+    q = (live.latest_metrics_stream_retiring(lines, 600).writeStream.format("memory").queryName("kiln_latest2")
+             .outputMode("update").option("checkpointLocation", f"{tmpdir_fresh}/ck6")
+             .trigger(processingTime="1 second").start())
+    try:
+        deadline = _t.time() + 60
+        while _t.time() < deadline and spark.table("kiln_latest2").select("log_id").distinct().count() < 2:
+            _t.sleep(1)
+    finally:
+        q.stop()
+    got = {}
+    for r in spark.table("kiln_latest2").collect():
+        got[r.log_id] = (r.step, r.loss)
+    assert got == {"run-a": (2, 1.5), "run-b": (5, 0.5)}
