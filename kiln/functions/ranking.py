@@ -16,17 +16,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def global_buckets(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 64, hi: int = 16384) -> int:
+    """Quantile buckets for an ungrouped order: about ``target_bytes`` of
+    input per bucket from Catalyst's size estimate (no job), clamped."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: the default
+        return lo
+    return int(max(lo, min(hi, size // target_bytes)))
+
+
 def ordered_rank(df: DataFrame, order: str, tiebreak: list[str] | None = None, by: list[str] | None = None,
-                 desc: bool = False, buckets: int = 64, rank_col: str = "rank",
+                 desc: bool = False, buckets: int | None = None, rank_col: str = "rank",
                  count_col: str | None = None) -> DataFrame:
     """Adds ``rank_col`` (1-based ``row_number`` order within ``by``) by
-    ``order`` (non-null numeric; ``desc`` for descending) then ``tiebreak``."""
+    ``order`` (non-null numeric; ``desc`` for descending) then ``tiebreak``.
+    ``buckets`` None: 64 per group, or sized from the input for a global
+    order (``global_buckets``)."""
     by = by or []
     tiebreak = tiebreak or []
+    if buckets is None:
+        buckets = 64 if by else global_buckets(df)
     key = (-F.col(order)) if desc else F.col(order)
     x = df.withColumn("_ok", key.cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, 1000).alias("_bounds"))
+    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, max(1000, 10 * buckets)).alias("_bounds"))
     if by:
         # one row of boundaries per group: small, joined on the group keys
         x = x.join(bounds, by)
