@@ -274,13 +274,19 @@ def missing_images(recs: DataFrame, images: DataFrame, base_dir: str, pos: str =
                    limit: int = 20) -> DataFrame:
     """Relative image references with no file under ``base_dir``;
     ``images`` is a path listing (``list_images``). Left anti join, then the
-    first ``limit`` by line (an ordered top-k)."""
+    lines in order up to and including the one at which ``limit`` missing
+    references are reached (only the first ``limit`` such lines can matter,
+    so an ordered top-k bounds the work)."""
     refs = image_refs(recs, pos).withColumn(
         "path", F.concat(F.lit(base_dir.rstrip("/") + "/"), F.substring("url", 3, 1 << 30)))
     have = images.select(F.regexp_replace("path", "^file:", "").alias("path"))
     miss = refs.join(have, "path", "left_anti")
-    return (miss.orderBy("line_no", "url").limit(limit)
-                .select("line_no", "url", F.format_string("Line %d: %s", F.col("line_no"), F.col("url")).alias("missing")))
+    per_line = miss.groupBy("line_no").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    top = per_line.orderBy("line_no").limit(limit)
+    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumn("_before", F.coalesce(F.sum(F.size("urls")).over(w), F.lit(0)))
+    return (top.where(F.col("_before") < limit).select("line_no", F.explode("urls").alias("url"))
+               .select("line_no", "url", F.format_string("Line %d: %s", F.col("line_no"), F.col("url")).alias("missing")))
 
 
 def image_drop(recs: DataFrame, source_has_images: bool | Column, pos: str = "pos",
