@@ -57,3 +57,19 @@ def test_importance_cases(spark):
     v = {x.dataset: x.verdict for x in E.dataset_importance(loo2, 1.0).collect()}
     assert v["ds2"] == "noise"
     assert math.isclose(1.0 - 0.95, 0.05)
+
+
+def test_queue_and_phase_cleanup_cases(spark):
+    from kiln.operators import runs as R
+    exps = spark.createDataFrame([("e1", "r", 1, "ablation_hyper", "completed"), ("e2", "r", 2, "ablation_hyper", "completed"),
+                                  ("e3", "r", 3, "ablation_ratio", "pending"), ("e4", "r", 4, "ablation_ratio", "pending")],
+                                 "id string, run_id string, seq long, phase string, status string")
+    q = {r.phase: r for r in R.queue_status(exps).collect()}
+    assert q[None].total == 4 and q[None].completed == 2 and q[None].pending == 2
+    assert q["ablation_hyper"].completed == 2 and q["ablation_ratio"].total == 2
+    assert R.next_pending(exps).collect()[0].id == "e3"
+    ck = spark.createDataFrame([("r", "e1", "/c/e1/checkpoint-500", 500, 0.1), ("r", "e3", "/c/e3/checkpoint-500", 500, 0.2)],
+                               "run_id string, experiment_id string, path string, step long, loss double")
+    drop = [r.experiment_id for r in R.phase_checkpoints_to_drop(ck, exps, phase="ablation_hyper").collect()]
+    assert drop == ["e1"]
+    assert R.phase_checkpoints_to_drop(ck, exps.withColumn("status", F.lit("failed"))).count() == 0
