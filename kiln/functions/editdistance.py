@@ -130,6 +130,8 @@ def token_edit_distance(xs, ys) -> Column:
     """Levenshtein over token arrays (``array<string>`` columns)."""
     xs = F.col(xs) if isinstance(xs, str) else xs
     ys = F.col(ys) if isinstance(ys, str) else ys
+    if jvm.available():
+        return F.call_function("kiln_token_levenshtein", xs, ys)
     return _tok_udf(xs, ys)
 
 

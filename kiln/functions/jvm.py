@@ -10,7 +10,8 @@ import os
 from pyspark.sql import SparkSession
 
 JAR = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "jvm", "kiln-udfs.jar")
-FUNCTIONS = {"kiln_levenshtein": "kiln.udf.BitLevenshtein", "kiln_word_levenshtein": "kiln.udf.WordLevenshtein"}
+FUNCTIONS = {"kiln_levenshtein": "kiln.udf.BitLevenshtein", "kiln_word_levenshtein": "kiln.udf.WordLevenshtein",
+             "kiln_token_levenshtein": "kiln.udf.TokenLevenshtein"}
 _READY: dict[str, bool] = {}
 
 
