@@ -226,7 +226,39 @@ def l03(spark, sf):
     return _parsed(spark, sf).where("has_nan").select("log_id", "line_no")
 
 
-@query("L12_summarize_log")
+def _skeleton_sql(src: str, max_lines: int, edge: int = 5) -> str:
+    """DuckDB form of ``skeleton`` over a CTE ``src`` (log_id, line_no, line)."""
+    half = max_lines // 2
+    return f"""sn as (select log_id, count(*) as n, max(line_no) as last from {src} group by log_id),
+sx as (select v.*, sn.n, sn.last from {src} v join sn using (log_id)),
+sshort as (select log_id, line_no::double as seq, line from sx where n <= {max_lines}),
+sc as (select log_id, line, line_no, case when line_no <= {edge} then 0 when regexp_matches(line, '{duck_re(L.KEY_LINE_RE)}') then 1
+        when line_no > last - {edge} then 2 end as seg from sx where n > {max_lines}),
+sf as (select log_id, line, min({{'s': seg, 'p': line_no}}) as k from sc where seg is not null group by log_id, line),
+sr as (select *, row_number() over (partition by log_id order by k) as ra, row_number() over (partition by log_id order by k desc) as rd,
+             count(*) over (partition by log_id) as m from sf),
+sbody as (select log_id, (case when m > {max_lines} and rd <= {half} then ra + 1 else ra end)::double as seq, line from sr
+         where m <= {max_lines} or ra <= {half} or rd <= {half}),
+smarker as (select distinct log_id, {half + 1}.0::double as seq, '...[truncated]...' as line from sr where m > {max_lines})
+select * from sshort union all select * from sbody union all select * from smarker"""
+
+
+@query("L12_summarize_log", """with d0 as (select source as log_id, doc_id, string_split(text, chr(10)) as parts from documents),
+d as (select log_id, doc_id, unnest(parts) as line, unnest(range(len(parts))) as k from d0),
+l as (select log_id, row_number() over (partition by log_id order by doc_id, k) as line_no, line from d),
+o as (select *, sum(length(line) + 1) over (partition by log_id order by line_no rows between unbounded preceding and current row) as e from l),
+x as (select *, e - (length(line) + 1) as st, max(e) over (partition by log_id) as tot from o),
+small as (select log_id, line_no, line from x where tot < 50000),
+h as (select * from x where tot >= 50000 and st < 5000),
+nh as (select log_id, count(*) as nh from h group by log_id),
+ft as (select log_id, min(line_no) as ft from x where tot >= 50000 and e > tot - 5000 group by log_id),
+head as (select log_id, line_no, case when e > 5000 then substring(line, 1, (5000 - st)::int) else line end as line from h),
+marker as (select log_id, nh + 1 as line_no, '...[file truncated]...' as line from nh),
+tail as (select x.log_id, nh.nh + 2 + x.line_no - ft.ft as line_no,
+               case when x.st < x.tot - 5000 then substring(x.line, (x.tot - 5000 - x.st + 1)::int) else x.line end as line
+         from x join nh on x.log_id = nh.log_id join ft on x.log_id = ft.log_id where x.tot >= 50000 and x.e > x.tot - 5000),
+cut as (select * from small union all select * from head union all select * from marker union all select * from tail),
+""" + _skeleton_sql("cut", 40))
 def l12(spark, sf):
     from kiln.plans.views import table
     d = table(spark, sf, "documents")
