@@ -359,7 +359,9 @@ def c11(spark, sf):
                     F.col("rows_with_images").cast("bigint").alias("rows_with_images"), "dropped")
 
 
-@query("C12_image_columns")
+@query("C12_image_columns", "select table_name as tbl, column_name as col, lower(column_name) in ("
+       + ", ".join(f"'{c}'" for c in clean.PARQUET_IMAGE_COLUMNS)
+       + ") as is_image from information_schema.columns where table_name in ('embeddings', 'pages', 'documents')")
 def c12(spark, sf):
     cols = [(t, c) for t in ("embeddings", "pages", "documents") for c in clean.image_columns(table(spark, sf, t))]
     names = [(t, c) for t in ("embeddings", "pages", "documents") for c in table(spark, sf, t).columns]
