@@ -354,26 +354,97 @@ def e15(spark, sf):
                     .alias("converged"))
 
 
-@query("E16_narrow_values")
+def _valid(spark, sf):
+    x = _exps(spark, sf)
+    return x.where((F.col("status") == "completed") & F.col("final_loss").isNotNull() & ~F.isnan("final_loss")
+                   & (F.abs("final_loss") != float("inf")))
+
+
+_FACTOR_SQL = """fc as (select * from (values ('click', 'log', false), ('view', 'log', false), ('purchase', 'linear', true),
+  ('signup', 'linear', false), ('error', 'linear', false)) t(factor, scale, discrete))"""
+
+
+def _finish_sql(vals: str) -> str:
+    """Clamp to [lo, hi], half-even rounding when discrete, first-wins dedup
+    on 10 decimals, ascending (DuckDB form of ``experiments._finish``)."""
+    c = f"list_transform({vals}, lambda v: case when discrete then round_even(greatest(lo, least(hi, v)), 0) else greatest(lo, least(hi, v)) end)"
+    return (f"list_sort(list_filter({c}, lambda v, i: i = 1 or not list_bool_or(list_transform(list_slice({c}, 1, i - 1), "
+            f"lambda u: round_even(u, 10) = round_even(v, 10)))))")
+
+
+def _flat(df, col):
+    return df.select("factor", F.posexplode(col).alias("pos", "value"))
+
+
+@query("E16_narrow_values", f"""with {_VALID.split(',' + chr(10) + 'sc as')[0]}, {_FACTOR_SQL},
+b as (select factor, arg_min(factor_value, {{'l': final_loss, 's': seq}}) as best from valid group by factor),
+nb as (select v.factor, any_value(b.best) as best, max(case when v.factor_value < b.best then v.factor_value end) as lft,
+              min(case when v.factor_value > b.best then v.factor_value end) as rgt,
+              count(*) filter (where v.factor_value = b.best) as dups from valid v join b using (factor) group by v.factor),
+p as (select nb.*, fc.scale, fc.discrete, 1.0 as lo, 9.0 as hi,
+             coalesce(lft, 1.0) as l, case when dups >= 2 then best else coalesce(rgt, 9.0) end as r from nb join fc using (factor)),
+q as (select *, case when scale = 'log' then
+        [pow(10.0, (log10(greatest(case when l <= 0 then lo else l end, 1e-12)) + log10(greatest(best, 1e-12))) / 2),
+         pow(10.0, log10(greatest(best, 1e-12))),
+         pow(10.0, (log10(greatest(best, 1e-12)) + log10(greatest(r, 1e-12))) / 2)]
+      else [(l + best) / 2, best, (best + r) / 2] end as vals from p),
+o as (select factor, {_finish_sql('vals')} as nv from q)
+select factor, unnest(range(len(nv))) as pos, unnest(nv) as value from o""", views=("v_experiments",))
 def e16(spark, sf):
-    x = _exps(spark, sf).where("status = 'completed'")
-    agg = x.groupBy("factor").agg(F.min_by("value", F.struct("final_loss", "seq")).alias("best"))
-    nb = x.join(agg, "factor").groupBy("factor", "best").agg(
+    v = _valid(spark, sf)
+    agg = v.groupBy("factor").agg(F.min_by("value", F.struct("final_loss", "seq")).alias("best"))
+    nb = v.join(agg, "factor").groupBy("factor", "best").agg(
         F.max(F.when(F.col("value") < F.col("best"), F.col("value"))).alias("left"),
-        F.min(F.when(F.col("value") > F.col("best"), F.col("value"))).alias("right"))
-    f = _factors(spark)
-    j = nb.join(f, "factor")
-    return j.select("factor", E.narrow_values(F.col("best"), F.coalesce("left", "min_value"), F.coalesce("right", "max_value"),
-                                             F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
-                    .alias("next_values"))
+        F.min(F.when(F.col("value") > F.col("best"), F.col("value"))).alias("right"),
+        F.count_if(F.col("value") == F.col("best")).alias("dups"))
+    j = nb.join(F.broadcast(_factors(spark)), "factor")
+    right = F.when(F.col("dups") >= 2, F.col("best")).otherwise(F.coalesce("right", "max_value"))
+    nv = E.narrow_values(F.col("best"), F.coalesce("left", "min_value"), right,
+                         F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
+    return _flat(j.select("factor", nv.alias("nv")), "nv")
+
+
+def _expand_sql(direction: str) -> str:
+    fr = "[0.25, 0.5, 0.75]"
+    lg = lambda v: f"log10(greatest({v}, 1e-12))"
+    if direction == "up":
+        new = f"case when scale = 'log' then least(pow(10.0, {lg('vmax')} + 0.5), hi) else least(vmax + (vmax - vmin), hi) end"
+        logv = f"list_transform({fr}, lambda f: pow(10.0, {lg('vmax')} + ({lg('nw')} - {lg('vmax')}) * f))"
+        linv = f"list_transform({fr}, lambda f: vmax + (nw - vmax) * f)"
+        empty = "nw <= vmax"
+    else:
+        new = f"case when scale = 'log' then greatest(pow(10.0, {lg('vmin')} - 0.5), lo) else greatest(vmin - (vmax - vmin), lo) end"
+        logv = f"list_transform({fr}, lambda f: pow(10.0, {lg('nw')} + ({lg('vmin')} - {lg('nw')}) * f))"
+        linv = f"list_transform({fr}, lambda f: nw + (vmin - nw) * f)"
+        empty = "nw >= vmin"
+    return f"""with {_VALID.split(',' + chr(10) + 'sc as')[0]}, {_FACTOR_SQL},
+a as (select factor, min(factor_value) as vmin, max(factor_value) as vmax from valid group by factor),
+p as (select a.*, fc.scale, fc.discrete, {'1.0' if direction == 'up' else '0.1'} as lo, 30.0 as hi from a join fc using (factor)),
+n as (select *, {new} as nw from p),
+q as (select *, case when {empty} then []::double[] else case when scale = 'log' then {logv} else {linv} end end as vals from n),
+o as (select factor, case when len(vals) = 0 then []::double[] else {_finish_sql('vals')} end as nv from q)
+select factor, unnest(range(len(nv))) as pos, unnest(nv) as value from o"""
+
+
+def _expand(spark, sf, direction):
+    v = _valid(spark, sf)
+    x = v.groupBy("factor").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    f = _factors(spark).withColumn("max_value", F.lit(30.0))
+    if direction == "down":
+        f = f.withColumn("min_value", F.lit(0.1))
+    j = x.join(F.broadcast(f), "factor")
+    args = (F.col("vmin"), F.col("vmax"), F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
+    return _flat(j.select("factor", E.expand_values(*args, direction).alias("nv")), "nv")
 
 
-@query("E17_expand_values")
+@query("E17_expand_values", _expand_sql("up"), views=("v_experiments",))
 def e17(spark, sf):
-    x = _exps(spark, sf).groupBy("factor").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    j = x.join(_factors(spark).withColumn("max_value", F.lit(30.0)), "factor")
-    args = (F.col("vmin"), F.col("vmax"), F.col("scale"), F.col("min_value"), F.col("max_value"), F.col("discrete"))
-    return j.select("factor", E.expand_values(*args, "up").alias("up"), E.expand_values(*args, "down").alias("down"))
+    return _expand(spark, sf, "up")
+
+
+@query("E17_expand_values_down", _expand_sql("down"), views=("v_experiments",))
+def e17d(spark, sf):
+    return _expand(spark, sf, "down")
 
 
 @query("E23_loss_trend_label", """with x as (select log_id, line_no,
