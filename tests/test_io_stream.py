@@ -183,3 +183,27 @@ def test_stream_latest_metrics_retiring(spark, tmpdir_fresh):
     for r in spark.table("kiln_latest2").collect():
         got[r.log_id] = (r.step, r.loss)
     assert got == {"run-a": (2, 1.5), "run-b": (5, 0.5)}
+
+
+def test_readme_flow(spark, tmpdir_fresh):
+    from kiln.operators import clean, logs, profile, sampling
+    for name, n in (("a", 30), ("b", 12)):
+        body = "\n".join(['{"messages":[{"role":"user","content":"q%d"},{"role":"assistant","content":"a"}]}' % (i % 10)
+                          for i in range(n)] + ["", "oops"])
+        _write(f"{tmpdir_fresh}/ds/{name}/train.jsonl", body + "\n")
+    raw = S.read_lines(spark, f"{tmpdir_fresh}/ds/*/train.jsonl")
+    raw = raw.withColumn("dataset", raw.file)
+    st = {r.dataset.split("/")[-2]: r for r in clean.clean_stats(raw, by=["dataset"]).collect()}
+    assert st["a"].input_lines == 32 and st["a"].json_errors == 1 and st["a"].duplicates == 20
+    kept = clean.dedup_exact(raw, pos="line_no", by=["dataset"], drop_empty=True)
+    prof = {r.dataset.split("/")[-2]: r for r in profile.profile(kept, by=["dataset"]).collect()}
+    assert prof["a"].num_samples == 10 and prof["a"].len_min == 3
+    split = sampling.split_exact(kept, ["dataset", "line_no"], 0.9, 0.05, seed=42, by=["dataset"])
+    sinks_dir = f"{tmpdir_fresh}/prepared"
+    K.write_splits(split.drop("md5"), sinks_dir)
+    assert spark.read.json(sinks_dir).count() == 20
+    _write(f"{tmpdir_fresh}/runs/r1.log", "global_step: 1, loss: 2.00\nx ERROR y\nglobal_step: 2, loss: 1.00\n")
+    lines = S.read_logs(spark, f"{tmpdir_fresh}/runs/*.log")
+    fm = logs.final_metrics(lines).collect()[0]
+    assert fm.log_id == "r1" and fm.final_step == 2 and fm.final_loss == 1.0
+    assert [r.error_type for r in logs.error_summary(lines).collect()] == ["ERROR"]
