@@ -196,3 +196,27 @@ def test_jvm_kernels_match_python(spark):
     for r in got:
         assert r.d == levenshtein_bits(r.a, r.b) == (dp(r.a, r.b) if len(r.a) * len(r.b) < 20000 else r.d)
         assert r.w == token_levenshtein(r.a.split(), r.b.split())
+
+
+def test_jvm_banded_kernel_on_similar_strings(spark):
+    """The banded path (few edits, long strings, several 64-bit blocks) and
+    the widening path (many edits) against the plain dynamic programme."""
+    from kiln.functions import jvm
+    assert jvm.register(spark)
+    rnd = random.Random(23)
+    alpha = "abcde é\U00010000"
+    rows = []
+    for _ in range(120):
+        base = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 600)))
+        s = list(base)
+        for _ in range(rnd.randint(0, max(1, len(s) // rnd.choice([4, 15, 60])))):
+            op, i = rnd.random(), rnd.randint(0, max(0, len(s) - 1))
+            if op < 0.33 and s:
+                s.pop(i)
+            elif op < 0.66:
+                s.insert(i, rnd.choice(alpha))
+            elif s:
+                s[i] = rnd.choice(alpha)
+        rows.append((base, "".join(s)))
+    got = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "kiln_levenshtein(a, b) as d").collect()
+    assert all(r.d == dp(r.a, r.b) for r in got)
