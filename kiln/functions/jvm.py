@@ -18,7 +18,10 @@ _READY: dict[str, bool] = {}
 def register(spark: SparkSession) -> bool:
     """Add the jar to the session and register its functions (once per
     application). Returns whether they are available."""
-    key = spark.sparkContext.applicationId
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): Python kernels
+        return False
     if key in _READY:
         return _READY[key]
     ok = False

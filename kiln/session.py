@@ -25,12 +25,38 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-    ship_package(spark)
+    try:
+        ship_package(spark)
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: ship as an artifact instead
+        _ship_artifact(spark)
     from kiln.functions import jvm
     jvm.register(spark)
     return spark
 
 
+def _ship_artifact(spark: SparkSession) -> None:
+    """Spark Connect sessions have no SparkContext: add the package as a
+    Python artifact of the session (client-side zip)."""
+    import io
+    import zipfile
+    try:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _dirs, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        d = tempfile.mkdtemp(prefix="kiln-artifact-")  # client-side staging only
+        path = os.path.join(d, "kiln.zip")
+        with open(path, "wb") as fh:
+            fh.write(buf.getvalue())
+        spark.addArtifacts(path, pyfile=True)
+    except Exception:  # noqa: BLE001 - workers may already import kiln
+        pass
+
+
 _SHIPPED: set[str] = set()
 
 
