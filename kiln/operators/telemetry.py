@@ -148,10 +148,31 @@ def actions(verdicts: DataFrame, run: str = "run_id", ts: str = "ts", min_count:
             cooldown_s: float = 300.0, grace_s: float = 30.0) -> DataFrame:
     """H09 (batch): the polls at which an auto-action fires, per run
     (``applyInPandas``: one run's verdict sequence is a small ordered state
-    machine with a time cooldown, which windows cannot express)."""
-    t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    x = verdicts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("ts"), "anomaly",
-                        (t - F.min(t).over(Window.partitionBy(run)) < grace_s).alias("in_grace"))
+    machine with a time cooldown, which windows cannot express).
+
+    Only polls that can change the state reach pandas: anomalous polls and the
+    first healthy poll after an anomalous one (it clears the counters); a
+    healthy poll after a healthy one, and healthy polls in the start grace,
+    change nothing. "Previous poll anomalous" is found with bucketed running
+    aggregates (never a whole run sorted in one task)."""
+    from kiln.functions.ranking import bucketed_lag, order_buckets, prefix_sum
+    from kiln.session import checkpoint_dir
+    checkpoint_dir(verdicts.sparkSession)
+    # the verdicts feed several bucketed passes: materialise them once in the
+    # checkpoint folder instead of recomputing their lineage per pass
+    v = verdicts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("ts"), "anomaly") \
+                .checkpoint(eager=True)
+    starts = v.groupBy("run_id").agg(F.min(F.unix_micros("ts") / 1e6).alias("_start"))
+    x = (v.join(starts, "run_id")
+          .withColumn("_t", F.unix_micros("ts") / 1e6)
+          .withColumn("in_grace", F.col("_t") - F.col("_start") < grace_s)
+          .where(F.col("anomaly").isNotNull() | ~F.col("in_grace")))
+    x = x.withColumn("_at", F.when(F.col("anomaly").isNotNull(), F.col("_t")))
+    x = order_buckets(x, "_t", ["run_id"], out="_tb")
+    x = prefix_sum(x, "_at", "_t", by=["run_id"], out="_last_a", op="max", bucket="_tb").drop("_tb")
+    x = bucketed_lag(x, "_t", "_t", ["run_id"], out="_prev_t")
+    keep = F.col("anomaly").isNotNull() | (F.col("_last_a").isNotNull() & (F.col("_last_a") == F.col("_prev_t")))
+    x = x.where(keep).select("run_id", "ts", "anomaly", "in_grace")
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         return gate_actions(pdf, min_count, cooldown_s)[0]

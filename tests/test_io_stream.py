@@ -207,3 +207,20 @@ def test_readme_flow(spark, tmpdir_fresh):
     fm = logs.final_metrics(lines).collect()[0]
     assert fm.log_id == "r1" and fm.final_step == 2 and fm.final_loss == 1.0
     assert [r.error_type for r in logs.error_summary(lines).collect()] == ["ERROR"]
+
+
+def test_action_gate_pruning_is_exact(spark):
+    """Feeding only state-changing polls to the gate gives the same actions
+    as running the state machine over every poll of each run."""
+    import pandas as pd
+    from kiln.plans.telemetry import v_snapshots
+    verdicts = H.classify_health(v_snapshots(spark, "/root/testdata/sf0.001"))
+    v = verdicts.select("run_id", "ts", "anomaly").toPandas()
+    exp = set()
+    for _rid, g in v.groupby("run_id"):
+        g = g.sort_values("ts")
+        g = g.assign(in_grace=(g["ts"] - g["ts"].min()).dt.total_seconds() < 30)
+        out, _ = H.gate_actions(g)
+        exp |= {(r.run_id, pd.Timestamp(r.ts), r.anomaly, r.count) for r in out.itertuples()}
+    got = {(r.run_id, pd.Timestamp(r.ts), r.anomaly, r["count"]) for r in H.actions(verdicts).collect()}
+    assert got == exp
