@@ -216,16 +216,21 @@ def _errors_messages(v: Column, is_json: Column) -> Column:
 
 
 def validation_errors(lines: DataFrame, fmt: str, line: str = "line", pos: str = "pos",
-                      max_errors: int = 10) -> DataFrame:
+                      max_errors: int | None = 10) -> DataFrame:
     """The first error lines, up to and including the line at which
-    ``max_errors`` messages are reached. Columns ``line_no, error``.
+    ``max_errors`` messages are reached (``None``: every error). Columns
+    ``line_no, k, error``.
 
     Only the first ``max_errors`` erroneous lines can contribute, so an ordered
-    top-k (no global sort) bounds the work on the driver."""
+    top-k (no global sort) bounds the work; without a limit the errors are a
+    plain distributed projection."""
     p = parse_lines(lines, line).where(~F.col("is_blank"))
     is_json = F.col("v").isNotNull()
     errs = _errors_erniekit(F.col("v"), is_json) if fmt == "erniekit" else _errors_messages(F.col("v"), is_json)
     e = p.select(F.col(pos).alias("line_no"), errs.alias("errs")).where(F.size("errs") > 0)
+    if max_errors is None:
+        return (e.select("line_no", F.posexplode("errs").alias("k", "msg"))
+                 .select("line_no", "k", F.format_string("Line %d: %s", F.col("line_no"), F.col("msg")).alias("error")))
     top = e.orderBy("line_no").limit(max_errors)
     w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     top = top.withColumn("_before", F.coalesce(F.sum(F.size("errs")).over(w), F.lit(0)))

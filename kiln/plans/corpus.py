@@ -324,7 +324,7 @@ from v_jsonl_chat
 where case when json_valid(line) then not json_exists(line, '$.messages') or json_type(line, '$.messages') <> 'ARRAY' else true end""",
        views=("v_jsonl_chat",))
 def c08(spark, sf):
-    return clean.validation_errors(v_jsonl_chat(spark, sf), "messages", pos="line_no", max_errors=1 << 30)
+    return clean.validation_errors(v_jsonl_chat(spark, sf), "messages", pos="line_no", max_errors=None)
 
 
 @query("C09_validation_summary", f"""with {_EK_ERRS},

@@ -220,10 +220,12 @@ def s18(spark, sf):
 @query("S20_read_eval_results", """select count(*)::bigint as experiments from (select distinct user_id from events)""")
 def s20(spark, sf):
     e = table(spark, sf, "events")
-    res = e.groupBy("user_id").agg(F.to_json(F.struct(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("experiment_id"),
-                                                      F.struct(F.collect_list("value").alias("train_loss")).alias("history"))).alias("j"))
+    res = e.groupBy("user_id").agg(F.struct(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("experiment_id"),
+                                            F.struct(F.collect_list("value").alias("train_loss")).alias("history")).alias("r"))
+    # one JSON array of result documents per file (20 files), as a results folder holds them
+    docs = res.groupBy((F.col("user_id") % 20).alias("part")).agg(F.to_json(F.collect_list("r")).alias("j"))
     p = scratch_path(spark, "evals")
-    res.select("user_id", "j").repartition("user_id").write.partitionBy("user_id").mode("overwrite").text(p)
+    docs.repartition("part").write.partitionBy("part").mode("overwrite").text(p)
     r = S.read_eval_results(spark, p)
     return r.agg(F.count(F.lit(1)).cast("bigint").alias("experiments"))
 
