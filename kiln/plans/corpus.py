@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kiln.functions.text import ustrip
 from kiln.operators import clean, convert, profile
 from kiln.plans.catalog import query
 from kiln.plans.views import duck_strip, table, v_jsonl
