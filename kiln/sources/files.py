@@ -238,7 +238,26 @@ def sniff_format(lines: DataFrame, group: str = "file", pos: str = "line_no", li
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Route by suffix (driver-side dispatch, one reader per format)."""
+    """Route by suffix (driver-side dispatch, one reader per format).
+    A directory is read through its data files: the most common data
+    extension in its inventory (a small aggregate) picks the reader, which
+    then reads every such file below the directory."""
+    local = path.replace("file:", "", 1)
+    if "://" not in path and os.path.isdir(local):
+        inv = file_inventory(spark, path).where("is_data")
+        top = inv.groupBy("ext").count().orderBy(F.col("count").desc(), "ext").first()
+        if top is None:
+            return read_lines(spark, path)
+        ext = top["ext"]
+        if ext == ".parquet":
+            return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+        if ext in (".csv", ".tsv"):
+            return read_delimited(spark, f"{path.rstrip('/')}/**/*{ext}", "\t" if ext == ".tsv" else ",")
+        if ext == ".json":
+            return read_json_doc(spark, f"{path.rstrip('/')}/**/*.json")
+        if ext == ".xml":
+            return read_xml(spark, f"{path.rstrip('/')}/**/*.xml")
+        return read_jsonl(spark, f"{path.rstrip('/')}/**/*{ext}")
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".parquet":
         return read_parquet(spark, path)

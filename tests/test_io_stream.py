@@ -224,3 +224,18 @@ def test_action_gate_pruning_is_exact(spark):
         exp |= {(r.run_id, pd.Timestamp(r.ts), r.anomaly, r.count) for r in out.itertuples()}
     got = {(r.run_id, pd.Timestamp(r.ts), r.anomaly, r["count"]) for r in H.actions(verdicts).collect()}
     assert got == exp
+
+
+def test_read_any_directory(spark, tmpdir_fresh):
+    _write(f"{tmpdir_fresh}/d/a/train.jsonl", '{"x":1}\n{"x":2}\n')
+    _write(f"{tmpdir_fresh}/d/b/val.jsonl", '{"x":3}\n')
+    _write(f"{tmpdir_fresh}/d/readme.md", "docs")
+    df = S.read_any(spark, f"{tmpdir_fresh}/d")
+    assert df.count() == 3 and "rec" in df.columns
+
+
+def test_read_any_csv_directory(spark, tmpdir_fresh):
+    _write(f"{tmpdir_fresh}/c/one/x.csv", "question,answer\nq1,a1\n")
+    _write(f"{tmpdir_fresh}/c/two/y.csv", "question,answer\nq2,a2\nq3,a3\n")
+    rows = sorted(r.question for r in S.read_any(spark, f"{tmpdir_fresh}/c").collect())
+    assert rows == ["q1", "q2", "q3"]
