@@ -239,3 +239,20 @@ def test_read_any_csv_directory(spark, tmpdir_fresh):
     _write(f"{tmpdir_fresh}/c/two/y.csv", "question,answer\nq2,a2\nq3,a3\n")
     rows = sorted(r.question for r in S.read_any(spark, f"{tmpdir_fresh}/c").collect())
     assert rows == ["q1", "q2", "q3"]
+
+
+def test_line_numbers_across_splits(spark, tmpdir_fresh):
+    """A file read in many splits still gets exact 1..N line numbers."""
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(1, 2001)]
+    _write(f"{tmpdir_fresh}/big/log.txt", "\n".join(lines) + "\n")
+    _write(f"{tmpdir_fresh}/big/other.txt", "a\nb\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        df = S.read_lines(spark, f"{tmpdir_fresh}/big")
+        assert spark.read.text(f"{tmpdir_fresh}/big/log.txt").rdd.getNumPartitions() > 10
+        got = {(r.file.rsplit("/", 1)[-1], r.line_no): r.line for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [got[("log.txt", i)] for i in range(1, 2001)] == lines
+    assert got[("other.txt", 1)] == "a" and got[("other.txt", 2)] == "b" and len(got) == 2002
