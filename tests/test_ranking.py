@@ -51,3 +51,18 @@ def test_hash_rank_is_a_permutation(spark):
     exp = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit("3"), F.col("seq").cast("string")))).select(
         "seq", F.row_number().over(Window.partitionBy("g").orderBy("_h", "seq")).alias("_rank"))
     assert r.select("seq", "_rank").exceptAll(exp).count() == 0
+
+
+def test_dedup_combines_before_the_shuffle(spark):
+    """A line repeated in a third of all rows is folded map-side: the plan
+    aggregates partially before the exchange and the result is exact."""
+    from kiln.operators import clean
+    rows = [(i, '{"a": "hot"}' if i % 3 == 0 else '{"a": %d}' % i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos long, line string").repartition(8)
+    out = clean.dedup_exact(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and plan.index("partial_min") > plan.index("Exchange")  # partial below the exchange
+    got = {r.line: r.pos for r in out.collect()}
+    assert got['{"a": "hot"}'] == 0 and len(got) == 2001
+    st = clean.clean_stats(df).collect()[0]
+    assert st.duplicates == 999 and st.valid_lines == 2001
