@@ -97,9 +97,8 @@ def length_stats(df: DataFrame, length: str, by: list[str] | None = None) -> Dat
     return _stats_from_hist(hist, by)
 
 
-def profile(lines: DataFrame, line: str = "line", by: list[str] | None = None,
-            size_bytes: Column | None = None) -> DataFrame:
-    """One row per dataset: num_samples (object lines),
+def profile(lines: DataFrame, line: str = "line", by: list[str] | None = None) -> DataFrame:
+    """One row per dataset: num_samples (object lines),
     json_errors (non-blank lines that do not parse), image_count, has_images,
     text-length stats.
 
