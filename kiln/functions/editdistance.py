@@ -29,6 +29,8 @@ LONG_PAIR_CELLS = 250_000
 
 
 def levenshtein_bits(a: str, b: str) -> int:
+    """Exact code-point Levenshtein distance, bit-parallel with Python integers
+    as bit vectors (the fallback kernel)."""
     if len(a) > len(b):
         a, b = b, a
     m = len(a)

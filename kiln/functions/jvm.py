@@ -42,5 +42,6 @@ def register(spark: SparkSession) -> bool:
 
 
 def available() -> bool:
+    """Whether the JVM functions are registered in the active session."""
     spark = SparkSession.getActiveSession()
     return bool(spark) and register(spark)

@@ -149,6 +149,8 @@ _CONVERTERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
 
 
 def register_converter(src: str, dst: str):
+    """Decorator registering ``fn(df) -> df`` as the converter from
+    format ``src`` to ``dst`` (used by ``convert``)."""
     def deco(fn):
         _CONVERTERS[(src, dst)] = fn
         return fn

@@ -102,6 +102,7 @@ def error_type(line: Column) -> Column:
 
 
 def severity_of(etype: Column) -> Column:
+    """fatal for OOM/FATAL, warning for WARNING, else error."""
     return (F.when(etype.isin("OOM", "FATAL"), "fatal").when(etype == "WARNING", "warning")
              .when(etype.isNotNull(), "error"))
 

@@ -74,6 +74,7 @@ TAG_PATTERN = r"(?U)<(/?\w+)[^>]*>"
 
 
 def html_tags(c) -> Column:
+    """Tag names (``/``-prefixed for closing tags) of an HTML string, in order."""
     x = F.col(c) if isinstance(c, str) else c
     return F.regexp_extract_all(x, F.lit(TAG_PATTERN), 1)
 

@@ -22,6 +22,8 @@ SQL_CONF = {
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:
+    """Apply the SQL settings, ship the package to Python workers and register
+    the JVM functions on a session someone else built (idempotent)."""
     for k, v in SQL_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
@@ -109,6 +111,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "kiln") -> SparkSession:
+    """Build (or get) a session with the settings above, UI off, and a
+    checkpoint folder (the cluster's, or a scratch one when none is set)."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
