@@ -220,3 +220,26 @@ def test_jvm_banded_kernel_on_similar_strings(spark):
         rows.append((base, "".join(s)))
     got = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "kiln_levenshtein(a, b) as d").collect()
     assert all(r.d == dp(r.a, r.b) for r in got)
+
+
+def test_infer_schema_and_format_vote(spark):
+    from kiln.operators import clean
+    lines = spark.createDataFrame([
+        (1, '{"a": "x", "b": [1, 2, 3], "c": {"k": 1}}'), (2, "not json"),
+        (3, '{"a": 5, "d": 2.5, "e": [], "f": null, "g": true}'),
+        (4, '{"messages": [{"role": "user", "content": "hi"}]}')], "pos long, line string")
+    sch = {r.key: (r.type, r.example) for r in clean.infer_schema(lines, n=None).collect()}
+    assert sch["a"] == ("str", "x") and sch["b"][0] == "list[int]" and sch["c"][0] == "dict"
+    assert sch["d"][0] == "float" and sch["e"][0] == "list[any]" and sch["f"][0] == "NoneType" and sch["g"][0] == "bool"
+    assert clean.detect_format(lines).collect()[0].format == "messages"
+
+
+def test_csv_qa_and_truncation(spark):
+    from kiln.operators import convert
+    qa = spark.createDataFrame([(" q1 ", "a1", "img.png"), ("  ", "a2", None), ("q3", "", None)],
+                               "question string, answer string, image_path string")
+    out = convert.csv_qa_to_erniekit(qa).collect()
+    assert len(out) == 1 and out[0].text_info[0].text == "q1" and out[0].image_info[0].image_url == "img.png"
+    df = spark.createDataFrame([("x" * 30,)], "t string")
+    r = df.select(T.truncate_tail("t", 5).alias("a"), T.truncate_head("t", 5).alias("b")).collect()[0]
+    assert r.a == "x" * 15 + "\n...[truncated]" and r.b == "...[earlier content truncated]...\n" + "x" * 15
