@@ -243,3 +243,41 @@ def test_csv_qa_and_truncation(spark):
     df = spark.createDataFrame([("x" * 30,)], "t string")
     r = df.select(T.truncate_tail("t", 5).alias("a"), T.truncate_head("t", 5).alias("b")).collect()[0]
     assert r.a == "x" * 15 + "\n...[truncated]" and r.b == "...[earlier content truncated]...\n" + "x" * 15
+
+
+def test_traceback_and_stderr_tail(spark):
+    tb = ["Traceback (most recent call last):", '  File "a.py", line 1, in main', "ValueError: outer",
+          '  File "b.py", line 2, in f', '  File "c.py", line 3, in g', '  File "d.py", line 4, in h',
+          "KeyError: 'x'", "RuntimeError: last"]
+    df = _lines(spark, tb)
+    r = L.traceback_summary(df).collect()[0]
+    # walking back: the 3rd frame from the end is b.py; the earliest error line after it wins
+    assert (r.error_type, r.message) == ("KeyError", "'x'")
+    assert list(r.key_frames) == ["h (d.py:4)", "g (c.py:3)", "f (b.py:2)"] and r.file == "b.py" and r.line == "2"
+    tail = [x.line for x in L.stderr_tail(df).orderBy("line_no").collect()]
+    assert tail == tb  # from the last "Traceback" line, at most 15 lines
+    plain = _lines(spark, [f"l{i}" for i in range(30)])
+    assert [x.line for x in L.stderr_tail(plain).orderBy("line_no").collect()] == [f"l{i}" for i in range(20, 30)]
+
+
+def test_diagnosis_and_status(spark):
+    e = spark.createDataFrame([("CUDA out of memory, loss nan",), ("loss went NaN",), ("NCCL error",),
+                               ("json.decoder.JSONDecodeError",), ("failed to load checkpoint",), ("fatal crash",)], "message string")
+    got = [r.error_type for r in L.diagnose(e).collect()]
+    assert got == ["oom", "nan", "nccl", "data_format", "checkpoint", "unknown"]
+    t1 = [r.error_type for r in L.diagnose_tier1(e).collect()]
+    assert t1 == ["oom", "nan", "nccl", "data_format", None, None]
+    fin = spark.createDataFrame([("a", 95, 100), ("b", 80, 100), ("c", 5, 0), ("d", 0, 0)],
+                                "log_id string, final_step long, max_steps long")
+    ex = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 0)], "log_id string, exit_code int")
+    st = {r.log_id: r.status for r in L.run_status(fin, ex).collect()}
+    assert st == {"a": "completed", "b": "failed", "c": "completed", "d": "completed"}
+
+
+def test_best_per_factor_falsy_loss(spark):
+    ex = spark.createDataFrame([("e1", 1, "lr", 1.0, "completed", 0.9, 0.0), ("e2", 2, "lr", 2.0, "completed", 0.5, None),
+                                ("e3", 3, "lr", 3.0, "completed", 0.7, 0.6), ("e4", 4, "lr", 4.0, "failed", 0.1, 0.1)],
+                               "id string, seq long, factor string, value double, status string, final_loss double, eval_loss double")
+    r = E.best_per_factor(ex).collect()[0]
+    # e1: eval 0.0 falls through to final 0.9; e2: final 0.5 wins; e4 is not completed
+    assert r.best_value == 2.0 and r.best_loss == 0.5
