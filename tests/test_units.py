@@ -281,3 +281,17 @@ def test_best_per_factor_falsy_loss(spark):
     r = E.best_per_factor(ex).collect()[0]
     # e1: eval 0.0 falls through to final 0.9; e2: final 0.5 wins; e4 is not completed
     assert r.best_value == 2.0 and r.best_loss == 0.5
+
+
+def test_mixture_upsamples_and_saturation_nests(spark):
+    df = spark.createDataFrame([("a", i) for i in range(3)] + [("b", 100 + i) for i in range(20)], "ds string, k long")
+    ratios = spark.createDataFrame([("a", 0.7), ("b", 0.3)], "ds string, ratio double")
+    m = S.mix_by_ratio(df, "k", "ds", ratios, total=10, seed=1)
+    c = {r.ds: r["count"] for r in m.groupBy("ds").count().collect()}
+    assert c == {"a": 7, "b": 3}  # a has 3 rows: copies 0..2, quota 7 = 3 + 3 + 1
+    a_keys = [r.k for r in m.where("ds = 'a'").collect()]
+    assert sorted(set(a_keys)) == [0, 1, 2] and max(a_keys.count(k) for k in range(3)) == 3
+    sat = S.saturation(spark.range(100).withColumnRenamed("id", "k"), "k", seed=5)
+    sets = {f: {r.k for r in sat.where(F.col("fraction") == f).collect()} for f in (0.25, 0.5, 0.75, 1.0)}
+    assert [len(sets[f]) for f in (0.25, 0.5, 0.75, 1.0)] == [25, 50, 75, 100]
+    assert sets[0.25] <= sets[0.5] <= sets[0.75] <= sets[1.0]
