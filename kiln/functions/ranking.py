@@ -28,13 +28,30 @@ def global_buckets(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 64, hi
 
 def ordered_rank(df: DataFrame, order: str, tiebreak: list[str] | None = None, by: list[str] | None = None,
                  desc: bool = False, buckets: int | None = None, rank_col: str = "rank",
-                 count_col: str | None = None) -> DataFrame:
+                 count_col: str | None = None, hot_rows: int | None = 1_000_000) -> DataFrame:
     """Adds ``rank_col`` (1-based ``row_number`` order within ``by``) by
     ``order`` (non-null numeric; ``desc`` for descending) then ``tiebreak``.
     ``buckets`` None: 64 per group, or sized from the input for a global
-    order (``global_buckets``)."""
+    order (``global_buckets``).
+
+    With groups, only hot groups (over ``hot_rows`` rows) are bucketed; the
+    others are ranked by a plain per-group window, which their size bounds.
+    The hot-group list holds at most rows / ``hot_rows`` entries and is
+    broadcast. ``hot_rows=None`` buckets every group."""
     by = by or []
     tiebreak = tiebreak or []
+    if by and hot_rows is not None:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
+        hot = F.broadcast(sizes.where(F.col("_gn") > hot_rows).select(*by))
+        key = (-F.col(order)) if desc else F.col(order)
+        w = Window.partitionBy(*by).orderBy(key, *tiebreak)
+        cold = (df.join(hot, by, "left_anti")
+                  .withColumn(rank_col, F.row_number().over(w).cast("bigint")))
+        if count_col:
+            cold = cold.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        warm = ordered_rank(df.join(hot, by, "left_semi"), order, tiebreak, by, desc, buckets, rank_col,
+                            count_col, hot_rows=None)
+        return cold.unionByName(warm)
     if buckets is None:
         buckets = 64 if by else global_buckets(df)
     key = (-F.col(order)) if desc else F.col(order)

@@ -66,3 +66,13 @@ def test_dedup_combines_before_the_shuffle(spark):
     assert got['{"a": "hot"}'] == 0 and len(got) == 2001
     st = clean.clean_stats(df).collect()[0]
     assert st.duplicates == 999 and st.valid_lines == 2001
+
+
+def test_ordered_rank_hot_and_cold_groups(spark):
+    """With a small hot-row threshold the hot group is bucketed and the rest
+    windowed; the union equals the plain window, counts included."""
+    df = _data(spark)
+    got = ordered_rank(df, "v", ["seq"], by=["g"], hot_rows=500, count_col="n").select("seq", "rank", "n")
+    exp = df.select("seq", F.row_number().over(Window.partitionBy("g").orderBy("v", "seq")).alias("rank"),
+                    F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
