@@ -28,16 +28,18 @@ def global_buckets(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 64, hi
 
 def ordered_rank(df: DataFrame, order: str, tiebreak: list[str] | None = None, by: list[str] | None = None,
                  desc: bool = False, buckets: int | None = None, rank_col: str = "rank",
-                 count_col: str | None = None, hot_rows: int | None = 1_000_000) -> DataFrame:
+                 count_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """Adds ``rank_col`` (1-based ``row_number`` order within ``by``) by
     ``order`` (non-null numeric; ``desc`` for descending) then ``tiebreak``.
     ``buckets`` None: 64 per group, or sized from the input for a global
     order (``global_buckets``).
 
-    With groups, only hot groups (over ``hot_rows`` rows) are bucketed; the
-    others are ranked by a plain per-group window, which their size bounds.
-    The hot-group list holds at most rows / ``hot_rows`` entries and is
-    broadcast. ``hot_rows=None`` buckets every group."""
+    Optional ``hot_rows``: only groups over that many rows are bucketed, the
+    others are ranked by a plain per-group window (their size bounds it); the
+    hot-group list holds at most rows / ``hot_rows`` entries and is broadcast.
+    This saves the per-group boundaries when there are very many small
+    groups, at the price of one counting pass and a two-branch plan; the
+    default (None) buckets every group."""
     by = by or []
     tiebreak = tiebreak or []
     if by and hot_rows is not None:
