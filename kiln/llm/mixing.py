@@ -8,11 +8,11 @@ the one row per source.
 
 A source's documents are all taken ``target / size`` times on average: the whole
 part of it each, and the fraction as an inclusion probability. The cube method
-turns the fractions into zeros and ones: three documents at a time move along
-the direction that keeps both the number of documents and their words (the null
+turns the fractions into zeros and ones: a pool of documents moves along a
+direction that keeps both the number of documents and their words (the null
 space of those two totals) until one lands on 0 or 1, the way chosen at random
-so that the probability holds. A run of documents leaves two undecided at most;
-runs hold about 50,000 documents of one source by hash, their leftovers are
+so that the probability holds. The largest documents go first, so that what is
+left at the end is small. A run leaves two undecided at most; runs hold about 50,000 documents of one source by hash, their leftovers are
 gathered into runs again, and the last two of a source land by words alone and
 then by their own probability. Randomness is a hash of seed and document, so
 reruns agree; only ids, sizes and probabilities are shuffled.
@@ -73,9 +73,10 @@ def _uniform(bits: int) -> float:
 
 
 class Run:
-    """The flight of one run: at most three undecided units are held."""
+    """The flight of one run, largest documents first, through a pool of undecided units. The largest one moves
+    along its projection on the null space of the pool's two totals, so that many smaller ones make up for it."""
 
-    EPS = 1e-9
+    EPS, POOL = 1e-9, 16
 
     def __init__(self):
         self.units: list[list] = []  # [row, prob, size, random bits]
@@ -83,38 +84,54 @@ class Run:
     def add(self, row, prob: float, size: int, bits: int):
         """Take a unit in; yield (row, 0 or 1) of those that become decided."""
         self.units.append([row, prob, size, bits])
-        while len(self.units) == 3:
-            a, b, c = (u[2] for u in self.units)
-            move = (c - b, a - c, b - a)
-            yield from self._move(move if any(move) else (1, -1, 0))
+        while len(self.units) >= self.POOL:
+            yield from self._move(self._direction())
+
+    def drain(self):
+        """Move on without new units until two totals leave no direction."""
+        while len(self.units) > 2:
+            yield from self._move(self._direction())
+
+    def land(self):
+        """Decide the rest: two units move so that words hold, the last by its probability."""
+        yield from self.drain()
+        if len(self.units) == 2:
+            a, b = self.units[0][2], self.units[1][2]
+            yield from self._move((b / a, -1) if a and b else (1, -1))
+        for u in self.units:
+            yield u[0], int(_uniform(u[3] * 0x9E3779B97F4A7C15 >> 7) < u[1])
+        self.units = []
+
+    def _direction(self):
+        sizes = [u[2] for u in self.units]
+        m, s1, s2 = len(sizes), sum(sizes), sum(x * x for x in sizes)
+        det = m * s2 - s1 * s1
+        for at, pivot in enumerate(sizes):
+            if det:
+                alpha, beta = (s2 - s1 * pivot) / det, (m * pivot - s1) / det
+            else:  # equal sizes: to hold the number of documents is to hold their words
+                alpha, beta = 1 / m, 0.0
+            v = [-alpha - beta * x for x in sizes]
+            v[at] += 1
+            if v[at] > 1e-6:
+                return v
+        raise ArithmeticError("no direction keeps both totals")
 
     def _move(self, v):
         up = min((1 - u[1]) / x if x > 0 else u[1] / -x for u, x in zip(self.units, v) if x)
         down = min(u[1] / x if x > 0 else (1 - u[1]) / -x for u, x in zip(self.units, v) if x)
-        bits = 0
-        for u in self.units:
-            bits = (bits * 0x9E3779B97F4A7C15 + u[3] + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
-            bits ^= bits >> 29
-        step = up if _uniform(bits) * (up + down) < down else -down
+        first = self.units[0]
+        first[3] = ((first[3] ^ first[3] >> 31) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
+        step = up if _uniform(first[3] >> 11) * (up + down) < down else -down
         keep = []
         for u, x in zip(self.units, v):
             u[1] += step * x
-            u[3] = (u[3] * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
             if self.EPS < u[1] < 1 - self.EPS:
                 keep.append(u)
             else:
                 yield u[0], round(u[1])
         self.units = keep
 
-    def land(self):
-        """Decide the rest: two units move so that words hold, the last by its probability."""
-        if len(self.units) == 2:
-            a, b = self.units[0][2], self.units[1][2]
-            yield from self._move((b, -a) if a and b else (1, -1))
-        for u in self.units:
-            yield u[0], int(_uniform(u[3] * 0x9E3779B97F4A7C15 >> 7) < u[1])
-        self.units = []
-
 
 def _fly(batches, land: bool):
     """Rows sorted by (source, run) stream through; undecided ones come out with copies null."""
@@ -127,6 +144,7 @@ def _fly(batches, land: bool):
         if land:
             out.extend((*row, row[whole] + one) for row, one in run.land())
         else:
+            out.extend((*row, row[whole] + one) for row, one in run.drain())
             out.extend((*row[:prob], p, *row[prob + 1:], None) for row, p, _, _ in run.units)
             run.units = []
 
@@ -172,7 +190,7 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         last = most <= RUN_ROWS
         flow = state.withColumn("part", F.pmod(F.xxhash64(F.lit(level), "rand"), runs).cast("bigint")).drop("n")
         flow = flow.repartition("source", "is_null", "part").sortWithinPartitions(
-            "source", "is_null", "part", "rand", "id", "size")
+            "source", "is_null", "part", F.desc("size"), "rand", "id")
         flown = flow.mapInPandas(lambda it, last=last: _fly(it, last), _STATE)
         if not last:
             flown = written(flown, f"mix-level{level}")
