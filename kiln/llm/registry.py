@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from kiln.llm import chat_format, line_dedup, mixing, sharding
+from kiln.llm import chat_format, decontam, embed_dedup, line_dedup, mixing, ngram_join, quality, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_quality": quality.op2_quality,
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_embed_dedup": embed_dedup.op7_embed_dedup,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op10_chat_format": chat_format.SQL,
 }
