@@ -111,7 +111,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     lengths = known.select(F.size("words").alias("n")).where(f"n >= {SHORTEST} and n < {SPAN}").distinct().collect()
     short = tuple(sorted(r["n"] for r in lengths))  # at most SPAN - SHORTEST numbers
     k1, k2 = hash128(id_col, text_col)
-    base = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("string").alias("id"),
+                       F.col(text_col).alias("text"))
 
     def scan(it):
         table_ = sent.value
@@ -136,8 +137,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                                     "start": [o[1] for o in out], "words": [o[2] for o in out],
                                     "places": [o[3] for o in out], "hashes": [o[4] for o in out]})
 
-    id_type = dict(base.dtypes)["id"]
-    found = written(base.mapInPandas(scan, f"k1 bigint, k2 bigint, id {id_type}, start int, words array<bigint>, "
+    id_type = dict(docs.dtypes)[id_col]
+    found = written(base.mapInPandas(scan, "k1 bigint, k2 bigint, id string, start int, words array<bigint>, "
                                            "places array<int>, hashes array<bigint>").dropDuplicates(["k1", "k2", "start"]),
                     "leak-places")
     hits = found.select("k1", "k2", "start", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select(
@@ -164,10 +165,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             yield got[got["ok"]].drop(columns="ok")
 
     verified = ready.select("k1", "k2", "id", "item", "start", "words", "item_words", "diagonal").mapInPandas(
-        verify, f"k1 bigint, k2 bigint, id {id_type}, item bigint, first int, n_words int, n_equal int")
+        verify, "k1 bigint, k2 bigint, id string, item bigint, first int, n_words int, n_equal int")
     best = F.max(F.struct("n_equal", "n_words", (-F.col("first")).alias("back"))).alias("best")
     return verified.groupBy("k1", "k2", "id", "item").agg(best).select(
-        "k1", "k2", "id", "item", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"),
+        "k1", "k2", F.col("id").cast(id_type).alias("id"), "item", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"),
         F.col("best.n_equal").alias("n_equal"))
 
 

@@ -211,6 +211,22 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         "id", "source", "th", "size", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    mix = cube_mix(docs, id_col, source_col, text_col, **kw)
+    nth = Window.partitionBy("id", "source", "th").orderBy("copies")  # repeated rows are told apart by a number
+    mix = mix.select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("th").alias("mix_th"),
+                     F.row_number().over(nth).alias("mix_nth"), F.col("copies").alias("mix_copies"))
+    cols = docs.columns
+    keyed = docs.withColumn("mix_hash", F.xxhash64(text_col))
+    nth = Window.partitionBy(id_col, source_col, "mix_hash").orderBy("mix_hash")
+    keyed = keyed.withColumn("mix_number", F.row_number().over(nth))
+    joined = keyed.join(mix, keyed[id_col].eqNullSafe(mix["mix_id"]) & keyed[source_col].eqNullSafe(mix["mix_source"])
+                        & (keyed["mix_hash"] == mix["mix_th"]) & (keyed["mix_number"] == mix["mix_nth"]))
+    return joined.where("mix_copies > 0").withColumn(
+        "mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in cols])
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cube_mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target",

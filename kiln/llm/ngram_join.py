@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm.common import table, written
+from kiln.llm.common import WORD_RE, table, written
 from kiln.llm.graph import connected_components
 from kiln.llm.tokens import SPACE_BYTES, WordHasher, mix, runs, shingle_set
 
@@ -96,16 +96,18 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, s1, s2 (identity of the set) of every row."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, th (hash of text), n_shingles, s1, s2 (identity of the set) of every row."""
+    base = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"),
+                       F.col(text_col).alias("text"))  # ids may be null: they pass through pandas as text
 
     def identify(it):
         for pdf in it:
             got = [(len(s), *_identity(s)) for s in _sets(pdf)]
             out = pd.DataFrame(got, columns=["n_shingles", "s1", "s2"], index=pdf.index, dtype="int64")
-            yield pd.concat([pdf[["id"]], out], axis=1)
+            yield pd.concat([pdf[["id", "th"]], out], axis=1)
 
-    return base.mapInPandas(identify, f"id {dict(base.dtypes)['id']}, n_shingles bigint, s1 bigint, s2 bigint")
+    got = base.mapInPandas(identify, "id string, th bigint, n_shingles bigint, s1 bigint, s2 bigint")
+    return got.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
 
 
 def candidate_ties(docs: DataFrame, text_col: str) -> DataFrame:
@@ -285,7 +287,8 @@ def _name(a: str, b: str):
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  block_shingles: int = 4_000_000) -> DataFrame:
-    """id, n_shingles, s1, s2, component (name of the group), component_id for every row."""
+    """id, th (hash of text), n_shingles, component (name of the group, null without words), component_id for
+    every row."""
     known = written(document_sets(docs, id_col, text_col), "ngram-sets")
     linked = linked_classes(docs, known, text_col, id_col, block_shingles)
     alone = F.col("n_shingles") == 0
@@ -293,9 +296,23 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = named.withColumn("component", F.coalesce("root", "c"))
     # the class comes before its documents: a partial minimum for each class, then for each component
     least = named.where(~alone).groupBy("component").agg(F.min("id").alias("component_id"))
-    full = named.where(~alone).join(least, "component").select("id", "n_shingles", "s1", "s2", "component", "component_id")
+    full = named.where(~alone).join(least, "component").select(
+        "id", "th", "n_shingles", "component", "component_id")
     return full.unionByName(known.where(alone).select(
-        "id", "n_shingles", "s1", "s2", F.lit(None).cast("string").alias("component"), F.col("id").alias("component_id")))
+        "id", "th", "n_shingles", F.lit(None).cast("string").alias("component"), F.col("id").alias("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each group of linked texts the one with the
+    smallest id (null last, then the smallest text hash), once. Rows without words stay."""
+    groups = ngram_groups(docs, id_col, text_col).where("component is not null")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    first = groups.groupBy("component").agg(F.min(rank).alias("r")).select(
+        F.col("r.id").alias("kept_id"), F.col("r.th").alias("kept_th"))
+    worded = F.coalesce(F.regexp_like(F.col(text_col), F.lit(WORD_RE)), F.lit(False))
+    th = F.xxhash64(docs[text_col])
+    kept = docs.where(worded).join(first, docs[id_col].eqNullSafe(first["kept_id"]) & (th == first["kept_th"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]).unionByName(docs.where(~worded))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

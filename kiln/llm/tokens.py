@@ -110,12 +110,16 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, tuple(range(k))))
 
 
-def runs(batches, keys: list[str]):
+def runs(batches, keys: list[str], least: int = 1):
     """Frames of the rows that share a key, from batches sorted by it. A run may span batches; only one
-    is held at a time."""
+    is held at a time. Runs of fewer than ``least`` rows are passed over."""
     import pandas as pd
 
-    held = []
+    held: list = []
+
+    def whole():
+        return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
     for pdf in batches:
         if not len(pdf):
             continue
@@ -123,12 +127,19 @@ def runs(batches, keys: list[str]):
         for k in keys:
             v = pdf[k].to_numpy()
             change[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(change), len(pdf)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = pdf.iloc[a:b]
-            if held and any(held[-1][k].iloc[0] != part[k].iloc[0] for k in keys):
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-    if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        cuts = np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
+        inner = np.arange(1, len(cuts) - 2)  # runs that neither begin nor end the batch
+        first = pdf.iloc[:cuts[1]]
+        if held and any(held[-1][k].iloc[0] != first[k].iloc[0] for k in keys):
+            if sum(map(len, held)) >= least:
+                yield whole()
+            held = []
+        held.append(first)
+        if len(cuts) > 2:
+            if sum(map(len, held)) >= least:
+                yield whole()
+            for i in inner[np.diff(cuts)[inner] >= least]:
+                yield pdf.iloc[cuts[i]:cuts[i + 1]]
+            held = [pdf.iloc[cuts[-2]:]]
+    if held and sum(map(len, held)) >= least:
+        yield whole()
