@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from kiln.llm import chat_format, decontam, embed_dedup, line_dedup, mixing, ngram_join, quality, sharding
+from kiln.llm import chat_format, decontam, embed_dedup, html_extract, line_dedup, mixing, ngram_join, quality, sharding,\
+    substring_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_embed_dedup": embed_dedup.op7_embed_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_sharding": sharding.op9_sharding,
