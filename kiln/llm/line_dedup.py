@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm.common import ASCII_SPACE, LOWER, UPPER, ascii_lower, hash128, table
+from kiln.llm.common import ASCII_SPACE, LOWER, UPPER, ascii_lower, hash128, table, written
 
 BITS = 64
 
@@ -53,7 +53,9 @@ def line_drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       min_docs: int = 5, keep: str = "last") -> DataFrame:
     """id, th, n_dropped, dropped (map word -> 64 bits) for every document that loses a line."""
     occ = _occurrences(docs, id_col, text_col, min_chars)
-    frequent = frequent_lines(docs, id_col, text_col, min_chars, min_docs, keep).select("h1", "h2", "keeper")
+    # written, so that the join reads both sides from exchanges of their own and a hot line can be split
+    frequent = written(frequent_lines(docs, id_col, text_col, min_chars, min_docs, keep).select("h1", "h2", "keeper"),
+                       "frequent-lines")
     lost = occ.join(frequent, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos") % BITS)
     words = (lost.groupBy("id", "th", F.floor(F.col("pos") / BITS).cast("int").alias("word"))
