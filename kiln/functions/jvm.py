@@ -5,6 +5,7 @@ cannot be loaded."""
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -35,7 +36,8 @@ def register(spark: SparkSession) -> bool:
                 inst = loader.loadClass(cls).newInstance()
                 jss.udf().register(name, inst, long_type)
             ok = True
-        except Exception:  # noqa: BLE001 - any failure means: use the Python kernels
+        except Exception as e:  # noqa: BLE001 - any failure means: use the Python kernels
+            logging.getLogger(__name__).warning("JVM functions unavailable, the Python kernels run instead: %s", e)
             ok = False
     _READY[key] = ok
     return ok

@@ -1,13 +1,12 @@
-"""Exact ranks over a numeric order without a single-partition window.
-
-``ordered_rank`` buckets rows by approximate quantiles of the order column
-(one small aggregate: at most ``buckets - 1`` boundaries per group), counts
-rows per bucket, turns the counts into offsets over that small table and
-numbers rows inside each bucket. Buckets are monotone in the order value, so
-offset + in-bucket row number is the exact rank; the quantiles only balance
-the work. Rows with equal order values share a bucket, so a single value
-holding a large share of rows concentrates in one bucket (its in-bucket sort
-spills like any sort); distinct values spread evenly.
+"""Exact ranks and running aggregates over an order, without a single-task window.
+
+``ordered_parts`` range-partitions the rows by (group, order, tiebreak) and
+writes them, each row with the number of its part, to the shared checkpoint
+folder: parts are monotone in the order, equal order values are split by the
+tiebreak, and a lost executor cannot change where a part begins. Row counts or
+sums of the parts (a table of groups x parts) give offsets by a small window,
+and ranks or running sums inside a part add up with them. The input is read
+twice (once for the range sample), whatever the number of passes after it.
 """
 
 from __future__ import annotations
@@ -15,119 +14,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PART = "_part"
+
 
-def global_buckets(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 64, hi: int = 16384) -> int:
-    """Quantile buckets for an ungrouped order: about ``target_bytes`` of
-    input per bucket from Catalyst's size estimate (no job), clamped."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: the default
-        return lo
-    return int(max(lo, min(hi, size // target_bytes)))
+def ordered_parts(df: DataFrame, order: str, tiebreak: list[str] | None = None, by: list[str] | None = None,
+                  desc: bool = False) -> DataFrame:
+    """``df`` with ``_part``, a part number that rises with ``order`` (falls
+    for ``desc``) then ``tiebreak`` within ``by``; parts hold equal shares."""
+    from kiln.session import scratch_path
+    spark = df.sparkSession
+    key = F.desc(order) if desc else F.asc(order)
+    keys = [*(by or []), key, *(tiebreak or [])]
+    parts = df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id())
+    path = scratch_path(spark, "ordered")
+    parts.write.parquet(path)
+    return spark.read.schema(parts.schema).parquet(path)
 
 
 def ordered_rank(df: DataFrame, order: str, tiebreak: list[str] | None = None, by: list[str] | None = None,
-                 desc: bool = False, buckets: int | None = None, rank_col: str = "rank",
-                 count_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                 desc: bool = False, rank_col: str = "rank", count_col: str | None = None) -> DataFrame:
     """Adds ``rank_col`` (1-based ``row_number`` order within ``by``) by
-    ``order`` (non-null numeric; ``desc`` for descending) then ``tiebreak``.
-    ``buckets`` None: 64 per group, or sized from the input for a global
-    order (``global_buckets``).
-
-    Optional ``hot_rows``: only groups over that many rows are bucketed, the
-    others are ranked by a plain per-group window (their size bounds it); the
-    hot-group list holds at most rows / ``hot_rows`` entries and is broadcast.
-    This saves the per-group boundaries when there are very many small
-    groups, at the price of one counting pass and a two-branch plan; the
-    default (None) buckets every group."""
+    ``order`` (non-null; ``desc`` for descending) then ``tiebreak``, and the
+    group's row count as ``count_col`` if named."""
     by = by or []
-    tiebreak = tiebreak or []
-    if by and hot_rows is not None:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
-        hot = F.broadcast(sizes.where(F.col("_gn") > hot_rows).select(*by))
-        key = (-F.col(order)) if desc else F.col(order)
-        w = Window.partitionBy(*by).orderBy(key, *tiebreak)
-        cold = (df.join(hot, by, "left_anti")
-                  .withColumn(rank_col, F.row_number().over(w).cast("bigint")))
-        if count_col:
-            cold = cold.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        warm = ordered_rank(df.join(hot, by, "left_semi"), order, tiebreak, by, desc, buckets, rank_col,
-                            count_col, hot_rows=None)
-        return cold.unionByName(warm)
-    if buckets is None:
-        buckets = 64 if by else global_buckets(df)
-    key = (-F.col(order)) if desc else F.col(order)
-    x = df.withColumn("_ok", key.cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, max(1000, 10 * buckets)).alias("_bounds"))
-    if by:
-        # one row of boundaries per group: small, joined on the group keys
-        x = x.join(bounds, by)
-    else:
-        x = x.withColumn("_bounds", bounds.select("_bounds").scalar())
-    x = x.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
-    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    x = ordered_parts(df, order, tiebreak, by, desc)
     wg = Window.partitionBy(*by)
+    counts = x.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_c"))
     offsets = (counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-                   wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                   wg.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                      .withColumn("_n", F.sum("_c").over(wg)).drop("_c"))
-    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_ok", *tiebreak))
-    out = (x.withColumn("_rn", rn).join(offsets, [*by, "_b"])
-            .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")))
-    out = out.drop("_ok", "_b", "_rn", "_off")
+    key = F.desc(order) if desc else F.asc(order)
+    rn = F.row_number().over(Window.partitionBy(*by, PART).orderBy(key, *(tiebreak or [])))
+    out = (x.withColumn("_rn", rn).join(offsets, [*by, PART])
+            .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")).drop(PART, "_rn", "_off"))
     return out.withColumnRenamed("_n", count_col) if count_col else out.drop("_n")
 
 
-def scalar(df: DataFrame) -> Column:
-    """A one-row, one-column DataFrame as a scalar subquery column."""
-    return df.scalar()
-
-
-def order_buckets(df: DataFrame, order: str, by: list[str] | None = None, buckets: int = 64,
-                  out: str = "_b") -> DataFrame:
-    """Adds ``out``: the approximate-quantile bucket of ``order`` within
-    ``by`` (monotone in ``order``), reusable by several ``prefix_sum`` calls."""
-    by = by or []
-    x = df.withColumn("_ok", F.col(order).cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = x.groupBy(*by).agg(F.percentile_approx("_ok", probs, 1000).alias("_bounds"))
-    x = x.join(bounds, by) if by else x.withColumn("_bounds", bounds.select("_bounds").scalar())
-    return x.withColumn(out, F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds", "_ok")
-
-
 def prefix_sum(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "prefix",
-               buckets: int = 64, op: str = "sum", bucket: str | None = None) -> DataFrame:
+               op: str = "sum", parts: bool = False) -> DataFrame:
     """Inclusive running sum (``op="max"``: running maximum) of ``value`` in
-    ``order`` within ``by`` groups, exact, with the same bucketing as
-    ``ordered_rank``: bucket totals give offsets over a small table, the
-    running aggregate runs inside each bucket. ``bucket`` names a column
-    from ``order_buckets`` to reuse instead of computing new buckets."""
+    ``order`` within ``by``, exact. ``parts``: ``df`` comes from
+    ``ordered_parts`` on the same order and groups, which several calls can
+    share (its part column stays)."""
     by = by or []
     agg = F.sum if op == "sum" else F.max
     combine = (lambda a, b: a + b) if op == "sum" else (lambda a, b: F.greatest(a, b))
-    x = df if bucket else order_buckets(df, order, by, buckets)
-    b = bucket or "_b"
-    tot = x.groupBy(*by, b).agg(agg(value).alias("_t"))
+    x = df if parts else ordered_parts(df, order, by=by)
+    tot = x.groupBy(*by, PART).agg(agg(value).alias("_t"))
     off = tot.withColumn("_off", agg("_t").over(
-        Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
-    run = agg(value).over(Window.partitionBy(*by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    run = agg(value).over(Window.partitionBy(*by, PART).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     res = F.when(F.col("_off").isNull(), F.col("_run")).when(F.col("_run").isNull(), F.col("_off")) \
            .otherwise(combine(F.col("_off"), F.col("_run")))
-    x = x.withColumn("_run", run).join(off, [*by, b]).withColumn(out, res).drop("_run", "_off")
-    return x if bucket else x.drop(b)
+    x = x.withColumn("_run", run).join(off, [*by, PART]).withColumn(out, res).drop("_run", "_off")
+    return x if parts else x.drop(PART)
 
 
 def bucketed_lag(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "prev",
-                 buckets: int = 64) -> DataFrame:
-    """``lag(value)`` in ``order`` within ``by`` for a non-decreasing
-    ``value`` (e.g. the order column itself): the previous row inside the
-    bucket, or for a bucket's first row the largest value of the buckets
-    before it (a running max over the small bucket table)."""
+                 parts: bool = False) -> DataFrame:
+    """``lag(value)`` in ``order`` within ``by`` for a non-decreasing ``value``
+    (e.g. the order column itself): the previous row of the part, or for a
+    part's first row the largest value of the parts before it."""
     by = by or []
-    x = order_buckets(df, order, by, buckets, out="_lb")
-    mx = x.groupBy(*by, "_lb").agg(F.max(value).alias("_m"))
-    prev_b = mx.withColumn("_pb", F.max("_m").over(
-        Window.partitionBy(*by).orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
-    lag = F.lag(value).over(Window.partitionBy(*by, "_lb").orderBy(order))
-    return (x.withColumn("_l", lag).join(prev_b, [*by, "_lb"])
-             .withColumn(out, F.coalesce(F.col("_l"), F.col("_pb"))).drop("_l", "_pb", "_lb"))
+    x = df if parts else ordered_parts(df, order, by=by)
+    mx = x.groupBy(*by, PART).agg(F.max(value).alias("_m"))
+    before = mx.withColumn("_pb", F.max("_m").over(
+        Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    lag = F.lag(value).over(Window.partitionBy(*by, PART).orderBy(order))
+    x = (x.withColumn("_l", lag).join(before, [*by, PART])
+          .withColumn(out, F.coalesce(F.col("_l"), F.col("_pb"))).drop("_l", "_pb"))
+    return x if parts else x.drop(PART)

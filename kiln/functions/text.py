@@ -29,9 +29,13 @@ STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
 SPLIT_RE = f"{WS_CLASS}+"
 
 
+STRIP_CHARS = "".join(chr(c) for lo, hi in WHITESPACE_CODEPOINTS for c in range(lo, hi + 1))
+
+
 def ustrip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), STRIP_RE, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (the
+    built-in trim looks at the ends only; a regular expression reads it all)."""
+    return F.btrim(_col(c), F.lit(STRIP_CHARS))
 
 
 def usplit(c) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,7 +31,10 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
     try:
         ship_package(spark)
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: ship as an artifact instead
+    except RuntimeError:
+        raise
+    except Exception as e:  # noqa: BLE001 - e.g. a Spark Connect session: ship as an artifact instead
+        logging.getLogger(__name__).warning("package not shipped through the checkpoint folder: %s", e)
         _ship_artifact(spark)
     from kiln.functions import jvm
     jvm.register(spark)
@@ -55,8 +60,8 @@ def _ship_artifact(spark: SparkSession) -> None:
         with open(path, "wb") as fh:
             fh.write(buf.getvalue())
         spark.addArtifacts(path, pyfile=True)
-    except Exception:  # noqa: BLE001 - workers may already import kiln
-        pass
+    except Exception as e:  # noqa: BLE001 - workers may already import kiln
+        logging.getLogger(__name__).warning("package not added as an artifact: %s", e)
 
 
 _SHIPPED: set[str] = set()
@@ -97,12 +102,14 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session names none (local tests) is a fresh scratch folder
-    chosen; on a cluster ``spark.checkpoint.dir`` must point at shared storage.
+    Only a local master may go without: it gets a fresh scratch folder. On a
+    cluster ``spark.checkpoint.dir`` must name shared storage.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="kiln-ckpt-", dir=os.environ.get("KILN_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
