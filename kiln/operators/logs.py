@@ -4,10 +4,9 @@ Input is a line table ``(log_id, line_no, line)`` (``sources.read_logs``
 produces it from text files). Extraction is ``regexp_extract`` projections;
 per-log results are aggregations keyed by ``log_id``.
 
-Scale: "last k lines of a log" never ranks a whole log. Line numbers are
-dense, so the per-log maximum (a partial aggregate, immune to one huge log)
-bounds the tail with a plain filter and only <= k rows per log reach the
-per-log window or aggregate. "First k lines" is a filter on ``line_no``.
+Scale: whole logs are read by default; ``tail``, ``header``, ``max_line`` and
+the like are optional. "Last k lines of a log" is a per-log top-k
+(``WindowGroupLimit``): each task forwards at most k lines of a log.
 """
 
 from __future__ import annotations
@@ -59,13 +58,16 @@ def parse_metrics(lines: DataFrame, line: str = "line", keep_empty: bool = False
     epoch, grad_norm, eval_ppl, ``extra`` (map eval_<key> -> value, last wins)
     and has_nan. Lines yielding none of step/loss/eval_loss/extra/has_nan are
     dropped (``keep_empty`` keeps them)."""
-    s = ustrip(F.col(line))
-    x = lines.withColumn("_s", s)
-    kv = F.arrays_zip(F.regexp_extract_all("_s", F.lit(EVAL_KV_RE), 1).alias("k"),
-                      F.regexp_extract_all("_s", F.lit(EVAL_KV_RE), 2).alias("v"))
-    x = x.withColumn("_kv", F.filter(F.transform(kv, lambda e: F.struct(e["k"].alias("k"),
-                                                                      e["v"].try_cast("double").alias("v"))),
-                                     lambda e: e["v"].isNotNull()))
+    x = lines.withColumn("_s", ustrip(F.col(line)))
+    if not keep_empty:  # cheap test first: every kept line holds one of these words
+        low = F.lower(F.col("_s"))
+        x = x.where(low.contains("loss") | F.col("_s").contains("global_step") | F.col("_s").contains("eval_"))
+    # one pass over the eval_<key> pairs; only lines that have one
+    pairs = F.when(F.col("_s").contains("eval_"), F.regexp_extract_all("_s", F.lit(EVAL_KV_RE), 0)).otherwise(
+        F.array().cast("array<string>"))
+    kv = F.transform(pairs, lambda e: F.struct(F.regexp_extract(e, EVAL_KV_RE, 1).alias("k"),
+                                               F.regexp_extract(e, EVAL_KV_RE, 2).try_cast("double").alias("v")))
+    x = x.withColumn("_kv", F.filter(kv, lambda e: e["v"].isNotNull()))
     kv_loss = F.filter("_kv", lambda e: e["k"] == "loss")
     kv_ppl = F.filter("_kv", lambda e: e["k"] == "ppl")
     others = F.filter("_kv", lambda e: ~e["k"].isin("loss", "ppl"))
@@ -116,22 +118,23 @@ def classify_errors(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def _tail(lines: DataFrame, k: int, log: str, pos: str) -> DataFrame:
-    """The last ``k`` lines of each log (dense positions, see module doc)."""
-    last = lines.groupBy(log).agg(F.max(pos).alias("_last"))
-    return lines.join(last, log).where(F.col(pos) > F.col("_last") - k).drop("_last")
+    """The last ``k`` lines of each log."""
+    w = Window.partitionBy(log).orderBy(F.col(pos).desc())
+    return lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def final_metrics(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
-                  tail: int = 200, header: int = 2000) -> DataFrame:
-    """Per log max_steps (first header match in the first ``header``
-    lines, commas dropped, 0 if none), and from the metrics of the last
-    ``tail`` lines: final_loss (a trailing summary loss without step wins,
+                  tail: int | None = None, header: int | None = None) -> DataFrame:
+    """Per log max_steps (first header match, commas dropped, 0 if none;
+    ``header``: in that many first lines only), and from its metrics
+    (``tail``: of that many last lines only): final_loss (a trailing summary loss without step wins,
     else the loss of the last line with a step), final_step, final_eval_loss
     and throughput of the last metric line, eval-loss count and best."""
-    hdr = (lines.where((F.col(pos) <= header) & F.col(line).rlike(MAX_STEPS_RE))
+    first = lines if header is None else lines.where(F.col(pos) <= header)
+    hdr = (first.where(F.col(line).contains("Total optimization steps") & F.col(line).rlike(MAX_STEPS_RE))
                 .groupBy(log).agg(F.min_by(F.regexp_replace(F.regexp_extract(line, MAX_STEPS_RE, 1), ",", "")
                                            .try_cast("bigint"), F.col(pos)).alias("max_steps")))
-    m = parse_metrics(_tail(lines, tail, log, pos), line)
+    m = parse_metrics(lines if tail is None else _tail(lines, tail, log, pos), line)
     o = F.col(pos)
     agg = m.groupBy(log).agg(
         F.max_by(F.struct("loss", "step", "eval_loss", "throughput"), o).alias("last"),
@@ -147,14 +150,19 @@ def final_metrics(lines: DataFrame, log: str = "log_id", pos: str = "line_no", l
                       "n_eval_losses", "best_eval_loss")
 
 
+def eval_losses(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line") -> DataFrame:
+    """The eval losses of each log, one row each (``pos`` gives their order)."""
+    return parse_metrics(lines, line).where(F.col("eval_loss").isNotNull()).select(log, pos, "eval_loss")
+
+
 def error_summary(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
-                  max_line: int = 100_001, max_chars: int = 200) -> DataFrame:
-    """error/fatal lines among the first ``max_line`` lines, message cut
-    to ``max_chars`` characters."""
-    e = classify_errors(lines.where(F.col(pos) <= max_line), line)
+                  max_line: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """error/fatal lines (``max_line``: among that many first lines
+    only) with their whole message (``max_chars``: its first characters)."""
+    e = classify_errors(lines if max_line is None else lines.where(F.col(pos) <= max_line), line)
+    message = F.col("message") if max_chars is None else F.substring("message", 1, max_chars)
     return e.where(F.col("severity").isin("error", "fatal")).select(
-        log, F.col(pos).alias("line_num"), "error_type", F.substring("message", 1, max_chars).alias("message"),
-        "severity")
+        log, F.col(pos).alias("line_num"), "error_type", message.alias("message"), "severity")
 
 
 def history(metrics: DataFrame, log: str = "log_id", pos: str = "line_no", zero_fill: bool = True) -> DataFrame:
@@ -165,6 +173,7 @@ def history(metrics: DataFrame, log: str = "log_id", pos: str = "line_no", zero_
         log, pos, "step", z("loss").alias("train_loss"), z("eval_loss").alias("eval_loss"), z("lr").alias("lr"))
 
 
+# Patterns of the eval output.
 EVAL_OUT_RES = {
     "eval_loss": r"(?iU)eval[_\s].*?loss[:\s]+(\d+\.?\d*)",
     "eval_accuracy": r"(?iU)(?:eval[_\s].*?accuracy|acc)[:\s]+(\d+\.?\d*)",
@@ -228,6 +237,7 @@ def skeleton(lines: DataFrame, max_lines: int = 100, log: str = "log_id", pos: s
     return short.unionByName(body).unionByName(marker)
 
 
+# Patterns of the trend summary.
 TREND_RES = {
     "loss": r"(?iU)loss[:\s]+(\d+\.?\d*)",
     "step": r"(?iU)global_step[:\s]+(\d+)",
@@ -239,9 +249,9 @@ TREND_RES = {
 def log_trend(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
               last_losses: int = 20) -> DataFrame:
     """Latest loss, step, lr, eval loss; trend "decreasing" when the
-    last loss is below the first; last 20 losses; overfit gap = last eval -
-    last loss. Partial aggregates per log; the last-20 list is a per-log
-    top-k on the loss lines only."""
+    last loss is below the first; overfit gap = last eval - last loss; and,
+    as a report, the ``last_losses`` last losses (a per-log top-k on the loss
+    lines; every other column reads the whole log)."""
     x = lines.select(log, pos, *[_ext(F.col(line), p).alias(k) for k, p in TREND_RES.items()])
     x = (x.withColumn("loss", F.col("loss").try_cast("double")).withColumn("step", F.col("step").try_cast("bigint"))
           .withColumn("lr", F.col("lr").try_cast("double")).withColumn("eval", F.col("eval").try_cast("double")))
@@ -264,6 +274,7 @@ def log_trend(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line:
         F.when(F.col("latest_loss").isNotNull(), F.col("latest_eval_loss") - F.col("latest_loss")).alias("overfit_gap"))
 
 
+# Traceback patterns.
 TB_ERROR_RE = r"(?U)^(\w+(?:Error|Exception)):\s*(.+)$"
 TB_FRAME_RE = r'^File "([^"]+)", line (\d+), in (\S+)'
 
@@ -303,22 +314,19 @@ def traceback_summary(lines: DataFrame, tb: str = "log_id", pos: str = "line_no"
 
 
 def summarize_log(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
-                  max_chars: int = 500_000, edge_chars: int = 50_000, max_lines: int = 200) -> DataFrame:
-    """A log under ``max_chars`` is used whole; a longer one keeps its
-    first and last ``edge_chars`` characters (cut mid-line, as a byte read
-    does) around a "...[file truncated]..." line; the result goes through
-    the skeleton (L11). Character offsets are exact running sums per log
-    (``prefix_sum``: bucketed, never one task per log)."""
+                  max_chars: int | None = None, edge_chars: int = 50_000, max_lines: int = 200) -> DataFrame:
+    """The skeleton (L11) of the whole log. With ``max_chars`` a longer
+    log is first cut to its first and last ``edge_chars`` characters
+    (mid-line, as a byte read does) around a "...[file truncated]..." line.
+    Character offsets are exact running sums per log (``prefix_sum``, never
+    one task per log) of the line lengths, joined back by position."""
+    if max_chars is None:
+        return skeleton(lines, max_lines, log, pos, line)
     from kiln.functions.ranking import prefix_sum
-    from kiln.session import checkpoint_dir
-    checkpoint_dir(lines.sparkSession)
-    x = prefix_sum(lines.withColumn("_len", F.char_length(line) + 1), "_len", pos, by=[log], out="_end")
-    # the offsets feed four branches below: materialise them once (reliable
-    # checkpoint in the shared checkpoint folder) instead of recomputing
-    x = x.checkpoint(eager=True)
-    x = x.withColumn("_start", F.col("_end") - F.col("_len"))
-    tot = x.groupBy(log).agg(F.max("_end").alias("_tot"), F.max(pos).alias("_last"))
-    x = x.join(tot, log)
+    offsets = prefix_sum(lines.select(log, pos, (F.char_length(line) + 1).alias("_len")), "_len", pos, by=[log], out="_end")
+    offsets = offsets.withColumn("_start", F.col("_end") - F.col("_len"))
+    tot = offsets.groupBy(log).agg(F.max("_end").alias("_tot"))
+    x = lines.select(log, pos, line).join(offsets.join(tot, log), [log, pos])
     big = F.col("_tot") >= max_chars
     tail_from = F.col("_tot") - edge_chars
     in_head = F.col("_start") < edge_chars
@@ -335,7 +343,10 @@ def summarize_log(lines: DataFrame, log: str = "log_id", pos: str = "line_no", l
     tail = (x.where(big & in_tail).join(nh, log).join(first_tail, log)
              .select(log, (F.col("_nh") + 2 + F.col(pos) - F.col("_ft")).alias(pos), tail_txt.alias(line)))
     cut = small.unionByName(head).unionByName(marker).unionByName(tail)
-    return skeleton(cut, max_lines, log, pos, line)
+    from kiln.session import scratch_path
+    path = scratch_path(lines.sparkSession, "log-cut")
+    cut.write.parquet(path)  # the skeleton reads it several times
+    return skeleton(lines.sparkSession.read.schema(cut.schema).parquet(path), max_lines, log, pos, line)
 
 
 def stderr_tail(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
@@ -405,28 +416,28 @@ def diagnose(errors: DataFrame, text: str = "message", learning_rate: Column | N
 # Fast-path rules (checked in order, case-insensitive).
 TIER1_RULES = [
     ("oom", ["Out of memory", "CUDA out of memory", "OOM", "ResourceExhaustedError"], "memory",
-     "reduce_batch_size", "GPU OOM detected"),
-    ("nan", ["loss.*nan", "NaN loss", "gradient.*inf"], "numerical", "reduce_learning_rate", "NaN loss detected"),
+     "reduce_batch_size", "GPU OOM detected", 0.5),
+    ("nan", ["loss.*nan", "NaN loss", "gradient.*inf"], "numerical", "reduce_learning_rate", "NaN loss detected", 0.1),
     ("nccl", ["NCCL.*error", "NCCL.*timeout", "nccl.*abort"], "distributed", "increase_nccl_timeout",
-     "NCCL communication failure"),
+     "NCCL communication failure", None),
     ("data_format", [r"json\.decode", "JSONDecodeError", "KeyError.*messages"], "data", "check_data_format",
-     "Data format mismatch"),
+     "Data format mismatch", None),
 ]
 
 
 def diagnose_tier1(errors: DataFrame, text: str = "message") -> DataFrame:
-    """The first rule whose pattern matches; null type when none does;
-    confidence 0.9."""
-    x = F.col(text)
-    t = F.lit(None).cast("string")
-    cat = F.lit(None).cast("string")
-    act = F.lit(None).cast("string")
-    for name, pats, category, action, _reason in reversed(TIER1_RULES):
-        hit = x.rlike("(?i)" + "|".join(f"(?:{p})" for p in pats))
-        t, cat, act = (F.when(hit, name).otherwise(t), F.when(hit, category).otherwise(cat),
-                       F.when(hit, action).otherwise(act))
-    return errors.select("*", t.alias("error_type"), cat.alias("category"), act.alias("fix_action"),
-                         F.when(t.isNotNull(), F.lit(0.9)).alias("confidence"))
+    """The first rule whose pattern matches, with its category, fix
+    action, factor and reason; nulls when none does; confidence 0.9."""
+    found = F.lit(None).cast("struct<t:string,c:string,a:string,f:double,r:string>")
+    for name, pats, category, action, reason, factor in reversed(TIER1_RULES):
+        hit = F.col(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in pats))
+        rule = F.struct(F.lit(name).alias("t"), F.lit(category).alias("c"), F.lit(action).alias("a"),
+                        F.lit(factor).cast("double").alias("f"), F.lit(reason).alias("r"))
+        found = F.when(hit, rule).otherwise(found)
+    return errors.withColumn("_rule", found).select(
+        *errors.columns, F.col("_rule.t").alias("error_type"), F.col("_rule.c").alias("category"),
+        F.col("_rule.a").alias("fix_action"), F.col("_rule.f").alias("factor"), F.col("_rule.r").alias("reason"),
+        F.when(F.col("_rule").isNotNull(), F.lit(0.9)).alias("confidence"))
 
 
 def run_status(final: DataFrame, exits: DataFrame, log: str = "log_id") -> DataFrame:

@@ -82,15 +82,13 @@ def l05(spark, sf):
                                    F.count("eval_loss").cast("bigint").alias("n_eval"))
 
 
-@query("L06_final_metrics", f"""with last as (select log_id, max(line_no) as mx from v_log group by log_id),
-tl as (select v.* from v_log v join last using (log_id) where v.line_no > last.mx - 200),
-{_PARSE.replace('from v_log)', 'from tl)', 1)},
+@query("L06_final_metrics", f"""with {_PARSE},
 a as (select log_id, arg_max({{'loss': loss, 'step': step, 'eval_loss': eval_loss, 'throughput': throughput}}, line_no) as l,
              arg_max({{'step': step, 'loss': loss}}, line_no) filter (where step is not null) as w,
              count(eval_loss)::bigint as n_eval_losses, min(eval_loss) as best_eval_loss
       from parsed group by log_id),
 h as (select log_id, arg_min(try_cast(replace(regexp_extract(line, '{duck_re(L.MAX_STEPS_RE)}', 1), ',', '') as bigint), line_no) as max_steps
-      from v_log where line_no <= 2000 and regexp_matches(line, '{duck_re(L.MAX_STEPS_RE)}') group by log_id)
+      from v_log where regexp_matches(line, '{duck_re(L.MAX_STEPS_RE)}') group by log_id)
 select a.log_id, coalesce(h.max_steps, 0)::bigint as max_steps,
   case when l.loss is not null and l.step is null then l.loss when w.loss is not null then w.loss end as final_loss,
   w.step as final_step, l.eval_loss as final_eval_loss, l.throughput as throughput, n_eval_losses, best_eval_loss
@@ -99,9 +97,15 @@ def l06(spark, sf):
     return L.final_metrics(v_log(spark, sf))
 
 
+@query("L06_eval_losses", f"""with {_PARSE}
+select log_id, line_no, eval_loss from parsed where eval_loss is not null""", views=("v_log",))
+def l06_eval(spark, sf):
+    return L.eval_losses(v_log(spark, sf))
+
+
 @query("L07_error_summary", f"""
-select log_id, line_no as line_num, t as error_type, substring({duck_strip('line')}, 1, 200) as message, {_SEV} as severity
-from (select *, {_ETYPE} as t from v_log where line_no <= 100001) x
+select log_id, line_no as line_num, t as error_type, {duck_strip('line')} as message, {_SEV} as severity
+from (select *, {_ETYPE} as t from v_log) x
 where t is not null and t <> 'WARNING'""", views=("v_log",))
 def l07(spark, sf):
     return L.error_summary(v_log(spark, sf))
@@ -159,9 +163,12 @@ a as (select log_id, arg_min(loss, line_no) filter (where loss is not null) as f
              arg_max(ev, line_no) filter (where ev is not null) as latest_eval_loss from x group by log_id)
 select log_id, latest_loss, case when latest_loss is not null then
   (case when latest_loss < first_loss then 'decreasing' else 'increasing' end) end as loss_trend,
-  latest_step, latest_lr, latest_eval_loss, latest_eval_loss - latest_loss as overfit_gap from a""", views=("v_log",))
+  latest_step, latest_lr, latest_eval_loss, latest_eval_loss - latest_loss as overfit_gap, loss_values
+from a left join (select log_id, list(loss order by line_no) as loss_values
+                  from (select *, row_number() over (partition by log_id order by line_no desc) as r from x where loss is not null) t
+                  where r <= 20 group by log_id) v using (log_id)""", views=("v_log",))
 def l13(spark, sf):
-    return L.log_trend(v_log(spark, sf)).drop("loss_values")
+    return L.log_trend(v_log(spark, sf))
 
 
 @query("L15_stderr_tail", """with b as (select log_id, max(line_no) as last,
@@ -172,34 +179,53 @@ def l15(spark, sf):
     return L.stderr_tail(v_log(spark, sf))
 
 
+def _quoted(x) -> str:
+    return "null" if x is None else repr(x) if isinstance(x, float) else "'" + str(x).replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({_quoted(r[0])}, {', '.join(_quoted(x) for x in r[2:5])}, {float(r[5])!r}::double, {_quoted('|'.join(r[6]))})"
+                   for r in L.DIAGNOSIS_RULES + [L.DIAGNOSIS_UNKNOWN])
+_TIER1 = ", ".join(f"({_quoted(n)}, {_quoted(c)}, {_quoted(a)}, {_quoted(f)}::double, {_quoted(r)})"
+                   for n, _, c, a, r, f in L.TIER1_RULES)
+
+
 @query("L16_diagnose", f"""with e as (select log_id, line_no, {duck_strip('line')} as message, lower({duck_strip('line')}) as low
-  from (select *, {_ETYPE} as t from v_log) x where t is not null)
-select log_id, line_no, case when regexp_matches(low, 'out of memory|oom|resourceexhaustederror') then 'oom'
+  from (select *, {_ETYPE} as t from v_log) x where t is not null),
+t as (select log_id, line_no, case when regexp_matches(low, 'out of memory|oom|resourceexhaustederror') then 'oom'
   when regexp_matches(low, 'loss.*nan|nan.*loss|nanloss') then 'nan' when regexp_matches(low, 'nccl') then 'nccl'
   when regexp_matches(low, 'jsondecodeerror|json.*decode|keyerror|unexpected.*format') then 'data_format'
   when regexp_matches(low, 'checkpoint.*error|checkpoint.*corrupt|failed.*load') then 'checkpoint' else 'unknown' end as error_type
-from e""", views=("v_log",))
+from e)
+select t.*, category, root_cause, severity, confidence, fix_steps, case error_type
+  when 'oom' then 'finetuning.gradient_checkpointing=true'
+  when 'nan' then 'finetuning.learning_rate=1.0E-5;finetuning.max_grad_norm=1.0' else '' end as config_changes
+from t join (values {_RULES}) r(error_type, category, root_cause, severity, confidence, fix_steps) using (error_type)""",
+       views=("v_log",))
 def l16(spark, sf):
     e = L.classify_errors(v_log(spark, sf)).select("log_id", "line_no", "message")
-    return L.diagnose(e).select("log_id", "line_no", "error_type")
+    changes = F.array_join(F.array_sort(F.transform(F.map_entries("config_changes"), lambda x: F.concat_ws(
+        "=", x["key"], x["value"]))), ";")
+    return L.diagnose(e).select("log_id", "line_no", "error_type", "category", "root_cause", "severity", "confidence",
+                                F.array_join("fix_steps", "|").alias("fix_steps"), changes.alias("config_changes"))
 
 
 @query("L17_diagnose_tier1", f"""with e as (select log_id, line_no, {duck_strip('line')} as message
-  from (select *, {_ETYPE} as t from v_log) x where t is not null)
-select log_id, line_no, case when regexp_matches(message, '(?i)Out of memory|CUDA out of memory|OOM|ResourceExhaustedError') then 'oom'
+  from (select *, {_ETYPE} as t from v_log) x where t is not null),
+t as (select log_id, line_no, case when regexp_matches(message, '(?i)Out of memory|CUDA out of memory|OOM|ResourceExhaustedError') then 'oom'
   when regexp_matches(message, '(?i)loss.*nan|NaN loss|gradient.*inf') then 'nan'
   when regexp_matches(message, '(?i)NCCL.*error|NCCL.*timeout|nccl.*abort') then 'nccl'
   when regexp_matches(message, '(?i)json\\.decode|JSONDecodeError|KeyError.*messages') then 'data_format' end as error_type
-from e""", views=("v_log",))
+from e)
+select t.*, category, fix_action, factor, reason, case when error_type is not null then 0.9::double end as confidence
+from t left join (values {_TIER1}) r(error_type, category, fix_action, factor, reason) using (error_type)""", views=("v_log",))
 def l17(spark, sf):
     e = L.classify_errors(v_log(spark, sf)).select("log_id", "line_no", "message")
-    return L.diagnose_tier1(e).select("log_id", "line_no", "error_type")
+    return L.diagnose_tier1(e).drop("message")
 
 
 @query("L18_run_status", """with last as (select log_id, max(line_no) as mx from v_log group by log_id),
-tl as (select v.* from v_log v join last using (log_id) where v.line_no > last.mx - 200),
 st as (select log_id, arg_max(try_cast(nullif(regexp_extract(line, 'global_step[:\\s]+(\\d+)', 1), '') as bigint), line_no)
-         filter (where regexp_matches(line, 'global_step[:\\s]+(\\d+)')) as final_step from tl group by log_id),
+         filter (where regexp_matches(line, 'global_step[:\\s]+(\\d+)')) as final_step from v_log group by log_id),
 ex as (select log_id, case when try_cast(substr(log_id, 5) as bigint) % 3 = 0 then 0 else 1 end as exit_code from last)
 select st.log_id, case when exit_code = 0 or (coalesce(final_step, 0) > 0) then 'completed' else 'failed' end as status
 from st left join ex on st.log_id = ex.log_id""", views=("v_log",))
@@ -260,14 +286,26 @@ tail as (select x.log_id, nh.nh + 2 + x.line_no - ft.ft as line_no,
 cut as (select * from small union all select * from head union all select * from marker union all select * from tail),
 """ + _skeleton_sql("cut", 40))
 def l12(spark, sf):
+    """The cut report: logs above 50,000 characters by their two ends."""
+    return L.summarize_log(_source_logs(spark, sf), max_chars=50_000, edge_chars=5_000, max_lines=40)
+
+
+def _source_logs(spark, sf):
+    """Each source's documents as one long log, one line per document paragraph."""
+    from kiln.functions.ranking import ordered_rank
     from kiln.plans.views import table
-    d = table(spark, sf, "documents")
-    # each source's documents as one long log, one line per document paragraph
-    lines = d.select(F.col("source").alias("log_id"), "doc_id",
-                     F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    from pyspark.sql import Window
-    lines = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("log_id").orderBy("doc_id", "k")))
-    return L.summarize_log(lines.select("log_id", "line_no", "line"), max_chars=50_000, edge_chars=5_000, max_lines=40)
+    lines = table(spark, sf, "documents").select(F.col("source").alias("log_id"), "doc_id",
+                                                 F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return ordered_rank(lines, "doc_id", ["k"], by=["log_id"], rank_col="line_no").select("log_id", "line_no", "line")
+
+
+@query("L12_summarize_whole", """with d as (select source as log_id, doc_id, unnest(string_split(text, chr(10))) as line,
+  generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
+l as (select log_id, row_number() over (partition by log_id order by doc_id, k) as line_no, line from d),
+""" + _skeleton_sql("l", 200))
+def l12_whole(spark, sf):
+    """The skeleton of whole logs, with the operator's defaults."""
+    return L.summarize_log(_source_logs(spark, sf))
 
 
 def v_tracebacks(spark, sf):
