@@ -71,9 +71,9 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
 
     The low-utilisation count is gaps-and-islands over each run's polls:
     count = low polls so far - low polls at the last reset, both exact
-    running aggregates over time buckets (``prefix_sum``); polls of a run
-    are assumed to have distinct timestamps."""
-    from kiln.functions.ranking import order_buckets, prefix_sum
+    running aggregates over time-ordered parts (``ordered_parts``, made once
+    for both); polls of a run are assumed to have distinct timestamps."""
+    from kiln.functions.ranking import PART, ordered_parts, prefix_sum
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     starts = snaps.groupBy(run).agg(F.min(t).alias("_start"))
     grace = t - F.col("_start") < grace_s
@@ -90,12 +90,12 @@ def classify_health(snaps: DataFrame, run: str = "run_id", ts: str = "ts", grace
     low = (F.size(util) > 0) & F.forall(util, lambda u: u < 5.0)
     x = snaps.join(starts, run).withColumn("_early", early).withColumn("_reach", F.col("_early").isNull()) \
              .withColumn("_low", F.col("_reach") & low).withColumn("_t", t).drop("_start")
-    # running counts per run, bucketed (a run's polls are never sorted in one task)
-    x = order_buckets(x.withColumn("_li", F.col("_low").cast("int")), "_t", [run], out="_tb")
-    x = prefix_sum(x, "_li", "_t", by=[run], out="_cum_low", bucket="_tb")
+    # running counts per run, part by part (a run's polls are never sorted in one task)
+    x = ordered_parts(x.withColumn("_li", F.col("_low").cast("int")), "_t", by=[run])
+    x = prefix_sum(x, "_li", "_t", by=[run], out="_cum_low", parts=True)
     x = x.withColumn("_rv", F.when(F.col("_reach") & ~F.col("_low"), F.col("_cum_low")))
-    x = prefix_sum(x, "_rv", "_t", by=[run], out="_base", op="max", bucket="_tb") \
-        .withColumn("_base", F.coalesce("_base", F.lit(0))).drop("_tb")
+    x = prefix_sum(x, "_rv", "_t", by=[run], out="_base", op="max", parts=True) \
+        .withColumn("_base", F.coalesce("_base", F.lit(0))).drop(PART)
     counter = F.col("_cum_low") - F.col("_base")
     anomaly = (F.when(F.col("_early") == "grace", F.lit(None).cast("string"))
                 .when(F.col("_early").isNotNull(), F.col("_early"))
@@ -146,37 +146,36 @@ def gate_actions(pdf: pd.DataFrame, min_count: int = 2, cooldown_s: float = 300.
 
 def actions(verdicts: DataFrame, run: str = "run_id", ts: str = "ts", min_count: int = 2,
             cooldown_s: float = 300.0, grace_s: float = 30.0) -> DataFrame:
-    """H09 (batch): the polls at which an auto-action fires, per run
-    (``applyInPandas``: one run's verdict sequence is a small ordered state
-    machine with a time cooldown, which windows cannot express).
+    """H09 (batch): the polls at which an auto-action fires, per run: an
+    ordered state machine with a time cooldown, which windows cannot express.
 
     Only polls that can change the state reach pandas: anomalous polls and the
     first healthy poll after an anomalous one (it clears the counters); a
     healthy poll after a healthy one, and healthy polls in the start grace,
-    change nothing. "Previous poll anomalous" is found with bucketed running
-    aggregates (never a whole run sorted in one task)."""
-    from kiln.functions.ranking import bucketed_lag, order_buckets, prefix_sum
-    from kiln.session import checkpoint_dir
-    checkpoint_dir(verdicts.sparkSession)
-    # the verdicts feed several bucketed passes: materialise them once in the
-    # checkpoint folder instead of recomputing their lineage per pass
-    v = verdicts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("ts"), "anomaly") \
-                .checkpoint(eager=True)
-    starts = v.groupBy("run_id").agg(F.min(F.unix_micros("ts") / 1e6).alias("_start"))
-    x = (v.join(starts, "run_id")
-          .withColumn("_t", F.unix_micros("ts") / 1e6)
-          .withColumn("in_grace", F.col("_t") - F.col("_start") < grace_s)
+    change nothing. They stream through sorted partitions, and a run's state
+    is carried from batch to batch, so no run is held whole."""
+    from kiln.functions.ranking import PART, bucketed_lag, ordered_parts, prefix_sum
+    v = verdicts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("ts"), "anomaly")
+    x = ordered_parts(v.withColumn("_t", F.unix_micros("ts") / 1e6), "_t", by=["run_id"])
+    starts = x.groupBy("run_id").agg(F.min("_t").alias("_start"))
+    x = (x.join(starts, "run_id").withColumn("in_grace", F.col("_t") - F.col("_start") < grace_s)
           .where(F.col("anomaly").isNotNull() | ~F.col("in_grace")))
     x = x.withColumn("_at", F.when(F.col("anomaly").isNotNull(), F.col("_t")))
-    x = order_buckets(x, "_t", ["run_id"], out="_tb")
-    x = prefix_sum(x, "_at", "_t", by=["run_id"], out="_last_a", op="max", bucket="_tb").drop("_tb")
-    x = bucketed_lag(x, "_t", "_t", ["run_id"], out="_prev_t")
+    x = prefix_sum(x, "_at", "_t", by=["run_id"], out="_last_a", op="max", parts=True)
+    x = bucketed_lag(x, "_t", "_t", ["run_id"], out="_prev_t", parts=True).drop(PART)
     keep = F.col("anomaly").isNotNull() | (F.col("_last_a").isNotNull() & (F.col("_last_a") == F.col("_prev_t")))
     x = x.where(keep).select("run_id", "ts", "anomaly", "in_grace")
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return gate_actions(pdf, min_count, cooldown_s)[0]
-    return x.groupBy("run_id").applyInPandas(fn, ACTION_SCHEMA)
+    def stream(batches):
+        run_id, state = None, None
+        for pdf in batches:
+            for key, polls in pdf.groupby("run_id", sort=False, dropna=False):
+                if key != run_id:
+                    run_id, state = key, None
+                out, state = gate_actions(polls, min_count, cooldown_s, state)
+                if len(out):
+                    yield out
+    return x.repartition("run_id").sortWithinPartitions("run_id", "ts").mapInPandas(stream, ACTION_SCHEMA)
 
 
 # Notification texts per anomaly (first key contained wins).
@@ -207,3 +206,23 @@ def notifications(verdicts: DataFrame) -> DataFrame:
         msg = F.when(a.contains(key), m).otherwise(msg)
     return verdicts.where(F.col("anomaly").isNotNull()).select("*", F.lit("WARN").alias("level"),
                                                                msg.alias("message")).where(F.col("message").isNotNull())
+
+
+# What the action handler reports (first key contained wins).
+ACTION_MESSAGES = [
+    ("hang_detected", "ACTION", "Watchdog auto-killing hung training process"),
+    ("oom_risk", "WARN", "GPU OOM risk: %s"),
+    ("disk_full", "CRITICAL", "Disk space critical: %.1fGB free"),
+    ("disk_low", "CRITICAL", "Disk space critical: %.1fGB free"),
+]
+
+
+def action_notifications(fired: DataFrame) -> DataFrame:
+    """Polls at which an action fires (``anomaly``, ``disk_free_gb``) ->
+    (level, message) rows; anomalies without an action are dropped."""
+    a = F.coalesce(F.col("anomaly"), F.lit(""))
+    level = msg = F.lit(None).cast("string")
+    for key, lvl, text in reversed(ACTION_MESSAGES):
+        m = F.format_string(text, F.col("disk_free_gb") if lvl == "CRITICAL" else a) if "%" in text else F.lit(text)
+        level, msg = F.when(a.contains(key), lvl).otherwise(level), F.when(a.contains(key), m).otherwise(msg)
+    return fired.select("*", level.alias("level"), msg.alias("message")).where(F.col("level").isNotNull())

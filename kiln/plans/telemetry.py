@@ -12,12 +12,12 @@ from kiln.plans.views import DUCK, table, v_gpu, v_log
 
 
 def v_snapshots(spark, sf):
-    """Health polls: GPUs grouped into 10 nodes, one poll per node per 5
+    """Health polls: ten GPUs to a node, one poll per node per 5
     minutes; per-GPU arrays in GPU order; process, log age and disk fields
     derived from the poll number."""
     g = v_gpu(spark, sf)
     poll = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 300).cast("bigint")
-    x = g.select(F.concat(F.lit("node-"), (F.col("gpu") % 10).cast("string")).alias("run_id"), poll.alias("poll"),
+    x = g.select(F.concat(F.lit("node-"), F.floor(F.col("gpu") / 10).cast("string")).alias("run_id"), poll.alias("poll"),
                  "gpu", "util", (F.col("mem_used_mb") / F.col("mem_total_mb") * 100).alias("mem"), "temp")
     a = x.groupBy("run_id", "poll").agg(F.array_sort(F.collect_list(F.struct("gpu", "util", "mem", "temp"))).alias("_g"))
     return a.select(
@@ -35,7 +35,7 @@ DUCK["v_snapshots"] = """select run_id, poll, to_timestamp(poll * 300)::timestam
   ((poll % 53) * 10)::double as last_log_age_seconds, (50 + poll % 47)::double as disk_used_pct,
   (100 - poll % 101)::double as disk_free_gb, list(util order by gpu) as gpu_util, list(mem order by gpu) as gpu_mem_used_pct,
   list(temp order by gpu) as gpu_temp
-from (select concat('node-', cast(gpu % 10 as varchar)) as run_id, floor(epoch_us(ts) / 1e6 / 300)::bigint as poll, gpu, util,
+from (select concat('node-', cast(gpu // 10 as varchar)) as run_id, floor(epoch_us(ts) / 1e6 / 300)::bigint as poll, gpu, util,
              mem_used_mb / mem_total_mb * 100 as mem, temp from v_gpu) t group by run_id, poll"""
 
 _VERDICT = """x as (select *, case when epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) over (partition by run_id) < 30 then 'grace'
@@ -119,7 +119,19 @@ def h08(spark, sf):
     return v.where(F.col("low_util_count") > 0).select("run_id", "poll", "low_util_count")
 
 
-@query("H09_actions")
+# counters as windows (a healthy poll outside the grace period, or a dead process, starts a new count), then
+# the cooldown as a recursion from one action to the next
+@query("H09_actions", f"""with recursive {_VERDICT},
+p as (select run_id, ts, anomaly, epoch_us(ts) / 1e6 as t, early is not null and early = 'grace' as in_grace from verdict),
+q as (select *, sum(case when (anomaly is null and not in_grace) or anomaly = 'process_dead' then 1 else 0 end)
+        over (partition by run_id order by ts rows between unbounded preceding and current row) as span from p),
+c as (select *, row_number() over (partition by run_id, span, anomaly order by ts) as n from q where anomaly is not null),
+k as (select * from c where n >= 2),
+a as (select run_id, min(t) as t from k where t >= 300 group by run_id
+      union all select a.run_id, (select min(k.t) from k where k.run_id = a.run_id and k.t >= a.t + 300) from a
+      where exists (select 1 from k where k.run_id = a.run_id and k.t >= a.t + 300))
+select k.run_id, k.ts, k.anomaly, k.n::bigint as count from a join k on a.run_id = k.run_id and a.t = k.t""",
+       views=("v_gpu", "v_snapshots"))
 def h09(spark, sf):
     return H.actions(H.classify_health(v_snapshots(spark, sf)))
 
@@ -159,3 +171,15 @@ from verdict where anomaly is not null and (contains(anomaly, 'process_dead') or
 def h12(spark, sf):
     v = H.classify_health(v_snapshots(spark, sf))
     return H.notifications(v).select("run_id", "poll", "anomaly", "level", "message")
+
+
+@query("H12_action_notifications", f"""with {_VERDICT}
+select run_id, poll, case when contains(anomaly, 'hang_detected') then 'ACTION' when contains(anomaly, 'oom_risk') then 'WARN'
+  else 'CRITICAL' end as level, case when contains(anomaly, 'hang_detected') then 'Watchdog auto-killing hung training process'
+  when contains(anomaly, 'oom_risk') then 'GPU OOM risk: ' || anomaly
+  else printf('Disk space critical: %.1fGB free', disk_free_gb) end as message
+from verdict where regexp_matches(coalesce(anomaly, ''), 'hang_detected|oom_risk|disk_full|disk_low')""",
+       views=("v_gpu", "v_snapshots"))
+def h12_actions(spark, sf):
+    v = H.classify_health(v_snapshots(spark, sf))
+    return H.action_notifications(v).select("run_id", "poll", "level", "message")

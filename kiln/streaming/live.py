@@ -89,26 +89,34 @@ STATE_SCHEMA = "counters string, last_action double"
 OUT_SCHEMA = "run_id string, ts timestamp, anomaly string, count long"
 
 
-def _gate(key, pdfs, state: GroupState):
-    (run_id,) = key
-    if state.exists:
-        c_json, last = state.get
-        st = (json.loads(c_json), last)
-    else:
+def _gate_fn(retire_s: float):
+    def fn(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()  # the run went quiet
+            return
         st = None
-    for pdf in pdfs:
-        out, st = gate_actions(pdf, state=st)
-        if len(out):
-            yield out
-    state.update((json.dumps(st[0]) if st else "{}", float(st[1]) if st else 0.0))
+        if state.exists:
+            c_json, last = state.get
+            st = (json.loads(c_json), last)
+        # the chunks of one run in a micro-batch are one sequence: ordered together
+        polls = [p for p in pdfs if len(p)]
+        if polls:
+            out, st = gate_actions(pd.concat(polls, ignore_index=True), state=st)
+            if len(out):
+                yield out
+        state.update((json.dumps(st[0]) if st else "{}", float(st[1]) if st else 0.0))
+        state.setTimeoutDuration(int(retire_s * 1000))
+    return fn
 
 
-def actions_stream(verdicts: DataFrame) -> DataFrame:
+def actions_stream(verdicts: DataFrame, retire_after_s: float = 86_400.0) -> DataFrame:
     """H09 live: the action gate as ``applyInPandasWithState`` per run; the
     state (counters, last action time) survives micro-batches and restarts
-    through the checkpoint. Input columns: run_id, ts, anomaly, in_grace."""
+    through the checkpoint, and goes when a run is silent for
+    ``retire_after_s`` seconds (processing time). A micro-batch holds a run's
+    polls since the last one. Input columns: run_id, ts, anomaly, in_grace."""
     return verdicts.groupBy("run_id").applyInPandasWithState(
-        _gate, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _gate_fn(retire_after_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoint: str | None = None,
