@@ -15,75 +15,94 @@ from kiln.sources import files as S
 from kiln.sources import sinks as K
 
 
-def _write_text(df, col, path, by="source"):
-    """One text file per ``by`` value, lines in ``line_no`` order."""
-    (df.repartition(by).sortWithinPartitions(by, "line_no").select(by, col)
-       .write.partitionBy(by).mode("overwrite").text(path))
+CHUNK = 200  # documents to a file: files and archives stay small however many documents there are
+
+
+def _chunk(col: str = "doc_id"):
+    return F.floor(F.col(col) / CHUNK).cast("bigint").alias("chunk")
+
+
+def _write_text(df, col, path, by="source", order="line_no"):
+    """Text files of one ``by`` value and ``CHUNK`` lines each, in ``order``."""
+    keyed = df.select("*", _chunk(order))
+    (keyed.repartition(by, "chunk").sortWithinPartitions(by, "chunk", order).select(by, "chunk", col)
+       .write.partitionBy(by, "chunk").mode("overwrite").text(path))
     return path
 
 
+def _source(df):
+    return df.withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1))
+
+
 @query("S01_read_jsonl", """select source, count(*)::bigint as lines, count(*) filter (where trim(line) = '')::bigint as blank,
-  count(*) filter (where not json_valid(line))::bigint as bad, max(rn)::bigint as max_line_no
-from (select *, row_number() over (partition by source order by line_no) as rn from v_jsonl) t group by source""",
+  count(*) filter (where not json_valid(line))::bigint as bad, sum(rn)::bigint as line_nos, sum(length(line))::bigint as chars
+from (select *, row_number() over (partition by source, line_no // 200 order by line_no) as rn from v_jsonl) t group by source""",
        views=("v_jsonl",))
 def s01(spark, sf):
     p = _write_text(v_jsonl(spark, sf), "line", scratch_path(spark, "jsonl"))
-    r = S.read_jsonl(spark, p).withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1))
+    r = _source(S.read_jsonl(spark, p))
     return r.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("lines"),
                                    F.count_if("is_blank").cast("bigint").alias("blank"),
                                    F.count_if("is_bad").cast("bigint").alias("bad"),
-                                   F.max("line_no").cast("bigint").alias("max_line_no"))
+                                   F.sum("line_no").cast("bigint").alias("line_nos"),
+                                   F.sum(F.char_length("raw")).cast("bigint").alias("chars"))
+
+
+def _json_documents(spark, sf, build, name):
+    """JSON documents of one source and ``CHUNK`` records each."""
+    doc = table(spark, sf, "documents").groupBy("source", _chunk()).agg(F.to_json(build(F.collect_list(
+        F.struct("doc_id", "lang", "text")))).alias("j"))
+    p = scratch_path(spark, name)
+    doc.write.partitionBy("source", "chunk").mode("overwrite").text(p)
+    return p
+
+
+_RECORDS_SQL = """select doc_id, lang, text from documents"""
+
 
+def _records(r):
+    get = lambda k, t: F.variant_get("rec", f"$.{k}", t).alias(k)
+    return r.select(get("doc_id", "bigint"), get("lang", "string"), get("text", "string"))
 
-@query("S02_read_json_doc", """select source, count(*)::bigint as records from documents group by source""")
+
+@query("S02_read_json_doc", _RECORDS_SQL)
 def s02(spark, sf):
-    d = table(spark, sf, "documents")
-    doc = d.groupBy("source").agg(F.to_json(F.struct(F.lit(1).alias("version"),
-                                                     F.collect_list(F.struct("doc_id", "lang")).alias("rows"))).alias("j"))
-    p = scratch_path(spark, "jsondoc")
-    doc.repartition("source").select("source", "j").write.partitionBy("source").mode("overwrite").text(p)
-    r = S.read_json_doc(spark, p).withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1))
-    return r.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("records"))
+    p = _json_documents(spark, sf, lambda rows: F.struct(F.lit(1).alias("version"), rows.alias("rows")), "jsondoc")
+    return _records(S.read_json_doc(spark, p))
 
 
-@query("S03_read_json_envelope", """select source, count(*)::bigint as records from documents group by source""")
+@query("S03_read_json_envelope", _RECORDS_SQL)
 def s03(spark, sf):
-    d = table(spark, sf, "documents")
-    doc = d.groupBy("source").agg(F.to_json(F.struct(F.collect_list(F.struct("doc_id")).alias("other"),
-                                                     F.collect_list(F.struct("doc_id", "lang")).alias("samples"))).alias("j"))
-    p = scratch_path(spark, "jsonenv")
-    doc.repartition("source").select("source", "j").write.partitionBy("source").mode("overwrite").text(p)
-    r = S.read_json_doc(spark, p, rule="envelope").withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1))
-    return r.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("records"))
+    p = _json_documents(spark, sf, lambda rows: F.struct(F.array(F.lit(1)).alias("other"), rows.alias("samples")), "jsonenv")
+    return _records(S.read_json_doc(spark, p, rule="envelope"))
 
 
 def _qa_csv(spark, sf, sep):
+    """Question/answer rows with quotes, separators and line breaks as they are."""
     c = table(spark, sf, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     qa = q.join(a, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
-        F.regexp_replace("question", r"[\r\n\t,\"]", " ").alias("question"),
-        F.regexp_replace("answer", r"[\r\n\t,\"]", " ").alias("answer"))
+        F.concat(F.lit('say "'), F.col("question"), F.lit('", then\tgo')).alias("question"), "answer")
     p = scratch_path(spark, "csv")
-    qa.write.option("header", "true").option("sep", sep).mode("overwrite").csv(p)
+    (qa.write.option("header", "true").option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+       .option("ignoreTrailingWhiteSpace", "false").mode("overwrite").csv(p))
     return p
 
 
-_QA_SQL = """select count(*)::bigint as rows, sum(length(regexp_replace(a.text, '[\\r\\n\\t,"]', ' ', 'g')))::bigint as answer_chars
+_QA_SQL = """select q.conv_id || '-' || q.turn as id, 'say "' || q.text || '", then' || chr(9) || 'go' as question, a.text as answer
 from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user'"""
 
 
 @query("S04_read_csv", _QA_SQL)
 def s04(spark, sf):
-    r = S.read_delimited(spark, _qa_csv(spark, sf, ","), ",")
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum(F.char_length("answer")).cast("bigint").alias("answer_chars"))
+    return S.read_delimited(spark, _qa_csv(spark, sf, ","), ",")
 
 
 @query("S05_read_tsv", _QA_SQL)
 def s05(spark, sf):
-    r = S.read_delimited(spark, _qa_csv(spark, sf, "\t"), "\t")
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum(F.char_length("answer")).cast("bigint").alias("answer_chars"))
+    return S.read_delimited(spark, _qa_csv(spark, sf, "\t"), "\t")
 
 
 @query("S06_read_parquet", """select source, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents group by source""")
@@ -92,181 +111,285 @@ def s06(spark, sf):
     return d.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("n_chars").cast("bigint").alias("chars"))
 
 
-@query("S07_read_xml", """select count(*)::bigint as records, sum(len(lang))::bigint as lang_chars from documents""")
+@query("S07_read_xml", """select doc_id as id, lang, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') as text from documents""")
 def s07(spark, sf):
-    d = table(spark, sf, "documents")
-    body = d.groupBy("source").agg(F.concat(F.lit("<dataset><meta/>"), F.concat_ws("", F.collect_list(F.format_string(
-        '<record id="%d"><lang>%s</lang></record>', F.col("doc_id"), F.col("lang")))), F.lit("</dataset>")).alias("x"))
+    escaped = F.col("text")
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(ref))
+    record = F.concat(F.lit('<record id="'), F.col("doc_id").cast("string"), F.lit('"><lang>'), F.col("lang"),
+                      F.lit("</lang><text>"), escaped, F.lit("</text></record>"))
+    body = table(spark, sf, "documents").groupBy("source", _chunk()).agg(F.concat(
+        F.lit("<dataset><meta/>"), F.concat_ws("", F.collect_list(record)), F.lit("</dataset>")).alias("x"))
     p = scratch_path(spark, "xml")
-    body.select("source", "x").repartition("source").write.partitionBy("source").mode("overwrite").text(p)
+    body.write.partitionBy("source", "chunk").mode("overwrite").text(p)
     r = S.read_xml(spark, p)
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("records"), F.sum(F.char_length("lang")).cast("bigint").alias("lang_chars"))
+    return r.select(F.col("_id").cast("bigint").alias("id"), "lang", F.regexp_replace("text", r"[ \t\r\n]+", "").alias("text"))
 
 
-@query("S08_read_lines", """select count(*)::bigint as lines from (select unnest(string_split(text, chr(10))) as l from documents)""")
+@query("S08_read_lines", """select count(*)::bigint as lines, sum(length(l))::bigint as chars
+from (select unnest(string_split(text, chr(10))) as l from documents)""")
 def s08(spark, sf):
     d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("line_no"), "text")
     p = _write_text(d, "text", scratch_path(spark, "lines"))
-    return S.read_lines(spark, p).agg(F.count(F.lit(1)).cast("bigint").alias("lines"))
+    return S.read_lines(spark, p).agg(F.count(F.lit(1)).cast("bigint").alias("lines"),
+                                      F.sum(F.char_length("line")).cast("bigint").alias("chars"))
 
 
-def _archives(spark, sf):
-    """One zip per source holding its documents as JSON lines (written by a
-    per-source pandas task)."""
+def _storage(p):
+    """File system and root of a path, local or shared storage alike."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(p if "://" in p else "file://" + p.replace("file:", "", 1))
+
+
+def _archives(spark, sf, kind="zip"):
+    """Archives of one source and ``CHUNK`` documents each as JSON lines, written by the tasks."""
     import io
+    import tarfile
     import zipfile
 
     import pandas as pd
 
-    d = table(spark, sf, "documents").select("source", "doc_id", "lang")
-    p = scratch_path(spark, "zips")
+    d = table(spark, sf, "documents").select("source", _chunk(), "doc_id", "lang", "text")
+    p = scratch_path(spark, f"archives-{kind}")
 
     def pack(key, pdf):
-        from pyarrow import fs
+        source, chunk = key
+        rows = pdf.sort_values("doc_id")[["doc_id", "lang", "text"]].to_json(orient="records", lines=True).encode()
+        members = [("README.md", b"docs"), (f"{source}/train.jsonl", rows)]
         buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("README.md", "docs")
-            z.writestr(f"{key[0]}/train.jsonl", pdf[["doc_id", "lang"]].to_json(orient="records", lines=True))
-        uri = p if "://" in p else "file://" + p.replace("file:", "", 1)
-        filesystem, root = fs.FileSystem.from_uri(uri)  # local or shared storage alike
+        if kind == "zip":
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, data in members:
+                    z.writestr(name, data)
+        else:
+            with tarfile.open(fileobj=buf, mode="w:gz") as t:
+                for name, data in members:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        filesystem, root = _storage(p)
         filesystem.create_dir(root, recursive=True)
-        with filesystem.open_output_stream(f"{root}/{key[0]}.zip") as f:
+        with filesystem.open_output_stream(f"{root}/{source}-{chunk}.{kind}", compression=None) as f:
             f.write(buf.getvalue())
-        return pd.DataFrame({"source": [key[0]], "n": [len(pdf)]})
-    d.groupBy("source").applyInPandas(pack, "source string, n long").collect()
+        return pd.DataFrame({"n": [len(pdf)]})
+    d.groupBy("source", "chunk").applyInPandas(pack, "n long").agg(F.sum("n")).collect()
     return p
 
 
-@query("S09_read_archive", """select count(distinct source)::bigint as archives, 2 * count(distinct source)::bigint as members from documents""")
+_PARTS = "(select distinct source, doc_id // 200 as chunk from documents)"
+
+
+@query("S09_read_archive", f"""select source || '-' || chunk || '.zip' as archive, m as member
+from {_PARTS} t, (values ('README.md'), ('train.jsonl')) v(m)""")
 def s09(spark, sf):
     m = S.read_archive(spark, _archives(spark, sf))
-    return m.agg(F.count_distinct("archive").cast("bigint").alias("archives"), F.count(F.lit(1)).cast("bigint").alias("members"))
+    return m.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), F.element_at(F.split("member", "/"), -1).alias("member"))
 
 
-@query("S10_first_data_member", """select source || '.zip' as archive, source || '/train.jsonl' as member from documents group by source""")
+@query("S10_first_data_member", f"""select source || '-' || chunk || '.tar.gz' as archive, source || '/train.jsonl' as member from {_PARTS} t""")
 def s10(spark, sf):
-    f = S.first_data_member(S.read_archive(spark, _archives(spark, sf)))
+    f = S.first_data_member(S.read_archive(spark, _archives(spark, sf, "tar.gz")))
     return f.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member")
 
 
 def _tree(spark, sf):
-    """A folder tree: per source a data file, a log, and 'images' named by doc."""
-    d = table(spark, sf, "documents")
-    p = scratch_path(spark, "tree")
-    d.select("source", "doc_id", "lang").write.partitionBy("source").mode("overwrite").json(p + "/data")
+    """A folder tree: a data file per source and chunk, and an 'image' per document."""
     import pandas as pd
 
-    def put(key, pdf):
-        from pyarrow import fs
-        uri = p if "://" in p else "file://" + p.replace("file:", "", 1)
-        filesystem, root = fs.FileSystem.from_uri(uri)
-        filesystem.create_dir(f"{root}/images/{key[0]}", recursive=True)
-        for i in pdf["doc_id"]:
-            with filesystem.open_output_stream(f"{root}/images/{key[0]}/{i}.png") as f:
-                f.write(b"\x89PNG")
-        return pd.DataFrame({"n": [len(pdf)]})
-    d.where(F.col("doc_id") % 10 == 0).groupBy("source").applyInPandas(put, "n long").collect()
+    d = table(spark, sf, "documents").select("source", _chunk(), "doc_id", "lang")
+    p = scratch_path(spark, "tree")
+    d.repartition("source", "chunk").write.partitionBy("source", "chunk").mode("overwrite").json(p + "/data")
+
+    def put(batches):
+        filesystem, root = _storage(p)
+        for pdf in batches:
+            for source, i in zip(pdf["source"], pdf["doc_id"]):
+                filesystem.create_dir(f"{root}/images/{source}", recursive=True)
+                with filesystem.open_output_stream(f"{root}/images/{source}/{i}.png") as f:
+                    f.write(b"\x89PNG")
+            yield pd.DataFrame({"n": [len(pdf)]})
+    d.repartition(8).mapInPandas(put, "n long").agg(F.sum("n")).collect()
     return p
 
 
-@query("S11_list_images", """select count(*)::bigint as images, 4 * count(*)::bigint as bytes from documents where doc_id % 10 = 0""")
+@query("S11_list_images", """select count(*)::bigint as images, 4 * count(*)::bigint as bytes from documents""")
 def s11(spark, sf):
     return S.list_images(spark, _tree(spark, sf)).agg(F.count(F.lit(1)).cast("bigint").alias("images"),
                                                       F.sum("length").cast("bigint").alias("bytes"))
 
 
-@query("S12_file_inventory")
+@query("S12_file_inventory", f"""with n as (select count(*) as files from {_PARTS}),
+b as (select sum(length('{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}') + 1) + 4 * count(*) as bytes, count(*) as docs from documents)
+select docs + files as file_count, round(bytes / 1024.0 / 1024.0, 2) as total_size_mb, files as data_files from n, b""")
 def s12(spark, sf):
     return S.inventory_summary(S.file_inventory(spark, _tree(spark, sf)))
 
 
-@query("S13_extension_counts")
+@query("S13_extension_counts", f"""select '.png' as ext, count(*) as count from documents union all select '.json', count(*) from {_PARTS}""")
 def s13(spark, sf):
     return S.extension_counts(S.file_inventory(spark, _tree(spark, sf)))
 
 
-@query("S14_expand_datasets")
+@query("S14_expand_datasets", """select distinct 'source=' || source as dataset from documents""")
 def s14(spark, sf):
     return S.expand_datasets(S.file_inventory(spark, _tree(spark, sf) + "/data"))
 
 
-@query("S15_sniff_format", """select 'jsonl' as format, count(distinct source)::bigint as files from documents""")
+@query("S15_sniff_format", f"""select 'jsonl' as format, count(*)::bigint as files from {_PARTS}""")
 def s15(spark, sf):
     p = _write_text(v_jsonl_chat(spark, sf), "line", scratch_path(spark, "sniff"))
     f = S.sniff_format(S.read_lines(spark, p))
     return f.groupBy("format").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
 
 
-@query("S16_read_any", """select count(*)::bigint as n from documents""")
+@query("S16_read_any", """select f as format, count(*)::bigint as n, sum(doc_id)::bigint as ids
+from documents, (values ('parquet'), ('csv'), ('jsonl folder'), ('parquet folder')) v(f) group by f""")
 def s16(spark, sf):
-    return S.read_any(spark, f"{sf.rstrip('/')}/documents.parquet").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    """The same table through several readers, by suffix and by a folder's files."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    p = scratch_path(spark, "any")
+    d.write.option("header", "true").csv(f"{p}/docs.csv")
+
+    def put(batches):
+        import uuid
+
+        import pandas as pd
+        filesystem, root = _storage(p)
+        filesystem.create_dir(f"{root}/lines/part", recursive=True)
+        for pdf in batches:
+            with filesystem.open_output_stream(f"{root}/lines/part/{uuid.uuid4().hex}.jsonl") as f:
+                f.write(pdf.to_json(orient="records", lines=True).encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+    d.repartition(4).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    d.write.partitionBy("source").parquet(f"{p}/columns")
+    lines = S.read_any(spark, f"{p}/lines")
+    ids = {"parquet": S.read_any(spark, f"{sf.rstrip('/')}/documents.parquet").select("doc_id"),
+           "csv": S.read_any(spark, f"{p}/docs.csv").select(F.col("doc_id").cast("bigint").alias("doc_id")),
+           "jsonl folder": lines.select(F.variant_get("rec", "$.doc_id", "bigint").alias("doc_id")),
+           "parquet folder": S.read_any(spark, f"{p}/columns").select("doc_id")}
+    out = None
+    for name, df in ids.items():
+        part = df.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("doc_id").alias("ids")).select(
+            F.lit(name).alias("format"), "n", "ids")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("S17_estimate_rows", """select count(*)::bigint as n from events""")
 def s17(spark, sf):
-    n = S.estimate_rows(table(spark, sf, "events"))
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"))
+    return S.estimate_rows(table(spark, sf, "events"))
 
 
-@query("S18_read_logs", """select count(distinct user_id)::bigint as logs, count(*)::bigint as lines from events""")
+@query("S18_read_logs", """select log_id, line_no, line from v_log""", views=("v_log",))
 def s18(spark, sf):
     from kiln.plans.views import v_log
-    v = v_log(spark, sf).withColumn("source", F.col("log_id"))
-    p = _write_text(v, "line", scratch_path(spark, "logs"))
-    r = S.read_logs(spark, p, id_pattern=r"source=([^/]+)/")
-    return r.agg(F.count_distinct("log_id").cast("bigint").alias("logs"), F.count(F.lit(1)).cast("bigint").alias("lines"))
+    v = v_log(spark, sf)
+    p = scratch_path(spark, "logs")
+    # one file per log, as logs are: a log's lines go through one task in order
+    (v.repartition("log_id").sortWithinPartitions("log_id", "line_no").select("log_id", "line")
+       .write.partitionBy("log_id").mode("overwrite").text(p))
+    return S.read_logs(spark, p, id_pattern=r"log_id=([^/]+)/").select("log_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
 
+def _log_files(spark, sf):
+    from kiln.plans.views import v_log
+    p = scratch_path(spark, "live")
+    v = v_log(spark, sf)
+    (v.repartition("log_id").sortWithinPartitions("log_id", "line_no").select(F.concat_ws("|", "log_id", "line_no", "line").alias("value"))
+       .write.mode("overwrite").text(p))
+    return p
 
-@query("S20_read_eval_results", """select count(*)::bigint as experiments from (select distinct user_id from events)""")
+
+def _drained(df, spark, name):
+    """Run a stream over all files that are there, into files, and read those."""
+    out = scratch_path(spark, name)
+    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("S19_stream_logs", """select log_id, line_no, line from v_log""", views=("v_log",))
+def s19(spark, sf):
+    """Lines as a stream brings them, against the same lines in batch."""
+    from kiln.streaming.live import stream_logs
+    got = _drained(stream_logs(spark, _log_files(spark, sf)).select("line"), spark, "s19")
+    parts = F.split("line", r"\|", 3)
+    return got.select(parts[0].alias("log_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"))
+
+
+@query("U04_stream_callbacks", """select log_id, line_no, error_type from (select *, case
+  when regexp_matches(line, '(?i)(?:CUDA|GPU)\\s*(?:out\\s*of\\s*memory|OOM)') or regexp_matches(line, '(?i)ResourceExhaustedError') then 'OOM'
+  when regexp_matches(line, '(?i)(?:FATAL|Fatal error|CRITICAL)') then 'FATAL' when regexp_matches(line, '(?i)loss.*(?:NaN|nan|inf)') then 'NaN'
+  when regexp_matches(line, '(?i)NCCL.*(?:error|timeout|abort)') then 'NCCL' when regexp_matches(line, '(?:^|\\s)ERROR') then 'ERROR'
+  when regexp_matches(line, '(?i)(?:^|\\s)WARNING') and not regexp_matches(line, 'NCCL|LAUNCH|RAS') then 'WARNING' end as error_type
+  from v_log) t where error_type is not null""", views=("v_log",))
+def u04(spark, sf):
+    """A callback on every batch of errors of a stream: it appends them to a notification log."""
+    from kiln.streaming.live import notify_sink, stream_errors_transform, stream_logs
+    parts = F.split("line", r"\|", 3)
+    lines = stream_logs(spark, _log_files(spark, sf)).select(
+        parts[0].alias("log_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"))
+    out = scratch_path(spark, "u04")
+    errors = stream_errors_transform(lines).select("log_id", "line_no", "error_type")
+    q = (errors.writeStream.foreachBatch(notify_sink(out)).option("checkpointLocation", out + "-checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("log_id string, line_no bigint, error_type string").json(out)
+
+
+@query("S20_read_eval_results", """select 'run-' || user_id as experiment_id, count(*)::bigint as points, round(sum(value), 6) as total
+from events group by user_id""")
 def s20(spark, sf):
     e = table(spark, sf, "events")
     res = e.groupBy("user_id").agg(F.struct(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("experiment_id"),
                                             F.struct(F.collect_list("value").alias("train_loss")).alias("history")).alias("r"))
-    # one JSON array of result documents per file (20 files), as a results folder holds them
-    docs = res.groupBy((F.col("user_id") % 20).alias("part")).agg(F.to_json(F.collect_list("r")).alias("j"))
+    # JSON arrays of the results of 50 experiments a file, as a results folder holds them
+    docs = res.groupBy(F.floor(F.col("user_id") / 50).alias("part")).agg(F.to_json(F.collect_list("r")).alias("j"))
     p = scratch_path(spark, "evals")
-    docs.repartition("part").write.partitionBy("part").mode("overwrite").text(p)
+    docs.write.partitionBy("part").mode("overwrite").text(p)
     r = S.read_eval_results(spark, p)
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("experiments"))
+    return r.select("experiment_id", F.size("history.train_loss").cast("bigint").alias("points"), F.round(
+        F.aggregate("history.train_loss", F.lit(0.0).cast("double"), lambda a, b: a + b), 6).alias("total"))
 
 
-@query("S21_read_detections", """select count(*)::bigint as records, sum(n_chars % 5)::bigint as boxes from documents""")
+@query("S21_read_detections", """select doc_id || '.png' as image_name, source, './img/' || doc_id || '.png' as image_path,
+  (n_chars % 5)::int as num_boxes, (4 * (n_chars % 5))::int as n_numbers from documents""")
 def s21(spark, sf):
     d = table(spark, sf, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
     rec = d.select("source", F.col("doc_id").alias("line_no"), F.to_json(F.struct(
-        F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("image_name"), F.col("source").alias("source"),
-        F.concat(F.lit("./img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"),
+        name.alias("image_name"), F.col("source").alias("source"), F.concat(F.lit("./img/"), name).alias("image_path"),
         F.array_repeat(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), (F.col("n_chars") % 5).cast("int")).alias("bboxes"),
         (F.col("n_chars") % 5).cast("int").alias("num_boxes"))).alias("line"))
     p = _write_text(rec, "line", scratch_path(spark, "det"))
     r = S.read_detections(spark, p)
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("records"), F.sum(F.size("bboxes")).cast("bigint").alias("boxes"))
+    return r.select("image_name", "source", "image_path", "num_boxes", F.size(F.flatten("bboxes")).alias("n_numbers"))
 
 
 # ------------------------------------------------------------ sinks
 
-@query("K01_write_jsonl", """select count(*)::bigint as n, count(*) filter (where value > 400)::bigint as nulls from events""")
+@query("K01_write_jsonl", """select event_id, case when value > 400 then null else value end as value from events""")
 def k01(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.when(F.col("value") > 400, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
     p = scratch_path(spark, "k01")
     K.write_jsonl(e, p)
-    r = spark.read.schema("event_id long, value double").json(p)
-    return r.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.count_if(F.col("value").isNull()).cast("bigint").alias("nulls"))
+    return spark.read.schema("event_id long, value double").json(p)
 
 
-@query("K02_write_splits", """with r as (select row_number() over (order by md5('42|' || cast(doc_id as varchar)), doc_id) as rk,
+@query("K02_write_splits", """with r as (select doc_id, source, row_number() over (order by md5('42|' || cast(doc_id as varchar)), doc_id) as rk,
   count(*) over () as n from documents)
-select case when rk <= floor(n * 0.9) then 'train' when rk <= floor(n * 0.9) + floor(n * 0.05) then 'val' else 'test' end as split,
-  count(*)::bigint as n from r group by 1""")
+select doc_id, source, case when rk <= floor(n * 0.9) then 'train' when rk <= floor(n * 0.9) + floor(n * 0.05) then 'val' else 'test' end as split
+from r""")
 def k02(spark, sf):
     from kiln.operators.sampling import split_exact
     s = split_exact(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 0.9, 0.05)
     p = scratch_path(spark, "k02")
     K.write_splits(s, p)
-    return spark.read.json(p).groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return spark.read.json(p).select("doc_id", "source", "split")
 
 
-@query("K03_append_notifications", """select count(*)::bigint as n from events where event_type = 'error'""")
+@query("K03_append_notifications", """select 'WARN' as level, props as message from events where event_type = 'error'""")
 def k03(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'error'")
     p = scratch_path(spark, "k03")
@@ -274,7 +397,7 @@ def k03(spark, sf):
     rest = e.where(F.col("event_id") % 2 == 1).select(F.lit("WARN").alias("level"), F.col("props").alias("message"))
     K.append_notifications(half, p)
     K.append_notifications(rest, p)
-    return spark.read.json(p).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return spark.read.json(p).select("level", "message")
 
 
 _IDX = """old as (select source as source_path, count(*) as n from documents where doc_id % 2 = 0 group by source),
@@ -310,13 +433,14 @@ def k06(spark, sf):
     return K.append_if_absent(old, new, ["id"])
 
 
-@query("U01_register_converter", """select count(*)::bigint as n from (select distinct conv_id from conversations)""")
+@convert.register_converter("messages", "turn_count")
+def _turn_count(df):
+    return df.select("conv_id", F.size("messages").cast("bigint").alias("turns"))
+
+
+@query("U01_register_converter", """select conv_id, count(*)::bigint as turns from conversations group by conv_id""")
 def u01(spark, sf):
-    @convert.register_converter("messages", "turn_count")
-    def to_count(df):
-        return df.select("conv_id", F.size("messages").alias("turns"))
-    out = convert.convert(convert.turns_to_messages(table(spark, sf, "conversations")), "messages", "turn_count")
-    return out.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return convert.convert(convert.turns_to_messages(table(spark, sf, "conversations")), "messages", "turn_count")
 
 
 def _user_fn(batches):
@@ -324,16 +448,18 @@ def _user_fn(batches):
         yield pdf.assign(question=pdf["lang"].str.upper(), answer=pdf["source"])[["doc_id", "question", "answer"]]
 
 
-@query("U02_user_conversion", """select count(*)::bigint as n from documents""")
+@query("U02_user_conversion", """select doc_id, upper(lang) as question, source as answer from documents""")
 def u02(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    trial = convert.user_conversion(d, _user_fn, "doc_id long, question string, answer string", trial_rows=100)
-    assert trial.count() <= 100
     full = convert.user_conversion(d, _user_fn, "doc_id long, question string, answer string")
     e = convert.csv_qa_to_erniekit(full, keep=["doc_id"])
-    return e.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return e.select("doc_id", F.col("text_info")[0]["text"].alias("question"), F.col("text_info")[1]["text"].alias("answer"))
 
 
-@query("U03_archive_members", """select 2 * count(distinct source)::bigint as members from documents""")
+@query("U03_archive_members", """select doc_id, lang, text from documents""")
 def u03(spark, sf):
-    return S.read_archive(spark, _archives(spark, sf)).agg(F.count(F.lit(1)).cast("bigint").alias("members"))
+    """The documents back from the members of their archives."""
+    m = S.read_archive(spark, _archives(spark, sf), with_content=True).where(F.col("member").endswith(".jsonl"))
+    rec = m.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where(F.col("line") != "").select(
+        F.from_json("line", "doc_id bigint, lang string, text string").alias("r"))
+    return rec.select("r.*")

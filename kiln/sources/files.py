@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tarfile
 import zipfile
 
@@ -88,17 +89,18 @@ def read_json_doc(spark: SparkSession, path: str, rule: str = "first_list") -> D
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_cols: list[str] | None = None) -> DataFrame:
-    """CSV/TSV with a header, UTF-8. Rows with more fields than the
-    header are skipped, short rows are padded with nulls (as pandas does with
-    ``on_bad_lines='skip'``): the schema has one spare ``_extra`` column and
-    rows that fill it are dropped."""
+    """CSV/TSV with a header, UTF-8; quoted fields may hold doubled
+    quotes, separators and line breaks. Rows with more fields than the header
+    are skipped, short rows are padded with nulls (as pandas does with
+    ``on_bad_lines='skip'``): the schema has one spare ``_extra`` column, which
+    stays null unless a row fills it. Empty fields are null."""
+    options = {"header": "true", "sep": sep, "encoding": "UTF-8", "multiLine": "true", "quote": '"', "escape": '"',
+               "nullValue": "\u0001", "emptyValue": ""}
     if header_cols is None:
-        first = spark.read.format("text").load(path).limit(1).collect()  # the header line only
-        header_cols = [c.strip() for c in first[0][0].split(sep)] if first else []
+        header_cols = [c.strip() for c in spark.read.options(**options).csv(path).columns]
     schema = StructType([StructField(c, StringType()) for c in header_cols] + [StructField("_extra", StringType())])
-    df = (spark.read.format("csv").option("header", "true").option("sep", sep).option("encoding", "UTF-8")
-               .option("mode", "PERMISSIVE").option("enforceSchema", "true").schema(schema).load(path))
-    return df.where(F.col("_extra").isNull()).drop("_extra")
+    df = spark.read.options(**options, mode="PERMISSIVE", enforceSchema="true").schema(schema).csv(path)
+    return df.where(F.col("_extra").isNull()).select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header_cols])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -115,27 +117,35 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
-def infer_row_tag(spark: SparkSession, path: str, sample_chars: int = 100_000) -> str:
-    """The most frequent direct child of the root element, counted on the
-    first ``sample_chars`` characters of the first document (a bounded
-    sample, as an inspection reads only the head of a file)."""
+def _child_tags(batches):
+    """Per document, how often each tag is a direct child of the root."""
     import re
     from collections import Counter
-
-    d = spark.read.format("text").option("wholetext", "true").load(path)
-    row = d.select(F.substring("value", 1, sample_chars).alias("v")).first()
-    text = row["v"] if row else ""
-    depth, counts = 0, Counter()
-    for m in re.finditer(r"<(/?)([A-Za-z_][\w.\-:]*)[^>]*?(/?)>", text):
-        closing, tag, selfclose = m.group(1), m.group(2), m.group(3)
-        if closing:
-            depth -= 1
-            continue
-        if depth == 1:
-            counts[tag] += 1
-        if not selfclose:
-            depth += 1
-    return counts.most_common(1)[0][0] if counts else "row"
+    tag_re = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z_][\w.\-:]*)[^>]*?(/?)>", re.S)
+    for pdf in batches:
+        counts: Counter = Counter()
+        for text in pdf["value"]:
+            depth = 0
+            for m in tag_re.finditer(text or ""):
+                closing, tag, empty = m.groups()
+                if tag is None:
+                    continue
+                if closing:
+                    depth -= 1
+                    continue
+                counts[tag] += depth == 1
+                depth += not empty
+        found = [(t, n) for t, n in counts.items() if n]
+        yield pd.DataFrame(found, columns=["tag", "n"])
+
+
+def infer_row_tag(spark: SparkSession, path: str) -> str:
+    """The most frequent direct child of the root element over all documents
+    (counted in tasks; one row comes back, the reader's option)."""
+    d = spark.read.format("text").option("wholetext", "true").load(path).select("value")
+    top = d.mapInPandas(_child_tags, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
+    row = top.orderBy(F.desc("n"), "tag").first()
+    return row["tag"] if row else "row"
 
 
 ARCHIVE_SCHEMA = "archive string, member string, size long, content binary"
@@ -193,11 +203,13 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Every file below ``path`` with size, extension, relative path and
     whether it counts as a data file (data extension and no skip pattern in
     the name). File contents are never read."""
-    root = os.path.abspath(path).rstrip("/")
+    bare = lambda x: re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", x)  # without scheme and authority
+    root = bare(path if path.startswith("/") or ":" in path else os.path.abspath(path)).rstrip("/") + "/"
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + root.replace(".", r"\.") + "/", "")
+    full = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    rel = F.when(full.startswith(root), F.substr(full, F.lit(len(root) + 1))).otherwise(F.element_at(F.split(full, "/"), -1))
     skip = F.exists(F.array(*[F.lit(p) for p in SKIP_NAME_PATTERNS]), lambda p: F.contains(name, p))
     return b.select("path", rel.alias("rel"), "length", "modificationTime", ext.alias("ext"),
                     (ext.isin(*DATA_EXTENSIONS) & ~skip).alias("is_data"))
@@ -227,10 +239,10 @@ def expand_datasets(inv: DataFrame) -> DataFrame:
 
 
 def sniff_format(lines: DataFrame, group: str = "file", pos: str = "line_no", line: str = "line") -> DataFrame:
-    """From the first non-empty of the first 5 lines: '{' jsonl,
-    '[' json, a comma csv, a tab tsv, else text."""
+    """From the first non-empty line: '{' jsonl, '[' json, a comma csv,
+    a tab tsv, else text."""
     s = ustrip(F.col(line))
-    head = lines.where(F.col(pos) <= 5).withColumn("_s", s).where(F.col("_s") != "")
+    head = lines.withColumn("_s", s).where(F.col("_s") != "")
     first = head.groupBy(group).agg(F.min_by("_s", pos).alias("_f"))
     f = F.col("_f")
     return first.select(group, F.when(f.startswith("{"), "jsonl").when(f.startswith("["), "json")
@@ -239,25 +251,10 @@ def sniff_format(lines: DataFrame, group: str = "file", pos: str = "line_no", li
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Route by suffix (driver-side dispatch, one reader per format).
-    A directory is read through its data files: the most common data
-    extension in its inventory (a small aggregate) picks the reader, which
-    then reads every such file below the directory."""
-    local = path.replace("file:", "", 1)
-    if "://" not in path and os.path.isdir(local):
-        inv = file_inventory(spark, path).where("is_data")
-        top = inv.groupBy("ext").count().orderBy(F.col("count").desc(), "ext").first()
-        if top is None:
-            return read_lines(spark, path)
-        ext = top["ext"]
-        if ext == ".parquet":
-            return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-        if ext in (".csv", ".tsv"):
-            return read_delimited(spark, f"{path.rstrip('/')}/**/*{ext}", "\t" if ext == ".tsv" else ",")
-        if ext == ".json":
-            return read_json_doc(spark, f"{path.rstrip('/')}/**/*.json")
-        if ext == ".xml":
-            return read_xml(spark, f"{path.rstrip('/')}/**/*.xml")
-        return read_jsonl(spark, f"{path.rstrip('/')}/**/*{ext}")
+    Any other path is taken as a folder, on any storage Spark reads: the most
+    common data extension in its inventory (a small aggregate) picks the
+    reader, which then reads every such file below it; a folder or file
+    without data files is read as JSON lines."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".parquet":
         return read_parquet(spark, path)
@@ -269,13 +266,35 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_archive(spark, path)
     if suffix == ".json":
         return read_json_doc(spark, path)
-    return read_jsonl(spark, path)
-
-
-def estimate_rows(df: DataFrame) -> int:
-    """Exact row count (the reference's CSV byte estimate is not needed
-    when counting is a distributed job)."""
-    return df.count()
+    if suffix == ".jsonl":
+        return read_jsonl(spark, path)
+    inv = file_inventory(spark, path).where("is_data")
+    top = inv.groupBy("ext").count().orderBy(F.col("count").desc(), "ext").first()
+    if top is None:
+        return read_jsonl(spark, path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{top['ext']}")
+    if top["ext"] == ".parquet":
+        return files.parquet(path)
+    found = f"{path.rstrip('/')}/**/*{top['ext']}"
+    if top["ext"] in (".csv", ".tsv"):
+        return read_delimited(spark, found, "\t" if top["ext"] == ".tsv" else ",")
+    return {".json": read_json_doc, ".xml": read_xml}.get(top["ext"], read_jsonl)(spark, found)
+
+
+def estimate_rows(df: DataFrame) -> DataFrame:
+    """The row count as one row ``n``: exact, as a lazy aggregate."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimate_csv_rows(spark: SparkSession, path: str, head_bytes: int = 4096) -> DataFrame:
+    """The estimate for delimited files: bytes / average row bytes of the
+    first ``head_bytes`` of each file (the estimate's feature: it reads no
+    further), per ``file``."""
+    b = spark.read.format("binaryFile").load(path)
+    head = F.substring("content", 1, head_bytes).cast("string")
+    rows = F.greatest(F.lit(1), F.char_length(head) - F.char_length(F.replace(head, F.lit("\n"))))
+    used = F.least(F.col("length"), F.lit(head_bytes))
+    return b.select(F.col("path").alias("file"), F.floor(F.col("length") / (used / rows)).cast("bigint").alias("rows"))
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
