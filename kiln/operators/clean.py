@@ -10,8 +10,8 @@ Scale notes
   ``groupBy(by, md5)`` (partial aggregation collapses a hot duplicate on the
   map side) and the kept rows come from ``min(struct(pos, ...))`` per md5, so a
   line repeated in a third of all rows costs one map-side combined group.
-* "First n" checks (format vote, validation error list, image-drop sample)
-  are ordered top-k (``TakeOrderedAndProject``) or ``pos``-range filters.
+* Checks read every line; ``n``, ``max_errors``, ``limit`` and the like are
+  optional and then ordered top-k (``TakeOrderedAndProject``).
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ def _has(v: Column, key: str) -> Column:
 
 
 def _str_nonblank(val: Column) -> Column:
-    """``str(val).strip() != ''`` for a VARIANT value that is present.
+    """``str(val).strip() != ''`` for a VARIANT value; a missing one is blank.
 
-    Only a string can be blank; numbers, booleans, null ("None"), lists and
-    objects always print as something."""
-    return F.when(_vtype(val) == "STRING",
+    Of those present only a string can be blank; numbers, booleans, null
+    ("None"), lists and objects always print as something."""
+    return F.when(val.isNull(), F.lit(False)).when(_vtype(val) == "STRING",
                   ustrip(F.variant_get(val, "$", "string")) != "").otherwise(F.lit(True))
 
 
@@ -129,14 +129,51 @@ def dedup_exact(lines: DataFrame, line: str = "line", pos: str = "pos",
     aggregation folds copies before the shuffle, so hot duplicates are cheap."""
     by = by or []
     d = disposition(lines, line).where(F.col("state") == "ok")
-    first = (d.groupBy(*by, "md5")
-              .agg(F.min(F.struct(F.col(pos).alias("pos"), F.col("s").alias("line"),
-                                  F.col("empty").alias("empty"))).alias("f")))
-    out = first.select(*by, F.col("f.pos").alias(pos), F.col("f.line").alias(line), "md5",
-                       F.col("f.empty").alias("empty"))
-    if drop_empty:
-        out = out.where(~F.col("empty"))
-    return out.drop("empty")
+    if drop_empty:  # all copies of a line are empty or none is
+        d = d.where(~F.col("empty"))
+    first = d.groupBy(*by, "md5").agg(F.min(pos).alias(pos))
+    return d.join(first, [*by, "md5", pos], "left_semi").select(*by, pos, F.col("s").alias(line), "md5")
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    j = F.to_json(F.array(text))
+    return F.substr(j, F.lit(2), F.char_length(j) - 2)
+
+
+def _printed(v: Column) -> Column:
+    """``str(value)`` of a VARIANT value."""
+    return (F.when(_vtype(v) == "STRING", F.variant_get(v, "$", "string")).when(_vtype(v) == "VOID", "None")
+             .when(_vtype(v) == "BOOLEAN", F.initcap(F.to_json(v))).otherwise(F.to_json(v)))
+
+
+def _object_json(v: Column, rewrite: dict) -> Column:
+    """JSON text of an object, the values of the keys in ``rewrite`` through
+    its functions (VARIANT -> JSON text, null to leave one); null if ``v`` is
+    no object."""
+    value = lambda e: F.coalesce(*[F.when(e["key"] == k, fn(e["value"])) for k, fn in rewrite.items()], F.to_json(e["value"]))
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    pairs = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), value(e)))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def normalized_json(v: Column) -> Column:
+    """C04 on a parsed object: its JSON text with ``text_info[].text`` and
+    ``messages[].content`` stripped; other values print as they are."""
+    def items(field: str):
+        strip = {field: lambda x: _quoted(ustrip(_printed(x)))}
+        return lambda x: F.concat(F.lit("["), F.array_join(F.transform(
+            F.try_variant_get(x, "$", "array<variant>"),
+            lambda t: F.coalesce(_object_json(t, strip), F.to_json(t))), ","), F.lit("]"))
+    return _object_json(v, {"text_info": items("text"), "messages": items("content")})
+
+
+def clean_lines(lines: DataFrame, line: str = "line", pos: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """C01-C05 in one call, the rows a clean run writes: first occurrences of
+    parseable, non-empty objects with normalised texts (C04), one JSON text
+    per row with its position; ``clean_stats`` gives the counts."""
+    kept = dedup_exact(lines, line, pos, by, drop_empty=True)
+    return kept.withColumn(line, normalized_json(F.try_parse_json(F.col(line)))).drop("md5")
 
 
 def drop_empty_typed(df: DataFrame) -> DataFrame:
@@ -168,13 +205,15 @@ MESSAGES_REQUIRED = ["messages"]
 
 
 def detect_format(lines: DataFrame, line: str = "line", pos: str = "pos",
-                  by: list[str] | None = None, n: int = 20) -> DataFrame:
-    """Vote over the first ``n`` physical lines of each group: any
+                  by: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """Vote over the lines of each group (``n``: the first so many): any
     erniekit object wins, else any messages object, else null."""
     by = by or []
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(pos)) if by else None
     p = parse_lines(lines, line)
-    if by:
+    if n is None:
+        head = p
+    elif by:
         # rank <= n per group becomes a WindowGroupLimit (top-n per partition before the shuffle)
         head = p.withColumn("_rn", rn).where(F.col("_rn") <= n)
     else:
@@ -216,10 +255,9 @@ def _errors_messages(v: Column, is_json: Column) -> Column:
 
 
 def validation_errors(lines: DataFrame, fmt: str, line: str = "line", pos: str = "pos",
-                      max_errors: int | None = 10) -> DataFrame:
-    """The first error lines, up to and including the line at which
-    ``max_errors`` messages are reached (``None``: every error). Columns
-    ``line_no, k, error``.
+                      max_errors: int | None = None) -> DataFrame:
+    """Every error (``max_errors``: up to and including the line at
+    which so many are reached). Columns ``line_no, k, error``.
 
     Only the first ``max_errors`` erroneous lines can contribute, so an ordered
     top-k (no global sort) bounds the work; without a limit the errors are a
@@ -248,9 +286,16 @@ def validation_warnings(lines: DataFrame, line: str = "line", pos: str = "pos")
 
 
 def validation_summary(lines: DataFrame, fmt: str, line: str = "line", pos: str = "pos",
-                       max_errors: int = 10, max_checked: int = 10_000) -> DataFrame:
-    """Valid iff no errors; samples_checked = min(non-blank lines read
-    before the stop, ``max_checked``)."""
+                       max_errors: int | None = None) -> DataFrame:
+    """Valid iff no errors; samples_checked = non-blank lines read
+    (``max_errors``: up to the line at which so many errors stop the check)."""
+    if max_errors is None:
+        p = parse_lines(lines, line).where(~F.col("is_blank"))
+        found = _errors_erniekit if fmt == "erniekit" else _errors_messages
+        a = p.select(F.size(found(F.col("v"), F.col("v").isNotNull())).alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_errors"),
+            F.count(F.lit(1)).cast("bigint").alias("samples_checked"))
+        return a.select(F.lit(fmt).alias("format"), (F.col("n_errors") == 0).alias("valid"), "n_errors", "samples_checked")
     errs = validation_errors(lines, fmt, line, pos, max_errors)
     e = errs.agg(F.count(F.lit(1)).alias("n_errors"), F.max("line_no").alias("last_err"))
     n_errors = e.select("n_errors").scalar()
@@ -259,48 +304,51 @@ def validation_summary(lines: DataFrame, fmt: str, line: str = "line", pos: str
     n = nb.where(stop.isNull() | (F.col("p") <= stop)).agg(F.count(F.lit(1)).alias("n_lines"))
     return n.select(F.lit(fmt).alias("format"), (n_errors == 0).alias("valid"),
                     n_errors.cast("bigint").alias("n_errors"),
-                    F.least(F.col("n_lines"), F.lit(max_checked)).cast("bigint").alias("samples_checked"))
+                    F.col("n_lines").cast("bigint").alias("samples_checked"))
 
 
 # ------------------------------------------------------------- C10 - C15
 
-def image_refs(recs: DataFrame, pos: str = "pos", max_line: int | None = 10_000) -> DataFrame:
-    """Relative (``./``) image urls of erniekit lines (``image_info`` objects)."""
+def image_refs(recs: DataFrame, pos: str = "pos", max_line: int | None = None) -> DataFrame:
+    """Relative (``./``) image urls of erniekit lines (``image_info`` objects)
+    with ``k``, their place in the line."""
     p = recs if "v" in recs.columns else parse_lines(recs)
     if max_line is not None:
         p = p.where(F.col(pos) <= max_line)
     arr = F.try_variant_get(F.col("v"), "$.image_info", "array<variant>")
     urls = F.transform(arr, lambda i: F.try_variant_get(i, "$.image_url", "string"))
-    return (p.select(F.col(pos).alias("line_no"), F.explode(urls).alias("url"))
+    return (p.select(F.col(pos).alias("line_no"), F.posexplode(urls).alias("k", "url"))
              .where(F.col("url").startswith("./")))
 
 
 def missing_images(recs: DataFrame, images: DataFrame, base_dir: str, pos: str = "pos",
-                   limit: int = 20) -> DataFrame:
-    """Relative image references with no file under ``base_dir``;
-    ``images`` is a path listing (``list_images``). Left anti join, then the
-    lines in order up to and including the one at which ``limit`` missing
-    references are reached (only the first ``limit`` such lines can matter,
-    so an ordered top-k bounds the work)."""
+                   limit: int | None = None) -> DataFrame:
+    """Relative image references with no file under ``base_dir``, as
+    ``line_no, k, url, missing`` (``k``: the reference's place in its line);
+    ``images`` is a path listing (``list_images``). ``limit``: the lines in
+    order up to and including the one at which so many are reached."""
     refs = image_refs(recs, pos).withColumn(
         "path", F.concat(F.lit(base_dir.rstrip("/") + "/"), F.substring("url", 3, 1 << 30)))
     have = images.select(F.regexp_replace("path", "^file:", "").alias("path"))
     miss = refs.join(have, "path", "left_anti")
-    per_line = miss.groupBy("line_no").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    text = F.format_string("Line %d: %s", F.col("line_no"), F.col("url")).alias("missing")
+    if limit is None:
+        return miss.select("line_no", "k", "url", text)
+    per_line = miss.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("k", "url"))).alias("urls"))
     top = per_line.orderBy("line_no").limit(limit)
     w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     top = top.withColumn("_before", F.coalesce(F.sum(F.size("urls")).over(w), F.lit(0)))
-    return (top.where(F.col("_before") < limit).select("line_no", F.explode("urls").alias("url"))
-               .select("line_no", "url", F.format_string("Line %d: %s", F.col("line_no"), F.col("url")).alias("missing")))
+    return (top.where(F.col("_before") < limit).select("line_no", F.explode("urls").alias("u"))
+               .select("line_no", F.col("u.k").alias("k"), F.col("u.url").alias("url")).select("line_no", "k", "url", text))
 
 
 def image_drop(recs: DataFrame, source_has_images: bool | Column, pos: str = "pos",
-               n: int = 50, min_fill: float = 0.1) -> DataFrame:
-    """C11: among the first ``n`` parsed lines, the share with a non-empty
-    ``image_info`` list; flagged when the source has images and the share is
-    under ``min_fill``."""
+               n: int | None = None, min_fill: float = 0.1) -> DataFrame:
+    """C11: among the parsed lines (``n``: the first so many), the share with
+    a non-empty ``image_info`` list; flagged when the source has images and
+    the share is under ``min_fill``."""
     p = (recs if "v" in recs.columns else parse_lines(recs)).where(F.col("v").isNotNull())
-    head = p.orderBy(pos).limit(n)
+    head = p if n is None else p.orderBy(pos).limit(n)
     has = F.coalesce(F.size(F.try_variant_get(F.col("v"), "$.image_info", "array<variant>")) > 0, F.lit(False))
     src = source_has_images if isinstance(source_has_images, Column) else F.lit(source_has_images)
     a = head.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(has).alias("rows_with_images"))
@@ -322,21 +370,23 @@ def image_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower() in hints]
 
 
-def csv_has_images(lines: DataFrame, pos: str = "pos", line: str = "line") -> DataFrame:
-    """C13 over a CSV line table: header mentions an image hint, or one of
-    the next 5 lines contains an image extension."""
-    head = lines.orderBy(pos).limit(6).withColumn("_r", F.row_number().over(Window.orderBy(pos)))
+def csv_has_images(lines: DataFrame, pos: str = "pos", line: str = "line", n: int | None = None) -> DataFrame:
+    """C13 over a CSV line table: header mentions an image hint, or a later
+    line (``n``: one of the next so many) contains an image extension."""
+    head = lines if n is None else lines.orderBy(pos).limit(n + 1)
+    first = head.agg(F.min(pos).alias("p")).scalar()
     low = F.lower(F.col(line))
     hdr = F.lower(ustrip(F.col(line)))
     hint = F.exists(F.array(*[F.lit(h) for h in CSV_IMAGE_HINTS]), lambda h: F.contains(hdr, h))
     ext = F.exists(F.array(*[F.lit(e) for e in IMAGE_EXTENSIONS]), lambda e: F.contains(low, e))
-    return head.agg(F.coalesce(F.bool_or(F.when(F.col("_r") == 1, hint).otherwise(ext)), F.lit(False))
+    return head.agg(F.coalesce(F.bool_or(F.when(F.col(pos) == first, hint).otherwise(ext)), F.lit(False))
                     .alias("has_images"))
 
 
-def jsonl_has_images(lines: DataFrame, pos: str = "pos", line: str = "line") -> DataFrame:
-    """C14: one of the first 5 lines is an object with an image-like key."""
-    head = parse_lines(lines.orderBy(pos).limit(5), line)
+def jsonl_has_images(lines: DataFrame, pos: str = "pos", line: str = "line", n: int | None = None) -> DataFrame:
+    """C14: a line (``n``: one of the first so many) is an object with an
+    image-like key."""
+    head = parse_lines(lines if n is None else lines.orderBy(pos).limit(n), line)
     keys = F.coalesce(F.json_object_keys(F.col("s")), F.array().cast("array<string>"))
     hit = F.col("is_object") & F.arrays_overlap(keys, F.array(*[F.lit(k) for k in JSONL_IMAGE_KEYS]))
     return head.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("has_images"))
@@ -373,10 +423,10 @@ def _py_type(x: Column) -> Column:
              .otherwise("float"))
 
 
-def infer_schema(lines: DataFrame, pos: str = "pos", line: str = "line", n: int | None = 20) -> DataFrame:
+def infer_schema(lines: DataFrame, pos: str = "pos", line: str = "line", n: int | None = None) -> DataFrame:
     """C17: per key its first-seen Python type (``list[elem]`` for lists) and
     example (strings over 80 chars cut + "...", lists cut to 2 items), over
-    the first ``n`` objects (all rows when ``n`` is None)."""
+    all objects (``n``: the first so many)."""
     p = parse_lines(lines, line).where("is_object")
     if n is not None:
         p = p.orderBy(pos).limit(n)
@@ -407,7 +457,8 @@ def sample_rows(recs: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def clean_annotation(c, max_chars: int = 300) -> Column:
-    """C20: drop markdown code fences, cut to ``max_chars`` + "..."."""
+    """C20: drop markdown code fences; the label is a short one by design:
+    its first ``max_chars`` characters + "..." if there are more."""
     x = F.col(c) if isinstance(c, str) else c
     x = F.when(x.startswith("```html"),
                ustrip(F.replace(F.replace(x, F.lit("```html\n"), F.lit("")), F.lit("```"), F.lit("")))).otherwise(x)

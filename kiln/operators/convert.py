@@ -45,12 +45,22 @@ def turns_to_messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 def messages_to_erniekit(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """user -> ``mask``, every other role -> ``no_mask``; image strings
-    become ``{image_url, matched_text_index: 0}``."""
+    become ``{image_url, matched_text_index: 0}``, image objects (structs)
+    pass as they are, with the two fields they have of these."""
     keep = keep if keep is not None else [c for c in df.columns if c not in ("messages", "images")]
-    images = F.coalesce(F.col("images"), F.array().cast("array<string>")) if "images" in df.columns \
-        else F.array().cast("array<string>")
-    image_info = F.transform(images, lambda u: F.struct(u.alias("image_url"),
-                                                        F.lit(0).alias("matched_text_index")))
+    images = F.coalesce(F.col("images"), F.array()) if "images" in df.columns else F.array().cast("array<string>")
+    kind = df.schema["images"].dataType.elementType if "images" in df.columns else None
+    if hasattr(kind, "fieldNames"):
+        given = set(kind.fieldNames())
+        images = F.col("images")
+        field = lambda u, name, default: u[name] if name in given else default
+        image_info = F.coalesce(F.transform(images, lambda u: F.struct(
+            field(u, "image_url", F.lit(None).cast("string")).alias("image_url"),
+            field(u, "matched_text_index", F.lit(None).cast("int")).cast("int").alias("matched_text_index"))),
+            F.array().cast(IMAGE_INFO))
+    else:
+        image_info = F.transform(images, lambda u: F.struct(u.alias("image_url"),
+                                                            F.lit(0).alias("matched_text_index")))
     text_info = F.transform(F.coalesce(F.col("messages"), F.array().cast(MESSAGES)),
                             lambda m: F.struct(F.coalesce(m["content"], F.lit("")).alias("text"),
                                                F.when(m["role"] == "user", "mask")

@@ -146,20 +146,22 @@ def _x_of(value: Column, scale: Column) -> Column:
     return F.when(scale == "log", F.log10(F.greatest(value, F.lit(1e-12)))).otherwise(value)
 
 
+def _moments(x: str, y: str) -> list[Column]:
+    """``_cov``, ``_sx``, ``_sy``: centred sums of products and root sums of squares."""
+    n = F.count(F.lit(1)).cast("double")
+    return [(F.covar_pop(x, y) * n).alias("_cov"), (F.stddev_pop(x) * F.sqrt(n)).alias("_sx"),
+            (F.stddev_pop(y) * F.sqrt(n)).alias("_sy")]
+
+
 def factor_corr(valid: DataFrame, factor: str = "factor", value: str = "value", loss: str = "final_loss",
                 scale: Column | None = None) -> DataFrame:
     """Pearson correlation per factor of x (log10 when scale is log,
     floored at 1e-12) and loss; 0 when n < 2 or a spread is below 1e-12.
-    Two passes (means, then centred sums), as the reference computes it."""
+    One aggregation: covariance and deviations merge from partial moments, so
+    no row is joined back to its factor."""
     sc = scale if scale is not None else F.lit("linear")
     x = valid.withColumn("_x", _x_of(F.col(value).cast("double"), sc)).withColumn("_y", F.col(loss))
-    means = x.groupBy(factor).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), F.count(F.lit(1)).alias("_n"))
-    d = x.join(means, factor)
-    s = d.groupBy(factor).agg(
-        F.first("_n").alias("n"),
-        F.sum((F.col("_x") - F.col("_mx")) * (F.col("_y") - F.col("_my"))).alias("_cov"),
-        F.sqrt(F.sum((F.col("_x") - F.col("_mx")) ** 2)).alias("_sx"),
-        F.sqrt(F.sum((F.col("_y") - F.col("_my")) ** 2)).alias("_sy"))
+    s = x.groupBy(factor).agg(F.count(F.lit(1)).alias("n"), *_moments("_x", "_y"))
     corr = (F.when((F.col("n") < 2) | (F.col("_sx") < 1e-12) | (F.col("_sy") < 1e-12), F.lit(0.0))
              .otherwise(F.col("_cov") / (F.col("_sx") * F.col("_sy"))))
     return s.select(factor, "n", corr.alias("corr"))
@@ -229,7 +231,7 @@ def factor_trend(exps: DataFrame, factors: DataFrame, round_number: int, factor:
          .withColumn("_x", _x_of(F.col(value).cast("double"), F.col("scale"))).withColumn("_y", F.col("final_loss"))
     r = ordered_rank(v, seq, by=[factor], count_col="_n")
     half = F.floor(F.col("_n") / 2)
-    # pass 1: per-factor best, halves, range and means
+    # pass 1: per-factor best, halves, range and moments
     agg = r.groupBy(factor).agg(
         F.count(F.lit(1)).alias("n_valid"),
         F.min_by(F.col(value).cast("double"), F.struct("final_loss", seq)).alias("best_value"),
@@ -237,23 +239,19 @@ def factor_trend(exps: DataFrame, factors: DataFrame, round_number: int, factor:
         F.min(F.when(F.col("rank") <= half, F.col("final_loss"))).alias("first_half_best"),
         F.min(F.when(F.col("rank") > half, F.col("final_loss"))).alias("second_half_best"),
         F.min(F.col(value).cast("double")).alias("vmin"), F.max(F.col(value).cast("double")).alias("vmax"),
-        F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    # pass 2 (one join, one aggregation): centred sums for the correlation
-    # and the best value's neighbours in sorted order
-    d = r.join(agg.select(factor, "best_value", "_mx", "_my", "n_valid"), factor)
+        *_moments("_x", "_y"))
+    # pass 2: the best value's neighbours in sorted order; one row per configured factor is broadcast, as above
+    d = r.join(F.broadcast(agg.select(factor, "best_value")), factor)
     s2 = d.groupBy(factor).agg(
-        F.sum((F.col("_x") - F.col("_mx")) * (F.col("_y") - F.col("_my"))).alias("_cov"),
-        F.sqrt(F.sum((F.col("_x") - F.col("_mx")) ** 2)).alias("_sx"),
-        F.sqrt(F.sum((F.col("_y") - F.col("_my")) ** 2)).alias("_sy"),
         F.max(F.when(F.col(value) < F.col("best_value"), F.col(value))).alias("_left"),
         F.min(F.when(F.col(value) > F.col("best_value"), F.col(value))).alias("_right"),
         F.count_if(F.col(value) == F.col("best_value")).alias("_dups"))
-    corr = s2.join(agg.select(factor, "n_valid"), factor).select(
+    corr = s2.join(agg.select(factor, "n_valid", "_cov", "_sx", "_sy"), factor).select(
         factor, "_left", "_right", "_dups",
         F.when((F.col("n_valid") < 2) | (F.col("_sx") < 1e-12) | (F.col("_sy") < 1e-12), F.lit(0.0))
          .otherwise(F.col("_cov") / (F.col("_sx") * F.col("_sy"))).alias("corr"))
     nb = corr
-    j = factors.join(agg.drop("_mx", "_my"), factor, "left").join(nb, factor, "left")
+    j = factors.join(agg.drop("_cov", "_sx", "_sy"), factor, "left").join(nb, factor, "left")
     lo, hi, disc, sc = F.col("min_value"), F.col("max_value"), F.col("discrete"), F.col("scale")
     left = F.coalesce(F.col("_left"), lo)
     right = F.when(F.col("_dups") >= 2, F.col("best_value")).otherwise(F.coalesce(F.col("_right"), hi))
@@ -313,6 +311,7 @@ def untested_factors(all_factors: DataFrame, exps: DataFrame, diff: str = "confi
     return all_factors.join(tested, factor, "left_anti")
 
 
+# The weights of the composite score.
 W_LOSS, W_STABILITY, W_SPEED = 0.7, 0.2, 0.1
 
 
@@ -366,7 +365,7 @@ def heatmap(metrics_long: DataFrame, keys: list[str], exp: str = "experiment_id"
     experiments with metrics); mean and std are scalar subqueries."""
     exps = metrics_long.select(exp).distinct()
     cells = exps.select(exp, F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
-    vals = metrics_long.where(F.col("key").isin(*keys)).groupBy(exp, "key").agg(F.first("value").alias("value"))
+    vals = metrics_long.where(F.col("key").isin(*keys)).groupBy(exp, "key").agg(F.max("value").alias("value"))
     grid = cells.join(vals, [exp, "key"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     mean = grid.select(F.avg("value")).scalar()
     std = grid.select(F.stddev_pop("value")).scalar()

@@ -29,12 +29,13 @@ def _sum_field_len(v: Column, list_key: str, field: str) -> Column:
     arr = F.try_variant_get(v, f"$.{list_key}", "array<variant>")
     lens = F.transform(F.filter(arr, lambda t: _vtype(t).startswith("OBJECT")),
                        lambda t: _len_str(F.variant_get(t, f"$.{field}", "variant")))
-    return F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return F.coalesce(F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0).cast("bigint"))
 
 
 def text_length_variant(v: Column) -> Column:
     """P03 on a parsed object: summed text length of ``text_info`` (else
-    ``messages``); null when neither key is present or it is not a list."""
+    ``messages``), 0 if that is null, empty or not a list; null when neither
+    key is present."""
     return (F.when(_has(v, "text_info"), _sum_field_len(v, "text_info", "text"))
              .when(_has(v, "messages"), _sum_field_len(v, "messages", "content")))
 
@@ -75,8 +76,7 @@ def _stats_from_hist(hist: DataFrame, by: list[str], cnt: str = "cnt", extra: li
              .withColumn("cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("n", F.sum("_c").over(Window.partitionBy(*by))))
     i50 = F.floor(F.col("n") / 2)
-    i95 = F.when(F.col("n") > 20, F.floor(F.col("n").cast("double") * F.lit(0.95).cast("double"))) \
-           .otherwise(F.col("n") - 1)
+    i95 = F.floor(F.col("n").cast("double") * F.lit(0.95).cast("double"))  # n - 1 up to 20 rows
     at = lambda i: F.min(F.when(valid & (F.col("cum") - F.col("_c") <= i) & (i < F.col("cum")), F.col("len")))
     return h.groupBy(*by).agg(
         *(extra or []),
@@ -90,7 +90,7 @@ def _stats_from_hist(hist: DataFrame, by: list[str], cnt: str = "cnt", extra: li
 
 def length_stats(df: DataFrame, length: str, by: list[str] | None = None) -> DataFrame:
     """Min, max, avg (half-even to an integer), p50 = sorted[n div 2],
-    p95 = sorted[int(n * 0.95)] when n > 20 else max; rows with a null length
+    p95 = sorted[int(n * 0.95)], which is the last up to 20 rows; rows with a null length
     are ignored. Exact, via a histogram of lengths (see module doc)."""
     by = by or []
     hist = df.groupBy(*by, F.col(length).alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -189,3 +189,11 @@ def processing_summary(index: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.coalesce(F.sum(F.when(done, F.col("num_samples"))), F.lit(0)).cast("bigint").alias("total_samples"),
         F.coalesce(F.sum(F.when(done, F.col("image_count"))), F.lit(0)).cast("bigint").alias("total_images"))
+
+
+def size_mb(files: DataFrame) -> DataFrame:
+    """The size of a dataset's files in MB, 2 decimals: every file once,
+    from the reader's metadata."""
+    per_file = files.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).groupBy("p").agg(
+        F.max("b").alias("b"))
+    return per_file.agg(F.bround(F.sum("b") / 1024 / 1024, 2).alias("size_mb"))

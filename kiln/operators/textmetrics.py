@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.editdistance import edit_distance, pair_edit_distances, token_edit_distance, word_edit_distance
-from kiln.functions.parallel import spread
 from kiln.functions.text import usplit
 
 
 def pair_distances(pairs: DataFrame, pred: str = "pred", ref: str = "ref", method: str = "auto") -> DataFrame:
     """Per pair: ``dist`` (characters), ``max_len``, ``ref_len``, word
     distance ``wdist`` (0 when both sides have no words), ``ref_words``, ``exact``."""
-    x = spread(pairs)
+    x = pairs
     if method == "auto":
         x = x.withColumn("_d", pair_edit_distances(pred, ref))
         x = x.withColumn("dist", F.col("_d.dist")).withColumn("wdist", F.col("_d.wdist").cast("bigint")).drop("_d")
@@ -92,7 +91,7 @@ def teds_mean(pairs: DataFrame, pred: str = "pred_html", ref: str = "ref_html",
               by: list[str] | None = None) -> DataFrame:
     """Mean TEDS per group (0 for an empty input)."""
     by = by or []
-    return (spread(pairs).select(*by, teds(pred, ref).alias("teds")).groupBy(*by)
+    return (pairs.select(*by, teds(pred, ref).alias("teds")).groupBy(*by)
                  .agg(F.coalesce(F.avg("teds"), F.lit(0.0)).alias("teds"), F.count(F.lit(1)).alias("num_samples")))
 
 
@@ -100,10 +99,11 @@ def align_pairs(pred: DataFrame, ref: DataFrame, key: str) -> DataFrame:
     """Pair predictions with references by ``key`` (full outer join);
     fails the job if any key lacks its partner (length mismatch)."""
     j = pred.alias("p").join(ref.alias("r"), key, "full_outer")
+    # the check is part of both output columns, so no projection prunes it away
     ok = F.col("p.pred").isNotNull() & F.col("r.ref").isNotNull()
-    return j.select(key, "p.pred", "r.ref",
-                    F.assert_true(ok, F.lit("Length mismatch between predictions and references")).alias("_chk")
-                    ).drop("_chk")
+    error = F.raise_error(F.lit("Length mismatch between predictions and references")).cast("string")
+    return j.select(key, F.when(ok, F.col("p.pred")).otherwise(error).alias("pred"),
+                    F.when(ok, F.col("r.ref")).otherwise(error).alias("ref"))
 
 
 # ---------------------------------------------------------------- tokens

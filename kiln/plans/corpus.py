@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kiln.operators import clean, convert, profile
 from kiln.plans.catalog import query
-from kiln.plans.views import duck_strip, table, v_jsonl
+from kiln.plans.views import duck_strip, spread, table, v_jsonl
 
 # ------------------------------------------------------------ conversion
 
@@ -29,22 +29,24 @@ def f06(spark, sf):
 
 @query("F01_messages_to_erniekit", """
 select conv_id, string_agg(case when role = 'user' then 'mask' else 'no_mask' end, ',' order by turn) as tags,
-       count(*) filter (where role = 'user')::bigint as n_mask, 0::bigint as n_images
+       string_agg(text, '|' order by turn) as texts, count(*) filter (where role = 'user')::bigint as n_mask, 0::bigint as n_images
 from conversations group by conv_id""")
 def f01(spark, sf):
     e = convert.messages_to_erniekit(_messages(spark, sf))
     return e.select("conv_id", F.array_join(F.transform("text_info", lambda t: t["tag"]), ",").alias("tags"),
+                    F.array_join(F.transform("text_info", lambda t: t["text"]), "|").alias("texts"),
                     F.size(F.filter("text_info", lambda t: t["tag"] == "mask")).cast("bigint").alias("n_mask"),
                     F.size("image_info").cast("bigint").alias("n_images"))
 
 
 @query("F02_erniekit_to_messages", """
 select conv_id, string_agg(case when role = 'user' then 'user' else 'assistant' end, ',' order by turn) as roles,
-       true as images_omitted
+       string_agg(text, '|' order by turn) as texts, true as images_omitted
 from conversations group by conv_id""")
 def f02(spark, sf):
     m = convert.erniekit_to_messages(convert.messages_to_erniekit(_messages(spark, sf)))
     return m.select("conv_id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+                    F.array_join(F.transform("messages", lambda x: x["content"]), "|").alias("texts"),
                     F.col("images").isNull().alias("images_omitted"))
 
 
@@ -173,8 +175,7 @@ def c05s(spark, sf):
 @query("C06_detect_format", """
 select source, case when count(*) filter (where json_type(line) = 'OBJECT' and json_exists(line, '$.image_info') and json_exists(line, '$.text_info')) > 0 then 'erniekit'
   when count(*) filter (where json_type(line) = 'OBJECT' and json_exists(line, '$.messages')) > 0 then 'messages' end as format
-from (select source, line, row_number() over (partition by source order by line_no) as rn from v_jsonl_chat) t
-where rn <= 20 group by source""")
+from v_jsonl_chat group by source""")
 def c06(spark, sf):
     return clean.detect_format(v_jsonl_chat(spark, sf), pos="line_no", by=["source"])
 
@@ -188,6 +189,7 @@ def v_jsonl_chat(spark, sf):
     ms = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages")))
     other = F.to_json(F.struct(F.col("lang").alias("lang")))
     line = F.when(F.col("doc_id") % 23 == 0, other).when(F.col("doc_id") % 2 == 0, ek).otherwise(ms)
+    d = spread(d)
     return d.select(F.col("doc_id").alias("line_no"), "source", line.alias("line"))
 
 
@@ -225,10 +227,11 @@ def p09(spark, sf):
 
 @query("P01_profile", """
 select count(*) filter (where (case when json_valid(line) then json_type(line) end) = 'OBJECT')::bigint as num_samples,
-       count(*) filter (where not json_valid(line))::bigint as json_errors
+       count(*) filter (where not json_valid(line))::bigint as json_errors, 0::bigint as image_count, false as has_images,
+       null::bigint as len_min, null::bigint as len_max, null::bigint as len_avg, null::bigint as len_p50, null::bigint as len_p95
 from v_jsonl""", views=("v_jsonl",))
 def p01(spark, sf):
-    return profile.profile(v_jsonl(spark, sf)).select("num_samples", "json_errors")
+    return profile.profile(v_jsonl(spark, sf))
 
 
 @query("P02_field_coverage", """
@@ -305,12 +308,11 @@ _EK_ERRS = """e as (select line_no, list_filter([
     case when json_valid(line) and json_exists(line, '$.image_info') and json_type(line, '$.image_info') <> 'ARRAY' then '''image_info'' must be a list' end,
     case when json_valid(line) and json_exists(line, '$.text_info') and json_type(line, '$.text_info') <> 'ARRAY' then '''text_info'' must be a list' end],
   lambda x: x is not null) as errs from v_jsonl_ek),
-top as (select * from e where len(errs) > 0 order by line_no limit 10),
-c as (select *, coalesce(sum(len(errs)) over (order by line_no rows between unbounded preceding and 1 preceding), 0) as before from top)"""
+c as (select * from e where len(errs) > 0)"""
 
 
 @query("C07_validate_erniekit", f"""with {_EK_ERRS}
-select line_no, unnest(range(len(errs))) as k, 'Line ' || line_no || ': ' || unnest(errs) as error from c where before < 10""",
+select line_no, unnest(range(len(errs))) as k, 'Line ' || line_no || ': ' || unnest(errs) as error from c""",
        views=("v_jsonl_ek",))
 def c07(spark, sf):
     return clean.validation_errors(v_jsonl_ek(spark, sf), "erniekit", pos="line_no")
@@ -327,27 +329,27 @@ def c08(spark, sf):
 
 
 @query("C09_validation_summary", f"""with {_EK_ERRS},
-s as (select count(*) as n_errors, max(line_no) as last_err from (select line_no, unnest(errs) from c where before < 10))
+s as (select coalesce(sum(len(errs)), 0) as n_errors from c)
 select 'erniekit' as format, n_errors = 0 as valid, n_errors::bigint as n_errors,
-  least((select count(*) from v_jsonl_ek where trim(line) <> '' and (n_errors < 10 or line_no <= last_err)), 10000)::bigint as samples_checked
+  (select count(*) from v_jsonl_ek where trim(line) <> '')::bigint as samples_checked
 from s""", views=("v_jsonl_ek",))
 def c09(spark, sf):
     return clean.validation_summary(v_jsonl_ek(spark, sf), "erniekit", pos="line_no")
 
 
-@query("C10_missing_images", """with u as (select line_no, unnest(json_extract_string(line, '$.image_info[*].image_url')) as url
+@query("C10_missing_images", """with u as (select line_no, unnest(json_extract_string(line, '$.image_info[*].image_url')) as url,
+  generate_subscripts(json_extract_string(line, '$.image_info[*].image_url'), 1) - 1 as k
   from v_jsonl_ek where json_valid(line) and json_type(line, '$.image_info') = 'ARRAY'),
-m as (select line_no, url, '/data/set/' || substr(url, 3) as path from u where starts_with(url, './') and line_no <= 10000)
-select line_no, url, 'Line ' || line_no || ': ' || url as missing from m
-where path not in (select '/data/set/img/' || cast(doc_id as varchar) || '.png' from labels where quality = 1)
-order by line_no, url limit 20""", views=("v_jsonl_ek",))
+m as (select line_no, k, url, '/data/set/' || substr(url, 3) as path from u where starts_with(url, './'))
+select line_no, k::int as k, url, 'Line ' || line_no || ': ' || url as missing from m
+where path not in (select '/data/set/img/' || cast(doc_id as varchar) || '.png' from labels where quality = 1)""", views=("v_jsonl_ek",))
 def c10(spark, sf):
     have = table(spark, sf, "labels").where("quality = 1").select(
         F.concat(F.lit("/data/set/img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
     return clean.missing_images(v_jsonl_ek(spark, sf).withColumnRenamed("line_no", "pos"), have, "/data/set")
 
 
-@query("C11_image_drop", """with h as (select line from v_jsonl_ek where json_valid(line) order by line_no limit 50)
+@query("C11_image_drop", """with h as (select line from v_jsonl_ek where json_valid(line))
 select count(*)::bigint as rows_checked,
   count(*) filter (where json_type(line, '$.image_info') = 'ARRAY' and json_array_length(line, '$.image_info') > 0)::bigint as rows_with_images,
   count(*) > 0 and (count(*) filter (where json_type(line, '$.image_info') = 'ARRAY' and json_array_length(line, '$.image_info') > 0)) / count(*) < 0.1 as dropped
@@ -370,7 +372,7 @@ def c12(spark, sf):
 
 @query("C13_csv_has_images", """with l as (select * from (values (0, 'question,answer,image_path')) t(line_no, line)
   union all select doc_id + 1, concat(source, ',', lang, ',', case when doc_id % 3 = 0 then 'img/' || doc_id || '.png' else '' end) from documents),
-h as (select * from l order by line_no limit 6)
+h as (select * from l)
 select coalesce(bool_or(case when line_no = 0 then contains(lower(line), 'image') or contains(lower(line), 'path')
   else regexp_matches(lower(line), '\\.(jpg|jpeg|png|bmp|webp|tif|tiff|gif)') end), false) as has_images from h""")
 def c13(spark, sf):
@@ -381,7 +383,7 @@ def c13(spark, sf):
     return clean.csv_has_images(lines, pos="line_no")
 
 
-@query("C14_jsonl_has_images", """with h as (select line from v_jsonl_ek order by line_no limit 5)
+@query("C14_jsonl_has_images", """with h as (select line from v_jsonl_ek)
 select coalesce(bool_or(case when json_valid(line) then json_type(line) = 'OBJECT' and len(list_intersect(json_keys(line), ['image', 'img', 'image_bytes', 'image_url'])) > 0 else false end), false) as has_images from h""",
        views=("v_jsonl_ek",))
 def c14(spark, sf):
@@ -504,10 +506,14 @@ def p07(spark, sf):
         "source", F.array_join("recommendations", " | ").alias("recommendations"), "quality_score")
 
 
-@query("P08_size_mb")
+@query("P08_size_mb", """select round_even(sum(length('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}') + 1) / 1024.0 / 1024.0, 2) as size_mb
+from documents""")
 def p08(spark, sf):
-    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select(F.col("_metadata.file_size").alias("b")).distinct()
-    return d.select(F.bround(F.col("b") / 1024 / 1024, 2).alias("size_mb"))
+    """Size of a dataset of many JSON files, from their metadata."""
+    from kiln.session import scratch_path
+    p = scratch_path(spark, "size")
+    table(spark, sf, "documents").select("doc_id", "n_chars").repartition(7).write.json(p)
+    return profile.size_mb(spark.read.json(p))
 
 
 @query("P10_processing_summary", """with p as (select source, case when min(doc_id) % 3 = 0 then 'failed' when min(doc_id) % 5 = 0 then 'skipped'
@@ -528,3 +534,16 @@ def p10(spark, sf):
 @query("P11_text_len", """select item_id, length(text)::bigint as text_len from benchmark""")
 def p11(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.char_length("text").cast("bigint").alias("text_len"))
+
+
+@query("C05_clean_lines", f"""with l as (select doc_id as line_no, '{{"messages":[{{"content":"  ' || lang || ' ","role":"user"}}' || case when doc_id % 3 = 0 then ',{{"role":"x"}}' else '' end
+  || '],"n":' || doc_id % 50 || '}}' as line, doc_id % 50 as n, lang, doc_id % 3 = 0 as extra from documents)
+select min(line_no) as line_no, '{{"messages":[{{"content":"' || lang || '","role":"user"}}' || case when extra then ',{{"role":"x"}}' else '' end
+  || '],"n":' || n || '}}' as line from l group by n, lang, extra""")
+def c05_lines(spark, sf):
+    """What a clean run writes: first copies with their contents stripped."""
+    d = table(spark, sf, "documents")
+    line = F.concat(F.lit('{"messages":[{"content":"  '), F.col("lang"), F.lit(' ","role":"user"}'),
+                    F.when(F.col("doc_id") % 3 == 0, F.lit(',{"role":"x"}')).otherwise(F.lit("")),
+                    F.lit('],"n":'), (F.col("doc_id") % 50).cast("string"), F.lit("}"))
+    return clean.clean_lines(d.select(F.col("doc_id").alias("line_no"), line.alias("line")), pos="line_no").select("line_no", "line")

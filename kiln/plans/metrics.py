@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiln.functions.editdistance import edit_distance
-from kiln.functions.parallel import spread
 from kiln.operators import textmetrics as T
 from kiln.plans.catalog import query
-from kiln.plans.views import table, v_pairs
+from kiln.plans.views import duck_words, spread, table, v_pairs, v_word_pairs
 
 
 @query("T01_edit_distance", """
-select doc_id, levenshtein(pred, ref)::bigint as dist from v_pairs""", views=("v_pairs",))
+select doc_id, (length(ref) - length(pred))::bigint as dist from v_pairs""", views=("v_pairs",))
 def t01(spark, sf):
-    return spread(v_pairs(spark, sf)).select("doc_id", edit_distance("pred", "ref").cast("bigint").alias("dist"))
+    return v_pairs(spark, sf).select("doc_id", edit_distance("pred", "ref").cast("bigint").alias("dist"))
 
 
 @query("T03_ned", """
 select source, round_even(coalesce(avg(case when greatest(length(pred), length(ref)) > 0
-  then levenshtein(pred, ref) / greatest(length(pred), length(ref)) end), 0.0), 6) as ned
+  then (length(ref) - length(pred)) / length(ref) end), 0.0), 6) as ned
 from v_pairs group by source""", views=("v_pairs",))
 def t03(spark, sf):
     d = T.pair_distances(v_pairs(spark, sf).select("source", "pred", "ref"))
@@ -28,17 +27,29 @@ def t03(spark, sf):
 
 @query("T04_cer", """
 select source, round_even(case when sum(length(ref)) = 0 then 0.0
-  else sum(levenshtein(pred, ref)) / sum(length(ref)) end, 6) as cer
+  else sum(length(ref) - length(pred)) / sum(length(ref)) end, 6) as cer
 from v_pairs group by source""", views=("v_pairs",))
 def t04(spark, sf):
-    p = spread(v_pairs(spark, sf))
+    p = v_pairs(spark, sf)
     d = p.select("source", edit_distance("pred", "ref").alias("dist"), F.char_length("ref").alias("ref_len"))
     return d.groupBy("source").agg(F.bround(T.cer_agg(), 6).alias("cer"))
 
 
-@query("T05_wer")
+_WORDS = f"""w as (select source, doc_id, pred, ref, length(ref) as rc, length(ref) - length(pred) as dist,
+  {duck_words('ref')} as rw, {duck_words('ref')} - {duck_words('pred')} as wdist from v_word_pairs)"""
+_BUNDLE = f"""{_WORDS},
+b as (select source, round_even(coalesce(avg(case when rc > 0 then dist / rc end), 0.0), 6) as ned,
+  round_even(case when sum(rc) = 0 then 0.0 else sum(dist) / sum(rc) end, 6) as cer,
+  round_even(case when sum(rw) = 0 then 0.0 else sum(wdist) / sum(rw) end, 6) as wer,
+  round_even(coalesce(avg(case when pred = ref then 1.0 else 0.0 end), 0.0), 6) as exact_match, count(*)::bigint as num_samples
+  from w group by source)"""
+
+
+@query("T05_wer", f"""with {_WORDS}
+select source, round_even(case when sum(rw) = 0 then 0.0 else sum(wdist) / sum(rw) end, 6) as wer from w group by source""",
+       views=("v_word_pairs",))
 def t05(spark, sf):
-    d = T.pair_distances(v_pairs(spark, sf).select("source", "pred", "ref"))
+    d = T.pair_distances(v_word_pairs(spark, sf).select("source", "pred", "ref"))
     return d.groupBy("source").agg(F.bround(T.wer_agg(), 6).alias("wer"))
 
 
@@ -52,15 +63,16 @@ def t06(spark, sf):
                                    F.count(F.lit(1)).cast("bigint").alias("num_samples"))
 
 
-@query("T07_ocr_metrics")
+@query("T07_ocr_metrics", f"""with {_BUNDLE}
+select * from b""", views=("v_word_pairs",))
 def t07(spark, sf):
-    return T.ocr_metrics(v_pairs(spark, sf).select("source", "pred", "ref"), by=["source"])
+    return T.ocr_metrics(v_word_pairs(spark, sf).select("source", "pred", "ref"), by=["source"])
 
 
 def v_html_pairs(spark, sf):
     """Reference HTML = the page; prediction = list items turned into
     paragraphs and links unwrapped (closing tags dropped)."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     pred = F.replace(F.replace("html", F.lit("<li>"), F.lit("<p>")), F.lit("</a>"), F.lit(""))
     return p.select("page_id", pred.alias("pred_html"), F.col("html").alias("ref_html"))
 
@@ -82,7 +94,7 @@ e as (select page_id, len(pt) as np, len(rt) as nr,
 select page_id, case when nr = 0 then (case when np = 0 then 1.0 else 0.0 end)
   else 1.0 - levenshtein(a, b) / greatest(np, nr) end as teds from e""")
 def t08(spark, sf):
-    h = spread(v_html_pairs(spark, sf))
+    h = v_html_pairs(spark, sf)
     return h.select("page_id", T.teds("pred_html", "ref_html").alias("teds"))
 
 
@@ -155,18 +167,31 @@ def t17(spark, sf):
     return T.fit_lines(lines, 40, ["log_id"]).select("log_id", "line_no", "tokens")
 
 
-@query("T02_token_edit_distance")
+@query("T02_token_edit_distance", f"""
+with p as (select doc_id, string_split(text, ' ') as t from documents),
+c as (select doc_id, t, list_filter(list_transform(t, lambda x, i: case when (i - 1) % 7 = 3 then 'zqx-none' else x end),
+                                    lambda x, i: (i - 1) % 11 <> 5) as u from p)
+select doc_id, (len(list_filter(u, lambda x: x = 'zqx-none')) + len(t) - len(u))::bigint as word_dist from c""")
 def t02(spark, sf):
-    from kiln.functions.editdistance import word_edit_distance
-    return spread(v_pairs(spark, sf)).select("doc_id", word_edit_distance("pred", "ref").alias("word_dist"))
-
-
-@query("T11_metrics_bundle")
+    """Pieces between single spaces as tokens; every seventh becomes one found
+    nowhere else and every eleventh goes: the distance is how many changed."""
+    from kiln.functions.editdistance import token_edit_distance
+    t = spread(table(spark, sf, "documents")).select("doc_id", F.split("text", " ", -1).alias("ref"))
+    changed = F.transform("ref", lambda w, i: F.when(i % 7 == 3, F.lit("zqx-none")).otherwise(w))
+    pred = F.filter(changed, lambda w, i: i % 11 != 5)
+    return t.select("doc_id", token_edit_distance(pred, F.col("ref")).cast("bigint").alias("word_dist"))
+
+
+@query("T11_metrics_bundle", f"""with {_BUNDLE},
+{_TEDS_SQL.strip()[5:].rstrip()},
+ts as (select 'src' || (page_id % 20) as source, round_even(avg(case when nr = 0 then (case when np = 0 then 1.0 else 0.0 end)
+  else 1.0 - levenshtein(a, b) / greatest(np, nr) end), 6) as teds from e group by 1)
+select b.*, teds, null::double as layout_map from b left join ts using (source)""", views=("v_word_pairs",))
 def t11(spark, sf):
     """Per source: text metrics (T07), mean TEDS of its pages (page_id mod
     20 picks the source), layout mAP passed through (null), rounded as the
     reference bundle does."""
-    text = T.ocr_metrics(v_pairs(spark, sf).select("source", "pred", "ref"), by=["source"])
+    text = T.ocr_metrics(v_word_pairs(spark, sf).select("source", "pred", "ref"), by=["source"])
     pages = v_html_pairs(spark, sf).withColumn("source", F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")))
     tab = T.teds_mean(pages, by=["source"]).select("source", F.bround("teds", 6).alias("teds"))
     return text.join(tab, "source", "left").withColumn("layout_map", F.lit(None).cast("double"))

@@ -48,12 +48,33 @@ def m04(spark, sf):
     return S.subset_per_dataset(_docs(spark, sf), "doc_id", "source", 0.05, seed=42)
 
 
-@query("M05_merge_datasets", f"""with s as ({_split_sql(0.9, 0.05, _RANK_BY)})
-select source, split, count(*)::bigint as n from s where split in ('train', 'val') group by source, split""")
-def m05(spark, sf):
+_MERGE = f"""s as ({_split_sql(0.9, 0.05, _RANK_BY)}),
+i as (select source, case when min(doc_id) % 4 = 0 then 'failed' else 'completed' end as status from documents group by source),
+m as (select s.*, case when split = 'train' then '/data/' || source || '/images/' || doc_id || '.png' else './images/' || doc_id || '.png' end as url
+      from s join i using (source) where status = 'completed' and split in ('train', 'val'))"""
+
+
+def _merged(spark, sf):
     s = S.split_exact(_docs(spark, sf), "doc_id", 0.9, 0.05, seed=42, by=["source"])
-    merged = s.where(F.col("split").isin("train", "val"))
-    return merged.groupBy("source", "split").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    url = F.concat(F.lit("./images/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    records = s.withColumn("image_info", F.array(F.struct(url.alias("image_url"), F.lit(0).alias("matched_text_index"))))
+    index = _docs(spark, sf).groupBy("source").agg(
+        F.when(F.min("doc_id") % 4 == 0, "failed").otherwise("completed").alias("status"),
+        F.concat(F.lit("/data/"), F.first("source")).alias("source_dir"))
+    return S.merge_completed(records, index, "source")
+
+
+@query("M05_merge_datasets", f"""with {_MERGE}
+select doc_id, source, split, url from m""")
+def m05(spark, sf):
+    return _merged(spark, sf).select("doc_id", "source", "split", F.col("image_info")[0]["image_url"].alias("url"))
+
+
+@query("M05_merge_counts", f"""with {_MERGE}
+select source, count(*) filter (where split = 'train')::bigint as train_count, count(*) filter (where split = 'val')::bigint as val_count
+from m group by source""")
+def m05_counts(spark, sf):
+    return S.merge_counts(_merged(spark, sf), "source")
 
 
 _DSETS = "d as (select source as dataset, count(*) as n from documents group by source)"
