@@ -23,8 +23,5 @@ def test_query_matches_oracle(spark, con, name):
     assert r["hash_match"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(_SQL)))
-def test_query_without_oracle_runs(spark, name):
-    df = queries()[name](spark, SF)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+def test_every_query_has_an_oracle():
+    assert set(queries()) == set(_SQL)

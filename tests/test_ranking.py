@@ -19,10 +19,10 @@ def _data(spark, n=3000, seed=5):
 
 def test_ordered_rank_equals_row_number(spark):
     df = _data(spark)
-    got = ordered_rank(df, "v", ["seq"], by=["g"], buckets=16).select("seq", "rank")
+    got = ordered_rank(df, "v", ["seq"], by=["g"]).select("seq", "rank")
     exp = df.select("seq", F.row_number().over(Window.partitionBy("g").orderBy("v", "seq")).alias("rank"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
-    desc = ordered_rank(df, "v", ["seq"], desc=True, buckets=8).select("seq", "rank")
+    desc = ordered_rank(df, "v", ["seq"], desc=True).select("seq", "rank")
     exp2 = df.select("seq", F.row_number().over(Window.orderBy(F.col("v").desc(), "seq")).alias("rank"))
     assert desc.exceptAll(exp2).count() == 0
 
@@ -30,17 +30,17 @@ def test_ordered_rank_equals_row_number(spark):
 def test_prefix_sum_and_max(spark):
     df = _data(spark)
     w = Window.partitionBy("g").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    got = prefix_sum(df, "w", "seq", by=["g"], out="p", buckets=16).select("seq", "p")
+    got = prefix_sum(df, "w", "seq", by=["g"], out="p").select("seq", "p")
     exp = df.select("seq", F.sum("w").over(w).alias("p"))
     assert got.exceptAll(exp).count() == 0
-    gotm = prefix_sum(df, "v", "seq", by=["g"], out="p", buckets=16, op="max").select("seq", "p")
+    gotm = prefix_sum(df, "v", "seq", by=["g"], out="p", op="max").select("seq", "p")
     expm = df.select("seq", F.max("v").over(w).alias("p"))
     assert gotm.exceptAll(expm).count() == 0
 
 
 def test_bucketed_lag(spark):
     df = _data(spark).withColumn("t", F.col("seq").cast("double"))
-    got = bucketed_lag(df, "t", "t", ["g"], out="prev", buckets=16).select("seq", "prev")
+    got = bucketed_lag(df, "t", "t", ["g"], out="prev").select("seq", "prev")
     exp = df.select("seq", F.lag("t").over(Window.partitionBy("g").orderBy("t")).alias("prev"))
     assert got.exceptAll(exp).count() == 0
 
@@ -68,11 +68,17 @@ def test_dedup_combines_before_the_shuffle(spark):
     assert st.duplicates == 999 and st.valid_lines == 2001
 
 
-def test_ordered_rank_hot_and_cold_groups(spark):
-    """With a small hot-row threshold the hot group is bucketed and the rest
-    windowed; the union equals the plain window, counts included."""
-    df = _data(spark)
-    got = ordered_rank(df, "v", ["seq"], by=["g"], hot_rows=500, count_col="n").select("seq", "rank", "n")
-    exp = df.select("seq", F.row_number().over(Window.partitionBy("g").orderBy("v", "seq")).alias("rank"),
-                    F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
-    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+def test_ordered_rank_splits_ties(spark):
+    """Equal order values are split by the tiebreak: no part is above twice the mean."""
+    from kiln.functions.ranking import PART, ordered_parts
+    rows = [(i, float("inf") if i % 7 == 0 else float(i)) for i in range(20000)]
+    df = spark.createDataFrame(rows, "seq long, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ordered_parts(df, "v", ["seq"]).groupBy(PART).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = ordered_rank(df, "v", ["seq"], count_col="n").select("seq", "rank", "n")
+    exp = df.select("seq", F.row_number().over(Window.orderBy("v", "seq")).alias("rank"), F.lit(20000).cast("long").alias("n"))
+    assert got.exceptAll(exp).count() == 0
