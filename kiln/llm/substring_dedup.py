@@ -1,11 +1,11 @@
 """Substring dedup: collinear chains of shared k-mers.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Every
-text gives its minimizers: of each 8 neighbouring 6-word hashes the smallest, and
+text gives its minimizers: of each 6 neighbouring 5-word hashes the smallest, and
 of each 25 neighbouring 25-word hashes the smallest. Each occurrence of a seed is tied to the first document that has it, not to all
 the others: a row per occurrence, however many documents share a passage; seeds
 that repeat in a batch of documents are tied there, and one of them goes on. A
-long seed counts as four short ones in a row. Long seeds lie 25 words apart at
+long seed counts as five short ones in a row. Long seeds lie 25 words apart at
 most, so the stretches they tie, whichever documents to, touch each other: no
 exact copy of 50 words is lost however its short seeds are scattered.
 
@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm.common import table, written
-from kiln.llm.tokens import PUNCTUATED, WordHasher, mix, runs, windows
+from kiln.llm.tokens import PUNCTUATED, WordHasher, mix, pieces, runs, windows
 
-K = 6
-WINDOW = 8
+K = 5
+WINDOW = 6
 LONG = 25
-INSIDE = np.array([0, 6, 12, 19])  # short matches that a long one stands for
-GAP_COST = 0.3
+INSIDE = np.array([0, 5, 10, 15, 20])  # short matches that a long one stands for
+GAP_COST = 0.1
 LEAST_MATCHES = 3
 LEAST_SPAN = 25
 PAD = 16
@@ -75,43 +75,44 @@ def seed_ties(docs: DataFrame) -> DataFrame:
             seed = np.concatenate([p[3] for p in parts]).view(np.int64)
             at = np.concatenate([p[2] for p in parts])
             rk = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), sizes)
-            long_ = np.repeat(np.array([p[1] for p in parts]), sizes)
+            long_ = np.repeat(np.array([2 * p[1] for p in parts], dtype=np.int64), sizes)
             order = np.lexsort((at, rk, seed))
-            yield _tie(seed[order], rk[order], at[order], long_[order], True)
+            yield _batch_ties(seed[order], rk[order], at[order], long_[order])
 
-    schema = "route bigint, u bigint, up int, v bigint, vp int, long boolean, tied boolean"
+    # place holds the word number and two flags: a long seed, a tie made in the batch
+    schema = "route bigint, u bigint, place bigint, v bigint, vp bigint"
     sown = docs.select("rk", "text").mapInPandas(sow, schema)
-    sorted_ = sown.repartition("route").sortWithinPartitions("route", "u", "up")
+    sorted_ = sown.repartition("route").sortWithinPartitions("route", "u", "place")
 
     def join(it):
         last = None
         for pdf in it:
-            tied = pdf["tied"].to_numpy()
-            out = [pdf[tied]]
-            free = pdf[~tied]
-            if len(free):
-                seed, u, up, long_ = (free[c].to_numpy() for c in ("route", "u", "up", "long"))
-                if last and last[0][0] == seed[0]:  # the run goes on from the batch before
-                    seed, u, up, long_ = (np.append(x, y) for x, y in zip(last, (seed, u, up, long_)))
-                out.append(_tie(seed, u, up, long_, False))
-                run = seed == seed[-1]
-                run &= u == u[run][0]
-                last = tuple(x[run] for x in (seed, u, up, long_))
-            rows = pd.concat(out, ignore_index=True)
-            if len(rows):
-                times = np.where(rows["long"], len(INSIDE), 1)
-                rows = rows.loc[np.repeat(np.arange(len(rows)), times), ["u", "up", "v", "vp"]]
-                step = INSIDE[np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)]
-                rows["up"] += step
-                rows["vp"] += step
-                yield rows
+            route, u, place, v, vp = (pdf[c].to_numpy() for c in ("route", "u", "place", "v", "vp"))
+            tied = (place & 1) == 1
+            out = [pd.DataFrame({"u": u[tied], "up": place[tied] >> 2, "v": v[tied], "vp": vp[tied], "long": place[tied] & 2})]
+            if not tied.all():
+                rows = tuple(x[~tied] for x in (route, u, place >> 2, place & 2))
+                if last and last[0][0] == rows[0][0]:  # the run goes on from the batch before
+                    rows = tuple(np.append(x, y) for x, y in zip(last, rows))
+                out.append(_ties(*rows)[0])
+                run = rows[0] == rows[0][-1]
+                run &= rows[1] == rows[1][run][0]
+                last = tuple(x[run] for x in rows)
+            got = pd.concat(out, ignore_index=True)
+            if len(got):
+                times = np.where(got["long"] > 0, len(INSIDE), 1)
+                got = got.loc[np.repeat(np.arange(len(got)), times), ["u", "up", "v", "vp"]]
+                step = INSIDE[np.arange(len(got)) - np.repeat(np.cumsum(times) - times, times)]
+                got["up"] += step
+                got["vp"] += step
+                yield got
 
     return sorted_.mapInPandas(join, "u bigint, up int, v bigint, vp int")
 
 
-def _tie(seed, rk, at, long_, forward: bool) -> pd.DataFrame:
-    """Rows sorted by seed, document and place: the rows of each run's first document (if ``forward``) and ties
-    to it. Where a seed repeats in both documents, the n-th place is tied to the n-th (or last) one."""
+def _ties(seed, rk, at, long_) -> tuple[pd.DataFrame, np.ndarray]:
+    """From rows sorted by seed, document and place: ties of every row to its run's first document, and which rows
+    are that document's. Where a seed repeats in both, the n-th place is tied to the n-th (or last) one."""
     new = np.concatenate([[True], seed[1:] != seed[:-1]])
     first = np.flatnonzero(new)
     head = np.repeat(first, np.diff(first, append=len(seed)))
@@ -119,15 +120,23 @@ def _tie(seed, rk, at, long_, forward: bool) -> pd.DataFrame:
     times = np.diff(doc, append=len(seed))
     nth = np.arange(len(seed)) - np.repeat(doc, times)
     held = times[np.searchsorted(doc, head)]  # places of the run's first document
-    far = np.flatnonzero(rk[head] != rk)
+    own = rk[head] == rk
+    far = np.flatnonzero(~own)
     to = head[far] + np.minimum(nth, held - 1)[far]
-    ties = pd.DataFrame({"route": mix((rk[far] ^ rk[to]).view(np.uint64)).view(np.int64), "u": rk[far], "up": at[far],
-                         "v": rk[to], "vp": at[to], "long": long_[far], "tied": True})
-    if not forward:
-        return ties
-    own = np.flatnonzero(rk[head] == rk)
-    own = pd.DataFrame({"route": seed[own], "u": rk[own], "up": at[own], "v": rk[own], "vp": at[own],
-                        "long": long_[own], "tied": False})
+    return pd.DataFrame({"u": rk[far], "up": at[far], "v": rk[to], "vp": at[to], "long": long_[far]}), own
+
+
+def _batch_ties(seed, rk, at, long_) -> pd.DataFrame:
+    """What a batch sends on: its ties, dealt out by pair, and the rows of each seed's first document, in the
+    order of documents (which packs better)."""
+    ties, own = _ties(seed, rk, at, long_)
+    u, v = ties["u"].to_numpy(), ties["v"].to_numpy()
+    ties = pd.DataFrame({"route": mix((u ^ v).view(np.uint64)).view(np.int64), "u": u,
+                         "place": ties["up"] * 4 + ties["long"] + 1, "v": v, "vp": ties["vp"]})
+    own = np.flatnonzero(own)
+    own = own[np.lexsort((at[own], rk[own]))]
+    zero = np.zeros(len(own), dtype=np.int64)
+    own = pd.DataFrame({"route": seed[own], "u": rk[own], "place": at[own] * 4 + long_[own], "v": zero, "vp": zero})
     return pd.concat([own, ties], ignore_index=True)
 
 
@@ -266,7 +275,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(it):
         known = (None, None)
-        for pdf in it:
+        for pdf in pieces(it):
             out = []
             for rk, text, first, last in zip(pdf["rk"].tolist(), pdf["text"], pdf["first"], pdf["last"]):
                 if known[0] != rk:

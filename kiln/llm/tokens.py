@@ -1,6 +1,6 @@
 """Word and shingle hashes of many texts at once, in numpy.
 
-Texts are joined into byte buffers of about a megabyte, whatever the size of an
+Texts are joined into byte buffers of about 256 kB, whatever the size of an
 Arrow batch, so memory follows the longest text. A word's hash is a polynomial
 over its bytes modulo 2**64, put through a mixing step.
 """
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+PIECE_ROWS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
 
@@ -110,6 +111,13 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, tuple(range(k))))
 
 
+def pieces(batches):
+    """The batches in pieces, so that what is made of a text, which may be larger than it, leaves soon."""
+    for pdf in batches:
+        for a in range(0, len(pdf), PIECE_ROWS):
+            yield pdf.iloc[a:a + PIECE_ROWS]
+
+
 def runs(batches, keys: list[str], least: int = 1):
     """Frames of the rows that share a key, from batches sorted by it. A run may span batches; only one
     is held at a time. Runs of fewer than ``least`` rows are passed over."""
