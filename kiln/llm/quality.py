@@ -133,7 +133,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "s": list(stats_matrix(pdf["text"]))})
 
     described = train.select("id", "y", "text").mapInPandas(describe, "id bigint, y int, s array<double>")
-    held = described.repartition(parts, F.xxhash64("id")).cache()  # bounded by max_rows, recomputed if lost
+    # a fixed number of partitions: each one's sums go to the driver; bounded by max_rows, recomputed if lost
+    held = described.repartition(parts).cache()
     try:
         return _fit(held, n_waves, ridge, seed)
     finally:
