@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiln.llm.bloom import bloom_filter, passes
 from kiln.llm.common import hash128, table, written
 from kiln.llm.tokens import PUNCTUATED, WordHasher, windows
 
@@ -35,7 +36,6 @@ MASKS = ((0, 1, 2, 3, 5, 8, 11, 12), (0, 1, 3, 4, 6, 7, 10, 12), (0, 2, 5, 6, 7,
          (0, 1, 2, 4, 7, 8, 9, 12))
 SHORTEST = 5
 PAD = 64
-BUCKET = 32_768
 
 
 def _seeds(words: np.ndarray, short: range | tuple):
@@ -48,10 +48,6 @@ def _seeds(words: np.ndarray, short: range | tuple):
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def _bits(h: np.ndarray, log_bits: int):
-    return (h >> np.uint64(64 - log_bits)).astype(np.int64), (h & np.uint64((1 << log_bits) - 1)).astype(np.int64)
-
-
 def _texts(pdf: pd.DataFrame):
     hasher = WordHasher(PUNCTUATED, lower=False)
     return hasher.words(t.lower() if isinstance(t, str) else None for t in pdf["text"])
@@ -78,21 +74,6 @@ def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "
     return known, written(known.mapInPandas(seeds, "item bigint, place int, h bigint"), "bench-seeds")
 
 
-def seed_filter(seeds: DataFrame, log_bits: int) -> np.ndarray:
-    """Bloom filter of two bits a seed, as 2 ** log_bits / 8 bytes: bounded by the parameter."""
-    high = F.shiftrightunsigned(F.col("h"), 64 - log_bits)
-    low = F.col("h").bitwiseAND(F.lit((1 << log_bits) - 1))
-    bit = seeds.select(F.explode(F.array(high, low)).alias("bit")).select((F.col("bit") + 1).alias("bit"))
-    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << log_bits) // 8, dtype=np.uint8)
-    for r in parts.collect():
-        at = (r["bucket"] - 1) * BUCKET // 8
-        got = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[:len(out) - at]
-        out[at:at + len(got)] = got
-    return out
-
-
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
     """(start, end) of the segment with the highest score, +1 a match and -2 a change."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
@@ -107,7 +88,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     of each document and benchmark item."""
     spark = docs.sparkSession
     known, seeds = benchmark_seeds(items, item_col, item_text_col)
-    sent = spark.sparkContext.broadcast(seed_filter(seeds, log_bits))
+    sent = spark.sparkContext.broadcast(bloom_filter(seeds, log_bits))
     lengths = known.select(F.size("words").alias("n")).where(f"n >= {SHORTEST} and n < {SPAN}").distinct().collect()
     short = tuple(sorted(r["n"] for r in lengths))  # at most SPAN - SHORTEST numbers
     k1, k2 = hash128(id_col, text_col)
@@ -115,14 +96,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                        F.col(text_col).alias("text"))
 
     def scan(it):
-        table_ = sent.value
         for pdf in it:
             out = []
             for k, w in enumerate(_texts(pdf)):
                 places, h = _seeds(w, short)
-                a, b = _bits(h, log_bits)
-                hit = (table_[a >> 3] >> (a & 7).astype(np.uint8)) & (table_[b >> 3] >> (b & 7).astype(np.uint8)) & 1
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(passes(sent.value, h, log_bits))
                 if not len(at):
                     continue
                 at = at[np.argsort(places[at], kind="stable")]
