@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import hash128, table, written
 from kiln.llm.graph import connected_components
-from kiln.llm.tokens import runs
+from kiln.llm.tokens import pieces, runs
 
 BLOCK = 2_048
 COUNTED = 32
@@ -139,9 +139,7 @@ def _groups(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def link_counts(vectors: DataFrame, plan: Plan) -> DataFrame:
     """node, links (weighted count), tie from vectors (node, weight, e): a row per node and block pair at most."""
     def deal(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
+        for pdf in pieces(it):
             p = plan.project(_unit(pdf["e"]))
             for k, rows, cells in _cells(plan, p):
                 names = [f"{k}:" + ",".join(map(str, c)) for c in cells.tolist()]

@@ -13,9 +13,13 @@ linked sets then agree in a whole part, and share the hash of (table, part,
 shingles in it). Empty parts agree by chance and are left out; a set with so
 many of them that the count no longer proves a common part (it is rare) adds
 its empty parts, which only such sets do. Parts of several shingles seldom
-agree by chance, however many documents share one passage. Classes that share
-hashes are tied to the first of them, never pair by pair, and connected
-components of these ties are the candidate groups.
+agree by chance. Classes that share a hash are compared by parity bitmaps: the
+Hamming distance of two bitmaps is never above the number of shingles in which
+the sets differ, and it is a metric. Of the classes with one hash some are
+leaders; a class is compared with leaders only, connected with all of them within
+the distance at which a class of theirs could link with it (by one tie to each
+group of leaders not yet connected), and becomes a leader if none is near. Documents that merely share passages part there. Connected
+components of the ties are the candidate groups.
 
 T-occurrence runs inside a candidate group, over an inverted index of its
 shingles: linked sets share T = 0.8 |x| shingles at least, so lists are split
@@ -40,13 +44,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiln.llm.bloom import may_hold
 from kiln.llm.common import WORD_RE, table, written
 from kiln.llm.graph import connected_components
-from kiln.llm.tokens import SPACE_BYTES, WordHasher, mix, runs, shingle_set
+from kiln.llm.tokens import SPACE_BYTES, WordHasher, mix, pieces, runs, shingle_set
 
 K = 5
 PERCENT = 80
 BAND = 1.5625
+RUN_ROWS = 1_000_000
 
 
 def _sets(pdf: pd.DataFrame):
@@ -95,76 +101,155 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of twice as many bits as shingles or more, a power of two: each shingle flips one bit."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    at = (mix(s ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) brought to ``words`` words: a bit keeps its place modulo their length."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th (hash of text), n_shingles, s1, s2 (identity of the set) of every row."""
+    """id, th (hash of text), n_shingles, s1, s2 (identity of the set), parity of every row."""
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"),
                        F.col(text_col).alias("text"))  # ids may be null: they pass through pandas as text
 
     def identify(it):
-        for pdf in it:
-            got = [(len(s), *_identity(s)) for s in _sets(pdf)]
-            out = pd.DataFrame(got, columns=["n_shingles", "s1", "s2"], index=pdf.index, dtype="int64")
+        for pdf in pieces(it):
+            got = [(len(s), *_identity(s), parity(s).tobytes()) for s in _sets(pdf)]
+            out = pd.DataFrame(got, columns=["n_shingles", "s1", "s2", "parity"], index=pdf.index)
             yield pd.concat([pdf[["id", "th"]], out], axis=1)
 
-    got = base.mapInPandas(identify, "id string, th bigint, n_shingles bigint, s1 bigint, s2 bigint")
+    got = base.mapInPandas(identify, "id string, th bigint, n_shingles bigint, s1 bigint, s2 bigint, parity binary")
     return got.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
 
 
-def candidate_ties(docs: DataFrame, text_col: str) -> DataFrame:
-    """u, v: classes (s1) that share a signature, each tied to the first that has it."""
+def shared_signatures(docs: DataFrame, text_col: str) -> DataFrame:
+    """run, node: the classes (s1) that share a signature; signatures with the same classes are one run."""
     base = docs.select(F.col(text_col).alias("text"))
 
     def sign(it):
-        for pdf in it:
-            seen, sigs, nodes = set(), [], []
+        seen: set[int] = set()  # equal sets of a task sign once, as far as these are remembered
+        for pdf in pieces(it):
+            sigs, nodes = [], []
             for s in _sets(pdf):
-                if not len(s):
-                    continue
                 node = _identity(s)[0]
-                if node in seen:  # equal sets of the batch sign once
-                    continue
-                seen.add(node)
-                got = signatures(s)
-                sigs.append(got)
-                nodes.append(np.full(len(got), node, dtype=np.int64))
+                if len(s) and node not in seen:
+                    if len(seen) == RUN_ROWS:
+                        seen.clear()
+                    seen.add(node)
+                    sigs.append(signatures(s))
+                    nodes.append(node)
             if sigs:
-                sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
-                order = np.argsort(sig, kind="stable")
-                sig, node = sig[order], node[order]
-                first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1))
-                lead = np.repeat(node[first], np.diff(first, append=len(sig)))
-                # of the batch's classes that share a signature the first one goes on; the others are tied to it here
-                rest = lead != node
-                yield pd.DataFrame({"sig": sig[first], "node": node[first], "lead": node[first]})
-                if rest.any():
-                    tied = pd.DataFrame({"node": node[rest], "lead": lead[rest]}).drop_duplicates()
-                    yield tied.assign(sig=mix(tied["node"].to_numpy().view(np.uint64)).view(np.int64))[
-                        ["sig", "node", "lead"]]
-
-    signed = base.mapInPandas(sign, "sig bigint, node bigint, lead bigint")
-    grouped = signed.repartition("sig").sortWithinPartitions("sig", "lead")
-
-    def tie(it):
-        last = None  # signature and first node of the run that goes on in the next batch
+                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(
+                    np.array(nodes, dtype=np.int64), [len(x) for x in sigs])})
+
+    grouped = base.mapInPandas(sign, "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig", "node")
+
+    def members(it):
+        sig, node, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for pdf in it:
-            sig, node, lead = (pdf[c].to_numpy() for c in ("sig", "node", "lead"))
-            ready = node != lead
-            u, v = [node[ready]], [lead[ready]]
-            sig, node = sig[~ready], node[~ready]
-            if len(sig):
-                first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1))
-                head = np.repeat(node[first], np.diff(first, append=len(sig)))
-                if last and last[0] == sig[0]:
-                    head[:first[1] if len(first) > 1 else len(sig)] = last[1]
-                last = (sig[-1], head[-1])
-                far = head != node
-                u.append(node[far])
-                v.append(head[far])
-            out = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
+            sig, node = np.append(sig, pdf["sig"].to_numpy()), np.append(node, pdf["node"].to_numpy())
+            if not len(sig):
+                continue
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            sig, node = sig[new], node[new]
+            last = int(np.flatnonzero(sig == sig[-1])[0])
+            if last == 0 and len(sig) > RUN_ROWS:  # a run too long to hold goes out in pieces under one name
+                open_ = sig[0]
+                yield pd.DataFrame({"run": mix(sig.view(np.uint64)).view(np.int64), "node": node})[:-1]
+                sig, node = sig[-1:], node[-1:]
+                continue
+            out = _named(sig[:last], node[:last], open_)
+            if len(out):
+                yield out
+            sig, node = sig[last:], node[last:]
+        if len(sig):
+            out = _named(sig, node, open_)
             if len(out):
                 yield out
 
-    return grouped.mapInPandas(tie, "u bigint, v bigint").distinct()
+    return grouped.mapInPandas(members, "run bigint, node bigint").distinct()
+
+
+def _named(sig: np.ndarray, node: np.ndarray, open_) -> pd.DataFrame:
+    """Runs of two classes or more, named by their classes (by the signature, if a part of it is out)."""
+    if not len(sig):
+        return pd.DataFrame({"run": sig, "node": node})
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(first, append=len(sig))
+    name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
+    goes_on = sig[first] == open_ if open_ is not None else np.zeros(len(first), dtype=bool)
+    name[goes_on] = mix(sig[first][goes_on].view(np.uint64)).view(np.int64)
+    keep = np.repeat((size > 1) | goes_on, size)
+    return pd.DataFrame({"run": np.repeat(name, size)[keep], "node": node[keep]})
+
+
+class Leaders:
+    """Leaders of one run by bitmap length, in arrays that double."""
+
+    def __init__(self):
+        self.held: dict[int, list] = {}  # words -> [count, positions, sizes, bitmaps]
+
+    def add(self, at: int, size: int, bitmap: np.ndarray):
+        words = len(bitmap)
+        if words not in self.held:
+            self.held[words] = [0, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros((4, words), np.uint64)]
+        h = self.held[words]
+        if h[0] == len(h[1]):
+            h[1:] = [np.concatenate([x, np.zeros_like(x)]) for x in h[1:]]
+        n = h[0]
+        h[1][n], h[2][n], h[3][n] = at, size, bitmap
+        h[0] += 1
+
+    def near(self, size: int, bitmap: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Positions of the leaders to be tied, and whether one is so near that this class leads nothing."""
+        ties, close = [], False
+        for words, (n, at, sizes, maps) in self.held.items():
+            m = min(words, len(bitmap))
+            a = maps[:n] if m == words else fold(maps[:n], m)
+            b = bitmap if m == len(bitmap) else fold(bitmap[None, :], m)[0]
+            far = np.bitwise_count(a ^ b).sum(axis=1)
+            s = sizes[:n]
+            # a class within a quarter of its size of a leader, and one linked with it, bound the distance
+            ties.append(at[:n][far <= np.minimum(np.minimum(0.5625 * size, 0.625 * s), 0.3125 * s + 0.25 * size)])
+            close |= bool(((far <= 0.25 * size) & (PERCENT * size <= 100 * s) & (PERCENT * s <= 100 * size)).any())
+        return np.concatenate(ties) if ties else np.zeros(0, np.int64), close
+
+
+def _tie(it):
+    """u, v: ties of a run's classes to its leaders, as many as connect what is near, and no more."""
+    for pdf in runs(it, ["run"], 2):
+        node, size = pdf["node"].to_numpy(), pdf["n"].tolist()
+        leaders, u, v, label = Leaders(), [], [], np.arange(len(pdf))
+        for i, b in enumerate(pdf["parity"]):
+            bitmap = np.frombuffer(b, dtype=np.uint64)
+            ties, close = leaders.near(size[i], bitmap)
+            groups, first = np.unique(label[ties], return_index=True)
+            if len(groups):
+                u += [i] * len(groups)
+                v += ties[first].tolist()
+                label[i] = groups[0]
+                for g in groups[1:]:
+                    label[label == g] = groups[0]
+            if not close:
+                leaders.add(i, size[i], bitmap)
+        if u:
+            yield pd.DataFrame({"u": node[u], "v": node[v]})
+
+
+def candidate_ties(docs: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
+    """u, v: ties between classes (s1) whose components hold all links."""
+    bitmaps = known.where("n_shingles > 0").dropDuplicates(["s1"]).select(
+        F.col("s1").alias("node"), F.col("n_shingles").alias("n"), "parity")
+    held = shared_signatures(docs, text_col).join(bitmaps, "node")
+    return held.repartition("run").sortWithinPartitions("run", "node").mapInPandas(
+        _tie, "u bigint, v bigint").distinct()
 
 
 def linked_positions(sets: list[np.ndarray], queries: int | None = None, first: int = 0) -> np.ndarray:
@@ -227,7 +312,7 @@ def _search(it):
 
 def linked_classes(docs: DataFrame, known: DataFrame, text_col: str, id_col: str, block_shingles: int) -> DataFrame:
     """c (class), root for every class that links with another one; a class is the pair s1, s2 as text."""
-    groups = connected_components(candidate_ties(docs, text_col), "ngram-candidates").select(
+    groups = connected_components(candidate_ties(docs, known, text_col), "ngram-candidates").select(
         F.col("node").alias("s1"), F.col("root").alias("grp"))
     classes = known.where("n_shingles > 0").groupBy("s1", "s2").agg(
         F.min("id").alias("rep"), F.max("n_shingles").alias("n"))
@@ -258,11 +343,11 @@ def linked_classes(docs: DataFrame, known: DataFrame, text_col: str, id_col: str
     down = places(F.col("below"), lambda j: [band - 1, j], mine, 1)
     alone = F.array(F.concat_ws(":", F.col("grp").cast("string"), F.lit("0")))
     keyed = placed.withColumn("to", F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(low, high, up, down)))
-    wanted = keyed.select("rep", "s1", "s2", "to")
+    wanted = written(keyed.select("rep", "s1", "s2", "to"), "ngram-wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def load(it):
-        for pdf in it:
+        for pdf in pieces(it):
             found = list(_sets(pdf))
             ids = np.array([_identity(s) for s in found], dtype=np.int64).reshape(-1, 2)
             same = (ids[:, 0] == pdf["s1"].to_numpy()) & (ids[:, 1] == pdf["s2"].to_numpy())  # ids may repeat
@@ -270,6 +355,8 @@ def linked_classes(docs: DataFrame, known: DataFrame, text_col: str, id_col: str
             out["shingles"] = [s.tobytes() for s, ok in zip(found, same) if ok]
             yield out
 
+    # only texts that may be wanted are shuffled
+    texts = texts.where(may_hold(wanted.select(F.xxhash64("rep").alias("h")), F.xxhash64("id")))
     joined = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("text", "s1", "s2", "to")
     loaded = joined.mapInPandas(load, "s1 bigint, s2 bigint, to array<string>, shingles binary")
     spread = loaded.select("s1", "s2", "shingles", F.explode("to").alias("t")).select(
@@ -286,7 +373,7 @@ def _name(a: str, b: str):
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 block_shingles: int = 4_000_000) -> DataFrame:
+                 block_shingles: int = 2_000_000) -> DataFrame:
     """id, th (hash of text), n_shingles, component (name of the group, null without words), component_id for
     every row."""
     known = written(document_sets(docs, id_col, text_col), "ngram-sets")
