@@ -11,7 +11,7 @@ twice (once for the range sample), whatever the number of passes after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "_part"
