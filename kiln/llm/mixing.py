@@ -12,7 +12,7 @@ turns the fractions into zeros and ones: a pool of documents moves along a
 direction that keeps both the number of documents and their words (the null
 space of those two totals) until one lands on 0 or 1, the way chosen at random
 so that the probability holds. The largest documents go first, so that what is
-left at the end is small. A run leaves two undecided at most; runs hold about 50,000 documents of one source by hash, their leftovers are
+left at the end is small. A run leaves two undecided at most; runs hold about 4,000 documents of one source by hash, their leftovers are
 gathered into runs again, and the last two of a source land by words alone and
 then by their own probability. Randomness is a hash of seed and document, so
 reruns agree; only ids, sizes and probabilities are shuffled.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +35,7 @@ from kiln.llm.common import WORD_RE, table, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-RUN_ROWS = 50_000
+RUN_ROWS = 4_096
 _COLUMNS = ["source", "is_null", "id", "no_id", "th", "size", "whole", "prob", "rand"]
 _STATE = ("source string, is_null boolean, id bigint, no_id boolean, th bigint, size bigint, whole int, prob double, "
           "rand bigint, copies int")
@@ -76,61 +77,80 @@ class Run:
     """The flight of one run, largest documents first, through a pool of undecided units. The largest one moves
     along its projection on the null space of the pool's two totals, so that many smaller ones make up for it."""
 
-    EPS, POOL = 1e-9, 16
+    EPS, POOL = 1e-9, 256
 
     def __init__(self):
-        self.units: list[list] = []  # [row, prob, size, random bits]
+        self.rows: list = []
+        self.prob = self.size = self.bits = None
+        self.fresh: list[tuple] = []  # (prob, size, random bits) of the rows not yet in the arrays
 
     def add(self, row, prob: float, size: int, bits: int):
         """Take a unit in; yield (row, 0 or 1) of those that become decided."""
-        self.units.append([row, prob, size, bits])
-        while len(self.units) >= self.POOL:
-            yield from self._move(self._direction())
+        self.rows.append(row)
+        self.fresh.append((prob, float(size), bits))
+        if len(self.rows) >= self.POOL:
+            yield from self._move_until(self.POOL // 2)
 
     def drain(self):
-        """Move on without new units until two totals leave no direction."""
-        while len(self.units) > 2:
-            yield from self._move(self._direction())
+        """Move on without new units until two totals leave no direction; yield what becomes decided. The
+        rest stays in ``left``."""
+        yield from self._move_until(2)
+        self.left = list(zip(self.rows, self.prob.tolist() if self.rows else []))
+        self.rows = []
 
     def land(self):
         """Decide the rest: two units move so that words hold, the last by its probability."""
-        yield from self.drain()
-        if len(self.units) == 2:
-            a, b = self.units[0][2], self.units[1][2]
-            yield from self._move((b / a, -1) if a and b else (1, -1))
-        for u in self.units:
-            yield u[0], int(_uniform(u[3] * 0x9E3779B97F4A7C15 >> 7) < u[1])
-        self.units = []
-
-    def _direction(self):
-        sizes = [u[2] for u in self.units]
-        m, s1, s2 = len(sizes), sum(sizes), sum(x * x for x in sizes)
+        yield from self._move_until(2)
+        if len(self.rows) == 2:
+            a, b = self.size
+            yield from self._move(np.array([b / a, -1.0] if a and b else [1.0, -1.0]))
+        for row, p in zip(self.rows, self.prob if self.rows else []):
+            yield row, int(self._draw() < p)
+        self.rows = []
+
+    def _move_until(self, few: int):
+        if self.fresh:
+            prob, size, bits = (np.array(x) for x in zip(*self.fresh))
+            old = len(self.rows) > len(self.fresh)
+            self.prob = np.append(self.prob, prob) if old else prob
+            self.size = np.append(self.size, size) if old else size
+            self.bits = np.append(self.bits, bits.astype(np.uint64)) if old else bits.astype(np.uint64)
+            self.fresh = []
+        while len(self.rows) > few:
+            yield from self._move(self._direction())
+
+    def _direction(self) -> np.ndarray:
+        x = self.size
+        m, s1, s2 = len(x), x.sum(), (x * x).sum()
         det = m * s2 - s1 * s1
-        for at, pivot in enumerate(sizes):
-            if det:
-                alpha, beta = (s2 - s1 * pivot) / det, (m * pivot - s1) / det
+        for at, pivot in enumerate(x):
+            if x.max() > x.min():
+                v = -(s2 - s1 * pivot) / det - (m * pivot - s1) / det * x
             else:  # equal sizes: to hold the number of documents is to hold their words
-                alpha, beta = 1 / m, 0.0
-            v = [-alpha - beta * x for x in sizes]
+                v = np.full(m, -1 / m)
             v[at] += 1
             if v[at] > 1e-6:
                 return v
         raise ArithmeticError("no direction keeps both totals")
 
-    def _move(self, v):
-        up = min((1 - u[1]) / x if x > 0 else u[1] / -x for u, x in zip(self.units, v) if x)
-        down = min(u[1] / x if x > 0 else (1 - u[1]) / -x for u, x in zip(self.units, v) if x)
-        first = self.units[0]
-        first[3] = ((first[3] ^ first[3] >> 31) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
-        step = up if _uniform(first[3] >> 11) * (up + down) < down else -down
-        keep = []
-        for u, x in zip(self.units, v):
-            u[1] += step * x
-            if self.EPS < u[1] < 1 - self.EPS:
-                keep.append(u)
-            else:
-                yield u[0], round(u[1])
-        self.units = keep
+    def _draw(self) -> float:
+        first = int(self.bits[0])
+        first = ((first ^ first >> 31) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
+        self.bits[0] = first
+        return _uniform(first >> 11)
+
+    def _move(self, v: np.ndarray):
+        go = np.abs(v) > 1e-14
+        rise = np.where(v > 0, 1 - self.prob, self.prob)[go] / np.abs(v[go])
+        fall = np.where(v > 0, self.prob, 1 - self.prob)[go] / np.abs(v[go])
+        up, down = rise.min(), fall.min()
+        step = up if self._draw() * (up + down) < down else -down
+        self.prob = self.prob + step * v
+        free = (self.prob > self.EPS) & (self.prob < 1 - self.EPS)
+        for i in np.flatnonzero(~free):
+            yield self.rows[i], round(self.prob[i])
+        self.rows = [r for r, f in zip(self.rows, free) if f]
+        self.prob, self.size, self.bits = self.prob[free], self.size[free], self.bits[free]
 
 
 def _fly(batches, land: bool):
@@ -145,8 +165,7 @@ def _fly(batches, land: bool):
             out.extend((*row, row[whole] + one) for row, one in run.land())
         else:
             out.extend((*row, row[whole] + one) for row, one in run.drain())
-            out.extend((*row[:prob], p, *row[prob + 1:], None) for row, p, _, _ in run.units)
-            run.units = []
+            out.extend((*row[:prob], p, *row[prob + 1:], None) for row, p in run.left)
 
     def frame():
         pdf = pd.DataFrame(out, columns=[*_COLUMNS, "copies"]).astype({"copies": "Int32"})
