@@ -160,7 +160,8 @@ def e13(spark, sf):
     return E.factor_corr(v, scale=F.col("scale")).withColumn("n", F.col("n").cast("bigint"))
 
 
-@query("E14_factor_trend", f"""with {_VALID},
+@query("E14_factor_trend", f"""select *, case reason when 'expand' then 'expand' when 'narrow' then 'continue' else 'done' end as action from (
+with {_VALID},
 r as (select *, row_number() over (partition by factor order by seq) as rk, count(*) over (partition by factor) as nn from valid),
 a as (select factor, count(*) as n, arg_min(factor_value, {{'l': final_loss, 's': seq}}) as best_value, min(final_loss) as best_loss,
              min(final_loss) filter (where rk <= nn // 2) as fh, min(final_loss) filter (where rk > nn // 2) as sh from r group by factor)
@@ -168,10 +169,10 @@ select a.factor, case when a.n = 0 then 'no_valid' when a.n < 2 then 'single' wh
   when a.n >= 4 and fh > 0 and (fh - sh) / fh < 0.05 then 'converged' when abs(corr) < 0.3 then 'plateau'
   when corr > 0.7 then 'rising' when corr < -0.7 then 'expand' else 'narrow' end as reason,
   best_value, best_loss, corr.corr as corr
-from a join corr using (factor)""", views=("v_experiments",))
+from a join corr using (factor)) t""", views=("v_experiments",))
 def e14(spark, sf):
     t = E.factor_trend(_exps(spark, sf), _factors(spark), round_number=1)
-    return t.select("factor", "reason", "best_value", "best_loss", "corr")
+    return t.select("factor", "reason", "best_value", "best_loss", "corr", "action")
 
 
 @query("E18_ablation_plan", """with f as (select factor, min(seq) as o, list(distinct factor_value order by factor_value) as vals
