@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from kiln.llm.bloom import may_hold
 from kiln.llm.common import WORD_RE, table, written
 from kiln.llm.graph import connected_components
-from kiln.llm.tokens import SPACE_BYTES, WordHasher, mix, pieces, runs, shingle_set
+from kiln.llm.tokens import PIECE_ROWS, SPACE_BYTES, WordHasher, mix, pieces, runs, shingle_set
 
 K = 5
 PERCENT = 80
@@ -191,56 +191,94 @@ def _named(sig: np.ndarray, node: np.ndarray, open_) -> pd.DataFrame:
 
 
 class Leaders:
-    """Leaders of one run by bitmap length, in arrays that double."""
+    """Leaders of one run. A few are kept as integers; many, by bitmap length, in arrays that double."""
 
-    def __init__(self):
-        self.held: dict[int, list] = {}  # words -> [count, positions, sizes, bitmaps]
+    FEW = 16
 
-    def add(self, at: int, size: int, bitmap: np.ndarray):
-        words = len(bitmap)
-        if words not in self.held:
-            self.held[words] = [0, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros((4, words), np.uint64)]
-        h = self.held[words]
+    def __init__(self):
+        self.few: list[tuple[int, int, int, int]] = []  # position, size, bits, bitmap
+        self.many: dict[int, list] = {}  # words -> [count, positions, sizes, bitmaps]
+
+    def add(self, at: int, size: int, bitmap: bytes):
+        if len(self.few) < self.FEW:
+            self.few.append((at, size, 8 * len(bitmap), int.from_bytes(bitmap, "little")))
+            return
+        row = np.frombuffer(bitmap, dtype=np.uint64)
+        if len(row) not in self.many:
+            self.many[len(row)] = [0, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros((4, len(row)), np.uint64)]
+        h = self.many[len(row)]
         if h[0] == len(h[1]):
             h[1:] = [np.concatenate([x, np.zeros_like(x)]) for x in h[1:]]
         n = h[0]
-        h[1][n], h[2][n], h[3][n] = at, size, bitmap
+        h[1][n], h[2][n], h[3][n] = at, size, row
         h[0] += 1
 
-    def near(self, size: int, bitmap: np.ndarray) -> tuple[np.ndarray, bool]:
+    def near(self, size: int, bitmap: bytes) -> tuple[list[int], bool]:
         """Positions of the leaders to be tied, and whether one is so near that this class leads nothing."""
+        # a class within a quarter of its size of a leader, and one linked with it, bound the distance
         ties, close = [], False
-        for words, (n, at, sizes, maps) in self.held.items():
-            m = min(words, len(bitmap))
+        bits, whole = 8 * len(bitmap), int.from_bytes(bitmap, "little")
+        for at, s, b, m in self.few:
+            x, y = whole, m
+            width = max(bits, b)
+            while width > min(bits, b):
+                width //= 2
+                x, y = (_halved(x, width), y) if bits > b else (x, _halved(y, width))
+            far = (x ^ y).bit_count()
+            if far <= min(0.5625 * size, 0.625 * s, 0.3125 * s + 0.25 * size):
+                ties.append(at)
+                close |= far <= 0.25 * size and PERCENT * size <= 100 * s and PERCENT * s <= 100 * size
+        row = np.frombuffer(bitmap, dtype=np.uint64) if self.many else None
+        for words, (n, at, sizes, maps) in self.many.items():
+            m = min(words, len(row))
             a = maps[:n] if m == words else fold(maps[:n], m)
-            b = bitmap if m == len(bitmap) else fold(bitmap[None, :], m)[0]
+            b = row if m == len(row) else fold(row[None, :], m)[0]
             far = np.bitwise_count(a ^ b).sum(axis=1)
             s = sizes[:n]
-            # a class within a quarter of its size of a leader, and one linked with it, bound the distance
-            ties.append(at[:n][far <= np.minimum(np.minimum(0.5625 * size, 0.625 * s), 0.3125 * s + 0.25 * size)])
+            ties += at[:n][far <= np.minimum(np.minimum(0.5625 * size, 0.625 * s), 0.3125 * s + 0.25 * size)].tolist()
             close |= bool(((far <= 0.25 * size) & (PERCENT * size <= 100 * s) & (PERCENT * s <= 100 * size)).any())
-        return np.concatenate(ties) if ties else np.zeros(0, np.int64), close
+        return ties, close
+
+
+def _halved(x: int, width: int) -> int:
+    """A bitmap of 2 * width bits folded to width."""
+    return (x >> width) ^ (x & ((1 << width) - 1))
+
+
+class Run:
+    """Classes that share a signature, one after the other: only the leaders are held."""
+
+    def __init__(self):
+        self.leaders, self.nodes, self.label = Leaders(), [], []
+
+    def take(self, node: int, size: int, bitmap: bytes):
+        """Yield (node, leader) ties of the next class: as many as connect what is near, and no more."""
+        ties, close = self.leaders.near(size, bitmap)
+        groups: dict[int, int] = {}
+        for t in ties:
+            groups.setdefault(self.label[t], t)
+        for t in groups.values():
+            yield node, self.nodes[t]
+        keep = next(iter(groups), len(self.nodes))
+        if len(groups) > 1:
+            self.label = [keep if x in groups else x for x in self.label]
+        if not close:
+            self.leaders.add(len(self.nodes), size, bitmap)
+            self.nodes.append(node)
+            self.label.append(keep)
 
 
 def _tie(it):
-    """u, v: ties of a run's classes to its leaders, as many as connect what is near, and no more."""
-    for pdf in runs(it, ["run"], 2):
-        node, size = pdf["node"].to_numpy(), pdf["n"].tolist()
-        leaders, u, v, label = Leaders(), [], [], np.arange(len(pdf))
-        for i, b in enumerate(pdf["parity"]):
-            bitmap = np.frombuffer(b, dtype=np.uint64)
-            ties, close = leaders.near(size[i], bitmap)
-            groups, first = np.unique(label[ties], return_index=True)
-            if len(groups):
-                u += [i] * len(groups)
-                v += ties[first].tolist()
-                label[i] = groups[0]
-                for g in groups[1:]:
-                    label[label == g] = groups[0]
-            if not close:
-                leaders.add(i, size[i], bitmap)
-        if u:
-            yield pd.DataFrame({"u": node[u], "v": node[v]})
+    """u, v: ties of each run's classes, from rows sorted by run."""
+    name, run = None, None
+    for pdf in it:
+        out = []
+        for key, node, size, bitmap in zip(*(pdf[c].tolist() for c in ("run", "node", "n", "parity"))):
+            if key != name:
+                name, run = key, Run()
+            out.extend(run.take(node, size, bitmap))
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v"])
 
 
 def candidate_ties(docs: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
@@ -296,6 +334,7 @@ def linked_positions(sets: list[np.ndarray], queries: int | None = None, first:
 
 def _search(it):
     """Blocks of a candidate group, or pairs of blocks, each as one run of rows; a row for each linked class."""
+    held: list[np.ndarray] = []
     for pdf in runs(it, ["key"]):
         pdf = pdf.sort_values(["side", "s1", "s2"], kind="stable").drop_duplicates(["side", "s1", "s2"])
         sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]]
@@ -305,9 +344,13 @@ def _search(it):
         root = linked_positions(sets) if left == len(sets) else linked_positions(sets, left, left)
         s1, s2 = pdf["s1"].to_numpy(), pdf["s2"].to_numpy()
         tied = np.flatnonzero(root != np.arange(len(sets)))
-        if len(tied):
-            r = root[tied]
-            yield pd.DataFrame({"s1": s1[tied], "s2": s2[tied], "r1": s1[r], "r2": s2[r]})
+        r = root[tied]
+        held.append(np.stack([s1[tied], s2[tied], s1[r], s2[r]], axis=1))
+        if sum(map(len, held)) >= PIECE_ROWS:
+            yield pd.DataFrame(np.concatenate(held), columns=["s1", "s2", "r1", "r2"])
+            held = []
+    if held:
+        yield pd.DataFrame(np.concatenate(held), columns=["s1", "s2", "r1", "r2"])
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, text_col: str, id_col: str, block_shingles: int) -> DataFrame:

@@ -9,11 +9,11 @@ long seed counts as five short ones in a row. Long seeds lie 25 words apart at
 most, so the stretches they tie, whichever documents to, touch each other: no
 exact copy of 50 words is lost however its short seeds are scattered.
 
-For each pair of tied documents the matches are chained: a chain runs forward
-in both texts, a match scores its words, and words between matches cost in
-proportion. The best predecessor of a match is a prefix maximum, kept in a
-Fenwick tree over the second text's places. Chains of 25 words and 3 matches are
-aligned: the words of both texts are fetched, chains are lengthened at both ends
+For each pair of tied documents the matches on a diagonal are joined into
+segments, and these are chained: a chain runs forward in both texts, a segment
+scores its words, and words between segments cost in proportion. The best
+predecessor of a segment is a prefix maximum, kept in a Fenwick tree over the
+second text's places. Chains of 25 words are aligned: the words of both texts are fetched, chains are lengthened at both ends
 while words are equal, and gaps are aligned word by word. Chains with 80 % equal
 words cover a stretch in both documents. Stretches of a document are united,
 whichever partner they come from, and those of ``min_words`` words are reported.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm.common import table, written
-from kiln.llm.tokens import PUNCTUATED, WordHasher, mix, pieces, runs, windows
+from kiln.llm.tokens import PIECE_ROWS, PUNCTUATED, WordHasher, mix, pieces, runs, windows
 
 K = 5
 WINDOW = 6
@@ -43,6 +43,8 @@ INSIDE = np.array([0, 5, 10, 15, 20])  # short matches that a long one stands fo
 GAP_COST = 0.1
 LEAST_MATCHES = 3
 LEAST_SPAN = 25
+WIDEST_GAP = 40  # a chain is two where it jumps further
+JOIN_WORDS = 30  # matches on a diagonal that are so near make one segment
 PAD = 16
 IDENTITY = 0.8
 MERGE_SALTS = 64
@@ -52,14 +54,32 @@ def _words(texts):
     return WordHasher(PUNCTUATED, lower=False).words(t.lower() if isinstance(t, str) else None for t in texts)
 
 
-def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the k-mers that are smallest in some window."""
-    h = windows(words, tuple(range(k)), k)
+def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum (``pick``) of each ``width`` neighbours, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        x = pick(x[:-span], x[span:])
+        span *= 2
+    return x if span == width else pick(x[:span - width], x[width - span:])
+
+
+def minimizers(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the hashes that are smallest in some window."""
     if not len(h):
-        return np.zeros(0, np.int64), h
-    view = np.lib.stride_tricks.sliding_window_view(h, min(window, len(h)))
-    at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-    return at, h[at]
+        return np.zeros(0, np.int64)
+    width = min(window, len(h))
+    least = _slide(np.minimum, h, width)  # of each window; a place is chosen if it is the least of one that holds it
+    pad = np.zeros(width - 1, dtype=np.uint64)
+    return np.flatnonzero(_slide(np.maximum, np.concatenate([pad, least, pad]), width) == h)
+
+
+def seeds(words: np.ndarray):
+    """(places, hashes) of the short seeds and of the long ones, which hash five short windows in a row."""
+    short = windows(words, tuple(range(K)))
+    long_ = windows(short, tuple(INSIDE), 1)
+    for h, window in ((short, WINDOW), (long_, LONG)):
+        at = minimizers(h, window)
+        yield at, h[at]
 
 
 def seed_ties(docs: DataFrame) -> DataFrame:
@@ -68,7 +88,8 @@ def seed_ties(docs: DataFrame) -> DataFrame:
         for pdf in it:
             parts = []
             for rk, w in zip(pdf["rk"].to_numpy(), _words(pdf["text"])):
-                parts += [(rk, False, *minimizers(w, K, WINDOW)), (rk, True, *minimizers(w, LONG, LONG))]
+                (a, x), (b, y) = seeds(w)
+                parts += [(rk, False, a, x), (rk, True, b, y)]
             sizes = [len(p[3]) for p in parts]
             if not sum(sizes):
                 continue
@@ -89,15 +110,23 @@ def seed_ties(docs: DataFrame) -> DataFrame:
         for pdf in it:
             route, u, place, v, vp = (pdf[c].to_numpy() for c in ("route", "u", "place", "v", "vp"))
             tied = (place & 1) == 1
-            out = [pd.DataFrame({"u": u[tied], "up": place[tied] >> 2, "v": v[tied], "vp": vp[tied], "long": place[tied] & 2})]
+            out = []
+            if tied.any():
+                out.append(pd.DataFrame({"u": u[tied], "up": place[tied] >> 2, "v": v[tied], "vp": vp[tied], "long": place[tied] & 2}))
             if not tied.all():
-                rows = tuple(x[~tied] for x in (route, u, place >> 2, place & 2))
+                rows = (route, u, place) if not tied.any() else tuple(x[~tied] for x in (route, u, place))
                 if last and last[0][0] == rows[0][0]:  # the run goes on from the batch before
                     rows = tuple(np.append(x, y) for x, y in zip(last, rows))
-                out.append(_ties(*rows)[0])
                 run = rows[0] == rows[0][-1]
                 run &= rows[1] == rows[1][run][0]
                 last = tuple(x[run] for x in rows)
+                same = rows[0][1:] == rows[0][:-1]  # most seeds occur once
+                if same.any():
+                    same = np.append(False, same) | np.append(same, False)
+                    seed, doc, at = (x[same] for x in rows)
+                    out.append(_ties(seed, doc, at >> 2, at & 2)[0])
+            if not out:
+                continue
             got = pd.concat(out, ignore_index=True)
             if len(got):
                 times = np.where(got["long"] > 0, len(INSIDE), 1)
@@ -163,23 +192,36 @@ class Fenwick:
         return out
 
 
-def chains(up: list[int], vp: list[int]) -> list[list[int]]:
-    """Indices of the matches in each chain, best chains first; matches are sorted by (up, vp)."""
-    n = len(up)
-    rank = {p: i for i, p in enumerate(sorted(set(vp)))}
+def segments(up: np.ndarray, vp: np.ndarray) -> np.ndarray:
+    """Matches on one diagonal that follow each other closely, as rows (first and last word of u, of v), by u."""
+    diagonal = vp - up
+    order = np.lexsort((up, diagonal))
+    up, vp, diagonal = up[order], vp[order], diagonal[order]
+    new = np.flatnonzero(np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (up[1:] - up[:-1] > JOIN_WORDS)]))
+    last = np.append(new[1:], len(up)) - 1
+    out = np.stack([up[new], up[last], vp[new], vp[last]], axis=1)
+    return out[np.lexsort((out[:, 2], out[:, 0]))]
+
+
+def chains(segs: list[list[int]]) -> list[list[int]]:
+    """Indices of the segments in each chain, best chains first; segments are (first and last place in u, in v),
+    sorted by u. A segment scores its words; words between two segments cost in proportion."""
+    n = len(segs)
+    if n == 1:
+        return [[0]]
+    rank = {p: i for i, p in enumerate(sorted({x for s in segs for x in (s[2], s[3])}))}
     tree = Fenwick(len(rank))
     score, back = [0.0] * n, [-1] * n
-    i = 0
-    while i < n:
-        j = i
-        while j < n and up[j] == up[i]:  # matches at one place of u cannot follow each other
-            value, before = tree.query(rank[vp[j]])
-            gain = value - GAP_COST * (up[j] + vp[j])
-            score[j], back[j] = (K + gain, before) if before >= 0 and gain > 0 else (float(K), -1)
-            j += 1
-        for m in range(i, j):
-            tree.update(rank[vp[m]], score[m] + GAP_COST * (up[m] + vp[m]), m)
-        i = j
+    # by place in u: a segment asks for the best one that ended before it, and offers itself once it has ended
+    events = sorted([(s[0], 0, i) for i, s in enumerate(segs)] + [(s[1], 1, i) for i, s in enumerate(segs)])
+    for _, ended, i in events:
+        u0, u1, v0, v1 = segs[i]
+        if ended:
+            tree.update(rank[v1], score[i] + GAP_COST * (u1 + v1), i)
+            continue
+        value, before = tree.query(rank[v0])
+        gain = value - GAP_COST * (u0 + v0)
+        score[i], back[i] = (u1 - u0 + K + gain, before) if before >= 0 and gain > 0 else (float(u1 - u0 + K), -1)
     used, out = [False] * n, []
     for m in sorted(range(n), key=lambda x: -score[x]):
         chain = []
@@ -192,52 +234,79 @@ def chains(up: list[int], vp: list[int]) -> list[list[int]]:
     return out
 
 
-def _chain(it):
-    """A row for each chain: its pair and the places of its matches."""
+def _gathered(rows, columns: list[str]):
+    """Rows as frames of some size."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == PIECE_ROWS:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def _chains_of(it):
+    """u, v and the segments of each chain of a pair."""
     for pdf in runs(it, ["u", "v"], LEAST_MATCHES):
-        up, vp = pdf["up"].tolist(), pdf["vp"].tolist()
-        rows = []
-        for c in chains(up, vp):
-            if len(c) >= LEAST_MATCHES and min(up[c[-1]] - up[c[0]], vp[c[-1]] - vp[c[0]]) + K >= LEAST_SPAN:
-                rows.append((np.array([up[m] for m in c], np.int32), np.array([vp[m] for m in c], np.int32)))
-        if rows:
-            yield pd.DataFrame({"u": pdf["u"].iloc[0], "v": pdf["v"].iloc[0], "ups": [r[0] for r in rows],
-                                "vps": [r[1] for r in rows]})
+        segs = segments(pdf["up"].to_numpy(), pdf["vp"].to_numpy())
+        pair = None
+        for c in chains(segs.tolist()):
+            whole = segs[c]
+            wide = np.maximum(whole[1:, 0] - whole[:-1, 1], whole[1:, 2] - whole[:-1, 3]) > WIDEST_GAP
+            for part in np.split(whole, np.flatnonzero(wide) + 1):
+                if min(part[-1, 1] - part[0, 0], part[-1, 3] - part[0, 2]) + K >= LEAST_SPAN:
+                    pair = pair or (int(pdf["u"].iat[0]), int(pdf["v"].iat[0]))
+                    yield *pair, part[:, :2].ravel().astype(np.int32), part[:, 2:].ravel().astype(np.int32)
 
 
 def align(a: np.ndarray, b: np.ndarray, ups: np.ndarray, vps: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end) of the chain in a and b, lengthened while words are equal, and the equal words in it. The
-    words between matches are compared in place, or matched in order if the two gaps differ in length."""
+    """(start, end) of the chain in a and b, lengthened while words are equal, and the equal words in it. ``ups`` and
+    ``vps`` hold the first and last place of each segment. Words in place of each other (in a segment, or in two
+    gaps of one length) are compared; those of other gaps are matched in order."""
     s, t = int(ups[0]), int(vps[0])
-    equal = 0
-    while s > 0 and t > 0 and a[s - 1] == b[t - 1]:
-        s, t, equal = s - 1, t - 1, equal + 1
-    for i, j, x, y in zip(ups[:-1], vps[:-1], ups[1:], vps[1:]):
-        if x - i == y - j:
-            equal += int((a[i:x] == b[j:y]).sum())
+    head = _equal_run(a[:s][::-1], b[:t][::-1])
+    equal, i, j = head, s, t  # words before i and j are counted
+    for u0, u1, v0, v1 in zip(ups[::2], ups[1::2], vps[::2], vps[1::2]):
+        if u0 < i or v0 < j:  # the segment before reaches into this one
+            skip = max(i - u0, j - v0)
+            u0, v0 = u0 + skip, v0 + skip
+        if u0 - i == v0 - j:
+            equal += int((a[i:u0] == b[j:v0]).sum())
         else:
-            head = min(K, x - i, y - j)
-            equal += head + sum(m.size for m in SequenceMatcher(
-                None, a[i + head:x].tolist(), b[j + head:y].tolist(), autojunk=False).get_matching_blocks())
-    e, f = int(ups[-1]) + K, int(vps[-1]) + K
-    equal += K
-    while e < len(a) and f < len(b) and a[e] == b[f]:
-        e, f, equal = e + 1, f + 1, equal + 1
-    return s, e, t, f, equal
+            equal += sum(m.size for m in SequenceMatcher(None, a[i:u0].tolist(), b[j:v0].tolist(), autojunk=False).get_matching_blocks())
+        i, j = max(i, int(u1) + K), max(j, int(v1) + K)
+        n = min(i - u0, j - v0)
+        if n > 0:
+            equal += int((a[u0:u0 + n] == b[v0:v0 + n]).sum())
+    tail = _equal_run(a[i:], b[j:])
+    return s - head, i + tail, t - head, j + tail, equal + tail
+
 
+def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words from the start are equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
-def _align(it):
+
+def _aligned(it):
     """The two sides of a chain meet; a row for each document that an accepted one covers."""
-    for pdf in runs(it, ["pid"], 2):
-        pdf = pdf.sort_values("side", kind="stable").drop_duplicates("side")  # documents may repeat
-        if len(pdf) < 2:
-            continue
-        (ua, va), (ub, vb) = pdf["words"].map(lambda x: np.frombuffer(x, dtype=np.int64)).iloc[:2], pdf["first"].iloc[:2]
-        ups, vps = np.asarray(pdf["ups"].iloc[0]) - ub, np.asarray(pdf["vps"].iloc[0]) - vb
-        s, e, t, f, equal = align(ua, va, ups, vps)
-        if equal >= IDENTITY * max(e - s, f - t):
-            rk = pdf["rk"].tolist()
-            yield pd.DataFrame({"rk": rk[:2], "start": [s + ub, t + vb], "stop": [e + ub, f + vb], "partner": rk[1::-1]})
+    at, first = None, None
+    for pdf in it:
+        for row in zip(*(pdf[c].tolist() for c in ("pid", "side", "rk", "first", "words")), pdf["ups"], pdf["vps"]):
+            pid, side, rk, begin, words, ups, vps = row
+            if side == 0:  # sorted by chain and side: the other side is next; documents may repeat
+                at, first = pid, row
+                continue
+            if pid != at:
+                continue
+            at = None
+            a, b = np.frombuffer(first[4], dtype=np.int64), np.frombuffer(words, dtype=np.int64)
+            s, e, t, f, equal = align(a, b, np.asarray(ups) - first[3], np.asarray(vps) - begin)
+            if equal >= IDENTITY * max(e - s, f - t):
+                yield first[2], s + first[3], e + first[3], rk
+                yield rk, t + begin, f + begin, first[2]
 
 
 def _unite(it):
@@ -264,7 +333,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ties = seed_ties(base)
     linked = ties.repartition("u", "v").sortWithinPartitions("u", "v", "up", "vp").mapInPandas(
-        _chain, "u bigint, v bigint, ups array<int>, vps array<int>")
+        lambda it: _gathered(_chains_of(it), ["u", "v", "ups", "vps"]), "u bigint, v bigint, ups array<int>, vps array<int>")
     linked = written(linked.withColumn("pid", F.xxhash64("u", "v", "ups", "vps")), "passage-chains")
     sides = F.array(F.struct(F.col("u").alias("rk"), F.lit(0).alias("side"), F.col("ups").alias("own")),
                     F.struct(F.col("v").alias("rk"), F.lit(1).alias("side"), F.col("vps").alias("own")))
@@ -285,7 +354,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     sliced = joined.mapInPandas(cut, "rk bigint, pid bigint, side int, ups array<int>, vps array<int>, first int, words binary")
     covered = sliced.repartition("pid").sortWithinPartitions("pid", "side").mapInPandas(
-        _align, "rk bigint, start int, stop int, partner bigint")
+        lambda it: _gathered(_aligned(it), ["rk", "start", "stop", "partner"]), "rk bigint, start int, stop int, partner bigint")
     # a document that shares a passage with a third of all others has as many stretches: unite them by salts first
     salted = covered.distinct().withColumn("salt", F.pmod("partner", F.lit(MERGE_SALTS)))
     for salts in (salted, None):

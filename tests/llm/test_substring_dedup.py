@@ -1,7 +1,7 @@
 import random
 import re
 
-from kiln.llm.substring_dedup import Fenwick, K, GAP_COST, align, chains, repeated_passages
+from kiln.llm.substring_dedup import Fenwick, K, GAP_COST, align, chains, minimizers, repeated_passages, segments
 
 import numpy as np
 
@@ -21,25 +21,41 @@ def test_fenwick_prefix_maximum():
         assert tree.query(q)[0] == max(held[:q], default=float("-inf"))
 
 
+def test_minimizers_against_windows():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 4, 9, 30, 200):
+        for w in (1, 6, 25):
+            h = rng.integers(0, 50, n).astype(np.uint64)
+            want = set()
+            for i in range(max(1, n - w + 1) if n else 0):
+                part = h[i:i + w]
+                want |= {i + int(j) for j in np.flatnonzero(part == part.min())}
+            assert set(minimizers(h, w).tolist()) == want
+
+
 def test_best_chain_against_quadratic():
     rng = random.Random(2)
     for _ in range(50):
         pts = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
-        up, vp = [p[0] for p in pts], [p[1] for p in pts]
+        segs = segments(np.array([p[0] for p in pts]), np.array([p[1] for p in pts])).tolist()
         score = []
-        for i, (a, b) in enumerate(pts):
-            score.append(max([K] + [K + score[j] - GAP_COST * (a - pts[j][0] + b - pts[j][1])
-                                    for j in range(i) if pts[j][0] < a and pts[j][1] < b]))
-        best = chains(up, vp)[0]
-        total = K * len(best) - GAP_COST * (up[best[-1]] - up[best[0]] + vp[best[-1]] - vp[best[0]])
+        for u0, u1, v0, v1 in segs:
+            own = u1 - u0 + K
+            score.append(max([own] + [own + score[j] - GAP_COST * (u0 - segs[j][1] + v0 - segs[j][3])
+                                      for j in range(len(score)) if segs[j][1] < u0 and segs[j][3] < v0]))
+        best = [segs[i] for i in chains(segs)[0]]
+        total = sum(s[1] - s[0] + K for s in best) - GAP_COST * sum(
+            y[0] - x[1] + y[2] - x[3] for x, y in zip(best, best[1:]))
         assert abs(total - max(score)) < 1e-9
-        assert all(up[x] < up[y] and vp[x] < vp[y] for x, y in zip(best, best[1:]))
+        assert all(x[1] < y[0] and x[3] < y[2] for x, y in zip(best, best[1:]))
 
 
 def test_align_lengthens_and_counts():
     a, b = np.arange(100), np.arange(100)
     b[40] = 999
-    assert align(a, b, np.array([10, 20, 50]), np.array([10, 20, 50])) == (0, 100, 0, 100, 99)
+    assert align(a, b, np.array([10, 20, 50, 50]), np.array([10, 20, 50, 50])) == (0, 100, 0, 100, 99)
+    c = np.insert(b, 30, [5, 5])  # two words more
+    assert align(a, c, np.array([3, 20, 50, 60]), np.array([3, 20, 52, 62])) == (0, 100, 0, 102, 99)
 
 
 def test_passages(docs_of):
