@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.bloom import bloom_filter, passes
 from kiln.llm.common import hash128, table, written
-from kiln.llm.tokens import PUNCTUATED, WordHasher, windows
+from kiln.llm.tokens import PUNCTUATED, WordHasher, pieces, windows
 
 SPAN = 13
 # The places that each mask compares.
@@ -96,7 +96,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                        F.col(text_col).alias("text"))
 
     def scan(it):
-        for pdf in it:
+        for pdf in pieces(it):
             out = []
             for k, w in enumerate(_texts(pdf)):
                 places, h = _seeds(w, short)

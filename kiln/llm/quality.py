@@ -21,6 +21,7 @@ score is the share of label 1 (0.5 without any). An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm.common import table
+from kiln.llm.tokens import pieces, release
 
 N_STATS = 24
 FOLDS = 4
@@ -129,7 +131,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")
 
     def describe(it):
-        for pdf in it:
+        for pdf in pieces(it):
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "s": list(stats_matrix(pdf["text"]))})
 
     described = train.select("id", "y", "text").mapInPandas(describe, "id bigint, y int, s array<double>")
@@ -224,8 +226,10 @@ def _fold(ids: pd.Series) -> np.ndarray:
 def quality_score(text: Column, model: QualityModel) -> Column:
     """The calibrated score of a text, 0 to 1."""
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.clip(model.score(stats_matrix(texts)), 0, 1))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.clip(model.score(stats_matrix(texts)), 0, 1))
+        release()
 
     return score(text)
 

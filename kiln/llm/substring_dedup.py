@@ -5,7 +5,7 @@ text gives its minimizers: of each 6 neighbouring 5-word hashes the smallest, an
 of each 25 neighbouring 25-word hashes the smallest. Each occurrence of a seed is tied to the first document that has it, not to all
 the others: a row per occurrence, however many documents share a passage; seeds
 that repeat in a batch of documents are tied there, and one of them goes on. A
-long seed counts as five short ones in a row. Long seeds lie 25 words apart at
+long seed counts as three short ones. Long seeds lie 25 words apart at
 most, so the stretches they tie, whichever documents to, touch each other: no
 exact copy of 50 words is lost however its short seeds are scattered.
 
@@ -39,7 +39,8 @@ from kiln.llm.tokens import PIECE_ROWS, PUNCTUATED, WordHasher, mix, pieces, run
 K = 5
 WINDOW = 6
 LONG = 25
-INSIDE = np.array([0, 5, 10, 15, 20])  # short matches that a long one stands for
+INSIDE = (0, 5, 10, 15, 20)  # short windows that a long one is made of
+STANDS_FOR = np.array([0, 10, 20])  # short matches that a long one counts as
 GAP_COST = 0.1
 LEAST_MATCHES = 3
 LEAST_SPAN = 25
@@ -76,7 +77,7 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
 def seeds(words: np.ndarray):
     """(places, hashes) of the short seeds and of the long ones, which hash five short windows in a row."""
     short = windows(words, tuple(range(K)))
-    long_ = windows(short, tuple(INSIDE), 1)
+    long_ = windows(short, INSIDE, 1)
     for h, window in ((short, WINDOW), (long_, LONG)):
         at = minimizers(h, window)
         yield at, h[at]
@@ -87,6 +88,7 @@ def seed_ties(docs: DataFrame) -> DataFrame:
     def sow(it):
         for pdf in it:
             parts = []
+            pdf = pdf.sort_values("rk", kind="stable")
             for rk, w in zip(pdf["rk"].to_numpy(), _words(pdf["text"])):
                 (a, x), (b, y) = seeds(w)
                 parts += [(rk, False, a, x), (rk, True, b, y)]
@@ -97,8 +99,7 @@ def seed_ties(docs: DataFrame) -> DataFrame:
             at = np.concatenate([p[2] for p in parts])
             rk = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), sizes)
             long_ = np.repeat(np.array([2 * p[1] for p in parts], dtype=np.int64), sizes)
-            order = np.lexsort((at, rk, seed))
-            yield _batch_ties(seed[order], rk[order], at[order], long_[order])
+            yield _batch_ties(seed, rk, at, long_)
 
     # place holds the word number and two flags: a long seed, a tie made in the batch
     schema = "route bigint, u bigint, place bigint, v bigint, vp bigint"
@@ -129,9 +130,9 @@ def seed_ties(docs: DataFrame) -> DataFrame:
                 continue
             got = pd.concat(out, ignore_index=True)
             if len(got):
-                times = np.where(got["long"] > 0, len(INSIDE), 1)
+                times = np.where(got["long"] > 0, len(STANDS_FOR), 1)
                 got = got.loc[np.repeat(np.arange(len(got)), times), ["u", "up", "v", "vp"]]
-                step = INSIDE[np.arange(len(got)) - np.repeat(np.cumsum(times) - times, times)]
+                step = STANDS_FOR[np.arange(len(got)) - np.repeat(np.cumsum(times) - times, times)]
                 got["up"] += step
                 got["vp"] += step
                 yield got
@@ -156,15 +157,16 @@ def _ties(seed, rk, at, long_) -> tuple[pd.DataFrame, np.ndarray]:
 
 
 def _batch_ties(seed, rk, at, long_) -> pd.DataFrame:
-    """What a batch sends on: its ties, dealt out by pair, and the rows of each seed's first document, in the
-    order of documents (which packs better)."""
-    ties, own = _ties(seed, rk, at, long_)
+    """What a batch, whose rows come by document and place, sends on: its ties, dealt out by pair, and the rows of
+    each seed's first document, still in the order of documents (which packs better)."""
+    order = np.argsort(seed, kind="stable")
+    ties, first = _ties(seed[order], rk[order], at[order], long_[order])
     u, v = ties["u"].to_numpy(), ties["v"].to_numpy()
     ties = pd.DataFrame({"route": mix((u ^ v).view(np.uint64)).view(np.int64), "u": u,
                          "place": ties["up"] * 4 + ties["long"] + 1, "v": v, "vp": ties["vp"]})
-    own = np.flatnonzero(own)
-    own = own[np.lexsort((at[own], rk[own]))]
-    zero = np.zeros(len(own), dtype=np.int64)
+    own = np.zeros(len(seed), dtype=bool)
+    own[order[first]] = True
+    zero = np.zeros(int(own.sum()), dtype=np.int64)
     own = pd.DataFrame({"route": seed[own], "u": rk[own], "place": at[own] * 4 + long_[own], "v": zero, "vp": zero})
     return pd.concat([own, ties], ignore_index=True)
 

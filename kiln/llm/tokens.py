@@ -116,6 +116,19 @@ def pieces(batches):
     for pdf in batches:
         for a in range(0, len(pdf), PIECE_ROWS):
             yield pdf.iloc[a:a + PIECE_ROWS]
+    release()
+
+
+def release():
+    """Give freed memory back at the end of a task: Spark keeps the worker for later ones, which would add up."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def runs(batches, keys: list[str], least: int = 1):
