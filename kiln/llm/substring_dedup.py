@@ -14,8 +14,9 @@ segments, and these are chained: a chain runs forward in both texts, a segment
 scores its words, and words between segments cost in proportion. The best
 predecessor of a segment is a prefix maximum, kept in a Fenwick tree over the
 second text's places. Chains of 25 words are aligned: the words of both texts are fetched, chains are lengthened at both ends
-while words are equal, and gaps are aligned word by word. Chains with 80 % equal
-words cover a stretch in both documents. Stretches of a document are united,
+while words are equal, and gaps are aligned word by word. Every stretch of a chain,
+from one run of equal words to another, that has 80 % equal words is covered in
+both documents: a chain that fails as a whole is not lost. Stretches of a document are united,
 whichever partner they come from, and those of ``min_words`` words are reported.
 
 Defined results. Null and empty texts have no words and no passages. Rows that
@@ -262,27 +263,66 @@ def _chains_of(it):
                     yield *pair, part[:, :2].ravel().astype(np.int32), part[:, 2:].ravel().astype(np.int32)
 
 
-def align(a: np.ndarray, b: np.ndarray, ups: np.ndarray, vps: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end) of the chain in a and b, lengthened while words are equal, and the equal words in it. ``ups`` and
+def equal_words(a: np.ndarray, b: np.ndarray, ups: np.ndarray, vps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the equal words of the chain, lengthened at both ends while words are equal. ``ups`` and
     ``vps`` hold the first and last place of each segment. Words in place of each other (in a segment, or in two
     gaps of one length) are compared; those of other gaps are matched in order."""
     s, t = int(ups[0]), int(vps[0])
     head = _equal_run(a[:s][::-1], b[:t][::-1])
-    equal, i, j = head, s, t  # words before i and j are counted
+    at, off = [np.arange(s - head, s)], [np.arange(t - head, t)]
+
+    def compare(x, y, n):
+        same = np.flatnonzero(a[x:x + n] == b[y:y + n])
+        at.append(x + same)
+        off.append(y + same)
+
+    i, j = s, t  # words before i and j are counted
     for u0, u1, v0, v1 in zip(ups[::2], ups[1::2], vps[::2], vps[1::2]):
         if u0 < i or v0 < j:  # the segment before reaches into this one
             skip = max(i - u0, j - v0)
             u0, v0 = u0 + skip, v0 + skip
         if u0 - i == v0 - j:
-            equal += int((a[i:u0] == b[j:v0]).sum())
+            compare(i, j, u0 - i)
         else:
-            equal += sum(m.size for m in SequenceMatcher(None, a[i:u0].tolist(), b[j:v0].tolist(), autojunk=False).get_matching_blocks())
+            for m in SequenceMatcher(None, a[i:u0].tolist(), b[j:v0].tolist(), autojunk=False).get_matching_blocks():
+                at.append(np.arange(i + m.a, i + m.a + m.size))
+                off.append(np.arange(j + m.b, j + m.b + m.size))
         i, j = max(i, int(u1) + K), max(j, int(v1) + K)
-        n = min(i - u0, j - v0)
-        if n > 0:
-            equal += int((a[u0:u0 + n] == b[v0:v0 + n]).sum())
+        compare(u0, v0, max(0, min(i - u0, j - v0)))
     tail = _equal_run(a[i:], b[j:])
-    return s - head, i + tail, t - head, j + tail, equal + tail
+    at.append(np.arange(i, i + tail))
+    off.append(np.arange(j, j + tail))
+    return np.concatenate(at), np.concatenate(off)
+
+
+def align(a: np.ndarray, b: np.ndarray, ups: np.ndarray, vps: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(start, end) of the chain in a and b, from its first to its last equal word, and the equal words in it."""
+    x, y = equal_words(a, b, ups, vps)
+    return (int(x[0]), int(x[-1]) + 1, int(y[0]), int(y[-1]) + 1, len(x)) if len(x) else (0, 0, 0, 0, 0)
+
+
+def stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, end) in both texts of the stretches of an alignment that have 80 % equal words, from its equal words.
+    They begin and end with runs of equal words; of those that begin with one run the longest is given, and none
+    that lies in another. A run without changes is one by itself, so no run is lost with what is around it."""
+    if not len(x):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)]))
+    last = np.append(new[1:], len(x)) - 1
+    equal = np.concatenate([[0], np.cumsum(last - new + 1)])
+    # before a run and after it: the equal words less their share of all words, in x and in y
+    before = np.stack([equal[:-1] - IDENTITY * z[new] for z in (x, y)])
+    after = np.stack([equal[1:] - IDENTITY * (z[last] + 1) for z in (x, y)])
+    out, reach = [], -1
+    for i in range(len(new)):
+        far = max(reach + 1, i)
+        good = np.flatnonzero((after[:, far:] >= before[:, i:i + 1] - 1e-6).all(axis=0))
+        if len(good):
+            reach = far + int(good[-1])
+            out.append((int(x[new[i]]), int(x[last[reach]]) + 1, int(y[new[i]]), int(y[last[reach]]) + 1))
+        if reach == len(new) - 1:
+            break
+    return out
 
 
 def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -293,7 +333,7 @@ def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _aligned(it):
-    """The two sides of a chain meet; a row for each document that an accepted one covers."""
+    """The two sides of a chain meet; a row for each document and accepted stretch."""
     at, first = None, None
     for pdf in it:
         for row in zip(*(pdf[c].tolist() for c in ("pid", "side", "rk", "first", "words")), pdf["ups"], pdf["vps"]):
@@ -305,10 +345,10 @@ def _aligned(it):
                 continue
             at = None
             a, b = np.frombuffer(first[4], dtype=np.int64), np.frombuffer(words, dtype=np.int64)
-            s, e, t, f, equal = align(a, b, np.asarray(ups) - first[3], np.asarray(vps) - begin)
-            if equal >= IDENTITY * max(e - s, f - t):
-                yield first[2], s + first[3], e + first[3], rk
-                yield rk, t + begin, f + begin, first[2]
+            for s, e, t, f in stretches(*equal_words(a, b, np.asarray(ups) - first[3], np.asarray(vps) - begin)):
+                if min(e - s, f - t) >= LEAST_SPAN:
+                    yield first[2], s + first[3], e + first[3], rk
+                    yield rk, t + begin, f + begin, first[2]
 
 
 def _unite(it):

@@ -1,7 +1,7 @@
 import random
 import re
 
-from kiln.llm.substring_dedup import Fenwick, K, GAP_COST, align, chains, minimizers, repeated_passages, segments
+from kiln.llm.substring_dedup import Fenwick, K, GAP_COST, align, chains, minimizers, repeated_passages, segments, stretches
 
 import numpy as np
 
@@ -98,5 +98,43 @@ def test_passages(docs_of):
                 assert any(a <= k and k + 50 <= b for a, b in cover[i]), (i, k)
 
 
+def covered(got, i):
+    return {k for r in got if r["id"] == i for k in range(r["start"], r["start"] + r["n_words"])}
+
+
+def test_stretches_against_all_pairs():
+    rng = random.Random(7)
+    for _ in range(200):
+        x, y, at, off = [], [], 0, 0
+        for _ in range(rng.randrange(1, 9)):
+            n = rng.randrange(1, 40)
+            x += range(at, at + n)
+            y += range(off, off + n)
+            at, off = at + n + rng.randrange(0, 20), off + n + rng.randrange(1, 20)
+        want = set()
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                if (i == 0 or (x[i - 1], y[i - 1]) != (x[i] - 1, y[i] - 1)) and (
+                        j + 1 == len(x) or (x[j + 1], y[j + 1]) != (x[j] + 1, y[j] + 1)):
+                    if 5 * (j - i + 1) >= 4 * max(x[j] - x[i] + 1, y[j] - y[i] + 1):
+                        want |= set(range(x[i], x[j] + 1))
+        assert {k for s, e, _, _ in stretches(np.array(x), np.array(y)) for k in range(s, e)} == want
+
+
+def test_chain_that_fails_as_a_whole(docs_of):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, long_ = text(50), text(50), text(200)
+    shared = [text(15) for _ in range(12)]
+    form = lambda: [w for x in shared for w in x + text(25)]
+    rows = [(i, " ".join(text(20) + p + text(30) + q + text(20))) for i in (1, 2)]
+    rows += [(i, " ".join(long_ + text(25) + form())) for i in (3, 4)]
+    got = repeated_passages(docs_of(rows)).collect()
+    for i in (1, 2):
+        assert covered(got, i) == {*range(20, 70), *range(100, 150)}
+    for i in (3, 4):
+        assert set(range(200)) <= covered(got, i) and max(covered(got, i)) < 320
+
+
 def test_empty(docs_of):
     assert repeated_passages(docs_of([])).count() == 0
