@@ -5,9 +5,10 @@ text gives its minimizers: of each 6 neighbouring 5-word hashes the smallest, an
 of each 25 neighbouring 25-word hashes the smallest. Each occurrence of a seed is tied to the first document that has it, not to all
 the others: a row per occurrence, however many documents share a passage; seeds
 that repeat in a batch of documents are tied there, and one of them goes on. A
-long seed counts as three short ones. Long seeds lie 25 words apart at
-most, so the stretches they tie, whichever documents to, touch each other: no
-exact copy of 50 words is lost however its short seeds are scattered.
+long seed counts as three short ones. Every 50 words hold a long seed, and a chain
+is lengthened by 25 words a side, so one long seed that ties two documents covers
+their common 50 words, however the short seeds are scattered. What no tie covers: words
+whose every long seed is first held by a document that shares the seed but less than 50 words.
 
 For each pair of tied documents the matches on a diagonal are joined into
 segments, and these are chained: a chain runs forward in both texts, a segment
@@ -47,7 +48,6 @@ LEAST_MATCHES = 3
 LEAST_SPAN = 25
 WIDEST_GAP = 40  # a chain is two where it jumps further
 JOIN_WORDS = 30  # matches on a diagonal that are so near make one segment
-PAD = 16
 IDENTITY = 0.8
 MERGE_SALTS = 64
 
@@ -373,6 +373,7 @@ def _unite(it):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """id, start, n_words, partner (id of a document that shares a part of it) of every repeated passage."""
     base = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pad = max(0, min_words - LONG)  # a passage of min_words reaches no further beyond a long seed of it
     ties = seed_ties(base)
     linked = ties.repartition("u", "v").sortWithinPartitions("u", "v", "up", "vp").mapInPandas(
         lambda it: _gathered(_chains_of(it), ["u", "v", "ups", "vps"]), "u bigint, v bigint, ups array<int>, vps array<int>")
@@ -381,7 +382,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     F.struct(F.col("v").alias("rk"), F.lit(1).alias("side"), F.col("vps").alias("own")))
     wanted = linked.select("pid", "ups", "vps", F.explode(sides).alias("x")).select(
         F.col("x.rk").alias("rk"), "pid", F.col("x.side").alias("side"), "ups", "vps",
-        F.greatest(F.lit(0), F.array_min("x.own") - PAD).alias("first"), (F.array_max("x.own") + K + PAD).alias("last"))
+        F.greatest(F.lit(0), F.array_min("x.own") - pad).alias("first"), (F.array_max("x.own") + K + pad).alias("last"))
     joined = wanted.join(base.select("rk", "text"), "rk")
 
     def cut(it):

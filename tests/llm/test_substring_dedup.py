@@ -136,5 +136,23 @@ def test_chain_that_fails_as_a_whole(docs_of):
         assert set(range(200)) <= covered(got, i) and max(covered(got, i)) < 320
 
 
+def test_short_seeds_scattered(docs_of):
+    """Exact passages of 50 to 58 words, each 5-gram of which other documents hold too."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(12):
+        n = 50 + i % 9
+        p = text(n)
+        for side in (0, 1):
+            rows.append((10 * i + side, " ".join(text(30) + p + text(30))))
+            want[10 * i + side] = set(range(30, 30 + n))
+        for other in range(2, 10):  # nearly always one of them has the smallest hash
+            rows.append((10 * i + other, " ".join(w for k in range(n - 4) for w in p[k:k + 5] + text(50))))
+    got = repeated_passages(docs_of(rows)).collect()
+    assert all(covered(got, i) >= held for i, held in want.items())
+    assert {r["id"] for r in got} == set(want)
+
+
 def test_empty(docs_of):
     assert repeated_passages(docs_of([])).count() == 0
