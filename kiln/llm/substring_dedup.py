@@ -3,7 +3,8 @@
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Every
 text gives its minimizers: of each 6 neighbouring 5-word hashes the smallest, and
 of each 25 neighbouring 25-word hashes the smallest. Each occurrence of a seed is tied to the first document that has it, not to all
-the others: a row per occurrence, however many documents share a passage; seeds
+the others, and further occurrences in that one to the next: two rows per occurrence
+at most, however many documents share a passage; seeds
 that repeat in a batch of documents are tied there, and one of them goes on. A
 long seed counts as three short ones. Every 50 words hold a long seed, and a chain
 is lengthened by 25 words a side, so one long seed that ties two documents covers
@@ -143,10 +144,13 @@ def seed_ties(docs: DataFrame) -> DataFrame:
 
 def _ties(seed, rk, at, long_) -> tuple[pd.DataFrame, np.ndarray]:
     """From rows sorted by seed, document and place: ties of every row to its run's first document, and which rows
-    are that document's. Where a seed repeats in both, the n-th place is tied to the n-th (or last) one."""
+    are that document's. Where a seed repeats in both, the n-th place is tied to the n-th (or last) one and to the
+    first one. Further places of the first document are tied to the first place of the next one: at most two ties a
+    row, and every place has one to a first place."""
     new = np.concatenate([[True], seed[1:] != seed[:-1]])
     first = np.flatnonzero(new)
-    head = np.repeat(first, np.diff(first, append=len(seed)))
+    rows = np.diff(first, append=len(seed))
+    head, rows = np.repeat(first, rows), np.repeat(rows, rows)
     doc = np.flatnonzero(new | np.concatenate([[True], rk[1:] != rk[:-1]]))
     times = np.diff(doc, append=len(seed))
     nth = np.arange(len(seed)) - np.repeat(doc, times)
@@ -154,6 +158,9 @@ def _ties(seed, rk, at, long_) -> tuple[pd.DataFrame, np.ndarray]:
     own = rk[head] == rk
     far = np.flatnonzero(~own)
     to = head[far] + np.minimum(nth, held - 1)[far]
+    again = to > head[far]
+    further = np.flatnonzero(own & (nth > 0) & (held < rows))
+    far, to = (np.concatenate(x) for x in ((far, far[again], (head + held)[further]), (to, head[far[again]], further)))
     return pd.DataFrame({"u": rk[far], "up": at[far], "v": rk[to], "vp": at[to], "long": long_[far]}), own
 
 

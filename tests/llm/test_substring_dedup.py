@@ -154,5 +154,21 @@ def test_short_seeds_scattered(docs_of):
     assert {r["id"] for r in got} == set(want)
 
 
+def test_passage_twice_in_a_document(docs_of):
+    """Whole or partial copies before and after a passage, with many texts so that both hash orders occur."""
+    rng = random.Random(10)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(30):
+        p = text(60)
+        part = p[:35] if i % 3 == 1 else p[20:] if i % 3 == 2 else p
+        rows.append((10 * i, " ".join(part + text(40) + p)))
+        rows.append((10 * i + 1, " ".join(text(20) + p + (text(40) + part if i % 2 else text(5)))))
+        want[10 * i] = set(range(len(part) + 40, len(part) + 100)) | (set(range(60)) if i % 3 == 0 else set())
+        want[10 * i + 1] = set(range(20, 80)) | (set(range(120, 180)) if i % 2 and i % 3 == 0 else set())
+    got = repeated_passages(docs_of(rows)).collect()
+    assert not [i for i, held in want.items() if not covered(got, i) >= held]
+
+
 def test_empty(docs_of):
     assert repeated_passages(docs_of([])).count() == 0
