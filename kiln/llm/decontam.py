@@ -7,12 +7,16 @@ text is hashed under every mask. A Bloom filter of the benchmark's hashes, of a
 fixed number of bits however large the benchmark is, is sent to the tasks;
 places that pass it (nearly only true hits) leave the scan with the words
 around them and are joined to the benchmark's hashes. Each (document, item,
-diagonal) is then verified: word by word along the diagonal, the best segment
-(+1 a match, -2 a change) must have at least 80 % equal words and at least 13,
-or 80 % of a shorter item.
+diagonal) is then verified: word by word along the diagonal, some segment must
+have at least 80 % equal words and at least 13 of them, or 80 % of a shorter
+item's words. The best segment (+1 a match, -2 a change) is reported if it does,
+else the one with most equal words among those of 80 %. Items of 13 words or more
+are found if the copy agrees with them under one mask somewhere.
 
-Items of fewer than 13 words are sought by all their words in one piece, with
-5 words at least; shorter items cannot identify a leak and match nothing.
+Items of 5 to 12 words are sought under masks that each leave out some blocks of
+the item, so that as many changes as the 80 % allow, one or two, hide no copy,
+also where it sticks out of the text; shorter items cannot identify a leak and
+match nothing.
 
 Defined results. Null and empty texts have no words and match nothing. Rows
 that repeat are each found. Items that repeat are each reported. A null doc_id
@@ -21,6 +25,8 @@ is reported as null. Empty tables give no rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +44,36 @@ SHORTEST = 5
 PAD = 64
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """The places to compare of an item of n words, under SPAN: all but the blocks that n // 5 changes can fall into."""
+    changes = n // 5
+    count = 5 if n == 5 else 2 + changes  # four words at least are compared
+    blocks = np.array_split(np.arange(n), count)
+    return [tuple(int(p) for k, b in enumerate(blocks) if k not in out for p in b)
+            for out in combinations(range(count), changes)]
+
+
 def _seeds(words: np.ndarray, short: range | tuple):
-    """(places, hashes) under all masks, and under whole pieces of the lengths in ``short``."""
+    """(places, hashes) under all masks, and under those of items of the lengths in ``short``."""
     places, hashes = [], []
-    for salt, mask in [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in short)]:
+    for salt, mask in enumerate(MASKS):
         h = windows(words, mask, salt)
         places.append(np.arange(len(h)))
         hashes.append(h)
+    for n in short:
+        for h, at in _short_seeds(words, n):
+            places.append(at)
+            hashes.append(h)
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def _short_seeds(words: np.ndarray, n: int):
+    """(hashes, places) under each mask for items of n words; a place is where the item would begin, maybe before the text."""
+    for k, mask in enumerate(short_masks(n)):
+        h = windows(words, tuple(p - mask[0] for p in mask), 100 + 16 * n + k)
+        yield h, np.arange(len(h)) - mask[0]
+
+
 def _texts(pdf: pd.DataFrame):
     hasher = WordHasher(PUNCTUATED, lower=False)
     return hasher.words(t.lower() if isinstance(t, str) else None for t in pdf["text"])
@@ -66,8 +92,11 @@ def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "
             for item, w in zip(pdf["item"], pdf["words"]):
                 w = np.asarray(w, dtype=np.int64).view(np.uint64)
                 if len(w) >= SHORTEST:
-                    places, h = _seeds(w, ()) if len(w) >= SPAN else (np.zeros(1, int), windows(
-                        w, tuple(range(len(w))), 100 + len(w)))
+                    if len(w) >= SPAN:
+                        places, h = _seeds(w, ())
+                    else:  # of each mask the place where the item begins
+                        h = np.array([x[at == 0][0] for x, at in _short_seeds(w, len(w))], dtype=np.uint64)
+                        places = np.zeros(len(h), int)
                     yield pd.DataFrame({"item": item, "place": places, "h": h.view(np.int64)})
 
     known = written(base.where("item is not null").mapInPandas(words, "item bigint, words array<bigint>"), "bench-words")
@@ -82,6 +111,27 @@ def best_segment(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[:end + 1])), end
 
 
+def widest_segment(equal: np.ndarray) -> tuple[int, int]:
+    """(start, end) of the segment with the most matches among those with 80 % matches."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    rest = np.maximum.accumulate(total[::-1])  # ascending: the highest of the last sums
+    end = len(equal) - np.searchsorted(rest, total)  # the last place with no lower sum
+    count = np.concatenate([[0], np.cumsum(equal)])
+    s = int(np.argmax(count[end] - count))
+    at = s + np.flatnonzero(equal[s:end[s]])
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+
+
+def verified_segment(equal: np.ndarray, least: int) -> tuple[int, int, bool]:
+    """The segment to report, and whether it has ``least`` matches and 80 %."""
+    for pick in (best_segment, widest_segment):
+        s, e = pick(equal)
+        same = int(equal[s:e].sum())
+        if same >= least and 5 * same >= 4 * (e - s):
+            return s, e, True
+    return s, e, False
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", log_bits: int = 26) -> DataFrame:
     """k1, k2 (hashes of the row's id and text), id, item, start, n_words, n_equal: the longest verified overlap
@@ -134,9 +184,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 lo = max(0, start - diagonal)  # item places that meet the words at hand
                 hi = min(len(b), start + len(a) - diagonal)
                 equal = a[lo + diagonal - start:hi + diagonal - start] == b[lo:hi]
-                s, e = best_segment(equal)
+                s, e, ok = verified_segment(equal, min(SPAN, -(-4 * len(b) // 5)))
                 same = int(equal[s:e].sum())
-                ok = same >= min(SPAN, -(-4 * len(b) // 5)) and 5 * same >= 4 * (e - s)
                 out.append((ok, lo + diagonal + s, e - s, same))
             got = pd.DataFrame(out, columns=["ok", "first", "n_words", "n_equal"], index=pdf.index)
             got = pd.concat([pdf[["k1", "k2", "id", "item"]], got], axis=1)

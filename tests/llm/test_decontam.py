@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from kiln.llm.decontam import SPAN, best_segment, drop_leaks, find_leaks
+from kiln.llm.decontam import SPAN, best_segment, drop_leaks, find_leaks, short_masks, widest_segment
 
 import numpy as np
 
@@ -70,3 +70,52 @@ def test_empty(spark, docs_of, case):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert find_leaks(docs_of(case[0]), none, log_bits=20).count() == 0
     assert find_leaks(docs_of([]), spark.createDataFrame(case[1], none.schema), log_bits=20).count() == 0
+
+
+def test_widest_segment_against_all():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        eq = rng.random(rng.integers(0, 40)) < rng.choice([0.5, 0.7, 0.8])
+        want = max([0, *(int(eq[s:e].sum()) for s in range(len(eq)) for e in range(s + 1, len(eq) + 1)
+                         if 5 * eq[s:e].sum() >= 4 * (e - s))])
+        s, e = widest_segment(eq)
+        assert eq[s:e].sum() == want and 5 * want >= 4 * (e - s)
+
+
+def test_weak_agreement_around_a_leak(spark, docs_of):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, docs = [], []
+    for j in range(40):
+        item = text(130)
+        keep = rng.choice([13, 20, 30])
+        copy = item[:keep] + [w if rng.random() < rng.choice([0.7, 0.75]) else "changed" for w in item[keep:]]
+        items.append((j, " ".join(item)))
+        docs.append((j, " ".join(text(40) + copy + text(40))))
+    got = find_leaks(docs_of(docs), spark.createDataFrame(items, "item_id bigint, text string"), log_bits=20).collect()
+    assert {(r["id"], r["item"]) for r in got} == {(j, j) for j in range(40)}
+    assert all(r["n_equal"] >= 13 and 5 * r["n_equal"] >= 4 * r["n_words"] for r in got)
+
+
+def test_short_items_with_changes(spark, docs_of):
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, docs, want = [], [], set()
+    for n in range(5, 13):
+        assert all(len(m) >= 4 for m in short_masks(n))
+        for t in range(12):
+            item, j = text(n), 100 * n + t
+            items.append((j, " ".join(item)))
+            for extra in (0, 1):  # as many changes as the rule allows, and one more
+                out = rng.sample(range(n), n // 5 + extra)
+                copy = ["changed" if k in out else w for k, w in enumerate(item)]
+                docs.append((2 * j + extra, " ".join(text(20) + copy + text(20))))
+            want.add((2 * j, j))
+        j = 100 * n + 50  # the copy sticks out of the text
+        item = text(n)
+        items.append((j, " ".join(item)))
+        docs.append((2 * j, " ".join(item[n // 5:] + text(20))))
+        docs.append((2 * j + 1, " ".join(text(20) + item[:n - n // 5])))
+        want |= {(2 * j, j), (2 * j + 1, j)}
+    got = find_leaks(docs_of(docs), spark.createDataFrame(items, "item_id bigint, text string"), log_bits=20).collect()
+    assert {(r["id"], r["item"]) for r in got} == want
