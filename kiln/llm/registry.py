@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kiln.llm import chat_format, decontam, embed_dedup, html_extract, line_dedup, mixing, ngram_join, quality, sharding,\
-    substring_dedup
+from kiln.llm import chat_format, decontam, divergence, embed_dedup, html_extract, line_dedup, mixing, ngram_join, quality,\
+    sharding, substring_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,9 +16,15 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_warc": warc.op12_warc,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op8_ngram_join": ngram_join.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_warc": warc.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
