@@ -238,7 +238,7 @@ def s14(spark, sf):
 @query("S15_sniff_format", f"""select 'jsonl' as format, count(*)::bigint as files from {_PARTS}""")
 def s15(spark, sf):
     p = _write_text(v_jsonl_chat(spark, sf), "line", scratch_path(spark, "sniff"))
-    f = S.sniff_format(S.read_lines(spark, p))
+    f = S.sniff_files(spark, p)
     return f.groupBy("format").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
 
 
@@ -280,6 +280,21 @@ def s17(spark, sf):
     return S.estimate_rows(table(spark, sf, "events"))
 
 
+@query("S17_estimate_csv_rows", """with t as (select event_type, event_id // 5000 as chunk,
+  string_agg(event_id || ',' || user_id, chr(10) order by event_id) || chr(10) as body from events group by all),
+h as (select *, substr(body, 1, 4096) as head from t)
+select event_type, chunk, floor(length(body) / greatest(1.0, length(head)::double
+  / greatest(1, length(head) - length(replace(head, chr(10), '')))))::bigint as rows from h""")
+def s17_csv(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.floor(F.col("event_id") / 5000).cast("bigint").alias("chunk"), "event_id",
+                                          F.concat_ws(",", "event_id", "user_id").alias("line"))
+    p = scratch_path(spark, "estimate")
+    (e.repartition("event_type", "chunk").sortWithinPartitions("event_type", "chunk", "event_id").drop("event_id")
+       .write.partitionBy("event_type", "chunk").text(p))
+    return S.estimate_csv_rows(spark, p).select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("event_type"),
+                                                F.regexp_extract("file", "chunk=([^/]+)/", 1).cast("bigint").alias("chunk"), "rows")
+
+
 @query("S18_read_logs", """select log_id, line_no, line from v_log""", views=("v_log",))
 def s18(spark, sf):
     from kiln.plans.views import v_log

@@ -38,10 +38,11 @@ def v_word_pairs(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", "source", F.col("text").alias("ref"), F.array_join(kept, " ").alias("pred"))
 
 
-def spread(df: DataFrame, parts: int = 32) -> DataFrame:
-    """The driver's tables are one row group each: deal their rows out, as the
-    splits of a large table would."""
-    return df.repartition(parts)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores (the driver's tables are one row group each) is dealt out; a
+    larger one is left as its splits are, and no text is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def v_jsonl(spark, sf_dir) -> DataFrame:

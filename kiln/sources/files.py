@@ -1,11 +1,13 @@
 """File sources (S01-S21): JSON lines, JSON documents, CSV/TSV, Parquet, XML,
 plain text, archives, image folders, inventories and format routing.
 
-Line numbers for text sources are exact without sorting a file in one task:
-the text reader yields each split's lines in order, so
-``monotonically_increasing_id`` minus the split's first id is the line's
-offset inside the split; per-(file, split) line counts (a table the size of
-the split list) give each split's starting line by a running sum.
+Text, logs, JSON lines, delimited text and large JSON documents are read in byte
+ranges (``kiln.sources.ranges``): line numbers, quotes and brackets are followed
+across ranges by a prefix over small rows, and no text is exchanged. On storage
+that only Spark opens, ``numbered_lines`` and Spark's own readers do the same:
+there the text reader yields each split's lines in order, so
+``monotonically_increasing_id`` minus the split's first id is the line's offset
+inside the split, and per-(file, split) line counts give its starting line.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kiln.functions.text import ustrip
+from kiln.sources import json_ranges, ranges
 
 
 def numbered_lines(df: DataFrame, value: str = "value") -> DataFrame:
@@ -38,6 +41,8 @@ def numbered_lines(df: DataFrame, value: str = "value") -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Plain text, one row per line with its file and line number."""
+    if ranges.reachable(spark, path):
+        return ranges.ranged_lines(spark, path)
     return numbered_lines(spark.read.format("text").load(path))
 
 
@@ -63,14 +68,19 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 ENVELOPE_KEYS = ["data", "samples", "items", "records", "images", "annotations", "train", "test"]
 
 
-def read_json_doc(spark: SparkSession, path: str, rule: str = "first_list") -> DataFrame:
-    """One JSON document per file -> one row per record (VARIANT
-    ``rec``). A top-level list gives its elements; an object gives the list
-    under its first list-valued key in document order (``first_list``) or
-    under the first present envelope key (``envelope``), else the object
-    itself."""
-    d = spark.read.format("text").option("wholetext", "true").load(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+def read_json_doc(spark: SparkSession, path: str, rule: str = "first_list", split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+    """One JSON document per file -> one row per record (``file``,
+    ``pos``, VARIANT ``rec``). A top-level list gives its elements; an object
+    gives the list under its first list-valued key in document order
+    (``first_list``) or under the first present envelope key (``envelope``),
+    else the object itself. Documents above ``split_bytes`` are read in byte
+    ranges by many tasks (``json_ranges``); a record of theirs that is not JSON
+    comes out as null, where a smaller document that is not JSON gives no rows."""
+    d = spark.read.format("text").option("wholetext", "true").load(path)
+    apart = ranges.reachable(spark, path)
+    if apart:
+        d = d.where(F.col("_metadata.file_size") <= split_bytes)
+    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     d = d.withColumn("_v", F.try_parse_json("raw"))
     as_list = F.try_variant_get("_v", "$", "array<variant>")
     if rule == "envelope":
@@ -85,21 +95,35 @@ def read_json_doc(spark: SparkSession, path: str, rule: str = "first_list") -> D
         inner = F.when(F.size(list_keys) > 0, F.try_variant_get(
             F.col("_v"), F.concat(F.lit("$['"), first, F.lit("']")), "array<variant>"))
     recs = F.coalesce(as_list, inner, F.when(F.col("_v").isNotNull(), F.array(F.col("_v"))))
-    return d.select("file", F.posexplode(recs).alias("pos", "rec"))
+    small = d.select("file", F.posexplode(recs).alias("pos", "rec"))
+    if not apart:
+        return small
+    large = json_ranges.ranged_json(ranges.list_files(spark, path).where(F.col("length") > split_bytes),
+                                    ENVELOPE_KEYS if rule == "envelope" else None, split_bytes)
+    large = large.select("file", F.col("pos").cast("int").alias("pos"), F.try_parse_json("raw").alias("rec"), "whole")
+    return small.unionByName(large.where(~F.col("whole") | F.col("rec").isNotNull()).drop("whole"))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_cols: list[str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_cols: list[str] | None = None,
+                   split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
     """CSV/TSV with a header, UTF-8; quoted fields may hold doubled
-    quotes, separators and line breaks. Rows with more fields than the header
-    are skipped, short rows are padded with nulls (as pandas does with
-    ``on_bad_lines='skip'``): the schema has one spare ``_extra`` column, which
-    stays null unless a row fills it. Empty fields are null."""
-    options = {"header": "true", "sep": sep, "encoding": "UTF-8", "multiLine": "true", "quote": '"', "escape": '"',
-               "nullValue": "\u0001", "emptyValue": ""}
+    quotes, separators and line breaks. A file is read by as many tasks as it
+    has ranges (``ranges.ranged_records``), line breaks within quotes or not.
+    Rows with more fields than the header are skipped, short rows are padded
+    with nulls (as pandas does with ``on_bad_lines='skip'``): the schema has one
+    spare ``_extra`` column, which stays null unless a row fills it. Empty
+    fields are null. The header's names come from the first file's first row."""
+    options = {"sep": sep, "encoding": "UTF-8", "quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": ""}
+    whole = options | {"header": "true", "multiLine": "true"}
     if header_cols is None:
-        header_cols = [c.strip() for c in spark.read.options(**options).csv(path).columns]
+        header_cols = [c.strip() for c in spark.read.options(**whole).csv(path).columns]
     schema = StructType([StructField(c, StringType()) for c in header_cols] + [StructField("_extra", StringType())])
-    df = spark.read.options(**options, mode="PERMISSIVE", enforceSchema="true").schema(schema).csv(path)
+    if ranges.reachable(spark, path):
+        ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+        records = ranges.ranged_records(spark, path, sep, split_bytes)
+        df = records.select(F.from_csv("record", ddl, options | {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    else:
+        df = spark.read.options(**whole, mode="PERMISSIVE", enforceSchema="true").schema(schema).csv(path)
     return df.where(F.col("_extra").isNull()).select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header_cols])
 
 
@@ -249,6 +273,11 @@ def sniff_format(lines: DataFrame, group: str = "file", pos: str = "line_no", li
                         .when(f.contains(","), "csv").when(f.contains("\t"), "tsv").otherwise("text").alias("format"))
 
 
+def sniff_files(spark: SparkSession, path: str) -> DataFrame:
+    """S15 for files: ``sniff_format`` of the first line that is not blank; no file is read beyond it."""
+    return sniff_format(ranges.first_lines(spark, path))
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Route by suffix (driver-side dispatch, one reader per format).
     Any other path is taken as a folder, on any storage Spark reads: the most
@@ -290,11 +319,11 @@ def estimate_csv_rows(spark: SparkSession, path: str, head_bytes: int = 4096) ->
     """The estimate for delimited files: bytes / average row bytes of the
     first ``head_bytes`` of each file (the estimate's feature: it reads no
     further), per ``file``."""
-    b = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, head_bytes).cast("string")
-    rows = F.greatest(F.lit(1), F.char_length(head) - F.char_length(F.replace(head, F.lit("\n"))))
-    used = F.least(F.col("length"), F.lit(head_bytes))
-    return b.select(F.col("path").alias("file"), F.floor(F.col("length") / (used / rows)).cast("bigint").alias("rows"))
+    h = ranges.file_heads(spark, path, head_bytes)
+    text = F.decode("head", "ISO-8859-1")  # a character a byte
+    feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n")))
+    average = F.greatest(F.lit(1.0), F.octet_length("head") / F.greatest(F.lit(1), feeds))
+    return h.select("file", F.floor(F.col("length") / average).cast("bigint").alias("rows"))
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
