@@ -350,7 +350,7 @@ def u04(spark, sf):
     q = (errors.writeStream.foreachBatch(notify_sink(out)).option("checkpointLocation", out + "-checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema("log_id string, line_no bigint, error_type string").json(out)
+    return K.read_batches(spark, out, "log_id string, line_no bigint, error_type string").select("log_id", "line_no", "error_type")
 
 
 @query("S20_read_eval_results", """select 'run-' || user_id as experiment_id, count(*)::bigint as points, round(sum(value), 6) as total
@@ -416,36 +416,75 @@ def k03(spark, sf):
 
 
 _IDX = """old as (select source as source_path, count(*) as n from documents where doc_id % 2 = 0 group by source),
-new as (select source as source_path, count(*) as n from documents where doc_id % 3 = 0 and source < 'src5' group by source)"""
+new as (select source as source_path, n_chars::bigint as n, doc_id from documents where doc_id % 3 = 0 and source < 'src5'),
+last as (select source_path, arg_max(n, doc_id) as n from new group by source_path)"""
 
 
 @query("K04_upsert_index", f"""with {_IDX}
-select * from old where source_path not in (select source_path from new) union all select * from new""")
+select * from old where source_path not in (select source_path from new) union all select * from last""")
 def k04(spark, sf):
+    """Results that come one after another, each replacing its source's record."""
     d = table(spark, sf, "documents")
     old = d.where(F.col("doc_id") % 2 == 0).groupBy(F.col("source").alias("source_path")).agg(F.count(F.lit(1)).alias("n"))
-    new = d.where((F.col("doc_id") % 3 == 0) & (F.col("source") < "src5")).groupBy(F.col("source").alias("source_path")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return K.upsert_index(old, new)
+    new = d.where((F.col("doc_id") % 3 == 0) & (F.col("source") < "src5")).select(
+        F.col("source").alias("source_path"), F.col("n_chars").cast("bigint").alias("n"), "doc_id")
+    return K.upsert_index(old, new, order="doc_id").select("source_path", "n")
 
 
-@query("K05_upsert_experiments", """select id, run_id, case when event_id % 5 = 0 then 'completed' else 'pending' end as status
-from (select concat('e', cast(event_id as varchar)) as id, concat('run-', cast(user_id as varchar)) as run_id, event_id from events) t""")
+_EXPERIMENTS = """e as (select concat('e', cast(event_id // 3 as varchar)) as id, concat('run-', cast(event_id // 90 as varchar)) as run_id,
+  event_id, event_type from events)"""
+
+
+def _experiment_rows(spark, sf):
+    """Three events an experiment."""
+    number = F.floor(F.col("event_id") / 3).cast("bigint").cast("string")
+    run = F.floor(F.col("event_id") / 90).cast("bigint").cast("string")
+    return table(spark, sf, "events").select(F.concat(F.lit("e"), number).alias("id"), F.concat(F.lit("run-"), run).alias("run_id"),
+                                             "event_id", "event_type")
+
+
+@query("K05_upsert_experiments", f"""with {_EXPERIMENTS},
+old as (select distinct id, run_id, 'pending' as status from e where event_id % 2 = 0),
+new as (select id, run_id, arg_max(event_type, event_id) as status from e where event_id % 5 <> 0 group by id, run_id)
+select * from old where not exists (select 1 from new where new.id = old.id and new.run_id = old.run_id) union all select * from new""")
 def k05(spark, sf):
-    e = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
-                                          F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), "event_id")
-    old = e.select("id", "run_id", F.lit("pending").alias("status"))
-    new = e.where(F.col("event_id") % 5 == 0).select("id", "run_id", F.lit("completed").alias("status"))
-    return K.upsert_experiments(old, new)
+    e = _experiment_rows(spark, sf)
+    old = e.where(F.col("event_id") % 2 == 0).select("id", "run_id", F.lit("pending").alias("status")).distinct()
+    new = e.where(F.col("event_id") % 5 != 0).select("id", "run_id", F.col("event_type").alias("status"), "event_id")
+    return K.upsert_experiments(old, new, order="event_id").select("id", "run_id", "status")
+
+
+_ABSENT = f"""with {_EXPERIMENTS},
+old as (select id, min(event_type) as state from e where event_id % 7 = 0 group by id),
+new as (select id, arg_min(event_type, event_id) as state from e where event_id % 3 <> 0 group by id)
+select * from old union all select * from new where id not in (select id from old)"""
 
 
-@query("K06_append_if_absent", """select id, 'old' as state from (select concat('e', cast(event_id as varchar)) as id from events where event_id % 2 = 0)
-union all select concat('e', cast(event_id as varchar)), 'new' from events where event_id % 2 = 1 and event_id % 3 = 0""")
+@query("K06_append_if_absent", _ABSENT)
 def k06(spark, sf):
-    e = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), "event_id")
-    old = e.where(F.col("event_id") % 2 == 0).select("id", F.lit("old").alias("state"))
-    new = e.where(F.col("event_id") % 3 == 0).select("id", F.lit("new").alias("state"))
-    return K.append_if_absent(old, new, ["id"])
+    e = _experiment_rows(spark, sf)
+    old = e.where(F.col("event_id") % 7 == 0).groupBy("id").agg(F.min("event_type").alias("state"))
+    new = e.where(F.col("event_id") % 3 != 0).select("id", F.col("event_type").alias("state"), "event_id")
+    return K.append_if_absent(old, new, ["id"], order="event_id").select("id", "state")
+
+
+_MERGED = f"""with {_EXPERIMENTS},
+first as (select id, run_id, arg_max(event_type, event_id) as status, max(event_id) as event_id from e
+  where event_id % 2 = 0 group by id, run_id),
+second as (select id, run_id, arg_max(event_type, event_id) as status, max(event_id) as event_id from e
+  where event_id % 5 = 0 and event_id < 1000 group by id, run_id)
+select * from second union all select * from first
+where not exists (select 1 from second where second.id = first.id and second.run_id = first.run_id)"""
+
+
+@query("K05_merge_table", _MERGED)
+def k05_merge(spark, sf):
+    """Two merges into a stored table; the second one rewrites the buckets of its keys only."""
+    e = _experiment_rows(spark, sf).withColumnRenamed("event_type", "status")
+    p = scratch_path(spark, "merged")
+    K.merge_into(spark, p, e.where(F.col("event_id") % 2 == 0), ["id", "run_id"], "event_id")
+    K.merge_into(spark, p, e.where((F.col("event_id") % 5 == 0) & (F.col("event_id") < 1000)), ["id", "run_id"], "event_id")
+    return spark.read.parquet(p).select("id", "run_id", "status", "event_id")
 
 
 @convert.register_converter("messages", "turn_count")

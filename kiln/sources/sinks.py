@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.operators.clean import nan_to_null
+from kiln.session import scratch_path
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -25,24 +26,84 @@ def append_notifications(df: DataFrame, path: str) -> None:
     df.select(F.current_timestamp().alias("timestamp"), *cols).write.mode("append").json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key,
-    other old rows stay: anti join + union (no window over the key, so a
-    repeated key costs nothing extra)."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def _arrival(new: DataFrame, order: str | None):
+    """Column by which rows of ``new`` arrived: the named one, else their place in the input."""
+    return F.col(order) if order else F.monotonically_increasing_id()
 
 
-def upsert_index(old: DataFrame, new: DataFrame, key: str = "source_path") -> DataFrame:
-    """Dataset index, last writer wins per ``source_path``."""
-    return upsert(old, new, [key])
+def resolve(new: DataFrame, key: list[str], order: str | None = None, keep: str = "last") -> DataFrame:
+    """One row for each key of ``new``: the last or first by ``order`` (rows of equal order: the greatest or least
+    row, so that reruns agree). A partial aggregate: a key that most rows share is folded before the shuffle."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+    x = new.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(key)], whole.alias("_row"),
+                   F.struct(_arrival(new, order).alias("at"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("row")).alias("_at"))
+    pick = {"last": F.max_by, "first": F.min_by}[keep]
+    return x.groupBy(*[f"_key{i}" for i in range(len(key))]).agg(pick("_row", "_at").alias("_row")).select("_row.*")
 
 
-def upsert_experiments(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Experiment records, replaced by (id, run_id) else appended."""
-    return upsert(old, new, ["id", "run_id"])
+def _without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key is not among those of ``others``; null is a key like any other."""
+    found = others.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(key)]).distinct()
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
+    return rows.join(found, same, "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """The table as it is after every row of ``new``, one after another by ``order``, replaced the row of
+    its key or was appended: of a key's new rows the last one counts, other old rows stay."""
+    return _without(old, new, key).unionByName(resolve(new, key, order), allowMissingColumns=True)
 
 
-def append_if_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows whose key is not present yet; existing rows keep their
-    state."""
-    return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+def upsert_index(old: DataFrame, new: DataFrame, key: str = "source_path", order: str | None = None) -> DataFrame:
+    """Dataset index, last writer wins per ``source_path``."""
+    return upsert(old, new, [key], order)
+
+
+def upsert_experiments(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Experiment records, replaced by (id, run_id) else appended."""
+    return upsert(old, new, ["id", "run_id"], order)
+
+
+def append_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """New rows whose key is not present yet; existing rows keep their state, and so does the first of a key's
+    new rows."""
+    return old.unionByName(_without(resolve(new, key, order, "first"), old, key), allowMissingColumns=True)
+
+
+def merge_into(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: str | None = None,
+               how: str = "upsert", buckets: int = 64) -> None:
+    """Merge ``new`` into the table at ``path`` (parquet in ``buckets`` folders by the key's hash), rewriting the
+    buckets that its keys fall into and no others. ``how``: ``upsert`` (K04, K05) or ``absent`` (K06). The merged
+    buckets are written aside first, then take the old ones' places; repeating a merge that was broken off gives the
+    table that the merge alone would have given. The number of buckets is the table's: keep it between merges."""
+    hashed = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(buckets)).cast("int")
+    fresh = scratch_path(spark, "merge-new")
+    new.withColumn("bucket", hashed).write.parquet(fresh)
+    new = spark.read.parquet(fresh)
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        merged = {"upsert": upsert, "absent": append_if_absent}[how](old, new, key, order)
+    else:
+        merged = resolve(new, key, order, {"upsert": "last", "absent": "first"}[how])
+    aside = scratch_path(spark, "merge-aside")
+    # few files a bucket; Spark splits a bucket that is large
+    merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(aside)
+    (spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("bucket").parquet(path))
+
+
+# ------------------------------------------------------------ batches of a stream
+
+def write_batch(batch: DataFrame, path: str, query: str, batch_id: int) -> None:
+    """One batch of a stream into the folder of its own, ``path``/query=.../batch=.... A batch that is run
+    again, because its query ended between the write and its own commit, replaces what it wrote before; half-written
+    files of a lost attempt are never among those that Spark's writer commits. So each batch's rows are there once."""
+    (batch.withColumn("timestamp", F.current_timestamp())
+          .write.mode("overwrite").json(f"{path}/query={query}/batch={batch_id}"))
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches that ``write_batch`` wrote, with ``query`` and ``batch``."""
+    return spark.read.schema(f"{schema}, timestamp timestamp, query string, batch bigint").json(path)

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kiln.operators import logs as L
 from kiln.operators.telemetry import gate_actions
+from kiln.sources.sinks import write_batch
 
 
 def _number(batches):
@@ -74,12 +75,11 @@ def latest_metrics_stream(lines: DataFrame) -> DataFrame:
         "log_id", "_l.step", "_l.loss", "_l.eval_loss", "_l.lr", "_l.throughput")
 
 
-def notify_sink(path: str):
-    """A ``foreachBatch`` callback appending each batch to a JSON
-    notification log (one directory per log, append-only)."""
+def notify_sink(path: str, query: str = "notifications"):
+    """A ``foreachBatch`` callback that keeps each batch of ``query`` in a notification log exactly once:
+    a batch that is retried replaces its own rows (``sinks.write_batch``)."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        (batch.withColumn("timestamp", F.current_timestamp()).withColumn("batch", F.lit(epoch_id))
-              .write.mode("append").json(path))
+        write_batch(batch, path, query, epoch_id)
     return write
 
 
