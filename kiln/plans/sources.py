@@ -306,7 +306,7 @@ def s18(spark, sf):
     return S.read_logs(spark, p, id_pattern=r"log_id=([^/]+)/").select("log_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
-def _log_files(spark, sf):
+def log_files(spark, sf):
     from kiln.plans.views import v_log
     p = scratch_path(spark, "live")
     v = v_log(spark, sf)
@@ -315,7 +315,7 @@ def _log_files(spark, sf):
     return p
 
 
-def _drained(df, spark, name):
+def drained(df, spark, name):
     """Run a stream over all files that are there, into files, and read those."""
     out = scratch_path(spark, name)
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint")
@@ -328,7 +328,7 @@ def _drained(df, spark, name):
 def s19(spark, sf):
     """Lines as a stream brings them, against the same lines in batch."""
     from kiln.streaming.live import stream_logs
-    got = _drained(stream_logs(spark, _log_files(spark, sf)).select("line"), spark, "s19")
+    got = drained(stream_logs(spark, log_files(spark, sf)).select("line"), spark, "s19")
     parts = F.split("line", r"\|", 3)
     return got.select(parts[0].alias("log_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"))
 
@@ -343,7 +343,7 @@ def u04(spark, sf):
     """A callback on every batch of errors of a stream: it appends them to a notification log."""
     from kiln.streaming.live import notify_sink, stream_errors_transform, stream_logs
     parts = F.split("line", r"\|", 3)
-    lines = stream_logs(spark, _log_files(spark, sf)).select(
+    lines = stream_logs(spark, log_files(spark, sf)).select(
         parts[0].alias("log_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"))
     out = scratch_path(spark, "u04")
     errors = stream_errors_transform(lines).select("log_id", "line_no", "error_type")
@@ -482,8 +482,8 @@ def k05_merge(spark, sf):
     """Two merges into a stored table; the second one rewrites the buckets of its keys only."""
     e = _experiment_rows(spark, sf).withColumnRenamed("event_type", "status")
     p = scratch_path(spark, "merged")
-    K.merge_into(spark, p, e.where(F.col("event_id") % 2 == 0), ["id", "run_id"], "event_id")
-    K.merge_into(spark, p, e.where((F.col("event_id") % 5 == 0) & (F.col("event_id") < 1000)), ["id", "run_id"], "event_id")
+    K.merge_into(spark, p, e.where(F.col("event_id") % 2 == 0), ["id", "run_id"], "event_id", buckets=8)
+    K.merge_into(spark, p, e.where((F.col("event_id") % 5 == 0) & (F.col("event_id") < 1000)), ["id", "run_id"], "event_id", buckets=8)
     return spark.read.parquet(p).select("id", "run_id", "status", "event_id")
 
 

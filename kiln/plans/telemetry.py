@@ -8,7 +8,9 @@ from kiln.operators import logs as L
 from kiln.operators import telemetry as H
 from kiln.plans.catalog import query
 from kiln.plans.logs import _PARSE
+from kiln.plans.sources import drained, log_files
 from kiln.plans.views import DUCK, table, v_gpu, v_log
+from kiln.session import scratch_path
 
 
 def v_snapshots(spark, sf):
@@ -121,7 +123,7 @@ def h08(spark, sf):
 
 # counters as windows (a healthy poll outside the grace period, or a dead process, starts a new count), then
 # the cooldown as a recursion from one action to the next
-@query("H09_actions", f"""with recursive {_VERDICT},
+_ACTIONS_SQL = f"""with recursive {_VERDICT},
 p as (select run_id, ts, anomaly, epoch_us(ts) / 1e6 as t, early is not null and early = 'grace' as in_grace from verdict),
 q as (select *, sum(case when (anomaly is null and not in_grace) or anomaly = 'process_dead' then 1 else 0 end)
         over (partition by run_id order by ts rows between unbounded preceding and current row) as span from p),
@@ -130,33 +132,102 @@ k as (select * from c where n >= 2),
 a as (select run_id, min(t) as t from k where t >= 300 group by run_id
       union all select a.run_id, (select min(k.t) from k where k.run_id = a.run_id and k.t >= a.t + 300) from a
       where exists (select 1 from k where k.run_id = a.run_id and k.t >= a.t + 300))
-select k.run_id, k.ts, k.anomaly, k.n::bigint as count from a join k on a.run_id = k.run_id and a.t = k.t""",
-       views=("v_gpu", "v_snapshots"))
+select k.run_id, k.ts, k.anomaly, k.n::bigint as count from a join k on a.run_id = k.run_id and a.t = k.t"""
+
+
+@query("H09_actions", _ACTIONS_SQL, views=("v_gpu", "v_snapshots"))
 def h09(spark, sf):
     return H.actions(H.classify_health(v_snapshots(spark, sf)))
 
 
-@query("H10_log_errors", """select log_id, line_no, error_type from (select *, case
+_ERRORS_SQL = """select log_id, line_no, error_type from (select *, case
   when regexp_matches(line, '(?i)(?:CUDA|GPU)\\s*(?:out\\s*of\\s*memory|OOM)') or regexp_matches(line, '(?i)ResourceExhaustedError') then 'OOM'
   when regexp_matches(line, '(?i)(?:FATAL|Fatal error|CRITICAL)') then 'FATAL' when regexp_matches(line, '(?i)loss.*(?:NaN|nan|inf)') then 'NaN'
   when regexp_matches(line, '(?i)NCCL.*(?:error|timeout|abort)') then 'NCCL' when regexp_matches(line, '(?:^|\\s)ERROR') then 'ERROR'
   when regexp_matches(line, '(?i)(?:^|\\s)WARNING') and not regexp_matches(line, 'NCCL|LAUNCH|RAS') then 'WARNING' end as error_type
-  from v_log) t where error_type is not null""", views=("v_log",))
+  from v_log) t where error_type is not null"""
+
+
+@query("H10_log_errors", _ERRORS_SQL, views=("v_log",))
 def h10(spark, sf):
     """Batch run of the transformation the live stream applies."""
     from kiln.streaming.live import stream_errors_transform
     return stream_errors_transform(v_log(spark, sf)).select("log_id", "line_no", "error_type")
 
 
-@query("H11_latest_metrics", f"""with {_PARSE},
+_LATEST_SQL = f"""with {_PARSE},
 l as (select log_id, arg_max({{'step': step, 'loss': loss}}, line_no) as l from parsed group by log_id)
-select log_id, l.step as step, l.loss as loss from l""", views=("v_log",))
+select log_id, l.step as step, l.loss as loss from l"""
+
+
+@query("H11_latest_metrics", _LATEST_SQL, views=("v_log",))
 def h11(spark, sf):
     """Batch run of the live latest-metrics aggregation."""
     from kiln.streaming.live import latest_metrics_transform
     return latest_metrics_transform(L.parse_metrics(v_log(spark, sf))).select("log_id", "step", "loss")
 
 
+def _time_slices(df, spark, name, parts=3, files=4):
+    """The rows of ``df`` in slices that come one after another, in the order of ``ts``, and a stream over them that
+    takes a slice (so many files) a micro-batch."""
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    path = scratch_path(spark, name)
+    at = F.least(F.floor((F.unix_micros("ts") - (low or 0)) * parts / max((high or 0) - (low or 0) + 1, 1)), F.lit(parts - 1))
+    for i in range(parts):
+        df.where(at == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+# gaps between lines, and the silence after a log's last line once the latest line of all is more than 300 s on
+@query("H07_hang_stream", """with e as (select concat('run-', cast(user_id as varchar)) as log_id, ts,
+  lead(ts) over (partition by user_id order by ts) as next, max(ts) over () as latest from events)
+select log_id, ts as last_seen from e
+where epoch_us(next) - epoch_us(ts) > 300000000
+  or (next is null and epoch_us(latest) // 1000 >= epoch_us(ts) // 1000 + 300001)""")
+def h07_stream(spark, sf):
+    """The live hang timer over the stored lines, in their own time."""
+    from kiln.streaming.live import hang_stream
+    e = table(spark, sf, "events").select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("log_id"), "ts")
+    lines = _time_slices(e, spark, "h07").withWatermark("ts", "0 seconds")
+    return drained(hang_stream(lines, 300.0, event_time="ts"), spark, "h07-out").select("log_id", "last_seen")
+
+
+@query("H09_actions_stream", _ACTIONS_SQL, views=("v_gpu", "v_snapshots"))
+def h09_stream(spark, sf):
+    """The live action gate over the stored polls."""
+    from kiln.streaming.live import actions_stream
+    v = H.classify_health(v_snapshots(spark, sf)).select("run_id", F.col("ts").cast("timestamp").alias("ts"), "anomaly")
+    t = F.unix_micros("ts") / 1e6
+    starts = v.groupBy("run_id").agg(F.min(t).alias("start"))
+    polls = v.join(starts, "run_id").select("run_id", "ts", "anomaly", (t - F.col("start") < 30.0).alias("in_grace"))
+    return drained(actions_stream(_time_slices(polls, spark, "h09"), retire_after_s=None), spark, "h09-out")
+
+
+def _log_stream(spark, sf):
+    """The logs as files, several a micro-batch, with the arrival order of their lines."""
+    from kiln.streaming.live import stream_logs
+    parts = F.split("line", r"\|", 3)
+    return stream_logs(spark, log_files(spark, sf), max_files_per_trigger=4).select(
+        parts[0].alias("log_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"), "ingest_ts", "block", "pos")
+
+
+@query("H10_errors_stream", _ERRORS_SQL, views=("v_log",))
+def h10_stream(spark, sf):
+    from kiln.streaming.live import stream_errors_transform
+    return drained(stream_errors_transform(_log_stream(spark, sf)).select("log_id", "line_no", "error_type"), spark, "h10-out")
+
+
+@query("H11_latest_stream", _LATEST_SQL, views=("v_log",))
+def h11_stream(spark, sf):
+    """The last state of every log that the live latest-metrics stream gives: lines ordered by their number."""
+    from kiln.streaming.live import latest_metrics_stream_retiring
+    lines = _log_stream(spark, sf).withColumns({"ingest_ts": F.timestamp_seconds(F.lit(0)), "block": F.lit(0).cast("bigint"),
+                                                "pos": F.col("line_no")})
+    # a log is one file here, so each has lines in one micro-batch
+    return drained(latest_metrics_stream_retiring(lines, None, "Append"), spark, "h11-out").select("log_id", "step", "loss")
+
+
 @query("H12_notifications", f"""with {_VERDICT}
 select run_id, poll, anomaly, 'WARN' as level, case
   when contains(anomaly, 'process_dead') then 'Training process died unexpectedly!'

@@ -6,18 +6,22 @@ start, position in the task)``; the position is numbered in file order by a
 ``mapInPandas`` counter because streams reject ``monotonically_increasing_id``.
 
 The transformations are plain DataFrame functions, so the batch queries run
-the very same code on static tables.
+the very same code on static tables. What needs state (the action gate, the
+hang timer, latest metrics) is a ``StatefulProcessor`` per run or log on the
+RocksDB state store: state variables, timers, and a time to live. Time is the
+cluster's clock, or with ``event_time`` the rows' own, so that a replay of
+stored files gives the same rows however they fall into micro-batches.
 """
 
 from __future__ import annotations
 
-import json
 import time
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from kiln.operators import logs as L
 from kiln.operators.telemetry import gate_actions
@@ -83,131 +87,201 @@ def notify_sink(path: str, query: str = "notifications"):
     return write
 
 
-# ---------------------------------------------------------------- H09 live
+# ---------------------------------------------------------------- state
 
-STATE_SCHEMA = "counters string, last_action double"
-OUT_SCHEMA = "run_id string, ts timestamp, anomaly string, count long"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _processed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str,
+               output_mode: str = "Append") -> DataFrame:
+    """``rows`` through ``processor``, one instance of its state per key; such processors need the RocksDB store."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, output_mode, time_mode)
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return pd.to_datetime(times).astype("datetime64[us]").astype("int64").to_numpy()
+
+
+class _Timed(StatefulProcessor):
+    """Keeps one timer a key, moved on with every row: by the rows' time (``event``), or by the clock."""
 
+    def __init__(self, wait_s: float | None, event: bool):
+        self.wait_s, self.event = wait_s, event
 
-def _gate_fn(retire_s: float):
-    def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()  # the run went quiet
+    def init(self, handle) -> None:
+        self.handle = handle
+
+    def _wait_from(self, last_micros: int, timer_values) -> None:
+        if self.wait_s is None:
             return
-        st = None
-        if state.exists:
-            c_json, last = state.get
-            st = (json.loads(c_json), last)
-        # the chunks of one run in a micro-batch are one sequence: ordered together
-        polls = [p for p in pdfs if len(p)]
-        if polls:
-            out, st = gate_actions(pd.concat(polls, ignore_index=True), state=st)
-            if len(out):
-                yield out
-        state.update((json.dumps(st[0]) if st else "{}", float(st[1]) if st else 0.0))
-        state.setTimeoutDuration(int(retire_s * 1000))
-    return fn
-
-
-def actions_stream(verdicts: DataFrame, retire_after_s: float = 86_400.0) -> DataFrame:
-    """H09 live: the action gate as ``applyInPandasWithState`` per run; the
-    state (counters, last action time) survives micro-batches and restarts
-    through the checkpoint, and goes when a run is silent for
-    ``retire_after_s`` seconds (processing time). A micro-batch holds a run's
-    polls since the last one. Input columns: run_id, ts, anomaly, in_grace."""
-    return verdicts.groupBy("run_id").applyInPandasWithState(
-        _gate_fn(retire_after_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        begin = last_micros // 1000 if self.event else timer_values.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(begin + int(self.wait_s * 1000) + 1)
 
+    def close(self) -> None:
+        pass
+
+
+def _mode(wait_s: float | None, event: bool) -> str:
+    return "none" if wait_s is None else "eventTime" if event else "processingTime"
 
-def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoint: str | None = None,
-                  timeout_s: float = 300) -> None:
-    """Drive a stream over everything available now into a memory table
-    (``availableNow`` trigger; used by tests and batch back-fills)."""
-    w = df.writeStream.format("memory").queryName(sink_name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
-    deadline = time.time() + timeout_s
-    while q.isActive and time.time() < deadline:
-        q.awaitTermination(1)
-    if q.isActive:
-        q.stop()
-    if q.exception():
-        raise q.exception()
 
+# ---------------------------------------------------------------- H09 live
+
+OUT_SCHEMA = "run_id string, ts timestamp, anomaly string, count long"
 
 
+class _Gate(_Timed):
+    """The counters of a run's anomalies and the time of its last action; a quiet run's state goes with its timer."""
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.counters = handle.getMapState("counters", "anomaly string", "n bigint")
+        self.last = handle.getValueState("last_action", "at double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # the chunks of one run in a micro-batch are one sequence: ordered together
+        polls = pd.concat([p for p in rows], ignore_index=True)
+        counters = {k[0]: v[0] for k, v in self.counters.iterator()} if self.counters.exists() else {}
+        out, (after, last) = gate_actions(polls, state=(counters, self.last.get()[0] if self.last.exists() else 0.0))
+        for k in counters.keys() - after.keys():
+            self.counters.removeKey((k,))
+        for k, n in after.items():
+            if counters.get(k) != n:
+                self.counters.updateValue((k,), (n,))
+        self.last.update((float(last),))
+        self._wait_from(int(_micros(polls["ts"]).max()), timerValues)
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.counters.clear()
+        self.last.clear()
+        return iter([])
+
+
+def actions_stream(verdicts: DataFrame, retire_after_s: float | None = 86_400.0, event_time: bool = False) -> DataFrame:
+    """H09 live: the action gate per run. Counters and last action survive
+    micro-batches and restarts through the checkpoint, and go when a run is
+    silent for ``retire_after_s`` seconds (None: never). A micro-batch holds a
+    run's polls since the last one. Columns: run_id, ts, anomaly, in_grace;
+    with ``event_time`` the caller sets the watermark on ``ts``."""
+    return _processed(verdicts, "run_id", _Gate(retire_after_s, event_time), OUT_SCHEMA, _mode(retire_after_s, event_time))
+
 
 # ---------------------------------------------------------------- H07 live
 
 HANG_SCHEMA = "log_id string, last_seen timestamp, silent_s double, anomaly string"
-_HANG_STATE = "last_seen double"
-
-
-def _hang_fn(hang_s: float):
-    def fn(key, pdfs, state: GroupState):
-        (log_id,) = key
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            now = time.time()
-            yield pd.DataFrame({"log_id": [log_id], "last_seen": [pd.Timestamp(round(last * 1e6), unit="us")],
-                                "silent_s": [now - last], "anomaly": ["hang_detected"]})
-            return
-        last = None
-        for pdf in pdfs:
-            if len(pdf):
-                m = pd.to_datetime(pdf["ingest_ts"]).max().timestamp()
-                last = m if last is None else max(last, m)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutDuration(int(hang_s * 1000))
-    return fn
 
 
-def hang_stream(lines: DataFrame, hang_s: float = 300.0) -> DataFrame:
-    """H07 live: one row per log that has produced no line for ``hang_s``
-    seconds (a processing-time timeout per log in ``applyInPandasWithState``;
-    the state is one timestamp per active log and is dropped when it fires)."""
-    return lines.select("log_id", "ingest_ts").groupBy("log_id").applyInPandasWithState(
-        _hang_fn(hang_s), HANG_SCHEMA, _HANG_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+class _Hang(_Timed):
+    """The time of a log's last line, and whether its silence since is told already."""
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "seen bigint, told boolean")
+
+    def _rows(self, key, seen, silent_s) -> pd.DataFrame:
+        return pd.DataFrame({"log_id": [key[0]] * len(seen), "last_seen": np.asarray(seen).astype("datetime64[us]"),
+                             "silent_s": np.asarray(silent_s, dtype=float), "anomaly": "hang_detected"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = np.sort(np.concatenate([_micros(p["ts"]) for p in rows]))
+        if self.last.exists():
+            seen, told = self.last.get()
+            times = times[times >= seen]
+            line = np.concatenate([[seen], times])
+        else:
+            told, line = False, times
+        if self.event:  # silences that lie between lines, unless a timer told the first
+            gaps = np.diff(line)
+            found = gaps > self.wait_s * 1e6
+            if told and len(found):
+                found[0] = False
+            if found.any():
+                yield self._rows(key, line[:-1][found], gaps[found] / 1e6)
+        if len(times):
+            self.last.update((int(line[-1]), False))
+            self._wait_from(int(line[-1]), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seen, _ = self.last.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.event:
+            self.last.update((seen, True))
+        else:
+            self.last.clear()
+        yield self._rows(key, [seen], [now / 1000 - seen / 1e6])
+
+
+def hang_stream(lines: DataFrame, hang_s: float = 300.0, event_time: str | None = None) -> DataFrame:
+    """H07 live: one row per log and silence of more than ``hang_s`` seconds.
+    By the clock (the default) a timer runs from a log's last line on; its
+    state is one row per active log and goes when the timer fires. With
+    ``event_time``, a column with a watermark, silences are those between the
+    lines' own times, told once each, as soon as the watermark passes them."""
+    event = event_time is not None
+    rows = lines.select("log_id", F.col(event_time or "ingest_ts").alias("ts"))
+    return _processed(rows, "log_id", _Hang(hang_s, event), HANG_SCHEMA, _mode(hang_s, event))
 
 
 # ---------------------------------------------------------------- H11 with retirement
 
 LATEST_SCHEMA = "log_id string, step long, loss double, eval_loss double, lr double, throughput double"
-_LATEST_STATE = ("step long, loss double, eval_loss double, lr double, throughput double, "
-                 "ts double, block long, pos long")
 _FIELDS = ["step", "loss", "eval_loss", "lr", "throughput"]
 
 
-def _latest_fn(retire_s: float):
-    def fn(key, pdfs, state: GroupState):
-        (log_id,) = key
-        if state.hasTimedOut:
-            state.remove()  # the log went quiet: retire its state, emit nothing
-            return
-        best = state.get if state.exists else None
-        for pdf in pdfs:
-            if not len(pdf):
-                continue
-            pdf = pdf.assign(_t=pd.to_datetime(pdf["ingest_ts"]).map(lambda x: x.timestamp()))
-            last = pdf.sort_values(["_t", "block", "pos"]).iloc[-1]
-            cand = tuple(None if pd.isna(last[f]) else last[f] for f in _FIELDS) + (
-                float(last["_t"]), int(last["block"]), int(last["pos"]))
-            if best is None or cand[5:] >= tuple(best[5:]):
-                best = cand
-        if best is not None:
-            state.update(best)
-            state.setTimeoutDuration(int(retire_s * 1000))
-            yield pd.DataFrame([[log_id, *best[:5]]], columns=["log_id", *_FIELDS])
-    return fn
-
-
-def latest_metrics_stream_retiring(lines: DataFrame, retire_after_s: float = 3600.0) -> DataFrame:
-    """H11 live with bounded state: the latest metric line per log as an
-    update stream; a log silent for ``retire_after_s`` seconds (processing
-    time) has its state removed, so state holds active logs only."""
+class _Latest(StatefulProcessor):
+    """The latest metric line of a log; with a time to live, that of an active log only."""
+
+    def __init__(self, retire_s: float | None):
+        self.retire_s = retire_s
+
+    def init(self, handle) -> None:
+        schema = "step bigint, loss double, eval_loss double, lr double, throughput double, at bigint, block bigint, pos bigint"
+        self.best = handle.getValueState("latest", schema, *([int(self.retire_s * 1000)] if self.retire_s else []))
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = self.best.get() if self.best.exists() else None
+        for pdf in rows:
+            pdf = pdf.assign(at=_micros(pdf["ingest_ts"]))
+            last = pdf.sort_values(["at", "block", "pos"]).iloc[-1]
+            place = tuple(int(last[c]) for c in ("at", "block", "pos"))
+            if best is None or place >= tuple(best[5:]):
+                best = tuple(None if pd.isna(last[f]) else last[f].item() if hasattr(last[f], "item") else last[f] for f in _FIELDS) + place
+        best = (None if best[0] is None else int(best[0]), *best[1:])
+        self.best.update(tuple(best))
+        yield pd.DataFrame([[key[0], *best[:5]]], columns=["log_id", *_FIELDS]).astype(
+            {"step": "Int64", **{f: float for f in _FIELDS[1:]}})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_metrics_stream_retiring(lines: DataFrame, retire_after_s: float | None = 3600.0,
+                                   output_mode: str = "Update") -> DataFrame:
+    """H11 live with bounded state: the latest metric line of every log that a
+    micro-batch has lines of (``output_mode``: that of the query it is in). The state of a log that is silent for
+    ``retire_after_s`` seconds (by the clock; None: never) expires by its time
+    to live, so state holds active logs only."""
     m = L.parse_metrics(lines).select("log_id", *_FIELDS, "ingest_ts", "block", "pos")
-    return m.groupBy("log_id").applyInPandasWithState(
-        _latest_fn(retire_after_s), LATEST_SCHEMA, _LATEST_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return _processed(m, "log_id", _Latest(retire_after_s), LATEST_SCHEMA, _mode(retire_after_s, False), output_mode)
+
+
+def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoint: str | None = None,
+                  timeout_s: float = 300) -> None:
+    """Drive a stream over everything available now into a memory table
+    (``availableNow`` trigger; used by tests and batch back-fills)."""
+    w = df.writeStream.format("memory").queryName(sink_name).outputMode(mode).trigger(availableNow=True)
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    q = w.start()
+    deadline = time.time() + timeout_s
+    while q.isActive and time.time() < deadline:
+        q.awaitTermination(1)
+    if q.isActive:
+        q.stop()
+    if q.exception():
+        raise q.exception()
