@@ -273,7 +273,9 @@ def latest_metrics_stream_retiring(lines: DataFrame, retire_after_s: float | Non
 def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoint: str | None = None,
                   timeout_s: float = 300) -> None:
     """Drive a stream over everything available now into a memory table
-    (``availableNow`` trigger; used by tests and batch back-fills)."""
+    (``availableNow`` trigger; used by tests and batch back-fills). Timers by
+    the clock would keep such a query alive: it ends with the first batch that
+    has no input, which comes when all input is taken."""
     w = df.writeStream.format("memory").queryName(sink_name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
@@ -281,6 +283,9 @@ def run_available(df: DataFrame, sink_name: str, mode: str = "append", checkpoin
     deadline = time.time() + timeout_s
     while q.isActive and time.time() < deadline:
         q.awaitTermination(1)
+        last = q.lastProgress
+        if last and last["numInputRows"] == 0:
+            break
     if q.isActive:
         q.stop()
     if q.exception():

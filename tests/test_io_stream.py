@@ -256,3 +256,53 @@ def test_line_numbers_across_splits(spark, tmpdir_fresh):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [got[("log.txt", i)] for i in range(1, 2001)] == lines
     assert got[("other.txt", 1)] == "a" and got[("other.txt", 2)] == "b" and len(got) == 2002
+
+
+def _hangs(rows, hang_s, waits_until):
+    """Silences of each log: between its lines, and after the last one if the latest line of all is far enough on."""
+    out = []
+    for log in sorted({r[0] for r in rows}):
+        t = sorted(x for name, x in rows if name == log)
+        out += [(log, a) for a, b in zip(t, t[1:]) if b - a > hang_s] + ([(log, t[-1])] if waits_until > t[-1] + hang_s else [])
+    return sorted(out)
+
+
+def test_event_time_hangs_survive_restarts(spark, tmpdir_fresh):
+    """Silences across micro-batches and restarts are told once each."""
+    import datetime as dt
+    import random
+    rng = random.Random(3)
+    rows = sorted({(f"log{rng.randrange(4)}", rng.randrange(0, 9_000, 7)) for _ in range(120)}, key=lambda r: r[1])
+    src, out = f"{tmpdir_fresh}/lines", f"{tmpdir_fresh}/out"
+    os.makedirs(src)
+    schema = "log_id string, ts timestamp"
+    for i in range(3):
+        part = rows[len(rows) * i // 3:len(rows) * (i + 1) // 3]
+        # slices must not share a time: what the watermark has passed is late
+        part = [r for r in part if i == 0 or r[1] > rows[len(rows) * i // 3 - 1][1]]
+        rows = [r for r in rows if r in part or not rows.index(r) in range(len(rows) * i // 3, len(rows) * (i + 1) // 3)]
+        _write(f"{src}/part{i}.json", "\n".join(json.dumps(
+            {"log_id": n, "ts": dt.datetime.fromtimestamp(t, dt.timezone.utc).isoformat()}) for n, t in part))
+        lines = spark.readStream.schema(schema).json(src).withWatermark("ts", "0 seconds")
+        q = (live.hang_stream(lines, 300.0, event_time="ts").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", f"{tmpdir_fresh}/ck").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+    got = sorted((r.log_id, int(r.s)) for r in spark.read.parquet(out).selectExpr("log_id", "unix_seconds(last_seen) as s").collect())
+    assert got == _hangs(rows, 300, max(t for _, t in rows)) and len(got) > 5
+
+
+def test_event_time_gate_retires(spark, tmpdir_fresh):
+    """A run that is silent for the retirement time begins anew: its counters are gone."""
+    polls = [("a", 0, "disk_low"), ("b", 10, None), ("b", 2_000, "x"), ("a", 2_100, "disk_low"), ("a", 2_200, "disk_low")]
+    src = f"{tmpdir_fresh}/polls"
+    os.makedirs(src)
+    for i, part in enumerate((polls[:2], polls[2:3], polls[3:])):
+        _write(f"{src}/p{i}.json", "\n".join(json.dumps(
+            {"run_id": r, "ts": f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", "anomaly": a, "in_grace": False}) for r, t, a in part))
+        stream = spark.readStream.schema("run_id string, ts timestamp, anomaly string, in_grace boolean").json(src)
+        acts = live.actions_stream(stream.withWatermark("ts", "0 seconds"), retire_after_s=1_000, event_time=True)
+        q = (acts.writeStream.format("parquet").option("path", f"{tmpdir_fresh}/out").option("checkpointLocation", f"{tmpdir_fresh}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+    got = [(r.run_id, r.ts.minute * 60 + r.ts.second, r["count"]) for r in spark.read.parquet(f"{tmpdir_fresh}/out").collect()]
+    assert got == [("a", 2_200, 2)]
