@@ -8,6 +8,7 @@ gpu_mem_used_pct array<double>, gpu_temp array<double>)``.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,36 +147,89 @@ def gate_actions(pdf: pd.DataFrame, min_count: int = 2, cooldown_s: float = 300.
 
 def actions(verdicts: DataFrame, run: str = "run_id", ts: str = "ts", min_count: int = 2,
             cooldown_s: float = 300.0, grace_s: float = 30.0) -> DataFrame:
-    """H09 (batch): the polls at which an auto-action fires, per run: an
-    ordered state machine with a time cooldown, which windows cannot express.
-
-    Only polls that can change the state reach pandas: anomalous polls and the
-    first healthy poll after an anomalous one (it clears the counters); a
-    healthy poll after a healthy one, and healthy polls in the start grace,
-    change nothing. They stream through sorted partitions, and a run's state
-    is carried from batch to batch, so no run is held whole."""
-    from kiln.functions.ranking import PART, bucketed_lag, ordered_parts, prefix_sum
+    """H09 (batch): the polls at which an auto-action fires, per run; what
+    ``gate_actions`` does poll by poll, over many tasks for one run.
+
+    Counts are exact running aggregates over time-ordered parts: a healthy poll
+    outside the start grace, or a dead process, begins a new span, and an
+    anomaly's count is its rank in the span. What can fire is then a set of
+    times, and actions are a chain through it: from an action to the first such
+    poll a cooldown later. Each part of a run is a function from the last
+    action before it to the last action in it. Only entries within a cooldown
+    of the part's start can occur, so it is a short table, made in the task
+    that holds the part; a fold over these tables gives each part its entry,
+    and each part walks on from there. Polls of a run are assumed to have
+    distinct timestamps."""
+    from kiln.functions.ranking import PART, ordered_parts, prefix_sum
     v = verdicts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("ts"), "anomaly")
-    x = ordered_parts(v.withColumn("_t", F.unix_micros("ts") / 1e6), "_t", by=["run_id"])
+    x = ordered_parts(v.withColumn("_t", F.unix_micros("ts")), "_t", by=["run_id"])
     starts = x.groupBy("run_id").agg(F.min("_t").alias("_start"))
-    x = (x.join(starts, "run_id").withColumn("in_grace", F.col("_t") - F.col("_start") < grace_s)
-          .where(F.col("anomaly").isNotNull() | ~F.col("in_grace")))
-    x = x.withColumn("_at", F.when(F.col("anomaly").isNotNull(), F.col("_t")))
-    x = prefix_sum(x, "_at", "_t", by=["run_id"], out="_last_a", op="max", parts=True)
-    x = bucketed_lag(x, "_t", "_t", ["run_id"], out="_prev_t", parts=True).drop(PART)
-    keep = F.col("anomaly").isNotNull() | (F.col("_last_a").isNotNull() & (F.col("_last_a") == F.col("_prev_t")))
-    x = x.where(keep).select("run_id", "ts", "anomaly", "in_grace")
-
-    def stream(batches):
-        run_id, state = None, None
+    grace, cooldown = int(grace_s * 1_000_000), int(cooldown_s * 1_000_000)
+    healthy = F.col("anomaly").isNull() & (F.col("_t") - F.col("_start") >= grace)
+    resets = (healthy | (F.coalesce("anomaly", F.lit("")) == "process_dead")).cast("int")
+    x = x.join(starts, "run_id").withColumns({"_reset": resets, "_one": F.lit(1)}).drop("_start")
+    x = prefix_sum(x, "_reset", "_t", by=["run_id"], out="_span", parts=True).where(F.col("anomaly").isNotNull())
+    x = prefix_sum(x, "_one", "_t", by=["run_id", "_span", "anomaly"], out="count", parts=True)
+    may = x.where((F.col("count") >= min_count) & (F.col("_t") >= cooldown)).select("run_id", PART, "_t", "ts", "anomaly", "count")
+    times = may.groupBy("run_id", PART).agg(F.sort_array(F.collect_list("_t")).alias("times"))
+    tables = times.mapInPandas(_part_tables(cooldown), f"run_id string, {PART} int, entries array<bigint>, exits array<bigint>")
+    entry = (tables.repartition("run_id").sortWithinPartitions("run_id", PART)
+             .mapInPandas(_part_entries(cooldown), f"run_id string, {PART} int, _entry bigint"))
+    walked = may.join(entry, ["run_id", PART]).repartition("run_id", PART).sortWithinPartitions("run_id", PART, "_t")
+    return walked.select("run_id", PART, "_t", "_entry", "ts", "anomaly", F.col("count").cast("bigint").alias("count")).mapInPandas(
+        _walk(cooldown), ACTION_SCHEMA)
+
+
+def _part_tables(cooldown: int):
+    """Times at which a part may fire -> for each entry that can occur, the last action of the chain from it."""
+    def run(batches):
+        for pdf in batches:
+            entries, exits = [], []
+            for times in pdf["times"]:
+                t = np.asarray(times, dtype=np.int64)
+                following = np.searchsorted(t, t + cooldown)
+                last = np.where(following < len(t), following, np.arange(len(t)))
+                while (last[last] != last).any():
+                    last = last[last]
+                n = np.searchsorted(t, t[0] + cooldown) + 1
+                entries.append(t[:n])
+                exits.append(t[last[:n]])
+            yield pdf.drop(columns="times").assign(entries=entries, exits=exits)
+    return run
+
+
+def _part_entries(cooldown: int):
+    """The tables of a run's parts in order -> the first action of every part that has one."""
+    def run(batches):
+        now, last = None, 0
+        for pdf in batches:
+            rows = []
+            for run_id, part, entries, exits in pdf.itertuples(index=False):
+                if now is None or now[0] != run_id:
+                    now, last = (run_id,), 0
+                i = np.searchsorted(entries, last + cooldown)
+                if i < len(entries):
+                    rows.append((run_id, part, entries[i]))
+                    last = int(exits[i])
+            yield pd.DataFrame(rows, columns=[*pdf.columns[:2], "_entry"])
+    return run
+
+
+def _walk(cooldown: int):
+    """The polls of a part that fire: its entry, then each first one a cooldown after the one before."""
+    def run(batches):
+        now, due = None, 0
         for pdf in batches:
-            for key, polls in pdf.groupby("run_id", sort=False, dropna=False):
-                if key != run_id:
-                    run_id, state = key, None
-                out, state = gate_actions(polls, min_count, cooldown_s, state)
-                if len(out):
-                    yield out
-    return x.repartition("run_id").sortWithinPartitions("run_id", "ts").mapInPandas(stream, ACTION_SCHEMA)
+            fired = []
+            for key, polls in pdf.groupby(list(pdf.columns[:2]), sort=False, dropna=False):
+                t = polls["_t"].to_numpy()
+                if now != key:
+                    now, due = key, int(polls["_entry"].iloc[0])
+                while (i := np.searchsorted(t, due)) < len(t):
+                    fired.append(polls.index[i])
+                    due = int(t[i]) + cooldown
+            yield pdf.loc[fired, ["run_id", "ts", "anomaly", "count"]]
+    return run
 
 
 # Notification texts per anomaly (first key contained wins).
