@@ -209,11 +209,18 @@ def skeleton(lines: DataFrame, max_lines: int = 100, log: str = "log_id", pos: s
     lines, de-duplicated by text in that order; over ``max_lines`` the middle
     is replaced by one marker row. Columns ``log_id, seq, line``.
 
+    Of the lines that are neither key lines nor among the first, only the last
+    ``max_lines`` of a log can be in its skeleton, and of lines with one text
+    the first ``max_lines``: a per-group top-k keeps these where the log is
+    read (``WindowGroupLimit``), and only they meet the log's length.
     De-duplication is a ``groupBy(log, text)`` (partially aggregated); the
-    final head/tail cut is a per-log top-k (``WindowGroupLimit``)."""
+    final head/tail cut is a per-log top-k again."""
     half = max_lines // 2
     n = lines.groupBy(log).agg(F.count(F.lit(1)).alias("_n"), F.max(pos).alias("_last"))
-    x = lines.join(n, log)
+    rest = (F.col(pos) > edge) & ~is_key_line(F.col(line))
+    group = Window.partitionBy(log, F.when(~rest, F.col(line))).orderBy(F.when(rest, -F.col(pos)).otherwise(F.col(pos)))
+    kept = lines.withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= max(max_lines, edge)).drop("_r")
+    x = kept.join(n, log)
     short = x.where(F.col("_n") <= max_lines).select(log, F.col(pos).cast("double").alias("seq"), line)
     seg = (F.when(F.col(pos) <= edge, 0).when(is_key_line(F.col(line)), 1)
             .when(F.col(pos) > F.col("_last") - edge, 2))
@@ -352,10 +359,14 @@ def summarize_log(lines: DataFrame, log: str = "log_id", pos: str = "line_no", l
 def stderr_tail(lines: DataFrame, log: str = "log_id", pos: str = "line_no", line: str = "line",
                 tb_lines: int = 15, plain_lines: int = 10) -> DataFrame:
     """From the last line containing "Traceback", its last ``tb_lines``
-    lines; without a traceback, the last ``plain_lines`` lines."""
-    b = lines.groupBy(log).agg(F.max(pos).alias("_last"),
-                               F.max(F.when(F.col(line).contains("Traceback"), F.col(pos))).alias("_tb"))
-    x = lines.join(b, log)
+    lines; without a traceback, the last ``plain_lines`` lines. One scan: a
+    top-k where the log is read, then a window over what is left."""
+    is_tb = F.col(line).contains("Traceback")
+    newest = Window.partitionBy(log, is_tb).orderBy(F.col(pos).desc())
+    # the newest lines with and without the word hold both the last one with it and the last lines of all
+    x = lines.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= max(tb_lines, plain_lines)).drop("_r")
+    whole = Window.partitionBy(log)
+    x = x.withColumns({"_last": F.max(pos).over(whole), "_tb": F.max(F.when(is_tb, F.col(pos))).over(whole)})
     keep = F.when(F.col("_tb").isNotNull(), (F.col(pos) >= F.col("_tb")) & (F.col(pos) > F.col("_last") - tb_lines)) \
             .otherwise(F.col(pos) > F.col("_last") - plain_lines)
     return x.where(keep).drop("_last", "_tb")

@@ -251,3 +251,34 @@ def test_ratio_sweep_rows_sum_to_one():
         rows = sampling.ratio_sweep(n)
         assert all(len(r) == n and abs(sum(r) - 1) < 1e-12 for r in rows)
     assert len(sampling.ratio_sweep(4)) == 5 and len(sampling.ratio_sweep(12)) == 1
+
+
+def test_log_ends_by_top_k(spark):
+    """Skeleton and traceback tail keep the right lines of logs of any make-up, and no join sees whole logs."""
+    import random
+    from kiln.operators import logs as L
+    rng = random.Random(5)
+    rows, want_tail, want_skeleton = [], {}, {}
+    for n in range(40):
+        kinds = rng.choice([["same ERROR"], ["plain %d"], ["x ERROR %d", "plain %d"], ["plain", "ERROR", "Traceback (most %d)", "b %d"]])
+        lines = [(k % i if "%d" in k else k) for i in range(rng.choice([0, 1, 4, 9, 10, 11, 14, 16, 40, 120])) for k in [rng.choice(kinds)]]
+        rows += [(f"log{n}", i + 1, x) for i, x in enumerate(lines)]
+        tb = max((i for i, x in enumerate(lines) if "Traceback" in x), default=None)
+        want_tail[f"log{n}"] = lines[-10:] if tb is None else lines[tb:][-15:]
+        if len(lines) <= 10:
+            want_skeleton[f"log{n}"] = lines
+        else:
+            key = [x for i, x in enumerate(lines) if "ERROR" in x or "Traceback" in x]
+            found = list(dict.fromkeys(lines[:5] + [x for x in key] + [x for x in lines[-5:]]))
+            want_skeleton[f"log{n}"] = found if len(found) <= 10 else found[:5] + ["...[truncated]..."] + found[-5:]
+    df = spark.createDataFrame(rows, "log_id string, line_no long, line string").repartition(5)
+    got = {}
+    for r in L.stderr_tail(df).orderBy("log_id", "line_no").collect():
+        got.setdefault(r.log_id, []).append(r.line)
+    assert got == {k: v for k, v in want_tail.items() if v}
+    got = {}
+    for r in L.skeleton(df, max_lines=10).orderBy("log_id", "seq").collect():
+        got.setdefault(r.log_id, []).append(r.line)
+    assert got == {k: v for k, v in want_skeleton.items() if v}
+    plan = L.stderr_tail(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("WindowGroupLimit") == 2
