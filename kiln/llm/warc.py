@@ -274,11 +274,14 @@ def scan_archive(uri: str, chunk: int = 1 << 20):
             at += used
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = True, span_records: int = 4096) -> DataFrame:
+def read_archives(manifest: DataFrame, with_payload: bool = True, task_bytes: int = 32 << 20,
+                  span_records: int = 4096) -> DataFrame:
     """A row per record that ``manifest`` names (file, offset, length): RECORDS. Tasks read runs of neighbouring
-    records by their offsets, so that a large archive is read by several; ``payload`` is null for revisits."""
+    records by their offsets, about ``task_bytes`` each, so that a large archive is read by several and their number
+    grows with the archives, not with the index; ``payload`` is null for revisits."""
+    n_tasks = 1 + (manifest.agg(F.sum("length")).first()[0] or 0) // task_bytes
     spans = (manifest.select("file", "offset", "length")
-             .repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset"))
+             .repartitionByRange(n_tasks, "file", "offset").sortWithinPartitions("file", "offset"))
 
     def run(batches):
         for batch in batches:
