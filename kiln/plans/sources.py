@@ -111,8 +111,8 @@ def s06(spark, sf):
     return d.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("n_chars").cast("bigint").alias("chars"))
 
 
-@query("S07_read_xml", """select doc_id as id, lang, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') as text from documents""")
-def s07(spark, sf):
+def _xml_documents(spark, sf):
+    """XML documents of one source and ``CHUNK`` records each."""
     escaped = F.col("text")
     for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(ref))
@@ -122,10 +122,24 @@ def s07(spark, sf):
         F.lit("<dataset><meta/>"), F.concat_ws("", F.collect_list(record)), F.lit("</dataset>")).alias("x"))
     p = scratch_path(spark, "xml")
     body.write.partitionBy("source", "chunk").mode("overwrite").text(p)
-    r = S.read_xml(spark, p)
+    return p
+
+
+@query("S07_read_xml", """select doc_id as id, lang, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') as text from documents""")
+def s07(spark, sf):
+    r = S.read_xml(spark, _xml_documents(spark, sf))
     return r.select(F.col("_id").cast("bigint").alias("id"), "lang", F.regexp_replace("text", r"[ \t\r\n]+", "").alias("text"))
 
 
+@query("S07_xml_summary", """select source, doc_id // 200 as chunk, case when count(*) > 1 then 'record' else 'meta' end as row_tag,
+  count(*)::bigint as rows, case when count(*) > 1 then 'id' else '' end as attributes from documents group by source, doc_id // 200""")
+def s07_summary(spark, sf):
+    """The row element of each document; one with a single record has its first child, ``meta``, as often."""
+    r = _source(S.xml_summary(spark, _xml_documents(spark, sf)))
+    return r.select("source", F.regexp_extract("file", "chunk=([^/]+)/", 1).cast("bigint").alias("chunk"), "row_tag", "rows",
+                    F.array_join("attributes", ",").alias("attributes"))
+
+
 @query("S08_read_lines", """select count(*)::bigint as lines, sum(length(l))::bigint as chars
 from (select unnest(string_split(text, chr(10))) as l from documents)""")
 def s08(spark, sf):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kiln.functions.text import ustrip
-from kiln.sources import json_ranges, ranges
+from kiln.sources import json_ranges, ranges, xml_ranges
 
 
 def numbered_lines(df: DataFrame, value: str = "value") -> DataFrame:
@@ -141,37 +141,37 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
-def _child_tags(batches):
+def _whole_child_tags(batches):
     """Per document, how often each tag is a direct child of the root."""
-    import re
     from collections import Counter
-    tag_re = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z_][\w.\-:]*)[^>]*?(/?)>", re.S)
     for pdf in batches:
         counts: Counter = Counter()
         for text in pdf["value"]:
-            depth = 0
-            for m in tag_re.finditer(text or ""):
-                closing, tag, empty = m.groups()
-                if tag is None:
-                    continue
-                if closing:
-                    depth -= 1
-                    continue
-                counts[tag] += depth == 1
-                depth += not empty
-        found = [(t, n) for t, n in counts.items() if n]
-        yield pd.DataFrame(found, columns=["tag", "n"])
+            xml_ranges.follow((text or "").encode(), 0, 0, lambda _, tag, __: counts.update([tag.decode("utf-8", "replace")]))
+        yield pd.DataFrame(list(counts.items()), columns=["tag", "n"])
 
 
 def infer_row_tag(spark: SparkSession, path: str) -> str:
     """The most frequent direct child of the root element over all documents
-    (counted in tasks; one row comes back, the reader's option)."""
-    d = spark.read.format("text").option("wholetext", "true").load(path).select("value")
-    top = d.mapInPandas(_child_tags, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
-    row = top.orderBy(F.desc("n"), "tag").first()
+    (counted in byte ranges; one row comes back, the reader's option)."""
+    if ranges.reachable(spark, path):
+        found = xml_ranges.child_tags(spark, path)
+    else:
+        d = spark.read.format("text").option("wholetext", "true").load(path).select("value")
+        found = d.mapInPandas(_whole_child_tags, "tag string, n long")
+    row = found.groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").first()
     return row["tag"] if row else "row"
 
 
+def xml_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Per ``file`` its row element (the most frequent child of the root,
+    the first of equals), how many ``rows`` there are of it, and the names of
+    the first one's ``attributes``."""
+    tags = xml_ranges.child_tags(spark, path)
+    best = F.max_by(F.struct("tag", "n", "attributes"), F.struct("n", (-F.col("first_at")).alias("at"))).alias("b")
+    return tags.groupBy("file").agg(best).select("file", F.col("b.tag").alias("row_tag"), F.col("b.n").alias("rows"), "b.attributes")
+
+
 ARCHIVE_SCHEMA = "archive string, member string, size long, content binary"
 # Data extensions recognised inside archives and folders.
 DATA_EXTENSIONS = [".jsonl", ".json", ".csv", ".tsv", ".parquet", ".xml"]

@@ -176,3 +176,47 @@ def test_scanner_in_pieces(piece):
         parts += list(zip((p + a).tolist(), k.tolist(), d.tolist()))
         quotes -= q
     assert parts == list(zip(at.tolist(), kind.tolist(), depth.tolist())) and quotes == 0 and scan.depth == 0
+
+
+# ------------------------------------------------------------ XML
+
+def random_xml(rng):
+    """Random content below a root, with things that look like tags where they are none; and its children."""
+    import xml.etree.ElementTree as ET
+
+    def content(depth):
+        out = []
+        for _ in range(rng.randrange(6) if depth else 30):
+            tag = rng.choice(["row", "row", "é", "a.b", "ns-x"])
+            inner = content(depth + 1) if depth < 3 else "t &lt; u"
+            attributes = rng.choice(["", ' k="a>b"', " x='1' y=\"it's\"", ' z = "/"'])
+            out.append(rng.choice([f"<{tag}{attributes}>{inner}</{tag}>", f"<{tag}{attributes}>{inner}</{tag}>", f"<{tag}{attributes}/>",
+                                   "<!-- <row> < -- > <row/> -->".replace("-- >", "- >"), "<![CDATA[ <row> </row> ]] > <!-- ]]>", "text\n"]))
+        return "".join(out)
+    text = f'<?xml version="1.0"?>\n<root a="1">{content(0)}</root>'
+    counts: dict = {}
+    for c in ET.fromstring(text.encode()):
+        counts.setdefault(c.tag, [0, list(c.attrib)])[0] += 1
+    return text, counts
+
+
+def test_xml_children_across_ranges(spark, tmpdir_fresh, monkeypatch):
+    from kiln.sources import xml_ranges
+    rng, want = random.Random(9), {}
+    for n in range(12):
+        text, want[f"{n}.xml"] = random_xml(rng)
+        put(tmpdir_fresh, f"{n}.xml", text.encode())
+        uri = f"file://{tmpdir_fresh}/{n}.xml"
+        monkeypatch.setattr(ranges, "PIECE", 13)
+        stops = [*range(29, len(text.encode()), 29), ranges._END]
+        assert b"".join(d for a, b in zip([0, *stops], stops) for _, d in xml_ranges.tag_pieces(uri, a, b)) == text.encode()
+        monkeypatch.undo()
+    for split in (37, 1 << 20):
+        got: dict = {}
+        for r in xml_ranges.child_tags(spark, tmpdir_fresh, split).collect():
+            got.setdefault(os.path.basename(r.file), {})[r.tag] = [r.n, r.attributes]
+        assert got == {k: v for k, v in want.items() if v}
+    for r in S.xml_summary(spark, tmpdir_fresh).collect():
+        counts = want[os.path.basename(r.file)]
+        best = max(counts, key=lambda t: counts[t][0])
+        assert (r.row_tag, r.rows, r.attributes) == (best, *counts[best])
