@@ -214,6 +214,10 @@ def expand_values(vmin: Column, vmax: Column, scale: Column, lo: Column, hi: Col
         _finish(F.when(scale == "log", logv).otherwise(linv), lo, hi, discrete))
 
 
+#: Accuracy of the sketch that finds the middle of a factor's experiments: ranks are off by 1 / MIDDLE of them at most.
+MIDDLE = 10_000
+
+
 def factor_trend(exps: DataFrame, factors: DataFrame, round_number: int, factor: str = "factor",
                  value: str = "value", seq: str = "seq") -> DataFrame:
     """The next step for each factor.
@@ -223,35 +227,49 @@ def factor_trend(exps: DataFrame, factors: DataFrame, round_number: int, factor:
     finite final_loss, in ``seq`` order. Verdicts in order: no valid ->
     default; one valid; round cap; converged (round >= 1, n >= 4, best of the
     second half within 5% of the first half's); |corr| < .3 plateau; corr >
-    .7 rising; corr < -.7 expand upward; else narrow around the best."""
+    .7 rising; corr < -.7 expand upward; else narrow around the best.
+
+    The halves are exact without ranking all experiments: a sketch bounds the
+    middle, best losses outside those bounds are plain minima, and only the
+    rows between them are written in order and ranked (``seq`` is a number,
+    distinct per factor)."""
     v = exps.where((F.col("status") == "completed") & F.col("final_loss").isNotNull()
                    & ~F.isnan("final_loss") & (F.abs(F.col("final_loss")) != float("inf")))
     # the factor configuration is one row per factor: a bounded broadcast
     v = v.join(F.broadcast(factors.select(factor, "scale")), factor) \
          .withColumn("_x", _x_of(F.col(value).cast("double"), F.col("scale"))).withColumn("_y", F.col("final_loss"))
-    r = ordered_rank(v, seq, by=[factor], count_col="_n")
-    half = F.floor(F.col("_n") / 2)
-    # pass 1: per-factor best, halves, range and moments
-    agg = r.groupBy(factor).agg(
+    # pass 1: per-factor best, range and moments, and a narrow stretch of seq around the middle
+    agg = v.groupBy(factor).agg(
         F.count(F.lit(1)).alias("n_valid"),
         F.min_by(F.col(value).cast("double"), F.struct("final_loss", seq)).alias("best_value"),
         F.min("final_loss").alias("best_loss"),
-        F.min(F.when(F.col("rank") <= half, F.col("final_loss"))).alias("first_half_best"),
-        F.min(F.when(F.col("rank") > half, F.col("final_loss"))).alias("second_half_best"),
         F.min(F.col(value).cast("double")).alias("vmin"), F.max(F.col(value).cast("double")).alias("vmax"),
-        *_moments("_x", "_y"))
-    # pass 2: the best value's neighbours in sorted order; one row per configured factor is broadcast, as above
-    d = r.join(F.broadcast(agg.select(factor, "best_value")), factor)
+        F.percentile_approx(seq, [0.5 - 2 / MIDDLE, 0.5 + 2 / MIDDLE], MIDDLE).alias("_mid"), *_moments("_x", "_y"))
+    # pass 2: the best value's neighbours in sorted order, and the best losses before and after that stretch; one row
+    # per configured factor is broadcast, as above
+    known = F.broadcast(agg.select(factor, "best_value", "n_valid", F.col("_mid")[0].alias("_lo"), F.col("_mid")[1].alias("_hi")))
+    d = v.join(known, factor)
     s2 = d.groupBy(factor).agg(
         F.max(F.when(F.col(value) < F.col("best_value"), F.col(value))).alias("_left"),
         F.min(F.when(F.col(value) > F.col("best_value"), F.col(value))).alias("_right"),
-        F.count_if(F.col(value) == F.col("best_value")).alias("_dups"))
+        F.count_if(F.col(value) == F.col("best_value")).alias("_dups"),
+        F.min(F.when(F.col(seq) < F.col("_lo"), F.col("final_loss"))).alias("_before"),
+        F.min(F.when(F.col(seq) > F.col("_hi"), F.col("final_loss"))).alias("_after"),
+        F.count_if(F.col(seq) < F.col("_lo")).alias("_n_before"))
+    # the stretch alone, 4 / MIDDLE of the rows, is ranked
+    mid = ordered_rank(d.where(F.col(seq).between(F.col("_lo"), F.col("_hi"))).select(factor, seq, "final_loss", "n_valid"), seq, by=[factor])
+    in_first = F.col("rank") + F.col("_n_before") <= F.floor(F.col("n_valid") / 2)
+    parts = mid.join(F.broadcast(s2.select(factor, "_n_before")), factor).groupBy(factor).agg(
+        F.min(F.when(in_first, F.col("final_loss"))).alias("_mid_first"),
+        F.min(F.when(~in_first, F.col("final_loss"))).alias("_mid_second"))
+    s2 = s2.join(parts, factor).withColumns({"first_half_best": F.least("_before", "_mid_first"),
+                                             "second_half_best": F.least("_after", "_mid_second")})
     corr = s2.join(agg.select(factor, "n_valid", "_cov", "_sx", "_sy"), factor).select(
-        factor, "_left", "_right", "_dups",
+        factor, "_left", "_right", "_dups", "first_half_best", "second_half_best",
         F.when((F.col("n_valid") < 2) | (F.col("_sx") < 1e-12) | (F.col("_sy") < 1e-12), F.lit(0.0))
          .otherwise(F.col("_cov") / (F.col("_sx") * F.col("_sy"))).alias("corr"))
     nb = corr
-    j = factors.join(agg.drop("_cov", "_sx", "_sy"), factor, "left").join(nb, factor, "left")
+    j = factors.join(agg.drop("_cov", "_sx", "_sy", "_mid"), factor, "left").join(nb, factor, "left")
     lo, hi, disc, sc = F.col("min_value"), F.col("max_value"), F.col("discrete"), F.col("scale")
     left = F.coalesce(F.col("_left"), lo)
     right = F.when(F.col("_dups") >= 2, F.col("best_value")).otherwise(F.coalesce(F.col("_right"), hi))

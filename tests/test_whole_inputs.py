@@ -282,3 +282,26 @@ def test_log_ends_by_top_k(spark):
     assert got == {k: v for k, v in want_skeleton.items() if v}
     plan = L.stderr_tail(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_halves_of_many_experiments(spark, monkeypatch):
+    """The best losses of both halves, with a sketch so coarse that it has to leave rows out."""
+    import random
+    from kiln.operators import experiments as E
+    monkeypatch.setattr(E, "MIDDLE", 50)
+    rng = random.Random(2)
+    factors = [(f"f{i}", "linear", False, 0.0, 1e9, 9, 1.0) for i in range(6)]
+    rows = []
+    for (f, *_), n in zip(factors, (0, 1, 4, 5, 999, 3000)):
+        seqs = rng.sample(range(10 ** 9), n)
+        rows += [(f, float(rng.randrange(100)), s, "completed", rng.choice([1.0, 0.96, 0.9]) * (1 + rng.random())) for s in seqs]
+    df = spark.createDataFrame(rows, "factor string, value double, seq long, status string, final_loss double").repartition(6)
+    fac = spark.createDataFrame(factors, "factor string, scale string, discrete boolean, min_value double, max_value double, "
+                                         "max_rounds int, default_value double")
+    got = {r.factor: r.reason for r in E.factor_trend(df, fac, 1).collect()}
+    for f, *_ in factors:
+        losses = [r[4] for r in sorted((r for r in rows if r[0] == f), key=lambda r: r[2])]
+        if len(losses) >= 4:
+            a, b = min(losses[:len(losses) // 2]), min(losses[len(losses) // 2:])
+            assert (got[f] == "converged") == ((a - b) / a < 0.05), f
+    assert got["f0"] == "no_valid" and got["f1"] == "single"
