@@ -192,29 +192,57 @@ def test_trial_run_is_bounded(spark):
 
 def test_live_gate_orders_a_run_across_chunks():
     import pandas as pd
-    from kiln.streaming.live import _gate_fn
+    from kiln.streaming.live import _Gate
 
-    class State:
-        exists, hasTimedOut, value, gone = False, False, None, False
+    class State(dict):
+        """One state variable, and the timers of its handle."""
 
-        def update(self, v):
-            self.value, self.exists = v, True
+        def exists(self):
+            return bool(self)
 
-        def setTimeoutDuration(self, ms):
-            self.timeout = ms
+        def get(self):
+            return self["value"]
 
-        def remove(self):
-            self.gone = True
+        def update(self, value):
+            self["value"] = value
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        timers = []
+        getMapState = getValueState = lambda *_: State()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers = [*self.timers, at]
+
+        def deleteTimer(self, at):
+            self.timers = [t for t in self.timers if t != at]
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 5_000
 
     t = pd.Timestamp("2026-01-01")
     at = lambda s: pd.DataFrame({"run_id": ["r"] * len(s), "ts": [t + pd.Timedelta(seconds=x) for x in s],
                                  "anomaly": ["hang_detected"] * len(s), "in_grace": [False] * len(s)})
-    state = State()
-    out = pd.concat(list(_gate_fn(60.0)(("r",), iter([at([700, 800]), at([0, 100])]), state)))
+    gate, handle = _Gate(60.0, False), Handle()
+    gate.init(handle)
+    out = pd.concat(list(gate.handleInputRows(("r",), iter([at([700, 800]), at([0, 100])]), Clock())))
     assert out["ts"].tolist() == [t + pd.Timedelta(seconds=100), t + pd.Timedelta(seconds=700)]
-    assert state.timeout == 60_000
-    state.hasTimedOut = True
-    assert list(_gate_fn(60.0)(("r",), iter([]), state)) == [] and state.gone
+    assert handle.timers == [65_001] and gate.counters == {("hang_detected",): (4,)}
+    list(gate.handleInputRows(("r",), iter([at([900])]), Clock()))
+    assert handle.timers == [65_001]  # moved, not added
+    assert list(gate.handleExpiredTimer(("r",), Clock(), None)) == [] and not gate.counters and not gate.last
 
 
 def test_no_scratch_folder_on_a_cluster():
