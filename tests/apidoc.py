@@ -8,7 +8,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-MODULES = ["kiln.sources.files", "kiln.sources.sinks", "kiln.operators.clean", "kiln.operators.convert",
+MODULES = ["kiln.sources.files", "kiln.sources.ranges", "kiln.sources.json_ranges", "kiln.sources.xml_ranges",
+           "kiln.sources.sinks", "kiln.operators.clean", "kiln.operators.convert",
            "kiln.operators.profile", "kiln.operators.sampling", "kiln.operators.textmetrics", "kiln.operators.logs",
            "kiln.operators.experiments", "kiln.operators.runs", "kiln.operators.telemetry", "kiln.streaming.live",
            "kiln.functions.text", "kiln.functions.editdistance", "kiln.functions.ranking",
