@@ -39,10 +39,13 @@ def v_word_pairs(spark, sf_dir) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores (the driver's tables are one row group each) is dealt out; a
+    """A scan of fewer full splits than there are cores (the driver's tables are one row group each) is dealt out; a
     larger one is left as its splits are, and no text is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < cores * split else df
 
 
 def v_jsonl(spark, sf_dir) -> DataFrame:
