@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Fixed
-masks over 13 words look at 8 of them and ignore the rest, so a changed word
-under a gap of some mask does not hide a copied passage. Every place of every
+masks look at two runs of 3 words, 3, 6, 9, 12 or 15 words apart, and ignore the
+words between, so changed words there do not hide a copied passage. Every place of every
 text is hashed under every mask. A Bloom filter of the benchmark's hashes, of a
 fixed number of bits however large the benchmark is, is sent to the tasks;
 places that pass it (nearly only true hits) leave the scan with the words
@@ -10,8 +10,14 @@ around them and are joined to the benchmark's hashes. Each (document, item,
 diagonal) is then verified: word by word along the diagonal, some segment must
 have at least 80 % equal words and at least 13 of them, or 80 % of a shorter
 item's words. The best segment (+1 a match, -2 a change) is reported if it does,
-else the one with most equal words among those of 80 %. Items of 13 words or more
-are found if the copy agrees with them under one mask somewhere.
+else the one with most equal words among those of 80 %.
+
+Items of 13 words or more are found if the copy agrees with them under one mask
+somewhere. 15 words hold five runs of 3, of which three changes leave two, a
+multiple of 3 words apart: every pattern of changes that the 80 % allow in 13 to
+19 words is found, whichever words they fall on, and, by trying them all, so is
+every one in 20 to 22 words (recall 1 at each length). A longer overlap is found
+where a stretch of 15 words of it has three changes at most.
 
 Items of 5 to 12 words are sought under masks that each leave out some blocks of
 the item, so that as many changes as the 80 % allow, one or two, hide no copy,
@@ -19,8 +25,10 @@ also where it sticks out of the text; shorter items cannot identify a leak and
 match nothing.
 
 Defined results. Null and empty texts have no words and match nothing. Rows
-that repeat are each found. Items that repeat are each reported. A null doc_id
-is reported as null. Empty tables give no rows.
+that repeat (id and text) are each reported. Items that repeat are each reported.
+A null doc_id is reported as null, an item without an id is not sought. Empty
+tables give no rows. Further columns, whatever their names, are not looked at by
+`find_leaks` and come out of `drop_leaks` as they are.
 """
 
 from __future__ import annotations
@@ -37,9 +45,8 @@ from kiln.llm.common import hash128, table, written
 from kiln.llm.tokens import PUNCTUATED, WordHasher, pieces, windows
 
 SPAN = 13
-# The places that each mask compares.
-MASKS = ((0, 1, 2, 3, 5, 8, 11, 12), (0, 1, 3, 4, 6, 7, 10, 12), (0, 2, 5, 6, 7, 9, 10, 12), (0, 3, 4, 6, 8, 9, 11, 12),
-         (0, 1, 2, 4, 7, 8, 9, 12))
+RUN = 3  # words of each of the two runs that a mask compares
+APART = (3, 6, 9, 12, 15)
 SHORTEST = 5
 PAD = 64
 
@@ -56,8 +63,9 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
 def _seeds(words: np.ndarray, short: range | tuple):
     """(places, hashes) under all masks, and under those of items of the lengths in ``short``."""
     places, hashes = [], []
-    for salt, mask in enumerate(MASKS):
-        h = windows(words, mask, salt)
+    run = windows(words, tuple(range(RUN)))
+    for apart in APART:
+        h = windows(run, (0, apart), apart)
         places.append(np.arange(len(h)))
         hashes.append(h)
     for n in short:
@@ -167,13 +175,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     id_type = dict(docs.dtypes)[id_col]
     found = written(base.mapInPandas(scan, "k1 bigint, k2 bigint, id string, start int, words array<bigint>, "
-                                           "places array<int>, hashes array<bigint>").dropDuplicates(["k1", "k2", "start"]),
-                    "leak-places")
+                                           "places array<int>, hashes array<bigint>")
+                    .groupBy("k1", "k2", "start").agg(
+                        *[F.first(c).alias(c) for c in ("id", "words", "places", "hashes")],
+                        F.count(F.lit(1)).cast("int").alias("copies")), "leak-places")
     hits = found.select("k1", "k2", "start", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select(
         "k1", "k2", "start", F.col("x.places").alias("at"), F.col("x.hashes").alias("h"))
     pairs = hits.join(seeds, "h").select("k1", "k2", "start", "item", (F.col("at") - F.col("place")).alias("diagonal"))
     pairs = pairs.distinct()
-    ready = pairs.join(found.select("k1", "k2", "start", "id", "words"), ["k1", "k2", "start"]).join(
+    ready = pairs.join(found.select("k1", "k2", "start", "id", "words", "copies"), ["k1", "k2", "start"]).join(
         known.withColumnRenamed("words", "item_words"), "item")
 
     def verify(it):
@@ -188,15 +198,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 same = int(equal[s:e].sum())
                 out.append((ok, lo + diagonal + s, e - s, same))
             got = pd.DataFrame(out, columns=["ok", "first", "n_words", "n_equal"], index=pdf.index)
-            got = pd.concat([pdf[["k1", "k2", "id", "item"]], got], axis=1)
+            got = pd.concat([pdf[["k1", "k2", "id", "item", "copies"]], got], axis=1)
             yield got[got["ok"]].drop(columns="ok")
 
-    verified = ready.select("k1", "k2", "id", "item", "start", "words", "item_words", "diagonal").mapInPandas(
-        verify, "k1 bigint, k2 bigint, id string, item bigint, first int, n_words int, n_equal int")
+    verified = ready.select("k1", "k2", "id", "item", "copies", "start", "words", "item_words", "diagonal").mapInPandas(
+        verify, "k1 bigint, k2 bigint, id string, item bigint, copies int, first int, n_words int, n_equal int")
     best = F.max(F.struct("n_equal", "n_words", (-F.col("first")).alias("back"))).alias("best")
-    return verified.groupBy("k1", "k2", "id", "item").agg(best).select(
-        "k1", "k2", F.col("id").cast(id_type).alias("id"), "item", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"),
-        F.col("best.n_equal").alias("n_equal"))
+    longest = verified.groupBy("k1", "k2", "id", "item").agg(best, F.max("copies").alias("copies"))
+    each = longest.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return each.select(
+        "k1", "k2", F.col("id").cast(id_type).alias("id"), "item", (-F.col("best.back")).alias("start"),
+        F.col("best.n_words").alias("n_words"), F.col("best.n_equal").alias("n_equal"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
