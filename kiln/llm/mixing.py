@@ -20,6 +20,8 @@ reruns agree; only ids, sizes and probabilities are shuffled.
 Defined results. Null or empty text: size 0, taken 0 words. A source of size 0
 has target 0. Repeated rows are drawn as documents of their own; a null source
 is a source, the last one; null ids are allowed. An empty table gives no rows.
+Further columns may have any name: `cube_mix` does not look at them, `mixed`
+carries them along as they are.
 """
 
 from __future__ import annotations
@@ -236,14 +238,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     nth = Window.partitionBy("id", "source", "th").orderBy("copies")  # repeated rows are told apart by a number
     mix = mix.select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("th").alias("mix_th"),
                      F.row_number().over(nth).alias("mix_nth"), F.col("copies").alias("mix_copies"))
-    cols = docs.columns
-    keyed = docs.withColumn("mix_hash", F.xxhash64(text_col))
-    nth = Window.partitionBy(id_col, source_col, "mix_hash").orderBy("mix_hash")
-    keyed = keyed.withColumn("mix_number", F.row_number().over(nth))
-    joined = keyed.join(mix, keyed[id_col].eqNullSafe(mix["mix_id"]) & keyed[source_col].eqNullSafe(mix["mix_source"])
-                        & (keyed["mix_hash"] == mix["mix_th"]) & (keyed["mix_number"] == mix["mix_nth"]))
+    # the given columns travel in a struct, so that no name of theirs meets one of the mix
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).cast("bigint").alias("row_id"), F.col(source_col).cast("string").alias("row_source"),
+                        F.xxhash64(text_col).alias("row_th"))
+    nth = Window.partitionBy("row_id", "row_source", "row_th").orderBy("row_th")
+    keyed = keyed.withColumn("row_nth", F.row_number().over(nth))
+    joined = keyed.join(mix, F.col("row_id").eqNullSafe(F.col("mix_id")) & F.col("row_source").eqNullSafe(F.col("mix_source"))
+                        & (F.col("row_th") == F.col("mix_th")) & (F.col("row_nth") == F.col("mix_nth")))
     return joined.where("mix_copies > 0").withColumn(
-        "mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in cols])
+        "mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

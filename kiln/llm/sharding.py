@@ -14,7 +14,8 @@ numbered inside cells (an atom, or a hash part of an atom that holds more than
 
 Defined results. Null text: size 8, no checksum, one group of its own; empty
 text: size 8. Repeated rows stay together and get slots of their own; null ids
-are ordered first. An empty table gives no rows.
+are ordered first. An empty table gives no rows. Columns of any name may be
+carried along as ``extra``; they come out as ``x_`` and their name.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         F.shiftrightunsigned(h, 64 - ATOM_BITS).cast("int").alias("atom"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + overhead).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("bigint").alias("text_crc32"),
-        *[F.col(c).alias(f"x_{c}") for c in extra])
+        *[F.col(f"`{c}`").alias(f"x_{c}") for c in extra])
     atoms = sorted(tuple(r) for r in keyed.groupBy("atom").agg(F.sum("size"), F.count(F.lit(1))).collect())
     rows = sum(a[2] for a in atoms)
     sizes = [a[1] for a in atoms]
@@ -89,7 +90,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     return placed.join(F.broadcast(cell_df), ["atom", "part"]).select(
         "id", "size", "text_crc32", "shard",
         (F.col("before") + F.row_number().over(w) - 1).cast("bigint").alias("slot"),
-        *[f"x_{c}" for c in extra])
+        *[F.col(f"`x_{c}`") for c in extra])
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kiln.llm import mixing
 from kiln.llm.mixing import Run, cube_mix, mixed
@@ -83,3 +84,15 @@ def test_mixed_rows(docs_of, rows):
     want = sum(r["copies"] for r in cube_mix(docs).collect())
     assert got.count() == want
     assert cube_mix(docs_of([])).count() == 0 and mixed(docs_of([])).count() == 0
+
+
+def test_any_column_names(docs_of, rows):
+    docs = docs_of(rows[:200])
+    names = ["mix_id", "mix_hash", "mix_number", "mix_copy", "row", "row_id", "a.b", "x y"]
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    got = mixed(docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(
+        r["id"] for r in cube_mix(docs).collect() for _ in range(r["copies"]))
+    assert all(r[n] == n + str(r["doc_id"]) for r in got for n in names)

@@ -46,3 +46,17 @@ def test_empty_and_extra(docs_of):
     assert shard_by_bytes(docs_of([])).count() == 0
     got = shard_by_bytes(docs_of([(1, "a", "s")]), 3, extra=("source", "size")).collect()
     assert [tuple(got[0])[k] for k in (3, 4, 5, 6)] == [0, 0, "s", "size"]
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8)], "doc_id long, text string, `a.b` int, size_in int")
+    got = shard_by_bytes(docs, 3, extra=("a.b", "size_in", "doc_id"))
+    assert got.columns == ["id", "size", "text_crc32", "shard", "slot", "x_a.b", "x_size_in", "x_doc_id"]
+    assert sorted((r["x_doc_id"], r["x_a.b"], r["x_size_in"]) for r in got.collect()) == [(1, 5, 6), (2, 7, 8)]
+
+
+def test_very_long_text(spark, docs_of):
+    rows = [(1, "long " * 400_000), (2, "b"), (3, None)]
+    got = {r["id"]: r for r in shard_by_bytes(docs_of(rows), 3).collect()}
+    assert got[1]["size"] == 2_000_008 and got[1]["slot"] == 0
+    assert got[1]["text_crc32"] == zlib.crc32(rows[0][1].encode())
