@@ -12,12 +12,14 @@ Defined results. Null or empty text: one empty line. Rows that share a doc_id
 count as one document; each row has its own bitmap, found by (doc_id, hash of
 text). A null doc_id is one document of its own that never keeps a line others
 hold. Repeated lines of the keeper all stay. An empty table gives no rows.
+Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kiln.llm.common import ASCII_SPACE, LOWER, UPPER, ascii_lower, hash128, table, written
 
@@ -43,7 +45,9 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """h1, h2, n_docs, keeper of every line key found in ``min_docs`` documents."""
     occ = _occurrences(docs, id_col, text_col, min_chars).select("h1", "h2", "id", "pos")
     ranged = occ.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
-    firsts = ranged.groupBy("h1", "h2", "id").agg(F.min("pos").alias("pos"))  # the range partitions are kept
+    # the range partitions and their order are kept: the window streams over sorted rows, no exchange or sort of its own
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("pos"))
+    firsts = ranged.withColumn("nth", first).where("nth = 1")
     pick = {"last": F.max, "first": F.min}[keep]
     return (firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), pick("id").alias("keeper"))
             .where(F.col("n_docs") >= min_docs))

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from kiln.llm.line_dedup import dedup_lines, line_drop_bitmaps
+from kiln.llm.line_dedup import dedup_lines, frequent_lines, line_drop_bitmaps
 
 LONG = "A line that is long enough to be a key of forty characters"
 OTHER = "another line, that some documents repeat and which is long"
@@ -42,3 +42,15 @@ def test_bitmaps_span_words(docs_of):
 
 def test_empty(docs_of):
     assert dedup_lines(docs_of([])).count() == 0
+
+
+def test_first_occurrences_stream_over_the_sorted_ranges(docs_of):
+    docs = docs_of([(i, "the same long line that many documents hold, once or twice\n" * 2) for i in range(9)])
+    plan = frequent_lines(docs)._jdf.queryExecution().sparkPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "RepartitionByExpression" in window or "rangepartitioning" in window
+    executed = frequent_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    below = executed[executed.index("Window"):]
+    assert below.count("Sort [") == 1 and below.count("Exchange") == 1 and "rangepartitioning" in below
+    assert "pos" in below[below.index("Sort ["):below.index("Exchange")]
+    assert [(r["n_docs"], r["keeper"]) for r in frequent_lines(docs).collect()] == [(9, 8)]
