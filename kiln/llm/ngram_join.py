@@ -13,7 +13,8 @@ linked sets then agree in a whole part, and share the hash of (table, part,
 shingles in it). Empty parts agree by chance and are left out; a set with so
 many of them that the count no longer proves a common part (it is rare) adds
 its empty parts, which only such sets do. Parts of several shingles seldom
-agree by chance. Classes that share a hash are compared by parity bitmaps: the
+agree by chance. Most hashes occur once: they are shuffled in packed rows of about
+eight bytes a hash, and only those that repeat go on. Classes that share a hash are compared by parity bitmaps: the
 Hamming distance of two bitmaps is never above the number of shingles in which
 the sets differ, and it is a metric. Of the classes with one hash some are
 leaders; a class is compared with leaders only, connected with all of them within
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm.bloom import may_hold
-from kiln.llm.common import WORD_RE, table, written
+from kiln.llm.common import WORD_RE, shuffle_partitions, table, written
 from kiln.llm.graph import connected_components
 from kiln.llm.tokens import PIECE_ROWS, SPACE_BYTES, WordHasher, mix, pieces, runs, shingle_set
 
@@ -53,6 +54,11 @@ K = 5
 PERCENT = 80
 BAND = 1.5625
 RUN_ROWS = 1_000_000
+PACKED_ROWS = 1_000_000  # signatures that a task packs at once
+BUCKET_ROWS = 1_000_000  # signatures of a bucket, about
+NAME_BYTES = 5  # of a class's s1, the upper ones: its short name
+SHORT = np.uint64(64 - 8 * NAME_BYTES)
+LOWER_HALF = np.uint64(0xFFFFFFFF)
 
 
 def _sets(pdf: pd.DataFrame):
@@ -129,14 +135,101 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return got.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
 
 
-def shared_signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """run, node: the classes (s1) that share a signature; signatures with the same classes are one run."""
+def packed(sig: np.ndarray, node: np.ndarray, buckets: int) -> pd.DataFrame:
+    """bucket, rows: the signatures of a bucket and the short names of their classes, as bytes. A bucket is a range
+    of the upper half of a signature; the lower half is what a row keeps, as its distance from the one before it, in
+    as many bytes as the widest of them needs."""
+    bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(bucket << np.uint64(32) | sig & LOWER_HALF, kind="stable")
+    bucket, sig, node = bucket[order], (sig & LOWER_HALF)[order], node[order]
+    cuts = np.flatnonzero(np.diff(bucket.view(np.int64), prepend=-1))
+    step = np.diff(sig, prepend=np.uint64(0))
+    step[cuts] = sig[cuts]
+    name = (node >> SHORT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+    widths = np.maximum(1, (np.bitwise_count(_filled(np.maximum.reduceat(step, cuts))) + 7) // 8)
+    step = step.astype("<u4").view(np.uint8).reshape(-1, 4)
+    rows = [bytes([w]) + step[a:b, :w].tobytes() + name[a:b].tobytes()
+            for a, b, w in zip(cuts, np.append(cuts[1:], len(sig)), widths.tolist())]
+    return pd.DataFrame({"bucket": bucket[cuts].astype(np.int64), "rows": rows})
+
+
+def _filled(x: np.ndarray) -> np.ndarray:
+    """All bits below the highest one set as well (of 32)."""
+    for n in (1, 2, 4, 8, 16):
+        x = x | x >> np.uint64(n)
+    return x
+
+
+def unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lower halves of the signatures, short names) of what ``packed`` made for a bucket."""
+    w = rows[0]
+    n = (len(rows) - 1) // (w + NAME_BYTES)
+    step, name = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    step[:, :w] = np.frombuffer(rows, np.uint8, n * w, 1).reshape(n, w)
+    name[:, :NAME_BYTES] = np.frombuffer(rows, np.uint8, n * NAME_BYTES, 1 + n * w).reshape(n, NAME_BYTES)
+    return np.cumsum(step.view("<u8").ravel()), name.view("<u8").ravel()
+
+
+class Repeats:
+    """A bucket's signatures as they come: the first class of each is held, and rows go on once a second class has
+    the signature. What is held follows the distinct signatures of the bucket, however often one repeats."""
+
+    def __init__(self):
+        self.sig, self.node, self.told = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def take(self, sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (signature, class) that go on; one may go on again when it comes again."""
+        sig, node = np.concatenate([self.sig, sig]), np.concatenate([self.node, node])
+        told = np.concatenate([self.told, np.zeros(len(sig) - len(self.sig), bool)])
+        order = np.lexsort((node, sig))
+        sig, node, told = sig[order], node[order], told[order]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(first, append=len(sig))
+        repeats = node[first] != node[first + size - 1]
+        on = np.repeat(repeats, size) & ~told
+        self.sig, self.node = sig[first], node[first]
+        self.told = repeats | np.logical_or.reduceat(told, first)
+        # the class now held has gone on: it is in this round's rows, or was in those of an earlier one
+        return sig[on], node[on]
+
+
+def _repeated(it):
+    """sig (bucket and lower half), node (short name) of the signatures that several classes have."""
+    bucket, seen, held, size = None, Repeats(), [], 0
+
+    def sent():
+        sig, node = seen.take(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        return pd.DataFrame({"sig": (np.uint64(bucket) << np.uint64(32) | sig).view(np.int64),
+                             "node": node.view(np.int64)})
+
+    for pdf in it:
+        for b, rows in zip(pdf["bucket"].tolist(), pdf["rows"]):
+            if b != bucket:
+                if held:
+                    yield sent()
+                bucket, seen, size = b, Repeats(), 0
+            held.append(unpacked(rows))
+            size += len(held[-1][0])
+            if size >= max(BUCKET_ROWS, len(seen.sig)):
+                yield sent()
+                size = 0
+    if held:
+        yield sent()
+
+
+def shared_signatures(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """run, node: the classes (short names) that share a signature; signatures with the same classes are one run.
+
+    Most signatures occur once. They travel in packed rows of a bucket and only those that repeat there go on; with
+    ``buckets`` in proportion to the signatures (about BUCKET_ROWS in each), the halves that are compared agree by
+    chance once in 4,000 signatures, whatever the size, which costs a comparison and loses nothing."""
     base = docs.select(F.col(text_col).alias("text"))
 
     def sign(it):
         seen: set[int] = set()  # equal sets of a task sign once, as far as these are remembered
+        sigs, nodes, size = [], [], 0
         for pdf in pieces(it):
-            sigs, nodes = [], []
             for s in _sets(pdf):
                 node = _identity(s)[0]
                 if len(s) and node not in seen:
@@ -145,11 +238,16 @@ def shared_signatures(docs: DataFrame, text_col: str) -> DataFrame:
                     seen.add(node)
                     sigs.append(signatures(s))
                     nodes.append(node)
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(
-                    np.array(nodes, dtype=np.int64), [len(x) for x in sigs])})
+                    size += len(sigs[-1])
+                    if size >= PACKED_ROWS:
+                        yield _pack(sigs, nodes, buckets)
+                        sigs, nodes, size = [], [], 0
+        if sigs:
+            yield _pack(sigs, nodes, buckets)
 
-    grouped = base.mapInPandas(sign, "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig", "node")
+    sown = base.mapInPandas(sign, "bucket bigint, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    repeated = sown.mapInPandas(_repeated, "sig bigint, node bigint")
+    grouped = repeated.repartition("sig").sortWithinPartitions("sig", "node")
 
     def members(it):
         sig, node, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -177,6 +275,11 @@ def shared_signatures(docs: DataFrame, text_col: str) -> DataFrame:
     return grouped.mapInPandas(members, "run bigint, node bigint").distinct()
 
 
+def _pack(sigs: list[np.ndarray], nodes: list[int], buckets: int) -> pd.DataFrame:
+    names = np.array(nodes, dtype=np.int64).view(np.uint64)
+    return packed(np.concatenate(sigs), np.repeat(names, [len(x) for x in sigs]), buckets)
+
+
 def _named(sig: np.ndarray, node: np.ndarray, open_) -> pd.DataFrame:
     """Runs of two classes or more, named by their classes (by the signature, if a part of it is out)."""
     if not len(sig):
@@ -283,11 +386,19 @@ def _tie(it):
 
 def candidate_ties(docs: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
     """u, v: ties between classes (s1) whose components hold all links."""
+    short = F.shiftrightunsigned("s1", int(SHORT))
     bitmaps = known.where("n_shingles > 0").dropDuplicates(["s1"]).select(
-        F.col("s1").alias("node"), F.col("n_shingles").alias("n"), "parity")
-    held = shared_signatures(docs, text_col).join(bitmaps, "node")
-    return held.repartition("run").sortWithinPartitions("run", "node").mapInPandas(
-        _tie, "u bigint, v bigint").distinct()
+        F.col("s1").alias("node"), short.alias("short"), F.col("n_shingles").alias("n"), "parity")
+    # a set has fewer signatures than shingles in a table, and is in one or two of them
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(docs.sparkSession), -(-total // BUCKET_ROWS))
+    shared = shared_signatures(docs, text_col, buckets).select("run", F.col("node").alias("short"))
+    held = shared.join(bitmaps, "short").select("run", "node", "n", "parity")
+    ties = held.repartition("run").sortWithinPartitions("run", "node").mapInPandas(_tie, "u bigint, v bigint")
+    # classes of one short name count as one above: they are tied as they are
+    namesakes = bitmaps.groupBy("short").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last")
+    return ties.unionByName(bitmaps.join(namesakes, "short").where("node <> v").select(
+        F.col("node").alias("u"), "v")).distinct()
 
 
 def linked_positions(sets: list[np.ndarray], queries: int | None = None, first: int = 0) -> np.ndarray:

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from kiln.llm.ngram_join import linked_positions, ngram_groups, one_of_each_group, signatures
+from kiln.llm.ngram_join import (
+    LOWER_HALF, SHORT, Repeats, candidate_ties, linked_positions, ngram_groups, one_of_each_group, packed, signatures,
+    unpacked)
 
 
 def brute_sets(rows):
@@ -95,3 +97,38 @@ def test_t_occurrence_with_long_lists():
         sets.append(np.unique(np.concatenate([hot[rng.random(200) < 0.97], own])))
     want = brute_labels([set(s.tolist()) for s in sets])
     assert linked_positions(sets).tolist() == want
+
+
+@pytest.mark.parametrize("n, buckets", [(1, 1), (2, 5), (5_000, 1), (5_000, 7), (5_000, 100_000)])
+def test_packed_rows_read_back(n, buckets):
+    rng = np.random.default_rng(n + buckets)
+    sig, node = (rng.integers(0, 2**64, n, dtype=np.uint64) for _ in range(2))
+    sig[: n // 3], sig[-1] = sig[0], 2**64 - 1
+    want = sorted(zip(((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).tolist(),
+                      (sig & LOWER_HALF).tolist(), (node >> SHORT).tolist()))
+    got = []
+    for b, rows in packed(sig, node, buckets).itertuples(index=False):
+        assert 0 <= b < buckets
+        got += [(b, x, y) for x, y in zip(*(z.tolist() for z in unpacked(rows)))]
+    assert sorted(got) == want
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1_000])
+def test_repeats_go_on_with_all_their_classes(chunk):
+    rng = np.random.default_rng(chunk)
+    sig, node = rng.integers(0, 300, 1_000).astype(np.uint64), rng.integers(0, 4, 1_000).astype(np.uint64)
+    sig[300:500], node[300:500] = 1_000, 9  # one class, many rows
+    seen, got = Repeats(), set()
+    for a in range(0, len(sig), chunk):
+        got |= set(zip(*(x.tolist() for x in seen.take(sig[a:a + chunk], node[a:a + chunk]))))
+    classes = {}
+    for s, c in zip(sig.tolist(), node.tolist()):
+        classes.setdefault(s, set()).add(c)
+    assert got == {(s, c) for s, cs in classes.items() if len(cs) > 1 for c in cs}
+
+
+def test_classes_of_one_short_name_are_tied(spark, docs_of):
+    names = [5 << 40, (5 << 40) + 1, (5 << 40) + 2, 6 << 40]
+    known = spark.createDataFrame([(s, 3, b"\0" * 8) for s in names], "s1 bigint, n_shingles bigint, parity binary")
+    ties = candidate_ties(docs_of([]), known, "text").collect()
+    assert sorted(map(tuple, ties)) == [(names[1], names[0]), (names[2], names[0])]
