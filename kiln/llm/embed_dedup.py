@@ -19,7 +19,8 @@ cell with a third of all vectors is spread over many tasks. Equal vectors are
 one from the start and weigh as many as they are.
 
 Defined results. Null, empty and zero vectors and those with null or non-finite
-components link with nothing; so do vectors of different lengths. Rows that
+components link with nothing; so do vectors of different lengths. Components are
+kept as given, floats or doubles (other numbers as doubles). Rows that
 repeat, or share a vec_id, are vectors of their own. Component names are the
 smallest non-null vec_id. An empty table gives no rows.
 """
@@ -146,7 +147,8 @@ def link_counts(vectors: DataFrame, plan: Plan) -> DataFrame:
                 got = pdf.iloc[rows].reset_index(drop=True)
                 yield pd.DataFrame({"cell": names, "node": got["node"], "weight": got["weight"], "e": got["e"]})
 
-    dealt = vectors.mapInPandas(deal, "cell string, node string, weight bigint, e array<float>")
+    dealt = vectors.mapInPandas(
+        deal, f"cell string, node string, weight bigint, e {vectors.schema['e'].dataType.simpleString()}")
     counts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = dealt.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -191,7 +193,8 @@ def link_counts(vectors: DataFrame, plan: Plan) -> DataFrame:
 def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     threshold: float = 0.95) -> DataFrame:
     """id, n_links, component_id, kept for every row."""
-    e = F.col(vec_col).cast("array<float>")
+    given = vecs.schema[vec_col].dataType.elementType.simpleString()
+    e = F.col(vec_col).cast("array<float>" if given == "float" else "array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce((F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
     h1, h2 = hash128(e)

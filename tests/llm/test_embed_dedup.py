@@ -87,3 +87,15 @@ def test_given_embeddings_recall(spark):
     found = got.loc[np.arange(len(e)), "n_links"].to_numpy()
     assert links.sum() >= 2 * len(base)
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_doubles_are_kept(spark):
+    def near(cosine):
+        return [cosine, math.sqrt(1 - cosine * cosine), 0.0, 0.0]
+
+    rows = [(1, [1e300, -1e300]), (2, [1e300, -1e300]),
+            (3, [1.0, 0.0, 0.0, 0.0]), (4, near(0.95 - 1e-10)),
+            (5, [0.0, 0.0, 1.0]), (6, [0.0, 1e-300, 0.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got) == [
+        (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
