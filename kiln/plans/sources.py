@@ -25,11 +25,15 @@ def _chunk(col: str = "doc_id"):
 def _write_text(df, col, path, by="source", order="line_no"):
     """Text files of one ``by`` value and ``CHUNK`` lines each, in ``order``."""
     keyed = df.select("*", _chunk(order))
-    (keyed.repartition(by, "chunk").sortWithinPartitions(by, "chunk", order).select(by, "chunk", col)
-       .write.partitionBy(by, "chunk").mode("overwrite").text(path))
+    K.write_files(_grouped(keyed, by, "chunk").sortWithinPartitions(by, "chunk", order), path, [by, "chunk"], col)
     return path
 
 
+def _grouped(df, *by):
+    """Each group's rows in one of as many tasks as shuffles have: what costs here is files, not bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _source(df):
     return df.withColumn("source", F.regexp_extract("file", r"source=([^/]+)/", 1))
 
@@ -50,10 +54,11 @@ def s01(spark, sf):
 
 def _json_documents(spark, sf, build, name):
     """JSON documents of one source and ``CHUNK`` records each."""
-    doc = table(spark, sf, "documents").groupBy("source", _chunk()).agg(F.to_json(build(F.collect_list(
+    d = table(spark, sf, "documents").select("*", _chunk())
+    doc = _grouped(d, "source", "chunk").groupBy("source", "chunk").agg(F.to_json(build(F.collect_list(
         F.struct("doc_id", "lang", "text")))).alias("j"))
     p = scratch_path(spark, name)
-    doc.write.partitionBy("source", "chunk").mode("overwrite").text(p)
+    K.write_files(doc, p, ["source", "chunk"], "j")
     return p
 
 
@@ -118,16 +123,17 @@ def _xml_documents(spark, sf):
         escaped = F.replace(escaped, F.lit(raw), F.lit(ref))
     record = F.concat(F.lit('<record id="'), F.col("doc_id").cast("string"), F.lit('"><lang>'), F.col("lang"),
                       F.lit("</lang><text>"), escaped, F.lit("</text></record>"))
-    body = table(spark, sf, "documents").groupBy("source", _chunk()).agg(F.concat(
+    d = table(spark, sf, "documents").select("*", _chunk())
+    body = _grouped(d, "source", "chunk").groupBy("source", "chunk").agg(F.concat(
         F.lit("<dataset><meta/>"), F.concat_ws("", F.collect_list(record)), F.lit("</dataset>")).alias("x"))
     p = scratch_path(spark, "xml")
-    body.write.partitionBy("source", "chunk").mode("overwrite").text(p)
+    K.write_files(body, p, ["source", "chunk"], "x")
     return p
 
 
 @query("S07_read_xml", """select doc_id as id, lang, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') as text from documents""")
 def s07(spark, sf):
-    r = S.read_xml(spark, _xml_documents(spark, sf))
+    r = S.read_xml(spark, _xml_documents(spark, sf), schema="_id string, lang string, text string")
     return r.select(F.col("_id").cast("bigint").alias("id"), "lang", F.regexp_replace("text", r"[ \t\r\n]+", "").alias("text"))
 
 

@@ -13,6 +13,7 @@ inside the split, and per-(file, split) line counts give its starting line.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import tarfile
@@ -76,11 +77,12 @@ def read_json_doc(spark: SparkSession, path: str, rule: str = "first_list", spli
     else the object itself. Documents above ``split_bytes`` are read in byte
     ranges by many tasks (``json_ranges``); a record of theirs that is not JSON
     comes out as null, where a smaller document that is not JSON gives no rows."""
-    d = spark.read.format("text").option("wholetext", "true").load(path)
     apart = ranges.reachable(spark, path)
     if apart:
-        d = d.where(F.col("_metadata.file_size") <= split_bytes)
-    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+        d = ranges.whole_files(ranges.list_files(spark, path).where(F.col("length") <= split_bytes))
+    else:
+        d = spark.read.format("text").option("wholetext", "true").load(path)
+        d = d.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     d = d.withColumn("_v", F.try_parse_json("raw"))
     as_list = F.try_variant_get("_v", "$", "array<variant>")
     if rule == "envelope":
@@ -132,13 +134,23 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, schema: str | None = None) -> DataFrame:
     """XML records. Without ``row_tag`` the most frequent direct child
     of the root element is used (counted over the document's tags, a
-    per-file aggregate)."""
+    per-file aggregate). The records are cut out in byte ranges and parsed one
+    by one (``from_xml``). Without ``schema`` all of them are read once more
+    to infer it, as Spark's reader does."""
     if row_tag is None:
         row_tag = infer_row_tag(spark, path)
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
+    if not ranges.reachable(spark, path):
+        reader = spark.read.format("xml").option("rowTag", row_tag)
+        return (reader.schema(schema) if schema else reader).load(path)
+    records = xml_ranges.records(spark, path, row_tag).select("record")
+    if schema is None:
+        strings = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        found = spark._jsparkSession.read().option("rowTag", row_tag).xml(strings).schema()
+        schema = StructType.fromJson(json.loads(found.json()))
+    return records.select(F.from_xml("record", schema).alias("r")).select("r.*")
 
 
 def _whole_child_tags(batches):
@@ -218,7 +230,7 @@ def first_data_member(members: DataFrame) -> DataFrame:
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files below ``path`` (path and size; content is pruned)."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    b = ranges.walk(spark, path, recursive=True)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return b.select("path", "length").where(ext.isin(*IMAGE_EXTENSIONS))
 
@@ -229,7 +241,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     the name). File contents are never read."""
     bare = lambda x: re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", x)  # without scheme and authority
     root = bare(path if path.startswith("/") or ":" in path else os.path.abspath(path)).rstrip("/") + "/"
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    b = ranges.walk(spark, path, recursive=True)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     full = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")

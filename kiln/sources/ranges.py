@@ -1,6 +1,6 @@
 """Large text files read in byte ranges, each range by the task that gets its descriptor.
 
-A reader lists the files (names and lengths only), cuts them into ranges of ``split_bytes`` and deals the descriptors
+A reader lists the files (names and lengths only; folders are listed by tasks), cuts them into ranges of ``split_bytes`` and deals the descriptors
 (file, start, stop) out to tasks, which read their bytes themselves. What a range must know of the bytes before it
 (its first line's number, whether it begins inside quotes) comes from a first pass that returns one small row a
 range, and a prefix over a file's ranges in order. Only descriptors are ever shuffled: no text is exchanged, and no
@@ -16,7 +16,9 @@ Compressed files (gz, bz2, zst, lz4) are one range. Any storage that pyarrow ope
 
 from __future__ import annotations
 
+import os
 import re
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,111 @@ def reachable(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _encoded(path: str) -> str:
+    """A path as it stands in the URIs of Spark's ``_metadata.file_path``."""
+    return re.sub(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f]", lambda m: f"%{ord(m[0]):02X}", path)
+
+
+def _folder(spark: SparkSession, path: str) -> str | None:
+    """The URI of ``path`` if it is a folder that tasks can list; None for a file, a pattern or other storage."""
+    if re.search(r"[*?{}\[\]\\]", path) or not reachable(spark, path):
+        return None
+    found = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):(?://([^/]*))?", path)
+    uri = found[0] if found else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
+    rest = path[found.end():] if found else path
+    if uri.startswith("file:"):
+        uri, rest = "file:", os.path.abspath(rest)
+    elif not rest.startswith("/"):
+        return None
+    uri = (uri + _encoded(re.sub("/+", "/", rest))).rstrip("/")
+    store, root = fs.FileSystem.from_uri(uri)
+    return uri if store.get_file_info(root).type == fs.FileType.Directory else None
+
+
+_LISTED = {"file": pa.string(), "path": pa.string(), "length": pa.int64(), "modificationTime": pa.timestamp("us", tz="UTC")}
+
+
+def _listed(recursive: bool, whole: bool):
+    """What the folders among the rows hold (``whole``: with all below them); rows of files stay. As Spark's readers
+    do, it skips hidden and empty files and enters folders of partitions, with ``recursive`` all that are not hidden."""
+    def entries(uri):
+        store, root = fs.FileSystem.from_uri(uri)
+        for info in store.get_file_info(fs.FileSelector(root)):
+            name = info.base_name
+            if name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name:
+                continue
+            at = f"{uri}/{_encoded(name)}"
+            if info.type == fs.FileType.Directory:
+                if recursive or "=" in name:
+                    yield at, unquote(at), None, None
+            elif info.size:
+                yield at, unquote(at), info.size, (info.mtime_ns or 0) // 1_000_000 * 1000
+
+    def run(batches):
+        out = []
+        for batch in batches:
+            out += _descriptors([batch])
+            while out:
+                rows = [r for r in out if r[2] is not None]
+                folders = [r[0] for r in out if r[2] is None]
+                if rows:
+                    yield _rows(_LISTED, rows)
+                out = []
+                for i, uri in enumerate(folders):
+                    out += entries(uri)
+                    if whole and len(out) > 10_000:  # what is found goes on before more is listed
+                        out += [(f, None, None, None) for f in folders[i + 1:]]
+                        break
+                if not whole:
+                    if out:
+                        yield _rows(_LISTED, out)
+                    out = []
+    return run
+
+
+def walk(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """file (URI), path, length, modificationTime of every file that Spark's readers would take, no content read.
+    Tasks list the folders: two levels one by one, dealt out each time, then what is below each. Nothing but a file's
+    row is exchanged, and no list of files grows on the driver."""
+    folder = _folder(spark, path)
+    if folder is None:
+        b = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+        return b.select(F.col("_metadata.file_path").alias("file"), "path", "length", "modificationTime")
+    schema = "file string, path string, length bigint, modificationTime timestamp"
+    x = spark.range(0, 1, 1, 1).select(F.lit(folder).alias("file"), F.lit(None).cast("string").alias("path"),
+                                       F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    for whole in (False, False, True):
+        x = x.mapInArrow(_listed(recursive, whole), schema)
+        x = x if whole else dealt(x)
+    return x
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """file, length of every file that Spark's readers would take; no content is read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    return walk(spark, path).select("file", "length")
+
+
+def _contents(batches):
+    held, size = [], 0
+    names = ["file", "raw"]
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.string()),
+                                           pa.array([x for _, x in held], pa.binary()).view(pa.string())], names=names)
+    for file, _ in _descriptors(batches):
+        with open_at(file) as f:
+            held.append((file, f.read()))
+        size += len(held[-1][1])
+        if size >= PIECE:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def whole_files(files: DataFrame) -> DataFrame:
+    """file, raw: the whole text of each of ``files`` (file, length)."""
+    return dealt(files.select("file", "length")).mapInArrow(_contents, "file string, raw string")
 
 
 def dealt(df: DataFrame) -> DataFrame:

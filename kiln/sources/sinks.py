@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kiln.operators.clean import nan_to_null
 from kiln.session import scratch_path
+from kiln.sources import ranges
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,6 +21,68 @@ def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "jso
     (w.option("ignoreNullFields", "false").json(path) if fmt == "json" else w.format(fmt).save(path))
 
 
+# Characters that a folder's name has escaped, as Spark's ``partitionBy`` does.
+_ESCAPED = {c: f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]}
+
+
+def write_files(df: DataFrame, path: str, by: list[str], value: str) -> int:
+    """Text files ``path``/by=.../, one for each run of rows with equal ``by`` (as many as there are groups where
+    ``df`` brings a group's rows one after another in one task), a line a row. ``partitionBy`` has the driver move
+    each file to its place, one by one; here the task that wrote a file does. A file takes its name from its group, so
+    a task that runs again replaces its own files. Returns the number of lines."""
+    store_uri = path if "://" in path else "file://" + path.replace("file:", "", 1)
+    if not ranges.reachable(df.sparkSession, path):
+        df.select(*by, value).write.partitionBy(*by).mode("overwrite").text(path)
+        return df.count()
+    names = list(by)
+
+    def run(batches):
+        import hashlib
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(store_uri)
+        made, at, out, place, lines = set(), None, None, None, 0
+
+        def end():
+            out.close()
+            store.move(*place)
+        try:
+            for batch in batches:
+                *keys, texts = (c.to_pylist() for c in batch.columns)
+                lines += len(texts)
+                first = 0
+                runs = list(zip(*keys))
+                for i in range(1, len(runs) + 1):
+                    if i < len(runs) and runs[i] == runs[first]:
+                        continue
+                    if out is None or runs[first] != at:
+                        if out is not None:
+                            end()
+                        at = runs[first]
+                        folder = "/".join(f"{k}=" + ("__HIVE_DEFAULT_PARTITION__" if v in (None, "") else "".join(
+                            _ESCAPED.get(c, c) for c in str(v))) for k, v in zip(names, at))
+                        folder = f"{root.rstrip('/')}/{folder}"
+                        if folder not in made:
+                            store.create_dir(folder, recursive=True)
+                            made.add(folder)
+                        name = hashlib.md5(repr(at).encode()).hexdigest()
+                        place = (f"{folder}/.{name}-{uuid.uuid4().hex}.tmp", f"{folder}/part-{name}.txt")
+                        out = store.open_output_stream(place[0], compression=None)
+                    out.write(b"".join(x for t in texts[first:i] for x in (t or b"", b"\n")))
+                    first = i
+            if out is not None:
+                end()
+                out = None
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([lines], pa.int64())], names=["n"])
+    rows = df.select(*by, F.col(value).cast("binary").alias(value))
+    return rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def append_notifications(df: DataFrame, path: str) -> None:
     """Append-only notification log (timestamp, level, message, work_dir)."""
     cols = [c for c in ("level", "message", "work_dir") if c in df.columns]
