@@ -11,8 +11,9 @@ most of the page is constant against it (a copy of the page is no template).
 Before the alignment, what is boilerplate by its markup leaves the tree: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments,
 by tag, ARIA role or words of class and id. If what is left has an article (or
-else a main element), its blocks are the content, constant or not: an article
-may quote the same licence on every page. Otherwise the blocks are content that
+else a main element), its blocks are the content: an article may quote the same
+licence on every page, but constant blocks that are mostly links are menus that
+no markup names, and are left out. Otherwise the blocks are content that
 at least two usable pivots (or the only one) do not show as constant and that
 are not lists of links.
 
@@ -379,7 +380,7 @@ class Page:
         constant = self.template(pivots)
         region = self.region()
         if region:
-            return " ".join(b.text for r in region for b in blocks(r))
+            return " ".join(b.text for r in region for b in blocks(r) if not (id(b.node) in constant and 2 * b.links > len(b.text)))
         kept = [b for b in self.blocks if id(b.node) not in constant]
         lists = Counter(b.node.tag for b in kept if 2 * b.links > len(b.text))
         return " ".join(b.text for b in kept if not (2 * b.links > len(b.text) and lists[b.node.tag] >= 3))

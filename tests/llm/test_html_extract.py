@@ -81,6 +81,17 @@ def test_template_is_dropped_without_article(spark):
     assert got[50] == [""] and got[51] == ["Only page"] and got[None] == ["no id"]
 
 
+def test_template_inside_an_article_loses_its_menus():
+    """Constant blocks of links within article or main are menus; constant prose and a page's own links are not."""
+    for tag in ("article", "main"):
+        def of(n, tag=tag):
+            return Page(page(n, f"<{tag}><ul><li><a href=/a>Latest news</a><li><a href=/b>All of it</a></ul><h1>Head {n}</h1>"
+                                f"<p>Free licence for all</p><p>Words {n} {'tell ' * (n + 3)}</p><p><a href=/{n}>See {n}</a></p></{tag}>"))
+        want = f"Head 4 Free licence for all Words 4 {'tell ' * 7}".strip() + " See 4"
+        assert of(4).text([of(1), of(2), of(3)]) == want
+        assert of(4).text([]) == "Latest news All of it " + want
+
+
 def test_deep_pages():
     """Elements nested or left open 5,000 deep are pages like others."""
     for html in ("<div>" * 5_000 + "deep", "<div>" * 5_000 + "deep" + "</div>" * 5_000, "<p>" + "<font>" * 5_000 + "deep",
