@@ -218,17 +218,21 @@ def _tree(spark, sf):
 
     d = table(spark, sf, "documents").select("source", _chunk(), "doc_id", "lang")
     p = scratch_path(spark, "tree")
-    d.repartition("source", "chunk").write.partitionBy("source", "chunk").mode("overwrite").json(p + "/data")
+    rows = d.select("source", "chunk", F.to_json(F.struct("doc_id", "lang")).alias("j"))
+    K.write_files(_grouped(rows, "source", "chunk").sortWithinPartitions("source", "chunk"), p + "/data", ["source", "chunk"], "j", ".json")
 
     def put(batches):
         filesystem, root = _storage(p)
+        made = set()
         for pdf in batches:
             for source, i in zip(pdf["source"], pdf["doc_id"]):
-                filesystem.create_dir(f"{root}/images/{source}", recursive=True)
+                if source not in made:
+                    filesystem.create_dir(f"{root}/images/{source}", recursive=True)
+                    made.add(source)
                 with filesystem.open_output_stream(f"{root}/images/{source}/{i}.png") as f:
                     f.write(b"\x89PNG")
             yield pd.DataFrame({"n": [len(pdf)]})
-    d.repartition(8).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    _grouped(d, "doc_id").mapInPandas(put, "n long").agg(F.sum("n")).collect()
     return p
 
 
@@ -309,8 +313,8 @@ def s17_csv(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.floor(F.col("event_id") / 5000).cast("bigint").alias("chunk"), "event_id",
                                           F.concat_ws(",", "event_id", "user_id").alias("line"))
     p = scratch_path(spark, "estimate")
-    (e.repartition("event_type", "chunk").sortWithinPartitions("event_type", "chunk", "event_id").drop("event_id")
-       .write.partitionBy("event_type", "chunk").text(p))
+    K.write_files(_grouped(e, "event_type", "chunk").sortWithinPartitions("event_type", "chunk", "event_id"), p,
+                  ["event_type", "chunk"], "line")
     return S.estimate_csv_rows(spark, p).select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("event_type"),
                                                 F.regexp_extract("file", "chunk=([^/]+)/", 1).cast("bigint").alias("chunk"), "rows")
 
@@ -321,8 +325,7 @@ def s18(spark, sf):
     v = v_log(spark, sf)
     p = scratch_path(spark, "logs")
     # one file per log, as logs are: a log's lines go through one task in order
-    (v.repartition("log_id").sortWithinPartitions("log_id", "line_no").select("log_id", "line")
-       .write.partitionBy("log_id").mode("overwrite").text(p))
+    K.write_files(_grouped(v, "log_id").sortWithinPartitions("log_id", "line_no"), p, ["log_id"], "line")
     return S.read_logs(spark, p, id_pattern=r"log_id=([^/]+)/").select("log_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 

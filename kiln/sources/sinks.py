@@ -25,7 +25,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "jso
 _ESCAPED = {c: f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]}
 
 
-def write_files(df: DataFrame, path: str, by: list[str], value: str) -> int:
+def write_files(df: DataFrame, path: str, by: list[str], value: str, suffix: str = ".txt") -> int:
     """Text files ``path``/by=.../, one for each run of rows with equal ``by`` (as many as there are groups where
     ``df`` brings a group's rows one after another in one task), a line a row. ``partitionBy`` has the driver move
     each file to its place, one by one; here the task that wrote a file does. A file takes its name from its group, so
@@ -68,7 +68,7 @@ def write_files(df: DataFrame, path: str, by: list[str], value: str) -> int:
                             store.create_dir(folder, recursive=True)
                             made.add(folder)
                         name = hashlib.md5(repr(at).encode()).hexdigest()
-                        place = (f"{folder}/.{name}-{uuid.uuid4().hex}.tmp", f"{folder}/part-{name}.txt")
+                        place = (f"{folder}/.{name}-{uuid.uuid4().hex}.tmp", f"{folder}/part-{name}{suffix}")
                         out = store.open_output_stream(place[0], compression=None)
                     out.write(b"".join(x for t in texts[first:i] for x in (t or b"", b"\n")))
                     first = i

@@ -92,3 +92,19 @@ def test_documents_are_read_by_tasks(spark, tmpdir_fresh):
     got = S.read_json_doc(spark, tmpdir_fresh)
     assert "Scan text" not in plan(got)
     assert got.agg(F.sum(F.variant_get("rec", "$.id", "bigint"))).first()[0] == 2 * sum(range(20)) + 2000
+
+
+def test_tree_and_logs_are_written_by_as_many_tasks_as_shuffles_have(spark, tmpdir_fresh, monkeypatch):
+    from kiln.plans import sources
+    rows = [(i, f"s{i % 3}", "x" if i % 2 else None) for i in range(0, 900, 7)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string").write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    grouped = []
+    monkeypatch.setattr(sources, "_grouped", lambda df, *by, f=sources._grouped: grouped.append(f(df, *by)) or grouped[-1])
+    tree = sources._tree(spark, tmpdir_fresh)
+    assert [g.rdd.getNumPartitions() for g in grouped] == [8, 8]
+    inv = S.file_inventory(spark, tree).collect()
+    assert len([r for r in inv if r.ext == ".png"]) == len(rows)
+    assert sorted({r.rel.rsplit("/", 1)[0] for r in inv if r.is_data}) == sorted(
+        {f"data/source={s}/chunk={i // 200}" for i, s, _ in rows})
+    got = spark.read.schema("doc_id bigint, lang string, source string").json(f"{tree}/data").select("doc_id", "source", "lang")
+    assert sorted(map(tuple, got.collect())) == rows
