@@ -220,7 +220,11 @@ def skeleton(lines: DataFrame, max_lines: int = 100, log: str = "log_id", pos: s
     rest = (F.col(pos) > edge) & ~is_key_line(F.col(line))
     group = Window.partitionBy(log, F.when(~rest, F.col(line))).orderBy(F.when(rest, -F.col(pos)).otherwise(F.col(pos)))
     kept = lines.withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= max(max_lines, edge)).drop("_r")
+    from kiln.session import scratch_path
+    path = scratch_path(lines.sparkSession, "log-kept")
     x = kept.join(n, log)
+    x.write.parquet(path)  # what follows reads it several times, and the whole logs no more
+    x = lines.sparkSession.read.schema(x.schema).parquet(path)
     short = x.where(F.col("_n") <= max_lines).select(log, F.col(pos).cast("double").alias("seq"), line)
     seg = (F.when(F.col(pos) <= edge, 0).when(is_key_line(F.col(line)), 1)
             .when(F.col(pos) > F.col("_last") - edge, 2))

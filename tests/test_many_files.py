@@ -108,3 +108,73 @@ def test_tree_and_logs_are_written_by_as_many_tasks_as_shuffles_have(spark, tmpd
         {f"data/source={s}/chunk={i // 200}" for i, s, _ in rows})
     got = spark.read.schema("doc_id bigint, lang string, source string").json(f"{tree}/data").select("doc_id", "source", "lang")
     assert sorted(map(tuple, got.collect())) == rows
+
+
+class Handle:
+    """A key's state store that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def _call(self):
+        self.calls += 1
+
+    def exists(self):
+        self._call()
+        return self.value is not None
+
+    def get(self):
+        self._call()
+        return self.value
+
+    def update(self, value):
+        self._call()
+        self.value = value
+
+    def listTimers(self):
+        self._call()
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self._call()
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self._call()
+        self.timers.add(at)
+
+
+def test_live_logs_cost_few_calls_of_the_state_store():
+    import pandas as pd
+
+    from kiln.streaming.live import _Hang, _Latest
+    at = lambda *s: pd.DataFrame({"ts": pd.to_datetime(list(s), unit="s")})
+    store, hang = Handle(), _Hang(300.0, True)
+    hang.init(store)
+    assert list(hang.handleInputRows(("r",), [at(10, 0), at(20)], None)) == [] and store.calls == 3
+    assert store.timers == {320_001}
+    found = list(hang.handleInputRows(("r",), [at(400)], None))
+    assert [f.silent_s.tolist() for f in found] == [[380.0]] and store.calls == 7 and store.timers == {700_001}
+    store, latest = Handle(), _Latest(None)
+    latest.init(store)
+    rows = pd.DataFrame({"step": [1, 3, 2], "loss": [1.0, None, 2.0], "eval_loss": [None] * 3, "lr": [None] * 3, "throughput": [None] * 3,
+                         "ingest_ts": pd.to_datetime([0, 0, 0], unit="s"), "block": [0, 0, 0], "pos": [1, 3, 2]})
+    got = next(latest.handleInputRows(("r",), iter([rows]), None))
+    assert store.calls == 2 and got.step.tolist() == [3] and got.loss.isna().all() and str(got.step.dtype) == "Int64"
+    list(latest.handleInputRows(("r",), iter([rows.assign(pos=0)]), None))
+    assert store.value[0] == 3
+
+
+def test_skeleton_reads_the_logs_no_more_than_twice(spark, tmpdir_fresh):
+    from kiln.operators import logs
+    rows = [("a", i, f"loss {i}" if i % 9 == 0 else f"line {i % 50}") for i in range(1, 900)] + [("b", i, "x") for i in range(1, 9)]
+    spark.createDataFrame(rows, "log_id string, line_no bigint, line string").write.parquet(f"{tmpdir_fresh}/l")
+    got = logs.skeleton(spark.read.parquet(f"{tmpdir_fresh}/l"), 20)
+    assert f"{tmpdir_fresh}/l" not in got._jdf.queryExecution().optimizedPlan().toString() + str(got.inputFiles())
+    lines = {(r.log_id, r.seq): r.line for r in got.collect()}
+    assert [lines["b", float(i)] for i in range(1, 9)] == ["x"] * 8
+    last = max(s for log, s in lines if log == "a")
+    assert [lines["a", s] for s in (1.0, 6.0, 11.0, last)] == ["line 1", "loss 9", "...[truncated]...", "line 49"]
