@@ -3,7 +3,7 @@
 A directory of log files is read with ``readStream.text``; each new file is
 one log (``log_id`` = file name). Arrival order is ``(ingest_ts, split
 start, position in the task)``; the position is numbered in file order by a
-``mapInPandas`` counter because streams reject ``monotonically_increasing_id``.
+``mapInArrow`` counter because streams reject ``monotonically_increasing_id``.
 
 The transformations are plain DataFrame functions, so the batch queries run
 the very same code on static tables. What needs state (the action gate, the
@@ -19,6 +19,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -32,16 +33,16 @@ def _number(batches):
     """Row position inside the task: the text reader emits a split's lines
     in file order, so a running counter over the task's batches orders them."""
     n = 0
-    for pdf in batches:
-        pdf["pos"] = range(n, n + len(pdf))
-        n += len(pdf)
-        yield pdf
+    for batch in batches:
+        places = pa.array(np.arange(n, n + len(batch)))
+        n += len(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, places], names=[*batch.schema.names, "pos"])
 
 
 def stream_logs(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Lines as they arrive: ``log_id, line, ingest_ts`` and an arrival
     order key ``(ingest_ts, block, pos)`` (``pos``: file order inside the
-    split, numbered per task with ``mapInPandas``; streams forbid
+    split, numbered per task with ``mapInArrow``; streams forbid
     ``monotonically_increasing_id``)."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -50,7 +51,7 @@ def stream_logs(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     x = df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("log_id"),
                   F.col("_metadata.file_block_start").alias("block"),
                   F.col("value").alias("line"), F.current_timestamp().alias("ingest_ts"))
-    return x.mapInPandas(_number, "log_id string, block long, line string, ingest_ts timestamp, pos long")
+    return x.mapInArrow(_number, "log_id string, block long, line string, ingest_ts timestamp, pos long")
 
 
 def stream_errors_transform(lines: DataFrame) -> DataFrame:
@@ -112,13 +113,18 @@ class _Timed(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
 
-    def _wait_from(self, last_micros: int, timer_values) -> None:
+    def _due(self, last_micros: int) -> int:
+        """When the timer of the rows' time goes off."""
+        return last_micros // 1000 + int(self.wait_s * 1000) + 1
+
+    def _wait_from(self, last_micros: int, timer_values, known: bool = True) -> None:
+        """``known``: whether the key may have a timer already."""
         if self.wait_s is None:
             return
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(t)
-        begin = last_micros // 1000 if self.event else timer_values.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(begin + int(self.wait_s * 1000) + 1)
+        now = last_micros if self.event else timer_values.getCurrentProcessingTimeInMs() * 1000
+        self.handle.registerTimer(self._due(now))
 
     def close(self) -> None:
         pass
@@ -189,8 +195,9 @@ class _Hang(_Timed):
 
     def handleInputRows(self, key, rows, timerValues):
         times = np.sort(np.concatenate([_micros(p["ts"]) for p in rows]))
-        if self.last.exists():
-            seen, told = self.last.get()
+        before = self.last.get()  # calls of the state store are what a log costs: as few as will do
+        if before:
+            seen, told = before
             times = times[times >= seen]
             line = np.concatenate([[seen], times])
         else:
@@ -204,7 +211,11 @@ class _Hang(_Timed):
                 yield self._rows(key, line[:-1][found], gaps[found] / 1e6)
         if len(times):
             self.last.update((int(line[-1]), False))
-            self._wait_from(int(line[-1]), timerValues)
+            if before and self.event:  # its one timer is that of its last line, and gone once told
+                if not told:
+                    self.handle.deleteTimer(self._due(seen))
+                before = None
+            self._wait_from(int(line[-1]), timerValues, known=before is not None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         seen, _ = self.last.get()
@@ -244,17 +255,18 @@ class _Latest(StatefulProcessor):
         self.best = handle.getValueState("latest", schema, *([int(self.retire_s * 1000)] if self.retire_s else []))
 
     def handleInputRows(self, key, rows, timerValues):
-        best = self.best.get() if self.best.exists() else None
+        best = self.best.get()
         for pdf in rows:
-            pdf = pdf.assign(at=_micros(pdf["ingest_ts"]))
-            last = pdf.sort_values(["at", "block", "pos"]).iloc[-1]
-            place = tuple(int(last[c]) for c in ("at", "block", "pos"))
+            places = [_micros(pdf["ingest_ts"]), pdf["block"].to_numpy(), pdf["pos"].to_numpy()]
+            i = np.lexsort(places[::-1])[-1]
+            place = tuple(int(c[i]) for c in places)
             if best is None or place >= tuple(best[5:]):
-                best = tuple(None if pd.isna(last[f]) else last[f].item() if hasattr(last[f], "item") else last[f] for f in _FIELDS) + place
+                values = [pdf[f].iat[i] for f in _FIELDS]
+                best = tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in values) + place
         best = (None if best[0] is None else int(best[0]), *best[1:])
         self.best.update(tuple(best))
-        yield pd.DataFrame([[key[0], *best[:5]]], columns=["log_id", *_FIELDS]).astype(
-            {"step": "Int64", **{f: float for f in _FIELDS[1:]}})
+        yield pd.DataFrame({"log_id": [key[0]], "step": pd.array([best[0]], dtype="Int64"),
+                            **{f: np.array([v], dtype=float) for f, v in zip(_FIELDS[1:], best[1:5])}})
 
     def close(self) -> None:
         pass
@@ -266,7 +278,9 @@ def latest_metrics_stream_retiring(lines: DataFrame, retire_after_s: float | Non
     micro-batch has lines of (``output_mode``: that of the query it is in). The state of a log that is silent for
     ``retire_after_s`` seconds (by the clock; None: never) expires by its time
     to live, so state holds active logs only."""
-    m = L.parse_metrics(lines).select("log_id", *_FIELDS, "ingest_ts", "block", "pos")
+    # a micro-batch is a few files, and so a few tasks; parsing its lines is the work, and goes to all
+    spread = lines.repartition("log_id", "block", "pos")
+    m = L.parse_metrics(spread).select("log_id", *_FIELDS, "ingest_ts", "block", "pos")
     return _processed(m, "log_id", _Latest(retire_after_s), LATEST_SCHEMA, _mode(retire_after_s, False), output_mode)
 
 
