@@ -15,8 +15,8 @@ For each pair of tied documents the matches on a diagonal are joined into
 segments, and these are chained: a chain runs forward in both texts, a segment
 scores its words, and words between segments cost in proportion. The best
 predecessor of a segment is a prefix maximum, kept in a Fenwick tree over the
-second text's places. Chains of 25 words are aligned: the words of both texts are fetched, chains are lengthened at both ends
-while words are equal, and gaps are aligned word by word. Every stretch of a chain,
+second text's places. Chains of 25 words are aligned: the words of both texts are fetched once for all chains of the pair,
+chains are lengthened at both ends while words are equal, and gaps are aligned word by word. Every stretch of a chain,
 from one run of equal words to another, that has 80 % equal words is covered in
 both documents: a chain that fails as a whole is not lost. Stretches of a document are united,
 whichever partner they come from, and those of ``min_words`` words are reported.
@@ -51,10 +51,19 @@ WIDEST_GAP = 40  # a chain is two where it jumps further
 JOIN_WORDS = 30  # matches on a diagonal that are so near make one segment
 IDENTITY = 0.8
 MERGE_SALTS = 64
+PIECE_VALUES = 1 << 19  # words or places handled at once
+
+
+def _hasher() -> WordHasher:
+    return WordHasher(PUNCTUATED, lower=False)
+
+
+def _lowered(texts):
+    return (t.lower() if isinstance(t, str) else None for t in texts)
 
 
 def _words(texts):
-    return WordHasher(PUNCTUATED, lower=False).words(t.lower() if isinstance(t, str) else None for t in texts)
+    return _hasher().words(_lowered(texts))
 
 
 def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
@@ -76,31 +85,48 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.maximum, np.concatenate([pad, least, pad]), width) == h)
 
 
-def seeds(words: np.ndarray):
-    """(places, hashes) of the short seeds and of the long ones, which hash five short windows in a row."""
+def all_minimizers(h: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """``minimizers`` of many texts at once: h holds the hashes of all, sizes how many each has."""
+    ends = np.cumsum(sizes)
+    found = [ends[i] - sizes[i] + minimizers(h[ends[i] - sizes[i]:ends[i]], window) for i in np.flatnonzero((sizes > 0) & (sizes < window))]
+    if len(h) >= window:
+        least = _slide(np.minimum, h, window)
+        least[np.arange(len(least)) + window > np.repeat(ends, sizes)[:len(least)]] = 0  # reaches into the next text
+        pad = np.zeros(window - 1, dtype=np.uint64)
+        chosen = _slide(np.maximum, np.concatenate([pad, least, pad]), window) == h
+        found.append(np.flatnonzero(chosen & np.repeat(sizes >= window, sizes)))
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def seeds(words: np.ndarray, bounds: np.ndarray):
+    """(text, place, hash) of the short seeds and of the long ones, which hash five short windows in a row, of all texts:
+    ``words`` of text i are those from bounds[i] on."""
     short = windows(words, tuple(range(K)))
     long_ = windows(short, INSIDE, 1)
-    for h, window in ((short, WINDOW), (long_, LONG)):
-        at = minimizers(h, window)
-        yield at, h[at]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    left = bounds[1:][text] - np.arange(len(text))  # words from here to the end of the text
+    for h, window, length in ((short, WINDOW, K), (long_, LONG, LONG)):
+        whole = np.flatnonzero(left >= length)
+        at = whole[all_minimizers(h[whole], np.bincount(text[whole], minlength=len(bounds) - 1), window)]
+        yield text[at], at - bounds[text[at]], h[at]
 
 
 def seed_ties(docs: DataFrame) -> DataFrame:
-    """u, up, v, vp: a seed at word up of u is at word vp of v, the first document with it. docs: rk, text."""
+    """u, up, v, vp: a seed at word up // 2 of u is at word vp of v, the first document with it; up is odd for long
+    seeds. docs: rk, text."""
     def sow(it):
         for pdf in it:
-            parts = []
             pdf = pdf.sort_values("rk", kind="stable")
-            for rk, w in zip(pdf["rk"].to_numpy(), _words(pdf["text"])):
-                (a, x), (b, y) = seeds(w)
-                parts += [(rk, False, a, x), (rk, True, b, y)]
-            sizes = [len(p[3]) for p in parts]
-            if not sum(sizes):
+            rks, begin, rows = pdf["rk"].to_numpy(), 0, []
+            for words, ends in _hasher().chunks(_lowered(pdf["text"])):
+                for flag, (text, at, h) in zip((0, 2), seeds(words, ends)):
+                    rows.append((text + begin, at, h.view(np.int64), np.full(len(at), flag, dtype=np.int64)))
+                begin += len(ends) - 1
+            text, at, seed, long_ = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+            if not len(seed):
                 continue
-            seed = np.concatenate([p[3] for p in parts]).view(np.int64)
-            at = np.concatenate([p[2] for p in parts])
-            rk = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), sizes)
-            long_ = np.repeat(np.array([2 * p[1] for p in parts], dtype=np.int64), sizes)
+            order = np.argsort(text, kind="stable")
+            rk, at, seed, long_ = rks[text[order]], at[order], seed[order], long_[order]
             yield _batch_ties(seed, rk, at, long_)
 
     # place holds the word number and two flags: a long seed, a tie made in the batch
@@ -131,17 +157,22 @@ def seed_ties(docs: DataFrame) -> DataFrame:
             if not out:
                 continue
             got = pd.concat(out, ignore_index=True)
-            if len(got):
-                times = np.where(got["long"] > 0, len(STANDS_FOR), 1)
-                got = got.loc[np.repeat(np.arange(len(got)), times), ["u", "up", "v", "vp"]]
-                step = STANDS_FOR[np.arange(len(got)) - np.repeat(np.cumsum(times) - times, times)]
-                got["up"] += step
-                got["vp"] += step
-                yield got
+            got["up"] = got["up"] * 2 + got["long"] // 2
+            yield got[["u", "up", "v", "vp"]]
 
     return sorted_.mapInPandas(join, "u bigint, up int, v bigint, vp int")
 
 
+def _matches(it):
+    """Ties with those of long seeds as the short matches they stand for."""
+    for pdf in it:
+        u, up, v, vp = (pdf[c].to_numpy() for c in ("u", "up", "v", "vp"))
+        times = np.where(up & 1, len(STANDS_FOR), 1)
+        row = np.repeat(np.arange(len(u)), times)
+        step = STANDS_FOR[np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
+        yield pd.DataFrame({"u": u[row], "up": (up[row] >> 1) + step, "v": v[row], "vp": vp[row] + step})
+
+
 def _ties(seed, rk, at, long_) -> tuple[pd.DataFrame, np.ndarray]:
     """From rows sorted by seed, document and place: ties of every row to its run's first document, and which rows
     are that document's. Where a seed repeats in both, the n-th place is tied to the n-th (or last) one and to the
@@ -246,28 +277,56 @@ def chains(segs: list[list[int]]) -> list[list[int]]:
 
 def _gathered(rows, columns: list[str]):
     """Rows as frames of some size."""
-    held = []
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == PIECE_ROWS:
+        size += sum(getattr(x, "size", 0) for x in row)
+        if len(held) == PIECE_ROWS or size >= PIECE_VALUES:
             yield pd.DataFrame(held, columns=columns)
-            held = []
+            held, size = [], 0
     if held:
         yield pd.DataFrame(held, columns=columns)
 
 
-def _chains_of(it):
-    """u, v and the segments of each chain of a pair."""
-    for pdf in runs(it, ["u", "v"], LEAST_MATCHES):
-        segs = segments(pdf["up"].to_numpy(), pdf["vp"].to_numpy())
-        pair = None
-        for c in chains(segs.tolist()):
-            whole = segs[c]
-            wide = np.maximum(whole[1:, 0] - whole[:-1, 1], whole[1:, 2] - whole[:-1, 3]) > WIDEST_GAP
-            for part in np.split(whole, np.flatnonzero(wide) + 1):
-                if min(part[-1, 1] - part[0, 0], part[-1, 3] - part[0, 2]) + K >= LEAST_SPAN:
-                    pair = pair or (int(pdf["u"].iat[0]), int(pdf["v"].iat[0]))
-                    yield *pair, part[:, :2].ravel().astype(np.int32), part[:, 2:].ravel().astype(np.int32)
+def _chains_of(it, pad: int):
+    """A pair, the segments of all its chains, how many each chain has, and the parts of both texts they can reach."""
+    for pdf in runs(_matches(it), ["u", "v"], LEAST_MATCHES):
+        up, vp = pdf["up"].to_numpy(), pdf["vp"].to_numpy()
+        if min(np.ptp(up), np.ptp(vp)) + K < LEAST_SPAN:
+            continue
+        segs = segments(up, vp)
+        rows = segs.tolist()
+        picked, sizes = [], []
+        for c in chains(rows):
+            begin = 0
+            for end in range(1, len(c) + 1):
+                u0, _, v0, _ = rows[c[begin]]
+                _, u1, _, v1 = rows[c[end - 1]]
+                if end < len(c) and max(rows[c[end]][0] - u1, rows[c[end]][2] - v1) <= WIDEST_GAP:
+                    continue
+                if min(u1 - u0, v1 - v0) + K >= LEAST_SPAN:
+                    picked += c[begin:end]
+                    sizes.append(end - begin)
+                begin = end
+        if sizes:
+            sizes, ups, vps = np.array(sizes, dtype=np.int32), *(segs[picked][:, x].ravel().astype(np.int32) for x in (slice(2), slice(2, 4)))
+            reach = [parts(*bounds(sizes, p, pad)) for p in (ups, vps)]
+            yield int(pdf["u"].iat[0]), int(pdf["v"].iat[0]), sizes, ups, vps, *reach
+
+
+def bounds(sizes: np.ndarray, places: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and the word after the last one of what each chain can reach in a text."""
+    last = 2 * np.cumsum(sizes) - 1
+    first = last - 2 * sizes + 1
+    return np.maximum(0, places[first] - pad), places[last] + K + pad
+
+
+def parts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Stretches that overlap or touch made one: start and stop of each, one after the other."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]]))
+    return np.stack([first[new], last[np.append(new[1:], len(last)) - 1]], axis=1).ravel().astype(np.int32)
 
 
 def equal_words(a: np.ndarray, b: np.ndarray, ups: np.ndarray, vps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,23 +398,74 @@ def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def _aligned(it):
-    """The two sides of a chain meet; a row for each document and accepted stretch."""
-    at, first = None, None
+def _exact(a: np.ndarray, b: np.ndarray, u0, n, v0, heads, tails, pad: int) -> tuple[np.ndarray, ...]:
+    """For chains of one segment, many at once: whether all its ``n`` words from u0 in a and v0 in b are equal, and how many
+    equal words are before and after it, ``pad`` at most and no more than the ``heads`` and ``tails`` there are."""
+    ends = np.cumsum(n)
+    inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    differ = a[np.repeat(u0, n) + inside] != b[np.repeat(v0, n) + inside]
+    equal = np.add.reduceat(differ, ends - n, dtype=np.int64) == 0
+    step = np.arange(pad)
+    around = []
+    for x, y, sign, room in ((u0 - 1, v0 - 1, -1, heads), (u0 + n, v0 + n, 1, tails)):
+        there = step < room[:, None]
+        i, j = (np.where(there, z[:, None] + sign * step, 0) for z in (x, y))
+        same = there & (a[i] == b[j])
+        around.append(np.where(same.all(axis=1), pad, same.argmin(axis=1)) if pad else np.zeros(len(n), np.int64))
+    return equal, *around
+
+
+def pair_stretches(a, b, sizes, ups, vps, ureach, vreach, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of two texts that the accepted stretches of their chains cover. a and b hold the words of ureach and vreach.
+    Most chains are one segment of equal words, as texts that repeat a block have one for every place of it: these are
+    compared many at once, the others are aligned one by one."""
+    sides = []
+    for words, places, reach in ((a, ups, ureach), (b, vps, vreach)):
+        first, last = bounds(sizes, places, pad)
+        part = np.searchsorted(reach[::2], first, side="right") - 1
+        shift = (np.cumsum(reach[1::2] - reach[::2]) - reach[1::2])[part].astype(np.int64)  # from a place to its word in words
+        sides.append((first + shift, np.minimum(last + shift, len(words)), shift))
+    (afirst, alast, ashift), (bfirst, blast, bshift) = sides
+    to = np.cumsum(sizes)
+    found, rest = [], [np.flatnonzero(sizes != 1)]
+    one = np.flatnonzero(sizes == 1)
+    at = 2 * (to[one] - 1)
+    u0, v0, n = ups[at] + ashift[one], vps[at] + bshift[one], ups[at + 1].astype(np.int64) - ups[at] + K
+    some = np.cumsum(n + 2 * pad) // PIECE_VALUES
+    for x in np.split(np.arange(len(one)), np.flatnonzero(np.diff(some)) + 1) if len(one) else ():
+        c, i, j, k = one[x], u0[x], v0[x], n[x]
+        equal, head, tail = _exact(a, b, i, k, j, np.minimum(i - afirst[c], j - bfirst[c]),
+                                   np.minimum(alast[c] - i - k, blast[c] - j - k), pad)
+        size = head + k + tail
+        s, t = i - head - ashift[c], j - head - bshift[c]
+        found.append(np.stack([s, s + size, t, t + size], axis=1)[equal & (size >= LEAST_SPAN)])
+        rest.append(c[~equal])
+    for c in np.concatenate(rest).tolist():
+        places = slice(2 * int(to[c] - sizes[c]), 2 * int(to[c]))
+        s, t = int(afirst[c]), int(bfirst[c])
+        x, y = equal_words(a[s:alast[c]], b[t:blast[c]], ups[places] + (ashift[c] - s), vps[places] + (bshift[c] - t))
+        got = [w for w in stretches(x + (s - ashift[c]), y + (t - bshift[c])) if min(w[1] - w[0], w[3] - w[2]) >= LEAST_SPAN]
+        found.append(np.array(got, dtype=np.int64).reshape(-1, 4))
+    got = np.concatenate(found)
+    return tuple(parts(got[:, k], got[:, k + 1]) if len(got) else np.zeros(0, np.int32) for k in (0, 2))
+
+
+def _aligned(it, pad: int):
+    """The two sides of a pair meet; a row for each document and part of it that is covered."""
+    pair, held = None, None
     for pdf in it:
-        for row in zip(*(pdf[c].tolist() for c in ("pid", "side", "rk", "first", "words")), pdf["ups"], pdf["vps"]):
-            pid, side, rk, begin, words, ups, vps = row
-            if side == 0:  # sorted by chain and side: the other side is next; documents may repeat
-                at, first = pid, row
+        for u, v, side, sizes, ups, vps, reach, words in zip(
+                *(pdf[c].tolist() for c in ("u", "v", "side")), *(pdf[c] for c in ("sizes", "ups", "vps", "reach", "words"))):
+            words = np.frombuffer(words, dtype=np.int64)
+            if side == 0:  # sorted by pair and side: the other side is next; documents may repeat
+                pair, held = (u, v), (words, sizes, ups, vps, reach)
                 continue
-            if pid != at:
+            if pair != (u, v):
                 continue
-            at = None
-            a, b = np.frombuffer(first[4], dtype=np.int64), np.frombuffer(words, dtype=np.int64)
-            for s, e, t, f in stretches(*equal_words(a, b, np.asarray(ups) - first[3], np.asarray(vps) - begin)):
-                if min(e - s, f - t) >= LEAST_SPAN:
-                    yield first[2], s + first[3], e + first[3], rk
-                    yield rk, t + begin, f + begin, first[2]
+            pair = None
+            for own, other, got in zip((u, v), (v, u), pair_stretches(held[0], words, *held[1:], reach, pad)):
+                for s, e in got.reshape(-1, 2).tolist():
+                    yield own, s, e, other
 
 
 def _unite(it):
@@ -382,31 +492,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pad = max(0, min_words - LONG)  # a passage of min_words reaches no further beyond a long seed of it
     ties = seed_ties(base)
-    linked = ties.repartition("u", "v").sortWithinPartitions("u", "v", "up", "vp").mapInPandas(
-        lambda it: _gathered(_chains_of(it), ["u", "v", "ups", "vps"]), "u bigint, v bigint, ups array<int>, vps array<int>")
-    linked = written(linked.withColumn("pid", F.xxhash64("u", "v", "ups", "vps")), "passage-chains")
-    sides = F.array(F.struct(F.col("u").alias("rk"), F.lit(0).alias("side"), F.col("ups").alias("own")),
-                    F.struct(F.col("v").alias("rk"), F.lit(1).alias("side"), F.col("vps").alias("own")))
-    wanted = linked.select("pid", "ups", "vps", F.explode(sides).alias("x")).select(
-        F.col("x.rk").alias("rk"), "pid", F.col("x.side").alias("side"), "ups", "vps",
-        F.greatest(F.lit(0), F.array_min("x.own") - pad).alias("first"), (F.array_max("x.own") + K + pad).alias("last"))
+    arrays = "sizes array<int>, ups array<int>, vps array<int>"
+    linked = ties.repartition("u", "v").sortWithinPartitions("u", "v").mapInPandas(
+        lambda it: _gathered(_chains_of(it, pad), ["u", "v", "sizes", "ups", "vps", "ureach", "vreach"]),
+        f"u bigint, v bigint, {arrays}, ureach array<int>, vreach array<int>")
+    linked = written(linked, "passage-chains")
+    chained = ("sizes", "ups", "vps")  # go with one side
+    sides = F.array(F.struct(F.col("u").alias("rk"), F.lit(0).alias("side"), F.col("ureach").alias("reach"), *chained),
+                    F.struct(F.col("v").alias("rk"), F.lit(1).alias("side"), F.col("vreach").alias("reach"),
+                             *(F.lit(None).cast("array<int>").alias(c) for c in chained)))
+    wanted = linked.select("u", "v", F.explode(sides).alias("x")).select("u", "v", "x.*")
     joined = wanted.join(base.select("rk", "text"), "rk")
 
     def cut(it):
         known = (None, None)
         for pdf in pieces(it):
-            out = []
-            for rk, text, first, last in zip(pdf["rk"].tolist(), pdf["text"], pdf["first"], pdf["last"]):
+            out, size = [], 0
+            for i, (rk, text, reach) in enumerate(zip(pdf["rk"].tolist(), pdf["text"], pdf["reach"])):
                 if known[0] != rk:
                     known = (rk, next(_words([text])))
-                out.append(known[1][first:last].tobytes())
-            yield pdf[["rk", "pid", "side", "ups", "vps", "first"]].assign(words=out)
-
-    sliced = joined.mapInPandas(cut, "rk bigint, pid bigint, side int, ups array<int>, vps array<int>, first int, words binary")
-    covered = sliced.repartition("pid").sortWithinPartitions("pid", "side").mapInPandas(
-        lambda it: _gathered(_aligned(it), ["rk", "start", "stop", "partner"]), "rk bigint, start int, stop int, partner bigint")
+                out.append(b"".join(known[1][s:e].tobytes() for s, e in reach.reshape(-1, 2).tolist()))
+                size += len(out[-1])
+                if size >= 8 * PIECE_VALUES or i == len(pdf) - 1:
+                    yield pdf[["u", "v", "side", "sizes", "ups", "vps", "reach"]].iloc[i + 1 - len(out):i + 1].assign(words=out)
+                    out, size = [], 0
+
+    sliced = joined.mapInPandas(cut, f"u bigint, v bigint, side int, {arrays}, reach array<int>, words binary")
+    covered = sliced.repartition("u", "v").sortWithinPartitions("u", "v", "side").mapInPandas(
+        lambda it: _gathered(_aligned(it, pad), ["rk", "start", "stop", "partner"]), "rk bigint, start int, stop int, partner bigint")
     # a document that shares a passage with a third of all others has as many stretches: unite them by salts first
-    salted = covered.distinct().withColumn("salt", F.pmod("partner", F.lit(MERGE_SALTS)))
+    salted = covered.withColumn("salt", F.pmod("partner", F.lit(MERGE_SALTS)))
     for salts in (salted, None):
         rows = salts if salts is not None else merged.withColumn("salt", F.lit(0).cast("bigint"))
         merged = rows.repartition("rk", "salt").sortWithinPartitions("rk", "salt", "start").mapInPandas(

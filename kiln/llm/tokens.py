@@ -66,21 +66,22 @@ class WordHasher:
 
     def words(self, texts):
         """Yield an array of word hashes for each text (str or None), in order."""
+        for hashes, bounds in self.chunks(texts):
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                yield hashes[a:b]
+
+    def chunks(self, texts):
+        """Yield the word hashes of some texts at once, and the index of each text's first word (one more at the end)."""
         held, size = [], 0
         for t in texts:
             b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
             held.append(b)
             size += len(b)
             if size >= CHUNK_BYTES:
-                yield from self._each(held)
+                yield self._hash(held)
                 held, size = [], 0
         if held:
-            yield from self._each(held)
-
-    def _each(self, held):
-        hashes, bounds = self._hash(held)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield hashes[a:b]
+            yield self._hash(held)
 
 
 def windows(words: np.ndarray, offsets: tuple[int, ...], salt: int = 0) -> np.ndarray:

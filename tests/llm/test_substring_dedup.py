@@ -1,9 +1,12 @@
 import random
 import re
 
-from kiln.llm.substring_dedup import Fenwick, K, GAP_COST, align, chains, minimizers, repeated_passages, segments, stretches
+from kiln.llm.substring_dedup import (
+    Fenwick, K, GAP_COST, _chains_of, align, all_minimizers, bounds, chains, equal_words, minimizers, pair_stretches, parts,
+    repeated_passages, segments, stretches)
 
 import numpy as np
+import pandas as pd
 
 
 def words(t):
@@ -33,6 +36,80 @@ def test_minimizers_against_windows():
             assert set(minimizers(h, w).tolist()) == want
 
 
+def test_minimizers_of_many_texts():
+    rng = np.random.default_rng(6)
+    for w in (1, 6, 25):
+        for _ in range(20):
+            sizes = rng.choice([0, 0, 1, 3, 5, 6, 24, 25, 26, 80], rng.integers(0, 9))
+            h = rng.integers(0, 40, sizes.sum()).astype(np.uint64)
+            ends = np.cumsum(sizes)
+            want = [e - n + x for e, n in zip(ends, sizes) for x in minimizers(h[e - n:e], w)]
+            assert all_minimizers(h, sizes, w).tolist() == want
+
+
+def test_a_pair_is_one_row_however_many_chains():
+    """Texts that repeat a block have a chain for every place of it: these stay together and meet each text once."""
+    block = 30
+    ups = np.arange(0, 3000, block)
+    ties = pd.DataFrame({"u": 1, "up": np.append(ups, ups) * 2 + 1, "v": 2, "vp": np.append(ups, 0 * ups)})
+    ties = pd.concat([ties, ties.assign(u=3, up=ties["up"] + 2)], ignore_index=True)
+    got = list(_chains_of(iter([ties[:150], ties[150:]]), 25))
+    assert [(u, v) for u, v, *_ in got] == [(1, 2), (3, 2)]
+    for _, _, sizes, ups_, vps, ureach, vreach in got:
+        assert len(sizes) > 90 and len(ups_) == len(vps) == 2 * sizes.sum()
+        assert len(ureach) == len(vreach) == 2  # reaches that overlap are one
+
+
+def test_pair_stretches_against_one_by_one():
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        pad = int(rng.choice([0, 10, 25]))
+        block = rng.integers(0, 10**9, 30)
+        a, b = (np.concatenate([x for _ in range(6) for x in (rng.integers(0, 10**9, rng.integers(0, 90)), block)]) for _ in "ab")
+        for x in (a, b):  # some words are changed
+            x[rng.integers(0, len(x), rng.integers(0, 12))] = -1
+        sizes, ups, vps = [], [], []
+        for _ in range(rng.integers(1, 25)):
+            i, j, at = int(rng.integers(0, len(a) - 60)), int(rng.integers(0, len(b) - 60)), 0
+            if rng.random() < 0.7:  # places of the block
+                i, j = (int(rng.choice(np.flatnonzero(x[:len(x) - 29] == block[0]))) if (x[:len(x) - 29] == block[0]).any() else 0 for x in (a, b))
+                sizes.append(1)
+                ups += [i, i + 20]
+                vps += [j, j + 20]
+                continue
+            sizes.append(int(rng.integers(1, 4)))
+            for _ in range(sizes[-1]):
+                n = int(rng.integers(0, 12))
+                ups += [i + at, i + at + n]
+                vps += [j + at, j + at + n]
+                at += n + int(rng.integers(1, 8))
+        sizes, ups, vps = (np.array(x, dtype=np.int32) for x in (sizes, ups, vps))
+        ur, vr = (parts(*bounds(sizes, x, pad)) for x in (ups, vps))
+        cut = lambda x, r: np.concatenate([x[s:e] for s, e in r.reshape(-1, 2)])
+        got = pair_stretches(cut(a, ur), cut(b, vr), sizes, ups, vps, ur, vr, pad)
+        want, k = (set(), set()), 0
+        for n in sizes:
+            up, vp = ups[2 * k:2 * (k + n)], vps[2 * k:2 * (k + n)]
+            k += n
+            s, t = max(0, up[0] - pad), max(0, vp[0] - pad)
+            x, y = equal_words(a[s:up[-1] + K + pad], b[t:vp[-1] + K + pad], up - s, vp - t)
+            for c, d, e, f in stretches(x + s, y + t):
+                if min(d - c, f - e) >= 25:
+                    want[0].update(range(c, d))
+                    want[1].update(range(e, f))
+        for g, held in zip(got, want):
+            assert {w for s, e in g.reshape(-1, 2) for w in range(s, e)} == held, trial
+
+
+def test_blocks_repeated_in_long_texts(docs_of):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    block, own = text(30), [text(40), text(60), text(55)]
+    rows = [(0, " ".join(own[0] + 80 * block)), (1, " ".join(own[1] + 70 * block + own[2])), (2, " ".join(text(90)))]
+    got = repeated_passages(docs_of(rows + rows[:1])).collect()
+    assert sorted((r["id"], r["start"], r["n_words"], r["partner"]) for r in got) == [(0, 40, 2400, 1), (1, 60, 2100, 0)]
+
+
 def test_best_chain_against_quadratic():
     rng = random.Random(2)
     for _ in range(50):
