@@ -88,7 +88,8 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
 def all_minimizers(h: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
     """``minimizers`` of many texts at once: h holds the hashes of all, sizes how many each has."""
     ends = np.cumsum(sizes)
-    found = [ends[i] - sizes[i] + minimizers(h[ends[i] - sizes[i]:ends[i]], window) for i in np.flatnonzero((sizes > 0) & (sizes < window))]
+    few = np.flatnonzero((sizes > 0) & (sizes < window))
+    found = [ends[i] - sizes[i] + minimizers(h[ends[i] - sizes[i]:ends[i]], window) for i in few]
     if len(h) >= window:
         least = _slide(np.minimum, h, window)
         least[np.arange(len(least)) + window > np.repeat(ends, sizes)[:len(least)]] = 0  # reaches into the next text
@@ -309,7 +310,8 @@ def _chains_of(it, pad: int):
                     sizes.append(end - begin)
                 begin = end
         if sizes:
-            sizes, ups, vps = np.array(sizes, dtype=np.int32), *(segs[picked][:, x].ravel().astype(np.int32) for x in (slice(2), slice(2, 4)))
+            sizes, held = np.array(sizes, dtype=np.int32), segs[picked].astype(np.int32)
+            ups, vps = held[:, :2].ravel(), held[:, 2:].ravel()
             reach = [parts(*bounds(sizes, p, pad)) for p in (ups, vps)]
             yield int(pdf["u"].iat[0]), int(pdf["v"].iat[0]), sizes, ups, vps, *reach
 
